@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secrets, warc
+from . import bpe, decontaminate, quality, secrets, substring, warc
 from .common import table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("intervals")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -33,10 +37,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_secrets, op8_bpe, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op5_secrets, op8_bpe, op9_quality, op10_warc)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, i, w[i:i + 49] AS k FROM d, unnest(range(1, greatest(len(w) - 49, 0) + 1)) t(i)),
+m AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, j FROM (SELECT s.doc_id, s.i FROM s JOIN m USING (k) WHERE s.doc_id > m.first), unnest(range(i, i + 50)) t(j)),
+c AS (SELECT doc_id, list(j) AS gone FROM r GROUP BY doc_id),
+x AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)),
+p AS (SELECT doc_id, list(w[i] ORDER BY i) AS kept FROM (SELECT doc_id, w, gone, unnest(range(1, len(w) + 1)) AS i FROM x) WHERE NOT list_contains(gone, i) GROUP BY doc_id)
+SELECT x.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM x LEFT JOIN p USING (doc_id)
+"""
+
 _OP2 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -86,4 +101,4 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES = {"op2_decontaminate": _OP2, "op5_secrets": _secret_sql(), "op10_warc": _OP10}
+ORACLES = {"op1_substring": _OP1, "op2_decontaminate": _OP2, "op5_secrets": _secret_sql(), "op10_warc": _OP10}
