@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secrets, substring, warc
-from .common import table
+from . import bpe, decontaminate, licenses, quality, secrets, substring, toxicity, warc
+from .common import bucket_of, table
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families = F.array_join(F.array_sort(F.array_distinct("found.family")), ",")
+    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_license"), families.alias("families"), spans.alias("spans"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op5_secrets, op8_bpe, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op3_licenses, op5_secrets, op6_toxicity, op8_bpe, op9_quality, op10_warc)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
