@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, quality, secrets, substring, toxicity, warc
+from . import bpe, decontaminate, jaccard, licenses, quality, secrets, substring, toxicity, warc
 from .common import bucket_of, table
 
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op3_licenses, op5_secrets, op6_toxicity, op8_bpe, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op3_licenses, op5_secrets, op6_toxicity, op7_jaccard, op8_bpe, op9_quality, op10_warc)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,6 +107,17 @@ FROM documents LEFT JOIN per USING (doc_id)
 """
 
 
+_OP7 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(w[i:i + 3]) AS k FROM d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) t(i)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b)
+SELECT r.doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(m) AS component_id FROM r LEFT JOIN z USING (doc_id) GROUP BY r.doc_id
+"""
+
 _OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
@@ -113,4 +128,4 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES = {"op1_substring": _OP1, "op2_decontaminate": _OP2, "op5_secrets": _secret_sql(), "op10_warc": _OP10}
+ORACLES = {"op1_substring": _OP1, "op2_decontaminate": _OP2, "op5_secrets": _secret_sql(), "op7_jaccard": _OP7, "op10_warc": _OP10}
