@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, quality, secrets, substring, toxicity, warc
+from . import bpe, decontaminate, jaccard, licenses, lm, quality, secrets, substring, toxicity, warc
 from .common import bucket_of, table
 
 
@@ -24,6 +24,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_license"), families.alias("families"), spans.alias("spans"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op3_licenses, op5_secrets, op6_toxicity, op7_jaccard, op8_bpe, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op3_licenses, op4_lm, op5_secrets, op6_toxicity, op7_jaccard, op8_bpe, op9_quality, op10_warc)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
