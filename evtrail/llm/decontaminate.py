@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A-Z become lower case; of ASCII only digits and letters stay, all else separates words.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -76,8 +77,10 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = 10,
     max_block_bytes: int = 32 << 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document row: id, text, n_words, n_hit, items (sorted), spans of hit words.
+    """One row per document row: id, text, n_words, n_hit, items (sorted), spans of hit words, and
+    `rest`, a struct of the `carry` columns (null without any).
 
     Null or empty texts have no words and no hits; null items have no window; repeated rows give
     repeated results; an empty benchmark hits nothing.  spans are [start, end) in code points of
@@ -90,6 +93,7 @@ def decontaminate(
     at = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
         F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"),
+        (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("rest"),
     )
     schema = at.schema
     for b in range(blocks):
@@ -107,7 +111,7 @@ def decontaminate(
                         hit = np.union1d(hit, np.array(old.as_py(), np.int64))
                     new_hits.append(hit.astype(np.int32))
                     new_items.append(sorted(got | set(had.as_py() or ())))
-                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(new_hits, pa.list_(pa.int32())), pa.array(new_items, pa.list_(pa.string()))], names=["id", "text", "hit", "items"])
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(new_hits, pa.list_(pa.int32())), pa.array(new_items, pa.list_(pa.string())), batch.column(4)], names=["id", "text", "hit", "items", "rest"])
 
         at = at.mapInArrow(scan, schema)
 
@@ -129,10 +133,10 @@ def decontaminate(
                 spans.append(out)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array([len(h or ()) for h in batch.column(2).to_pylist()], pa.int64()), batch.column(3), pa.array(spans, kind)],
-                names=["id", "text", "n_words", "n_hit", "items", "spans"],
+                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array([len(h or ()) for h in batch.column(2).to_pylist()], pa.int64()), batch.column(3), pa.array(spans, kind), batch.column(4)],
+                names=["id", "text", "n_words", "n_hit", "items", "spans", "rest"],
             )
 
-    kinds = {f.name: f.dataType.simpleString() for f in schema}
-    out = at.mapInArrow(report, f"id {kinds['id']}, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    shape = T.StructType([schema["id"], schema["text"], *T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>").fields, schema["rest"]])
+    out = at.mapInArrow(report, shape)
     return out.withColumnsRenamed({"id": id_col, "text": text_col} if id_col != text_col else {"id": id_col})

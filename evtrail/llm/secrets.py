@@ -56,8 +56,10 @@ def scan_secrets(
     text_col: str = "text",
     owner_col: str = "source",
     copied_owners: int = 3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document row: id, text, base spans, all spans, n_live and n_example.
+    """One row per document row: id, text, base spans, all spans, n_live, n_example, and `rest`, a
+    struct of the `carry` columns (null without any).
 
     Spans are structs (start, end, kind, value), ordered by start, then kind as listed.  Repository is
     the document, owner `owner_col`.  Base spans always stay; a `token` span is added only for an
@@ -67,7 +69,7 @@ def scan_secrets(
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rank = F.create_map(*[x for i, k in enumerate((*BASE, EXTRA)) for x in (F.lit(k[0]), F.lit(i))])
-    at = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"))
+    at = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("rest"))
     at = at.withColumn("key", F.xxhash64("id", text))
     base = F.concat(*[found(text, *k) for k in BASE])
 
@@ -91,7 +93,7 @@ def scan_secrets(
     out = out.withColumn("all", F.coalesce("all", none))
     return out.select(
         F.col("id").alias(id_col), F.col("text").alias(text_col), F.filter("all", lambda x: x["kind"] != EXTRA[0]).alias("base"), F.col("all").alias("spans"),
-        F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter("all", lambda x: ~x["live"])).cast("long").alias("n_example"),
+        F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter("all", lambda x: ~x["live"])).cast("long").alias("n_example"), "rest",
     )
 
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,14 +163,17 @@ def train(
     return Model(lexicon, tuple(w.tolist()), b)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id, text, score.  Null and empty texts have no votes and get the
-    score of a text without any; repeated rows give repeated results.  Narrow: no shuffle."""
-    at = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def scorer(model: Model):
+    """The score as a function of a text column."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(batch.column(1).to_pylist()), pa.float64())], names=["id", "text", "score"])
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(texts.tolist()))
+
+    return of
 
-    out = at.mapInArrow(run, f"id {at.schema['id'].dataType.simpleString()}, text string, score double")
-    return out.withColumnsRenamed({"id": id_col} | ({"text": text_col} if id_col != text_col else {}))
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: id and score.  Null and empty texts have no votes and get the score
+    of a text without any; repeated rows give repeated results.  Narrow: no shuffle."""
+    return docs.select(id_col, scorer(model)(F.col(text_col).cast("string")).alias("score"))
