@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import messages, scalars, windows  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
