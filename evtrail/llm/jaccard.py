@@ -1,15 +1,16 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
-A document's set are the hashes of its distinct word shingles.  Two sets of Jaccard t or more share a
-token among the first |x| - ceil(t|x|) + 1 of either in any common order, which puts tokens that
-many documents hold behind the others of their hash range.
+A document's set are the hashes of its distinct word shingles.
 
-1. Each text sends on the tokens with the lowest hashes, from which that prefix can be chosen; Spark
-   counts the documents of each token and keeps the tokens that two or more hold.
+1. Two sets of Jaccard t or more differ in at most d = (1 - t) / (1 + t) (|x| + |y|) tokens.  Cut the
+   hash range into more than d segments, and one segment at least holds the same tokens in both.
+   Each text sends the hash of each segment's tokens, for the number of segments of its size class
+   and, where a partner can be in it, of the next.  A task sends each segment once, its other rows
+   go straight to the first.
 2. Equal sets are one: the row with the smallest id stands for its copies.
-3. Documents that share a prefix token are connected into blocks; a document in no block has no link.
-   A block with more than `part_rows` documents is dealt into parts, and each pair of parts is one
-   group, so that no task holds more than two parts.
+3. Rows that share a segment are connected into blocks; a document in no block has no link.  A block
+   with more than `part_rows` documents is dealt into parts, and each pair of parts is one group, so
+   that no task holds more than two parts.
 4. In a group every document searches the inverted lists of the others: with T the required
    overlap, the L longest lists are set apart, the short ones are merged by a heap (or counted, where
    they are many), and what occurs T - L times or more is looked up in the long lists by binary
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 from math import log2
 
@@ -30,14 +33,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evtrail.operators.graph import components
 
 from .common import written
 from .rolling import windows, word_hashes
 
-#: Tokens with a hash below this part of the range are chosen from first.
-_FIRST = int(0.3 * 2**64)
+#: Lower ends of the size classes.
+_SIZES = sorted({round(1.5**k) for k in range(60)})
 _HEAP = 512
 
 
@@ -54,6 +58,45 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+@lru_cache(maxsize=128)
+def _segments(top: int, percent: int) -> tuple[np.ndarray | None, int]:
+    """Where the segments of a class of sizes up to `top` begin, and how many may be empty unsent."""
+    differ = (100 - percent) * 2 * top // (100 + percent)
+    if not differ:
+        return None, 0  # only equal sets are alike
+    spare = 2 + differ // 6
+    m = differ + 1 + spare
+    return np.array([(i << 64) // m for i in range(m)], np.uint64), spare
+
+
+def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the segments of a sorted set, for the classes in which a partner can be.
+
+    Of the d + 1 + spare segments at least 1 + spare are the same in a pair.  If these are all empty,
+    both sets have more empty ones than are spare, and then they send the empty ones too."""
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.uint64)
+    c = bisect_right(_SIZES, n) - 1
+    classes = [c] + [c + 1] * (100 * n >= percent * _SIZES[c + 1])
+    x = s ^ (s >> np.uint64(31))
+    x *= np.uint64(0x7FB5D329728EA185)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(x ^ (x >> np.uint64(27)), out=total[1:])
+    out = []
+    for k in classes:
+        begin, spare = _segments(_SIZES[k + 1] - 1, percent)
+        if begin is not None:
+            at = np.append(np.searchsorted(s, begin), n)
+            key = total[at[1:]] - total[at[:-1]]
+            full = at[1:] > at[:-1]
+            key += (np.arange(len(key), dtype=np.uint64) + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+            key *= np.uint64(0xD6E8FEB86659FD93)
+            out.append(key if (~full).sum() > spare else key[full])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 class Search:
     """Inverted lists over sorted token arrays."""
 
@@ -126,7 +169,7 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return out
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, hot: int = 64, part_rows: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, part_rows: int = 256) -> DataFrame:
     """One row per document row: id, n_shingles and component_id, the smallest id reachable by links.
 
     A-Z are lower-cased.  Null and empty texts have no set and stand alone; rows with equal texts or
@@ -134,45 +177,55 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links, but its component is the smallest id that is there, or null.
     """
     at = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    kind = at.schema["id"].dataType.simpleString()
+    row = T.StructType([T.StructField("seg", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("other", T.LongType()), T.StructField("id", at.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("sha", T.BinaryType())])
+
+    def rows(ids: pa.Array, seg, kind: int, key, other=None, n=None, sha=None) -> pa.RecordBatch:
+        m = len(key)
+        column = lambda v, t: pa.nulls(m, t) if v is None else pa.array(v, t)
+        return pa.RecordBatch.from_arrays([column(seg, pa.int64()), pa.array(np.full(m, kind, np.int32)), column(key, pa.int64()), column(other, pa.int64()), ids, column(n, pa.int64()), column(sha, pa.binary())], names=row.names)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, low, sha, tokens = [], [], [], []
-            for text in batch.column(2).cast(pa.binary()):
+            keys = batch.column(0).to_numpy()
+            n, sha, segs, sent = [], [], [], {}
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 s = shingles(text.as_py(), size)
-                first = int(np.searchsorted(s, np.uint64(_FIRST)))
-                prefix = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
                 n.append(len(s))
-                low.append(first)
                 sha.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                tokens.append((s[: max(first, prefix)] >> np.uint64(16)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(low, pa.int32()), pa.array(sha, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["key", "id", "n", "low", "sha", "tokens"])
-
-    base = written(at.select("key", "id", "text").mapInArrow(first, f"key long, id {kind}, n long, low int, sha binary, tokens array<long>"), "jaccard-base")
-    tokens = base.select("key", F.posexplode("tokens").alias("pos", "token"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    leaders = base.where("n > 0").groupBy("sha").agg(F.min(F.struct(F.coalesce("id", F.lit(None)), "key")).alias("lead"), F.first("n").alias("n"), F.first("low").alias("low"))
-    leaders = written(leaders.select("sha", F.col("lead.key").alias("key"), "n", "low"), "jaccard-leaders")
-    shared = tokens.join(held, "token").join(leaders.select("key", "n", "low"), "key").groupBy("key", "n", "low").agg(F.collect_list(F.struct("pos", "token", "df")).alias("t"))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                # a set that this batch has had before is a copy and needs no segments
+                segs.append(segment_keys(s, percent) if sent.setdefault(sha[-1], i) == i else np.zeros(0, np.uint64))
+            yield rows(batch.column(1), keys, 0, keys, n=n, sha=sha)
+            owner = np.repeat(np.arange(len(segs)), [len(x) for x in segs])
+            seg, at_first, back = np.unique(np.concatenate(segs), return_index=True, return_inverse=True)
+            lead = owner[at_first]
+            no_ids = lambda m: pa.nulls(m, batch.column(1).type)
+            yield rows(no_ids(len(seg)), seg.view(np.int64), 2, keys[lead])
+            pair = np.unique(np.stack([owner, lead[back]]), axis=1)
+            a, b = keys[pair[0]], keys[pair[1]]
+            a, b = a[a != b], b[a != b]
+            yield rows(no_ids(len(a)), a, 1, a, b)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_seg = last_hub = None
         for batch in batches:
-            keys, out = [], []
-            for key, n, low, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                prefix = n - least_overlap(n, percent) + 1
-                common = sorted(x["pos"] for x in t if x["df"] > hot and x["pos"] < low)
-                place = {p: low - len(common) + i for i, p in enumerate(common)}
-                before = np.searchsorted(common, [x["pos"] for x in t])
-                for x, k in zip(t, before.tolist(), strict=True):
-                    if (place[x["pos"]] if x["pos"] in place else x["pos"] - (k if x["pos"] < low else 0)) < prefix:
-                        keys.append(key)
-                        out.append(x["token"])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.int64())], names=["key", "token"])
-
-    short = written(shared.select("key", "n", "low", "t").mapInArrow(prefixes, "key long, token long"), "jaccard-short")
-    hubs = short.groupBy("token").agg(F.min("key").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    blocks = written(components(short.join(hubs, "token").where("key <> hub").select("key", "hub"), "key", "hub"), "jaccard-blocks")
+            kind = batch.column(1).to_numpy()
+            yield batch.filter(pa.array(kind < 2))
+            seg, key = batch.column(0).to_numpy()[kind == 2], batch.column(2).to_numpy()[kind == 2]
+            if len(seg):
+                fresh = np.append(seg[0] != last_seg if last_seg is not None else True, seg[1:] != seg[:-1])
+                begin = np.maximum.accumulate(np.where(fresh, np.arange(len(seg)), -1))
+                hub = np.where(begin >= 0, key[begin], last_hub if last_hub is not None else 0)
+                last_seg, last_hub = seg[-1], hub[-1]
+                pair = np.unique(np.stack([key[key != hub], hub[key != hub]]), axis=1)
+                yield rows(pa.nulls(pair.shape[1], batch.column(4).type), pair[0], 1, pair[0], pair[1])
+
+    base = written(at.select("key", "id", "text").mapInArrow(first, row).repartition("seg").sortWithinPartitions("seg", "key").mapInArrow(runs, row).select("kind", "key", "other", "id", "n", "sha"), "jaccard-base")
+    rows_of, met = base.where("kind = 0").drop("kind", "other"), base.where("kind = 1").select("key", "other")
+    leaders = rows_of.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "key")).alias("lead")).select("sha", F.col("lead.key").alias("lead"))
+    led = written(rows_of.join(leaders, "sha", "left").select("key", "id", "n", "lead"), "jaccard-rows")
+    lead = led.where("lead is not null").select("key", "lead").distinct()
+    pairs = met.distinct().join(lead, "key").select("other", F.col("lead").alias("a")).join(lead.withColumnRenamed("key", "other"), "other").select("a", F.col("lead").alias("b")).where("a <> b")
+    blocks = written(components(pairs), "jaccard-blocks")
     # parts of at most about part_rows documents; a part meets itself and every other one
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     sized = blocks.join(blocks.groupBy("component").agg(F.count("*").alias("rows")), "component").select(F.col("node").alias("key"), F.col("component").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
@@ -198,8 +251,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pa.table({"a": pa.array([names[i] for i, _ in links], pa.int64()), "b": pa.array([names[j] for _, j in links], pa.int64())})
 
     links = dealt.groupBy("block", "i", "j").applyInArrow(link, "a long, b long")
-    copies = base.where("n > 0").select("key", "sha").join(leaders.select("sha", F.col("key").alias("lead")), "sha").select(F.col("key").alias("a"), F.col("lead").alias("b")).where("a <> b")
+    copies = lead.select(F.col("key").alias("a"), F.col("lead").alias("b")).where("a <> b")
     found = components(written(links.union(copies).distinct(), "jaccard-links"))
-    named = base.select("key", "id", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
+    named = led.select("key", "id", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
     smallest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
     return named.join(smallest, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"))
