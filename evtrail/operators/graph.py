@@ -35,3 +35,57 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     roots = at.select(F.col("v").alias("node")).distinct()
     found = at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
     return found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def draft_components(keys: DataFrame, drafts: DataFrame, locked: DataFrame | None = None) -> DataFrame:
+    """(draft_id, component) of drafts that share keys (draft_id, key) or stand in a locked group (draft_id, group_id).
+
+    A key links its drafts to its smallest one, so the edges are as many as the rows; drafts without
+    a partner are components of their own."""
+    from .relations import hub_links
+
+    edges = hub_links(keys.select("draft_id", F.col("key").cast("string").alias("key")).distinct())
+    if locked is not None:
+        edges = edges.union(hub_links(locked.select("draft_id", F.col("group_id").cast("string").alias("key")).distinct()))
+    found = components(edges).withColumnRenamed("node", "draft_id")
+    return drafts.select("draft_id").distinct().join(found, "draft_id", "left").select("draft_id", F.coalesce("component", "draft_id").alias("component"))
+
+
+def connected_by(assign: DataFrame, keys: DataFrame) -> DataFrame:
+    """(group_id, connected): whether the keys connect all members of the group among themselves."""
+    own = assign.join(keys, "draft_id").select("draft_id", F.concat_ws("|", "group_id", "key").alias("key"))
+    parts = assign.join(draft_components(own, assign), "draft_id").groupBy("group_id").agg(F.count_distinct("component").alias("parts"))
+    return parts.select("group_id", (F.col("parts") == 1).alias("connected"))
+
+
+def conversation_only(assign: DataFrame, evidence: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Groups in which two members share a conversation but no chain of evidence."""
+    own = assign.join(evidence, "draft_id").select("draft_id", F.concat_ws("|", "group_id", "key").alias("key"))
+    at = assign.join(draft_components(own, assign), "draft_id").join(conversations, "draft_id")
+    return at.groupBy("group_id", "key").agg(F.count_distinct("component").alias("n")).where("n > 1").select("group_id").distinct()
+
+
+def discovery_pairs(checks: DataFrame) -> DataFrame:
+    """(a, b, reasons): undirected pairs, their distinct reasons in order of `pos`."""
+    at = checks.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "reason", "pos").where("a <> b")
+    first = at.groupBy("a", "b", "reason").agg(F.min("pos").alias("pos"))
+    return first.groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "reason"))), lambda x: x["reason"]), "; ").alias("reasons"))
+
+
+def replace_components(groups: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Drafts of reviewed get its groups, the rest keep theirs; numbered by their first member."""
+    kept = groups.join(reviewed.select("draft_id"), "draft_id", "left_anti").select("draft_id", F.concat(F.lit("k:"), F.col("group_id").cast("string")).alias("g"))
+    every = kept.union(reviewed.select("draft_id", F.concat(F.lit("r:"), F.col("group_id").cast("string")).alias("g")))
+    first = every.groupBy("g").agg(F.min("draft_id").alias("group_id"))
+    return every.join(first, "g").select("draft_id", "group_id")
+
+
+def partition_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, a, b): draft pairs that `after` puts together or apart; both are (draft_id, group_id)."""
+
+    def pairs(df: DataFrame) -> DataFrame:
+        left, right = df.select("group_id", F.col("draft_id").alias("a")), df.select("group_id", F.col("draft_id").alias("b"))
+        return left.join(right, "group_id").where("a < b").select("a", "b")
+
+    old, new = pairs(before), pairs(after)
+    return new.exceptAll(old).select(F.lit("merged").alias("change"), "a", "b").union(old.exceptAll(new).select(F.lit("split").alias("change"), "a", "b"))
