@@ -5,12 +5,14 @@ A document's set are the hashes of its distinct word shingles.
 1. Two sets of Jaccard t or more differ in at most d = (1 - t) / (1 + t) (|x| + |y|) tokens.  Cut the
    hash range into more than d segments, and one segment at least holds the same tokens in both.
    Each text sends the hash of each segment's tokens, for the number of segments of its size class
-   and, where a partner can be in it, of the next.  A task sends each segment once, its other rows
-   go straight to the first.
+   and, where a partner can be in it, of the next.  With spare segments beyond d + 1, a pair shares
+   more than one, and how many is known.  Where few rows share a segment (`few` or less), their
+   pairs are counted, and a pair with too small a count is dropped; where many do, each is tied to
+   the first of them, so that the work stays in proportion to the rows.
 2. Equal sets are one: the row with the smallest id stands for its copies.
-3. Rows that share a segment are connected into blocks; a document in no block has no link.  A block
-   with more than `part_rows` documents is dealt into parts, and each pair of parts is one group, so
-   that no task holds more than two parts.
+3. Rows tied or paired make up blocks; a document in no block has no link.  A block with more than
+   `part_rows` documents is dealt into parts, and each pair of parts is one group, so that no task
+   holds more than two parts.
 4. In a group every document searches the inverted lists of the others: with T the required
    overlap, the L longest lists are set apart, the short ones are merged by a heap (or counted, where
    they are many), and what occurs T - L times or more is looked up in the long lists by binary
@@ -69,14 +71,15 @@ def _segments(top: int, percent: int) -> tuple[np.ndarray | None, int]:
     return np.array([(i << 64) // m for i in range(m)], np.uint64), spare
 
 
-def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the segments of a sorted set, for the classes in which a partner can be.
+def segment_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Hashes of the segments of a sorted set, for the classes in which a partner can be, and how many
+    a partner shares at least (of a pair, the smaller of the two numbers holds).
 
     Of the d + 1 + spare segments at least 1 + spare are the same in a pair.  If these are all empty,
     both sets have more empty ones than are spare, and then they send the empty ones too."""
-    n = len(s)
+    n, need = len(s), 1 << 30
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), need
     c = bisect_right(_SIZES, n) - 1
     classes = [c] + [c + 1] * (100 * n >= percent * _SIZES[c + 1])
     x = s ^ (s >> np.uint64(31))
@@ -93,8 +96,10 @@ def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
             key += (np.arange(len(key), dtype=np.uint64) + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
             key *= np.uint64(0xD6E8FEB86659FD93)
-            out.append(key if (~full).sum() > spare else key[full])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            empty = int((~full).sum())
+            out.append(key if empty > spare else key[full])
+            need = min(need, max(1, 1 + spare - empty))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
 
 
 class Search:
@@ -169,7 +174,7 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return out
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, part_rows: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, few: int = 32, part_rows: int = 256) -> DataFrame:
     """One row per document row: id, n_shingles and component_id, the smallest id reachable by links.
 
     A-Z are lower-cased.  Null and empty texts have no set and stand alone; rows with equal texts or
@@ -187,44 +192,81 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            n, sha, segs, sent = [], [], [], {}
+            n, sha, segs, needs, sent = [], [], [], [], {}
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 s = shingles(text.as_py(), size)
                 n.append(len(s))
                 sha.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 # a set that this batch has had before is a copy and needs no segments
-                segs.append(segment_keys(s, percent) if sent.setdefault(sha[-1], i) == i else np.zeros(0, np.uint64))
-            yield rows(batch.column(1), keys, 0, keys, n=n, sha=sha)
+                seg, need = segment_keys(s, percent) if sent.setdefault(sha[-1], i) == i else (np.zeros(0, np.uint64), 1 << 30)
+                segs.append(seg)
+                needs.append(need)
+            yield rows(batch.column(1), keys, 0, keys, needs, n=n, sha=sha)
             owner = np.repeat(np.arange(len(segs)), [len(x) for x in segs])
-            seg, at_first, back = np.unique(np.concatenate(segs), return_index=True, return_inverse=True)
-            lead = owner[at_first]
+            seg = np.concatenate(segs).view(np.int64) if segs else np.zeros(0, np.int64)
+            _, at_first, back, times = np.unique(seg, return_index=True, return_inverse=True, return_counts=True)
+            many = times[back] > few
+            lead = np.zeros(len(seg), bool)
+            lead[at_first] = True
             no_ids = lambda m: pa.nulls(m, batch.column(1).type)
-            yield rows(no_ids(len(seg)), seg.view(np.int64), 2, keys[lead])
-            pair = np.unique(np.stack([owner, lead[back]]), axis=1)
-            a, b = keys[pair[0]], keys[pair[1]]
-            a, b = a[a != b], b[a != b]
-            yield rows(no_ids(len(a)), a, 1, a, b)
+            send = ~many | lead
+            yield rows(no_ids(int(send.sum())), seg[send], 2, keys[owner[send]], many[send].astype(np.int64))
+            pair = np.unique(np.stack([keys[owner[many]], keys[owner[at_first[back[many]]]]]), axis=1)
+            pair = pair[:, pair[0] != pair[1]]
+            yield rows(no_ids(pair.shape[1]), pair[0], 1, pair[0], pair[1])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_seg = last_hub = None
+        """Rows in order of their segment: pairs of small groups with a count, ties of large ones."""
+        held = np.zeros((3, 0), np.int64)  # segment, key and flag of a group that may go on
+
+        def done(g: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            begin = np.flatnonzero(np.append(True, g[0, 1:] != g[0, :-1])) if g.shape[1] else np.zeros(0, np.int64)
+            length = np.diff(np.append(begin, g.shape[1]))
+            flag = np.maximum.reduceat(g[2], begin) > 0 if len(begin) else np.zeros(0, bool)
+            large = flag | (length > few)
+            rest = np.zeros((3, 0), np.int64)
+            if not last and len(begin):
+                rest = g[:, begin[-1] :]
+                if large[-1]:  # the first row stands for the group from here on
+                    rest = np.array([[rest[0, 0]], [rest[1, 0]], [1]])
+                else:
+                    begin, length, large = begin[:-1], length[:-1], large[:-1]
+            each = [np.stack([g[1, b + 1 : b + k], np.full(k - 1, g[1, b])]) for b, k in zip(begin[large], length[large], strict=True)]
+            tied = np.concatenate(each, axis=1) if each else np.zeros((2, 0), np.int64)
+            pairs = [np.zeros((2, 0), np.int64)]
+            for k in np.unique(length[~large & (length > 1)]):
+                i, j = np.triu_indices(k, 1)
+                members = g[1][begin[~large & (length == k)][:, None] + np.arange(k)]
+                pairs.append(np.sort(np.stack([members[:, i].ravel(), members[:, j].ravel()]), axis=0))
+            return rest, tied, np.concatenate(pairs, axis=1)
+
+        def out(tied: np.ndarray, pairs: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            tied = np.unique(tied[:, tied[0] != tied[1]], axis=1)
+            yield rows(pa.nulls(tied.shape[1], kind), tied[0], 1, tied[0], tied[1])
+            pairs, n = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1, return_counts=True)
+            yield rows(pa.nulls(pairs.shape[1], kind), pairs[0], 3, pairs[0], pairs[1], n=n)
+
+        kind_of_id = None
         for batch in batches:
+            kind_of_id = batch.column(4).type
             kind = batch.column(1).to_numpy()
             yield batch.filter(pa.array(kind < 2))
-            seg, key = batch.column(0).to_numpy()[kind == 2], batch.column(2).to_numpy()[kind == 2]
-            if len(seg):
-                fresh = np.append(seg[0] != last_seg if last_seg is not None else True, seg[1:] != seg[:-1])
-                begin = np.maximum.accumulate(np.where(fresh, np.arange(len(seg)), -1))
-                hub = np.where(begin >= 0, key[begin], last_hub if last_hub is not None else 0)
-                last_seg, last_hub = seg[-1], hub[-1]
-                pair = np.unique(np.stack([key[key != hub], hub[key != hub]]), axis=1)
-                yield rows(pa.nulls(pair.shape[1], batch.column(4).type), pair[0], 1, pair[0], pair[1])
+            new = np.stack([batch.column(c).to_numpy()[kind == 2] for c in (0, 2, 3)])
+            held, tied, pairs = done(np.concatenate([held, new], axis=1), False)
+            yield from out(tied, pairs, kind_of_id)
+        if held.shape[1]:
+            yield from out(*done(held, True)[1:], kind_of_id)
 
     base = written(at.select("key", "id", "text").mapInArrow(first, row).repartition("seg").sortWithinPartitions("seg", "key").mapInArrow(runs, row).select("kind", "key", "other", "id", "n", "sha"), "jaccard-base")
-    rows_of, met = base.where("kind = 0").drop("kind", "other"), base.where("kind = 1").select("key", "other")
+    rows_of, met = base.where("kind = 0").drop("kind").withColumnRenamed("other", "need"), base.where("kind = 1").select("key", "other")
     leaders = rows_of.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "key")).alias("lead")).select("sha", F.col("lead.key").alias("lead"))
-    led = written(rows_of.join(leaders, "sha", "left").select("key", "id", "n", "lead"), "jaccard-rows")
+    led = written(rows_of.join(leaders, "sha", "left").select("key", "id", "n", "need", "lead"), "jaccard-rows")
     lead = led.where("lead is not null").select("key", "lead").distinct()
-    pairs = met.distinct().join(lead, "key").select("other", F.col("lead").alias("a")).join(lead.withColumnRenamed("key", "other"), "other").select("a", F.col("lead").alias("b")).where("a <> b")
+    need = led.where("need < 1073741824").groupBy("key").agg(F.min("need").alias("need"))
+    counted = base.where("kind = 3").groupBy("key", "other").agg(F.sum("n").alias("c"))
+    counted = counted.join(need.withColumnRenamed("need", "x"), "key").join(need.select(F.col("key").alias("other"), F.col("need").alias("y")), "other").where(F.col("c") >= F.least("x", "y"))
+    met = met.union(counted.select("key", "other")).distinct()
+    pairs = met.join(lead, "key").select("other", F.col("lead").alias("a")).join(lead.withColumnRenamed("key", "other"), "other").select("a", F.col("lead").alias("b")).where("a <> b")
     blocks = written(components(pairs), "jaccard-blocks")
     # parts of at most about part_rows documents; a part meets itself and every other one
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
