@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     """
     at = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null")
     loops = at.where("u = v").select(F.col("u").alias("node")).distinct()
-    at = written(at.where("u <> v").distinct(), "components")
+    at = written(at.where("u <> v").distinct(), "components", 1)
     mark = None
     for _ in range(max_rounds):
         both = at.union(at.select("v", "u"))
@@ -25,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        at = written(small.where("u <> v").distinct(), "components")
+        at = written(small.where("u <> v").distinct(), "components", 1)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

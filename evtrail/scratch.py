@@ -24,9 +24,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, per_core: int = 4) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, and a
-    lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor costs no recomputation.  At most `per_core` files for each core of the cluster."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
