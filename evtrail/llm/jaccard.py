@@ -260,14 +260,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     base = written(at.select("key", "id", "text").mapInArrow(first, row).repartition("seg").sortWithinPartitions("seg", "key").mapInArrow(runs, row).select("kind", "key", "other", "id", "n", "sha"), "jaccard-base")
     rows_of, met = base.where("kind = 0").drop("kind").withColumnRenamed("other", "need"), base.where("kind = 1").select("key", "other")
     leaders = rows_of.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "key")).alias("lead")).select("sha", F.col("lead.key").alias("lead"))
-    led = written(rows_of.join(leaders, "sha", "left").select("key", "id", "n", "need", "lead"), "jaccard-rows")
+    led = written(rows_of.join(leaders, "sha", "left").select("key", "id", "n", "need", "lead"), "jaccard-rows", 1)
     lead = led.where("lead is not null").select("key", "lead").distinct()
     need = led.where("need < 1073741824").groupBy("key").agg(F.min("need").alias("need"))
     counted = base.where("kind = 3").groupBy("key", "other").agg(F.sum("n").alias("c"))
     counted = counted.join(need.withColumnRenamed("need", "x"), "key").join(need.select(F.col("key").alias("other"), F.col("need").alias("y")), "other").where(F.col("c") >= F.least("x", "y"))
     met = met.union(counted.select("key", "other")).distinct()
     pairs = met.join(lead, "key").select("other", F.col("lead").alias("a")).join(lead.withColumnRenamed("key", "other"), "other").select("a", F.col("lead").alias("b")).where("a <> b")
-    blocks = written(components(pairs), "jaccard-blocks")
+    blocks = written(components(pairs), "jaccard-blocks", 1)
     # parts of at most about part_rows documents; a part meets itself and every other one
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     sized = blocks.join(blocks.groupBy("component").agg(F.count("*").alias("rows")), "component").select(F.col("node").alias("key"), F.col("component").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     links = dealt.groupBy("block", "i", "j").applyInArrow(link, "a long, b long")
     copies = lead.select(F.col("key").alias("a"), F.col("lead").alias("b")).where("a <> b")
-    found = components(written(links.union(copies).distinct(), "jaccard-links"))
+    found = components(written(links.union(copies).distinct(), "jaccard-links", 1))
     named = led.select("key", "id", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
     smallest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
     return named.join(smallest, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"))
