@@ -232,3 +232,18 @@ SELECT group_id, pos, CASE WHEN long THEN least(n, share + CASE WHEN turn <= 200
 def a12_allocate_lengths(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("pos"), F.length("text").alias("length"))
     return merge.allocate_lengths(rows, 20000).select("group_id", "pos", "share")
+
+
+@query("""WITH r AS (SELECT source AS g, length(text) AS n FROM documents), q AS (SELECT g, unnest(range(0, (SELECT max(n) FROM r) + 1, 1)) AS q FROM (SELECT DISTINCT g FROM r WHERE g IN ('src1', 'src2', 'src3')))
+SELECT g AS group_id, max(q)::BIGINT AS quota FROM (SELECT q.g, q.q FROM q JOIN r USING (g) GROUP BY q.g, q.q HAVING sum(least(n, q.q)) <= 20000 AND q.q <= max(n)) GROUP BY 1""")
+def a13_fit_quota(spark, d):
+    rows = table(spark, d, "documents").where("source in ('src1', 'src2', 'src3')").select(F.col("source").alias("group_id"), F.length("text").alias("length"))
+    return packing.fit_quota(rows, 20000)
+
+
+@query()
+def w15_pack_components(spark, d):
+    """Tests check that components stay whole while they fit."""
+    n = F.length("text")
+    rows = table(spark, d, "documents").select("lang", F.col("doc_id").alias("pos"), F.xxhash64("source", (F.col("doc_id") / 40).cast("int")).alias("component"), n.cast("long").alias("ascii"), F.lit(0).cast("long").alias("other"))
+    return packing.pack_components(rows, ("lang",), 7000)
