@@ -174,7 +174,7 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return out
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, few: int = 32, part_rows: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, few: int = 32, part_rows: int = 2048) -> DataFrame:
     """One row per document row: id, n_shingles and component_id, the smallest id reachable by links.
 
     A-Z are lower-cased.  Null and empty texts have no set and stand alone; rows with equal texts or
@@ -277,7 +277,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             found = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(4).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=["key", "block", "parts", "part", "tokens"])
 
-    texts = at.join(sized, "key").select("key", "block", "parts", "part", "text").mapInArrow(sets, "key long, block long, parts int, part int, tokens array<long>")
+    texts = at.join(sized.hint("merge"), "key").select("key", "block", "parts", "part", "text").mapInArrow(sets, "key long, block long, parts int, part int, tokens array<long>")
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
     dealt = texts.select("key", "block", "part", "tokens", F.explode(other).alias("pair")).select("key", "block", "pair.i", "pair.j", "part", "tokens")
 
