@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evtrail.operators import audit, graph, merge, metrics, packing, relations
 from evtrail.sources.tables import ORDER_DRAFTS_SQL as D
-from evtrail.sources.tables import event_messages, order_drafts, table
+from evtrail.sources.tables import order_drafts, table
 
 from .registry import query
 
