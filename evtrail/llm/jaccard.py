@@ -190,7 +190,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays([column(seg, pa.int64()), pa.array(np.full(m, kind, np.int32)), column(key, pa.int64()), column(other, pa.int64()), ids, column(n, pa.int64()), column(sha, pa.binary())], names=row.names)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1500) for b in batches for i in range(0, len(b), 1500)):
             keys = batch.column(0).to_numpy()
             n, sha, segs, needs, sent = [], [], [], [], {}
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
@@ -273,7 +273,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sized = blocks.join(blocks.groupBy("component").agg(F.count("*").alias("rows")), "component").select(F.col("node").alias("key"), F.col("component").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1500) for b in batches for i in range(0, len(b), 1500)):
             found = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(4).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=["key", "block", "parts", "part", "tokens"])
 

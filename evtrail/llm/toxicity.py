@@ -168,7 +168,7 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()))
+        return pd.Series(np.concatenate([model.score(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)] or [np.zeros(0)]))
 
     return of
 
