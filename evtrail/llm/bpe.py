@@ -68,7 +68,7 @@ class Codec:
     (next to white space, or at an end) goes through the pattern whole.
     """
 
-    def __init__(self, path: str, pattern: str, kept: int = 400_000):
+    def __init__(self, path: str, pattern: str, kept: int = 200_000):
         import regex
         import sentencepiece
 
