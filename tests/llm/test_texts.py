@@ -191,6 +191,18 @@ def test_lm_scores(spark, docs, texts):
     assert got[long].bits_per_byte < 4
 
 
+def test_lm_tokens_are_lower_case(spark):
+    texts = {i: t for i, t in enumerate(["The cat THE", "the Cat É", "ÉT\xc0 Zoo the", "zoo", "THE zoo", "Cat", "The é"] * 3)}
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), batch_rows=4).collect()}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: [*t.translate(fold).split(), ""] for i, t in texts.items()}
+    c = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, w in words.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(got[i].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+
+
 def test_lm_is_a_distribution():
     """Over all texts of up to two of the bytes that there are, probabilities add up to less than one, and the
     first symbol's alternatives to one."""
