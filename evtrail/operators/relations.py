@@ -1,7 +1,7 @@
 """Evidence joins through inverted indexes: explode the keys, join them by equality, count.
 
-A key that very many drafts share would give all its pairs; keys held by more than `fan_out` drafts
-are linked to their smallest draft instead (`hub_links`), which keeps what is connected connected.
+A key that very many drafts share gives all its pairs, part by part (`evidence_pairs`); where only what
+is connected counts, `hub_links` ties its drafts to the smallest one, linear in the rows.
 """
 
 from __future__ import annotations
@@ -24,12 +24,16 @@ def hub_links(keys: DataFrame, fan_out: int = 0) -> DataFrame:
 
 
 def evidence_pairs(keys: DataFrame, fan_out: int = 1000) -> DataFrame:
-    """(a, b, shared, same) for pairs a < b that share a key of at most `fan_out` drafts; same says that
-    their key sets are equal.  `hub_links(keys, fan_out)` has the rest."""
-    few = keys.join(key_counts(keys).where(F.col("n").between(2, fan_out)).select("key"), "key", "left_semi")
+    """(a, b, shared, same) for all pairs a < b that share a key; same says that their key sets are equal.
+
+    A key of more than `fan_out` drafts is dealt into parts of about so many, and each pair of parts is
+    joined alone, so that no task holds a whole key; the pairs are as many as the drafts squared."""
+    parts = F.ceil(F.col("n") / fan_out).cast("int")
+    held = keys.join(key_counts(keys).where("n > 1"), "key").select("key", "draft_id", parts.alias("parts"), F.pmod(F.xxhash64("draft_id"), parts).cast("int").alias("part"))
     size = keys.groupBy("draft_id").agg(F.count("*").alias("size"))
-    left, right = few.select("key", F.col("draft_id").alias("a")), few.select("key", F.col("draft_id").alias("b"))
-    pairs = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left, right = held.select("key", F.col("part").alias("i"), every.alias("j"), F.col("draft_id").alias("a")), held.select("key", every.alias("i"), F.col("part").alias("j"), F.col("draft_id").alias("b"))
+    pairs = left.join(right, ["key", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = pairs.join(size.select(F.col("draft_id").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("draft_id").alias("b"), F.col("size").alias("nb")), "b")
     return pairs.select("a", "b", "shared", ((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb"))).alias("same"))
 

@@ -153,6 +153,17 @@ def test_evidence_and_audits(spark):
     assert graph.conversation_only(spark.createDataFrame([("g", 1), ("g", 4)], "group_id string, draft_id long"), keys, spark.createDataFrame([(1, "c"), (4, "c")], "draft_id long, key string")).count() == 1
 
 
+def test_evidence_pairs_of_hot_keys(spark):
+    sets = {i: {"hot"} | ({"odd"} if i % 2 else set()) | ({f"k{i % 97}"} if i % 3 else set()) for i in range(1, 1102)}
+    keys = spark.createDataFrame([(i, k) for i, s in sets.items() for k in s], "draft_id long, key string")
+    want = {(a, b): (len(sets[a] & sets[b]), sets[a] == sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert len(want) == 1101 * 1100 // 2
+    assert {(r.a, r.b): (r.shared, r.same) for r in relations.evidence_pairs(keys).toLocalIterator()} == want
+    some = keys.where("draft_id <= 40")
+    got = relations.evidence_pairs(some, fan_out=3).collect()
+    assert len(got) == 40 * 39 // 2 and {(r.a, r.b): (r.shared, r.same) for r in got} == {p: v for p, v in want.items() if p[1] <= 40}
+
+
 def test_metrics(spark):
     assert one(spark, 'stage="a b" seconds=3.5 n=1', metrics.parse_timing_log) == {"stage": "a b", "seconds": "3.5", "n": "1"}
     pairs = spark.createDataFrame([("r", float(i)) for i in range(7)], "relation string, gap double")
