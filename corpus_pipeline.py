@@ -20,10 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, once; rows without id stay, once each."""
-    found = jaccard.jaccard_components(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null").distinct())
+    """Keeps the document with the smallest id of each component of near copies (five words, 80 %), once;
+    documents that share an id but not the text count apart; rows without id stay, once each."""
+    found = jaccard.jaccard_components(docs, size=5, percent=80, nodes=True)
+    first = found.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    at = docs.where("doc_id is not null").withColumn("node", F.xxhash64("doc_id", "text"))
+    kept = at.join(first.select(F.col("first.node").alias("node")), "node", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).union(docs.where("doc_id is null").distinct())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

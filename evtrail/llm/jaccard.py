@@ -174,8 +174,9 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return out
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, few: int = 32, part_rows: int = 2048) -> DataFrame:
-    """One row per document row: id, n_shingles and component_id, the smallest id reachable by links.
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, few: int = 32, part_rows: int = 2048, nodes: bool = False) -> DataFrame:
+    """One row per document row: id, n_shingles and component_id, the smallest id reachable by links;
+    with `nodes` also node, the xxhash64 of id and text, and component, one of its nodes.
 
     A-Z are lower-cased.  Null and empty texts have no set and stand alone; rows with equal texts or
     sets are linked; rows that share an id but not the text are nodes of their own; a row without id
@@ -297,4 +298,5 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = components(written(links.union(copies).distinct(), "jaccard-links", 1))
     named = led.select("key", "id", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
     smallest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
-    return named.join(smallest, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"))
+    also = [F.col("key").alias("node"), F.coalesce("component", "key").alias("component")] if nodes else []
+    return named.join(smallest, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"), *also)

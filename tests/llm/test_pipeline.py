@@ -60,3 +60,15 @@ def test_stages_keep_the_columns(spark, tmp_path):
         at = stage(spark, at, str(tmp_path))
         assert at.dtypes == docs.dtypes, name
     assert sorted((r.doc_id or 0) for r in at.collect()) == [0, 1]
+
+
+def test_near_copies_of_five_words_and_shared_ids(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(500)]
+    near = [f"x{i}" if i % 45 == 2 and i < 495 else w for i, w in enumerate(words)]
+    assert sum(a != b for a, b in zip(words, near, strict=True)) == 11  # 2.2 %
+    other, more = ([f"{c}{i}" for i in range(60)] for c in "yz")
+    rows = [(10, " ".join(words)), (11, " ".join(near)), (10, " ".join(other)), (9, " ".join([*other, "tail"])), (10, " ".join(more)), (10, " ".join(more)), (12, " ".join(more)), (13, " ".join([*more, "tail"])), (13, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((x.doc_id, x.text) for x in pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([rows[0], rows[3], rows[4], rows[8]])
