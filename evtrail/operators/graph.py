@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evtrail.scratch import written
+from evtrail.scratch import drop_written, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each is one partial aggregation and one join on the
-    node, so a hub of any degree is summed before the shuffle and its join partition can be split.
-    Rounds grow with the logarithm of the longest path; each is written to the shared folder.
+    node.  A step's minima are written before they are joined, so that both sides of the join are
+    plain shuffles and Spark can split the partition of a hub.  Rounds grow with the logarithm of
+    the longest path; each is written to the shared folder, and the round before is deleted.
     """
-    at = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null")
-    loops = at.where("u = v").select(F.col("u").alias("node")).distinct()
-    at = written(at.where("u <> v").distinct(), "components", 1)
-    mark = None
-    for _ in range(max_rounds):
+    edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null").distinct(), "components")
+    loops = edges.where("u = v").select(F.col("u").alias("node"))
+    at, mark = edges.where("u <> v"), (edges.count(), None)
+    for done in range(max_rounds):
         both = at.union(at.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        at = written(small.where("u <> v").distinct(), "components", 1)
-        now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-low", mark[0])
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components-large", mark[0])
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-low", mark[0])
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        last, at = at, written(small.where("u <> v").distinct(), "components", mark[0])
+        for table in (low, large, least, *([last] if done else [])):
+            drop_written(table)
+        now = tuple(at.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
             break
         mark = now

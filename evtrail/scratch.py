@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: About so many rows a file where a table's number of rows is known.
+ROWS_A_FILE = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where none is set, as in tests."""
+    """spark.checkpoint.dir, or the checkpoint folder that the session has; a temporary folder of its own
+    only where driver and executors are one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get()
@@ -24,10 +30,20 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, per_core: int = 4) -> DataFrame:
+def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, and a
-    lost executor costs no recomputation.  At most `per_core` files for each core of the cluster."""
+    lost executor costs no recomputation.  `rows`, where the caller has counted them, sets the number
+    of files; otherwise the tasks are those of df."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(4 + rows // ROWS_A_FILE)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a table of written() that nothing will read again."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
