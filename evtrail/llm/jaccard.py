@@ -9,15 +9,19 @@ A document's set are the hashes of its distinct word shingles.
    more than one, and how many is known.  Where few rows share a segment (`few` or less), their
    pairs are counted, and a pair with too small a count is dropped; where many do, each is tied to
    the first of them, so that the work stays in proportion to the rows.
-2. Equal sets are one: the row with the smallest id stands for its copies.
+2. Equal sets are one: the row with the smallest id stands for its copies, and counts as many times.
 3. Rows tied or paired make up blocks; a document in no block has no link.  A block with more than
-   `part_rows` documents is dealt into parts, and each pair of parts is one group, so that no task
-   holds more than two parts.
+   `part_rows` documents or `part_tokens` tokens is dealt into parts, and each pair of parts is one
+   group, so that no task holds more than two parts.
 4. In a group every document searches the inverted lists of the others: with T the required
-   overlap, the L longest lists are set apart, the short ones are merged by a heap (or counted, where
-   they are many), and what occurs T - L times or more is looked up in the long lists by binary
-   search.  Documents known to be connected are not looked up again.
-5. Links and copies make the components.
+   overlap, the L longest lists are set apart, the short ones are merged (by a heap, or by counting
+   where they hold more than `_HEAP` entries), and what occurs T - L times or more is looked up in
+   the long lists by binary search; where so many remain that reading the long lists is less work
+   than the look-ups, they are counted as well.  Every link is found and counted.
+5. Links make the components of the sets; copies take those of the row that stands for them.
+
+Tables joined by a hash are written first: the join then has plain shuffles on both sides, and Spark
+can split the partition of a set, a segment or a component that very many rows have.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ from .rolling import windows, word_hashes
 #: Lower ends of the size classes.
 _SIZES = sorted({round(1.5**k) for k in range(60)})
 _HEAP = 512
+#: A look-up in a list costs about as much as so many entries read.
+_PROBE = 8
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -106,48 +112,49 @@ class Search:
     """Inverted lists over sorted token arrays."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+        self.sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(every, kind="stable")
         self.owner = owner[order]
         self.tokens, self.starts = np.unique(every[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(every))
 
-    def candidates(self, x: np.ndarray, percent: int, mu: float = 0.01) -> tuple[dict[int, int] | np.ndarray, np.ndarray]:
-        """How often each document occurs in the short lists of x, at least T - L times; the tokens of
-        the long lists."""
+    def overlaps(self, x: np.ndarray, percent: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that reach the overlap x needs with anyone, and how large each overlap is."""
         at = np.searchsorted(self.tokens, x)
         at[at == len(self.tokens)] = 0
-        known = self.tokens[at] == x
-        at, x_known = at[known], x[known]
+        at = at[self.tokens[at] == x]
         lengths = self.ends[at] - self.starts[at]
         need = least_overlap(len(x), percent)
         if len(at) < need:
-            return {}, x[:0]
-        longest = int(lengths.max())
-        n_long = min(need - 1, int(need / (mu * log2(longest + 1) + 1)))
-        order = np.argsort(lengths, kind="stable")
-        short = order[: len(order) - n_long]
-        if lengths[short].sum() <= _HEAP:
-            lists = [self.owner[self.starts[at[k]] : self.ends[at[k]]].tolist() for k in short]
-            counts = {d: c for d, g in groupby(heapq.merge(*lists)) if (c := sum(1 for _ in g)) >= need - n_long}
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n_long = min(need - 1, int(need / (mu * log2(int(lengths.max()) + 1) + 1)))
+        at = at[np.argsort(lengths, kind="stable")]
+        short, long = at[: len(at) - n_long], at[len(at) - n_long :]
+        lists = lambda which: [self.owner[self.starts[k] : self.ends[k]] for k in which]
+        if (self.ends[short] - self.starts[short]).sum() <= _HEAP:
+            runs = [(d, c) for d, g in groupby(heapq.merge(*(o.tolist() for o in lists(short)))) if (c := sum(1 for _ in g)) >= need - n_long]
+            found, n = np.array([d for d, _ in runs], np.int64), np.array([c for _, c in runs], np.int64)
         else:
-            tally = np.bincount(np.concatenate([self.owner[self.starts[at[k]] : self.ends[at[k]]] for k in short]), minlength=len(self.sets))
-            there = np.flatnonzero(tally >= need - n_long)
-            counts = dict(zip(there.tolist(), tally[there].tolist(), strict=True))
-        return counts, np.sort(x_known[order[len(order) - n_long :]])
-
-    def probe(self, d: int, long: np.ndarray) -> int:
-        """How many of the long lists hold document d, by binary search in its sorted tokens."""
-        own = self.sets[d]
-        at = np.searchsorted(own, long)
-        return int((own[np.minimum(at, len(own) - 1)] == long).sum())
-
-
-def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever the links between left and right connect (within left, if right is
-    None), as indexes; right ones count on from the left ones."""
+            n = np.bincount(np.concatenate(lists(short)), minlength=len(self.sizes))
+            found = np.flatnonzero(n >= need - n_long)
+            n = n[found]
+        if len(found) and n_long:
+            entries = int((self.ends[long] - self.starts[long]).sum())
+            if len(found) * n_long * _PROBE > entries + len(self.sizes):
+                n += np.bincount(np.concatenate(lists(long)), minlength=len(self.sizes))[found]
+            else:
+                for o in lists(long):
+                    n += o[np.minimum(np.searchsorted(o, found), len(o) - 1)] == found
+        good = n >= need
+        return found[good], n[good]
+
+
+def links_of(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, weights: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """All links between left and right (within left, if right is None): those of a forest that connects
+    what they connect, as indexes, and for each document the weights of those it links with.  Indexes
+    of right ones count on from the left ones."""
     n = len(left)
     parent = list(range(n + len(right or ())))
 
@@ -157,30 +164,35 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
             i = parent[i]
         return i
 
-    out, search, shift = [], Search(right if right is not None else left), n if right is not None else 0
+    forest, search, shift = [], Search(right if right is not None else left), n if right is not None else 0
+    degree = np.zeros(len(parent), np.int64)
+    roots = np.arange(len(parent))  # a root seen before: still the same tree, if not the top of it
     for i, x in enumerate(left):
-        counts, long = search.candidates(x, percent)
-        for d, c in counts.items():
-            j = d + shift
-            if (right is None and j >= i) or root(i) == root(j):
-                continue
-            y = search.sets[d]
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            both = c + search.probe(d, long)
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                parent[root(i)] = root(j)
-                out.append((i, j))
-    return out
-
-
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, few: int = 32, part_rows: int = 2048, nodes: bool = False) -> DataFrame:
-    """One row per document row: id, n_shingles and component_id, the smallest id reachable by links;
-    with `nodes` also node, the xxhash64 of id and text, and component, one of its nodes.
+        found, both = search.overlaps(x, percent)
+        if right is None:
+            found, both = found[found < i], both[found < i]
+        linked = found[100 * both >= percent * (len(x) + search.sizes[found] - both)] + shift
+        degree[i] += weights[linked].sum()
+        degree[linked] += weights[i]
+        # of documents that share a root, one look is enough
+        for j in linked[np.unique(roots[linked], return_index=True)[1]].tolist():
+            if (a := root(i)) != (b := root(j)):
+                parent[a] = b
+                forest.append((i, j))
+        roots[linked] = roots[i] = root(i)
+    return forest, degree
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, few: int = 32, part_rows: int = 2048, part_tokens: int = 1 << 21, nodes: bool = False) -> DataFrame:
+    """One row per document row: id, n_shingles, component_id, the smallest id reachable by links, and
+    n_links, the number of other rows that it links with, copies among them; with `nodes` also node,
+    the xxhash64 of id and text, and component, one of its nodes.
 
     A-Z are lower-cased.  Null and empty texts have no set and stand alone; rows with equal texts or
-    sets are linked; rows that share an id but not the text are nodes of their own; a row without id
-    links, but its component is the smallest id that is there, or null.
+    sets are linked, repeated rows as well; rows that share an id but not the text are nodes of their
+    own; a row without id links, but its component is the smallest id that is there, or null.  Very
+    long texts go whole, one to a part if need be; an empty table gives no rows; columns but the two
+    named are not looked at.
     """
     at = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("id", "text"))
     row = T.StructType([T.StructField("seg", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("other", T.LongType()), T.StructField("id", at.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("sha", T.BinaryType())])
@@ -259,44 +271,54 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield from out(*done(held, True)[1:], kind_of_id)
 
     base = written(at.select("key", "id", "text").mapInArrow(first, row).repartition("seg").sortWithinPartitions("seg", "key").mapInArrow(runs, row).select("kind", "key", "other", "id", "n", "sha"), "jaccard-base")
-    rows_of, met = base.where("kind = 0").drop("kind").withColumnRenamed("other", "need"), base.where("kind = 1").select("key", "other")
-    leaders = rows_of.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "key")).alias("lead")).select("sha", F.col("lead.key").alias("lead"))
-    led = written(rows_of.join(leaders, "sha", "left").select("key", "id", "n", "need", "lead"), "jaccard-rows", 1)
-    lead = led.where("lead is not null").select("key", "lead").distinct()
-    need = led.where("need < 1073741824").groupBy("key").agg(F.min("need").alias("need"))
+    rows_of, met = base.where("kind = 0").select("key", "id", "n", "sha", F.col("other").alias("need")), base.where("kind = 1").select("key", "other")
+    # one row a set: the key of the row that stands for it, the smallest id, how many rows have it, its size
+    leaders = written(rows_of.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "key"))["key"].alias("lead"), F.min("id").alias("low"), F.count("*").alias("copies"), F.max("n").alias("tokens")), "jaccard-sets")
+    # rows without tokens have a key of their own in the join, not all the same digest
+    named = rows_of.withColumn("sha", F.when(F.col("n") > 0, F.col("sha")).otherwise(F.col("key").cast("string").cast("binary")))
+    led = written(named.join(leaders.select("sha", "lead"), "sha", "left").select("key", "id", "n", "need", F.coalesce("lead", "key").alias("lead")), "jaccard-rows")
+    of_key = written(led.where("n > 0").groupBy("key", "lead").agg(F.min("need").alias("need")), "jaccard-keys")
+    need = of_key.where(F.col("need") < 1 << 30).select("key", "need")
     counted = base.where("kind = 3").groupBy("key", "other").agg(F.sum("n").alias("c"))
     counted = counted.join(need.withColumnRenamed("need", "x"), "key").join(need.select(F.col("key").alias("other"), F.col("need").alias("y")), "other").where(F.col("c") >= F.least("x", "y"))
-    met = met.union(counted.select("key", "other")).distinct()
+    met, lead = met.union(counted.select("key", "other")), of_key.select("key", "lead")
     pairs = met.join(lead, "key").select("other", F.col("lead").alias("a")).join(lead.withColumnRenamed("key", "other"), "other").select("a", F.col("lead").alias("b")).where("a <> b")
-    blocks = written(components(pairs), "jaccard-blocks", 1)
-    # parts of at most about part_rows documents; a part meets itself and every other one
-    parts = F.ceil(F.col("rows") / part_rows).cast("int")
-    sized = blocks.join(blocks.groupBy("component").agg(F.count("*").alias("rows")), "component").select(F.col("node").alias("key"), F.col("component").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    blocks = written(components(pairs).join(leaders.select(F.col("lead").alias("node"), "copies", "tokens"), "node"), "jaccard-blocks")
+    # parts of about part_rows documents and part_tokens tokens; a part meets itself and every other one
+    sizes = written(blocks.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("tokens") / part_tokens)).cast("int").alias("parts")), "jaccard-sizes")
+    sized = written(blocks.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("block"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "copies"), "jaccard-parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1500) for b in batches for i in range(0, len(b), 1500)):
-            found = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(4).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=["key", "block", "parts", "part", "tokens"])
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
+            found = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(5).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.int64()))], names=["key", "block", "parts", "part", "copies", "tokens"])
 
-    texts = at.join(sized.hint("merge"), "key").select("key", "block", "parts", "part", "text").mapInArrow(sets, "key long, block long, parts int, part int, tokens array<long>")
+    texts = at.join(sized.hint("merge"), "key").select("key", "block", "parts", "part", "copies", "text").mapInArrow(sets, "key long, block long, parts int, part int, copies long, tokens array<long>")
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
-    dealt = texts.select("key", "block", "part", "tokens", F.explode(other).alias("pair")).select("key", "block", "pair.i", "pair.j", "part", "tokens")
+    dealt = texts.select("key", "block", "part", "copies", "tokens", F.explode(other).alias("pair")).select("key", "block", "pair.i", "pair.j", "part", "copies", "tokens")
 
     def link(group: pa.Table) -> pa.Table:
+        """Links of a forest (a, b), and the number of links of each document of the two parts (a, n)."""
         keys = group["key"].to_pylist()
         own = [t.values.to_numpy().view(np.uint64) for t in group["tokens"]]
         part, same = group["part"].to_pylist(), group["i"][0] == group["j"][0]
         one = {k: i for i, k in enumerate(keys)}  # equal rows once
         left = [i for k, i in one.items() if same or part[i] == group["i"][0].as_py()]
         right = [] if same else [i for k, i in one.items() if part[i] != group["i"][0].as_py()]
-        links = forest([own[i] for i in left], None if same else [own[i] for i in right], percent) if same or (left and right) else []
-        names = [keys[i] for i in left + right]
-        return pa.table({"a": pa.array([names[i] for i, _ in links], pa.int64()), "b": pa.array([names[j] for _, j in links], pa.int64())})
-
-    links = dealt.groupBy("block", "i", "j").applyInArrow(link, "a long, b long")
-    copies = lead.select(F.col("key").alias("a"), F.col("lead").alias("b")).where("a <> b")
-    found = components(written(links.union(copies).distinct(), "jaccard-links", 1))
-    named = led.select("key", "id", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
-    smallest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
+        order = np.array(left + right, np.intp)
+        forest, degree = [], np.zeros(len(order), np.int64)
+        if same or (left and right):
+            forest, degree = links_of([own[i] for i in left], None if same else [own[i] for i in right], percent, group["copies"].to_numpy()[order])
+        names = group["key"].to_numpy()[order]
+        some = np.flatnonzero(degree)
+        ends = np.array(forest, np.intp).reshape(-1, 2)
+        return pa.table({"a": np.concatenate([names[ends[:, 0]], names[some]]), "b": pa.array([*names[ends[:, 1]].tolist(), *[None] * len(some)], pa.int64()), "n": np.concatenate([np.zeros(len(ends), np.int64), degree[some]])})
+
+    links = written(dealt.groupBy("block", "i", "j").applyInArrow(link, "a long, b long, n long"), "jaccard-links")
+    found = written(components(links.where("b is not null")).withColumnRenamed("node", "lead"), "jaccard-components")
+    degree = links.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "lead")
+    tied = leaders.join(found, "lead", "left").join(degree, "lead", "left").withColumn("component", F.coalesce("component", "lead"))
+    lowest = written(tied.groupBy("component").agg(F.min("low").alias("component_id")), "jaccard-lowest")
+    sets_of = written(tied.join(lowest, "component").select("lead", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-found")
     also = [F.col("key").alias("node"), F.coalesce("component", "key").alias("component")] if nodes else []
-    return named.join(smallest, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"), *also)
+    return led.join(sets_of, "lead", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *also)

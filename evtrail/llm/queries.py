@@ -87,39 +87,47 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+# the patterns as the task states them, not as the operator writes them
+_KINDS = (
+    ("assign", r'''(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)''', 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32), ("token", "[A-Za-z0-9+/_-]+", 0, 20),
+)
+
+
 def _secret_sql() -> str:
-    quoted = lambda x: x.replace("'", "''")
     parts = " UNION ALL ".join(
-        f"SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, {least} AS least, regexp_extract_all(text, '{quoted(pattern)}', 0) AS whole, regexp_extract_all(text, '{quoted(pattern)}', {group}) AS value, string_split_regex(text, '{quoted(pattern)}') AS gap FROM documents WHERE regexp_matches(text, '{quoted(held)}')"
-        for rank, (kind, pattern, group, least, held) in enumerate((*secrets.BASE, secrets.EXTRA))
+        f"SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, {least} AS least, regexp_extract_all(text, '{pattern}', 0) AS whole, regexp_extract_all(text, '{pattern}', {group}) AS value, string_split_regex(text, '{pattern}') AS gap FROM documents"
+        for rank, (kind, pattern, group, least) in enumerate(_KINDS)
     )
-    return f"""
+    return f'''
 WITH f AS ({parts}),
-s AS (SELECT doc_id, coalesce(source, '') AS owner, kind, rank, value[i] AS v, (list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0))::INT AS a, length(whole[i])::INT AS n, length(value[i]) >= least AS long
-  FROM f, unnest(range(1, len(whole) + 1)) t(i)),
-base AS (SELECT * FROM s WHERE long AND kind <> 'token'),
-extra AS (SELECT * FROM s WHERE long AND kind = 'token' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+i AS (SELECT doc_id, source, kind, rank, least, unnest(whole) AS whole, unnest(value) AS v, unnest(gap[1:len(whole)]) AS gap, generate_subscripts(whole, 1) AS i FROM f),
+p AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, kind ORDER BY i)::INT AS e FROM i),
+s AS (SELECT doc_id, source AS owner, kind, rank, v, e - length(whole) AS a, length(whole)::INT AS n FROM p WHERE length(v) >= least),
+base AS (SELECT * FROM s WHERE kind <> 'token'),
+extra AS (SELECT * FROM s WHERE kind = 'token' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND s.a < b.a + b.n AND b.a < s.a + s.n)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
-live AS (SELECT v, count(DISTINCT owner) < 3 AS live FROM every GROUP BY v),
+live AS (SELECT v, count(DISTINCT coalesce('o' || owner, '')) < 3 AND count(DISTINCT doc_id) < 10 AS live FROM every GROUP BY v),
 kept AS (SELECT e.*, live, kind || ':' || a || ':' || (a + n) AS span FROM every e JOIN live USING (v) WHERE kind <> 'token' OR live),
 per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(span, ',' ORDER BY a, rank) FILTER (kind <> 'token') AS b, string_agg(span, ',' ORDER BY a, rank) AS spans,
   count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM kept GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM documents LEFT JOIN per USING (doc_id)
-"""
+'''
 
 
 _OP7 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, hash(w[i:i + 3]) AS k FROM d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) t(i)),
+s AS (SELECT DISTINCT doc_id, w[i:i + 3] AS k FROM d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) t(i)),
 z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b)
-SELECT r.doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(m) AS component_id FROM r LEFT JOIN z USING (doc_id) GROUP BY r.doc_id
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b),
+g AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT r.doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(m) AS component_id, any_value(coalesce(n_links, 0))::BIGINT AS n_links FROM r LEFT JOIN z USING (doc_id) LEFT JOIN g USING (doc_id) GROUP BY r.doc_id
 """
 
 _OP10 = """

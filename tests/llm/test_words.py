@@ -78,11 +78,31 @@ def brute_components(texts, size=4, percent=85):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("few", "part_rows"), [(32, 256), (2, 4)])
-def test_jaccard_components(docs, texts, few, part_rows):
-    got = jaccard.jaccard_components(docs, few=few, part_rows=part_rows).collect()
+def brute_links(texts, size=4, percent=85):
+    """How many other rows each row links with."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    alike = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    return [sum(1 for j, b in enumerate(sets) if i != j and alike(a, b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("few", "part_rows", "part_tokens"), [(32, 256, 1 << 21), (2, 4, 1 << 21), (2, 256, 600)])
+def test_jaccard_components(docs, texts, few, part_rows, part_tokens):
+    got = jaccard.jaccard_components(docs, few=few, part_rows=part_rows, part_tokens=part_tokens).collect()
     assert len(got) == len(texts) + 1
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(list(enumerate(texts)))
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter(zip([*range(len(texts)), 8], brute_links([*texts, texts[8]]), strict=True))
+
+
+def test_jaccard_counts_every_link_of_a_chain(spark):
+    words = [f"w{i}" for i in range(130)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 30, 2)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part_rows in (3, 100):
+        got = jaccard.jaccard_components(docs, few=2, part_rows=part_rows).collect()
+        assert {r.doc_id: r.n_links for r in got} == dict(enumerate(brute_links(texts))) and {r.component_id for r in got} == {0}
 
 
 def test_jaccard_borders(spark):
@@ -105,13 +125,20 @@ def test_jaccard_without_rows_and_ids(spark, empty):
     assert sorted(((r.doc_id or 0), (r.component_id or 0)) for r in jaccard.jaccard_components(docs).collect()) == [(0, 0), (0, 0), (0, 7), (7, 7)]
 
 
-def test_heap_and_count_merges_agree(monkeypatch):
+@pytest.mark.parametrize(("heap", "probe"), [(0, 0), (0, 10**9), (10**9, 0), (10**9, 10**9)])
+def test_merges_and_look_ups_agree(monkeypatch, heap, probe):
     r = np.random.default_rng(1)
     base = np.sort(r.integers(0, 2**63, 200).astype(np.uint64))
     sets = [np.unique(np.concatenate([base[r.random(200) > 0.1], r.integers(0, 2**63, 10).astype(np.uint64)])) for _ in range(30)]
-    some = jaccard.forest(sets, None, 70)
-    monkeypatch.setattr(jaccard, "_HEAP", 0)
-    assert jaccard.forest(sets, None, 70) == some
+    monkeypatch.setattr(jaccard, "_HEAP", heap)
+    monkeypatch.setattr(jaccard, "_PROBE", probe)
+    alike = lambda a, b: 100 * (n := len(np.intersect1d(a, b))) >= 70 * (len(a) + len(b) - n)
+    weights = np.arange(1, 31)
+    want = [sum(int(weights[j]) for j in range(30) if i != j and alike(sets[i], sets[j])) for i in range(30)]
+    assert jaccard.links_of(sets, None, 70, weights)[1].tolist() == want
+    forest, degree = jaccard.links_of(sets[:12], sets[12:], 70, weights)
+    assert degree.tolist() == [sum(int(weights[j]) for j in range(30) if (i < 12) != (j < 12) and alike(sets[i], sets[j])) for i in range(30)]
+    assert all(alike(sets[i], sets[j]) for i, j in forest) and len(forest) <= 29
 
 
 def brute_decontaminate(texts, items, window=10):
