@@ -6,9 +6,11 @@ A document's set are the hashes of its distinct word shingles.
    hash range into more than d segments, and one segment at least holds the same tokens in both.
    Each text sends the hash of each segment's tokens, for the number of segments of its size class
    and, where a partner can be in it, of the next.  With spare segments beyond d + 1, a pair shares
-   more than one, and how many is known.  Where few rows share a segment (`few` or less), their
-   pairs are counted, and a pair with too small a count is dropped; where many do, each is tied to
-   the first of them, so that the work stays in proportion to the rows.
+   more than one, and each of the two knows a number `need` that it shares at least.  A segment that
+   more than `few` rows share is hot: no pairs are made of it.  Of its hot segments a text leaves out
+   the need - 1 that come last in an order that all texts follow, and is tied to the others: if all
+   that a pair shares is hot, both keep the first of it.  Pairs of other segments are counted, and one
+   that shares less than `need`, the hot ones taken off, is dropped.
 2. Equal sets are one: the row with the smallest id stands for its copies, and counts as many times.
 3. Rows tied or paired make up blocks; a document in no block has no link.  A block with more than
    `part_rows` documents or `part_tokens` tokens is dealt into parts, and each pair of parts is one
@@ -77,22 +79,23 @@ def _segments(top: int, percent: int) -> tuple[np.ndarray | None, int]:
     return np.array([(i << 64) // m for i in range(m)], np.uint64), spare
 
 
-def segment_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Hashes of the segments of a sorted set, for the classes in which a partner can be, and how many
-    a partner shares at least (of a pair, the smaller of the two numbers holds).
+def segment_keys(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Hashes of the segments of a sorted set, for the classes in which a partner can be; with each class,
+    its number and how many a partner shares at least (of a pair, the larger of the two numbers
+    holds), as class << 20 | need.
 
-    Of the d + 1 + spare segments at least 1 + spare are the same in a pair.  If these are all empty,
+    Of the d + 1 + spare segments at least 1 + spare are the same in a pair, and no more of these are
+    empty than the emptier set has empty ones, nor than the fuller set has.  If these all can be empty,
     both sets have more empty ones than are spare, and then they send the empty ones too."""
-    n, need = len(s), 1 << 30
+    n, out = len(s), []
     if not n:
-        return np.zeros(0, np.uint64), need
+        return out
     c = bisect_right(_SIZES, n) - 1
     classes = [c] + [c + 1] * (100 * n >= percent * _SIZES[c + 1])
     x = s ^ (s >> np.uint64(31))
     x *= np.uint64(0x7FB5D329728EA185)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(x ^ (x >> np.uint64(27)), out=total[1:])
-    out = []
     for k in classes:
         begin, spare = _segments(_SIZES[k + 1] - 1, percent)
         if begin is not None:
@@ -103,9 +106,8 @@ def segment_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
             key ^= key >> np.uint64(32)
             key *= np.uint64(0xD6E8FEB86659FD93)
             empty = int((~full).sum())
-            out.append(key if empty > spare else key[full])
-            need = min(need, max(1, 1 + spare - empty))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
+            out.append((key if empty > spare else key[full], k << 20 | max(1, 1 + spare - empty)))
+    return out
 
 
 class Search:
@@ -203,86 +205,97 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays([column(seg, pa.int64()), pa.array(np.full(m, kind, np.int32)), column(key, pa.int64()), column(other, pa.int64()), ids, column(n, pa.int64()), column(sha, pa.binary())], names=row.names)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1500) for b in batches for i in range(0, len(b), 1500)):
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
             keys = batch.column(0).to_numpy()
-            n, sha, segs, needs, sent = [], [], [], [], {}
+            n, sha, sent, owner, segs, codes = [], [], set(), [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 s = shingles(text.as_py(), size)
                 n.append(len(s))
                 sha.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                # a set that this batch has had before is a copy and needs no segments
-                seg, need = segment_keys(s, percent) if sent.setdefault(sha[-1], i) == i else (np.zeros(0, np.uint64), 1 << 30)
-                segs.append(seg)
-                needs.append(need)
-            yield rows(batch.column(1), keys, 0, keys, needs, n=n, sha=sha)
-            owner = np.repeat(np.arange(len(segs)), [len(x) for x in segs])
+                if sha[-1] not in sent:  # a set that this batch has had before is a copy and needs no segments
+                    sent.add(sha[-1])
+                    for seg, code in segment_keys(s, percent):
+                        owner.append(np.full(len(seg), i))
+                        segs.append(seg)
+                        codes.append(np.full(len(seg), code))
+            yield rows(batch.column(1), keys, 0, keys, n=n, sha=sha)  # what is no segment is dealt by its key
+            owner, codes = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (owner, codes))
             seg = np.concatenate(segs).view(np.int64) if segs else np.zeros(0, np.int64)
             _, at_first, back, times = np.unique(seg, return_index=True, return_inverse=True, return_counts=True)
             many = times[back] > few
             lead = np.zeros(len(seg), bool)
             lead[at_first] = True
-            no_ids = lambda m: pa.nulls(m, batch.column(1).type)
-            send = ~many | lead
-            yield rows(no_ids(int(send.sum())), seg[send], 2, keys[owner[send]], many[send].astype(np.int64))
-            pair = np.unique(np.stack([keys[owner[many]], keys[owner[at_first[back[many]]]]]), axis=1)
-            pair = pair[:, pair[0] != pair[1]]
-            yield rows(no_ids(pair.shape[1]), pair[0], 1, pair[0], pair[1])
+            send, here = ~many | lead, many & ~lead  # of a segment that is hot here, one row tells the others
+            none = lambda m: pa.nulls(m, batch.column(1).type)
+            yield rows(none(int(send.sum())), seg[send], 2, keys[owner[send]], many[send].astype(np.int64), n=codes[send])
+            yield rows(none(int(here.sum())), keys[owner[here]], 1, keys[owner[here]], seg[here], n=codes[here])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of their segment: pairs of small groups with a count, ties of large ones."""
-        held = np.zeros((3, 0), np.int64)  # segment, key and flag of a group that may go on
+        """Rows in order of their segment: those of hot ones as they are, pairs of the others with a count."""
+        held = np.zeros((4, 0), np.int64)  # segment, key, flag and code of a group that may go on
 
         def done(g: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             begin = np.flatnonzero(np.append(True, g[0, 1:] != g[0, :-1])) if g.shape[1] else np.zeros(0, np.int64)
             length = np.diff(np.append(begin, g.shape[1]))
             flag = np.maximum.reduceat(g[2], begin) > 0 if len(begin) else np.zeros(0, bool)
             large = flag | (length > few)
-            rest = np.zeros((3, 0), np.int64)
+            rest = np.zeros((4, 0), np.int64)
+            out = np.repeat(large, length) & (g[2] < 2)
             if not last and len(begin):
                 rest = g[:, begin[-1] :]
-                if large[-1]:  # the first row stands for the group from here on
-                    rest = np.array([[rest[0, 0]], [rest[1, 0]], [1]])
+                if large[-1]:  # one row, sent on already, tells that the group is hot
+                    rest = rest[:, :1].copy()
+                    rest[2] = 2
                 else:
                     begin, length, large = begin[:-1], length[:-1], large[:-1]
-            each = [np.stack([g[1, b + 1 : b + k], np.full(k - 1, g[1, b])]) for b, k in zip(begin[large], length[large], strict=True)]
-            tied = np.concatenate(each, axis=1) if each else np.zeros((2, 0), np.int64)
-            pairs = [np.zeros((2, 0), np.int64)]
+            pairs = [np.zeros((3, 0), np.int64)]
             for k in np.unique(length[~large & (length > 1)]):
                 i, j = np.triu_indices(k, 1)
-                members = g[1][begin[~large & (length == k)][:, None] + np.arange(k)]
-                pairs.append(np.sort(np.stack([members[:, i].ravel(), members[:, j].ravel()]), axis=0))
-            return rest, tied, np.concatenate(pairs, axis=1)
-
-        def out(tied: np.ndarray, pairs: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            tied = np.unique(tied[:, tied[0] != tied[1]], axis=1)
-            yield rows(pa.nulls(tied.shape[1], kind), tied[0], 1, tied[0], tied[1])
+                at = begin[~large & (length == k)][:, None] + np.arange(k)
+                members, code = g[1][at], g[3][at]
+                two = np.sort(np.stack([members[:, i].ravel(), members[:, j].ravel()]), axis=0)
+                pairs.append(np.concatenate([two, np.maximum(code[:, i], code[:, j]).reshape(1, -1)]))
+            return rest, g[:, out], np.concatenate(pairs, axis=1)
+
+        def out(hot: np.ndarray, pairs: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            yield rows(pa.nulls(hot.shape[1], kind), None, 1, hot[1], hot[0], n=hot[3])
             pairs, n = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1, return_counts=True)
-            yield rows(pa.nulls(pairs.shape[1], kind), pairs[0], 3, pairs[0], pairs[1], n=n)
+            yield rows(pa.nulls(pairs.shape[1], kind), pairs[2], 3, pairs[0], pairs[1], n=n)
 
         kind_of_id = None
         for batch in batches:
             kind_of_id = batch.column(4).type
             kind = batch.column(1).to_numpy()
             yield batch.filter(pa.array(kind < 2))
-            new = np.stack([batch.column(c).to_numpy()[kind == 2] for c in (0, 2, 3)])
-            held, tied, pairs = done(np.concatenate([held, new], axis=1), False)
-            yield from out(tied, pairs, kind_of_id)
+            segments = batch.filter(pa.array(kind == 2))
+            new = np.stack([segments.column(c).to_numpy() for c in (0, 2, 3, 5)])
+            held, hot, pairs = done(np.concatenate([held, new], axis=1), False)
+            yield from out(hot, pairs, kind_of_id)
         if held.shape[1]:
             yield from out(*done(held, True)[1:], kind_of_id)
 
-    base = written(at.select("key", "id", "text").mapInArrow(first, row).repartition("seg").sortWithinPartitions("seg", "key").mapInArrow(runs, row).select("kind", "key", "other", "id", "n", "sha"), "jaccard-base")
-    rows_of, met = base.where("kind = 0").select("key", "id", "n", "sha", F.col("other").alias("need")), base.where("kind = 1").select("key", "other")
+    base = written(at.select("key", "id", "text").mapInArrow(first, row).repartition("seg").sortWithinPartitions("seg", "key").mapInArrow(runs, row), "jaccard-base")
+    rows_of = base.where("kind = 0").select("key", "id", "n", "sha")
     # one row a set: the key of the row that stands for it, the smallest id, how many rows have it, its size
     leaders = written(rows_of.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "key"))["key"].alias("lead"), F.min("id").alias("low"), F.count("*").alias("copies"), F.max("n").alias("tokens")), "jaccard-sets")
     # rows without tokens have a key of their own in the join, not all the same digest
     named = rows_of.withColumn("sha", F.when(F.col("n") > 0, F.col("sha")).otherwise(F.col("key").cast("string").cast("binary")))
-    led = written(named.join(leaders.select("sha", "lead"), "sha", "left").select("key", "id", "n", "need", F.coalesce("lead", "key").alias("lead")), "jaccard-rows")
-    of_key = written(led.where("n > 0").groupBy("key", "lead").agg(F.min("need").alias("need")), "jaccard-keys")
-    need = of_key.where(F.col("need") < 1 << 30).select("key", "need")
-    counted = base.where("kind = 3").groupBy("key", "other").agg(F.sum("n").alias("c"))
-    counted = counted.join(need.withColumnRenamed("need", "x"), "key").join(need.select(F.col("key").alias("other"), F.col("need").alias("y")), "other").where(F.col("c") >= F.least("x", "y"))
-    met, lead = met.union(counted.select("key", "other")), of_key.select("key", "lead")
-    pairs = met.join(lead, "key").select("other", F.col("lead").alias("a")).join(lead.withColumnRenamed("key", "other"), "other").select("a", F.col("lead").alias("b")).where("a <> b")
+    led = written(named.join(leaders.select("sha", "lead"), "sha", "left").select("key", "id", "n", F.coalesce("lead", "key").alias("lead")), "jaccard-rows")
+    lead = written(led.where("n > 0").select("key", "lead").distinct(), "jaccard-keys")
+    # the hot segments of a text in a class, and those that it keeps
+    code = lambda c: (F.shiftright(c, 20).alias("class"), F.col(c).bitwiseAND((1 << 20) - 1).alias("need"))
+    hot = base.where("kind = 1").select("key", "other", *code("n")).groupBy("key", "class").agg(F.sort_array(F.collect_set("other")).alias("segs"), F.max("need").alias("need"))
+    kept = F.when(F.size("segs") >= F.col("need"), F.slice("segs", F.lit(1), (F.size("segs") - F.col("need") + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    hot = written(hot.select("key", "class", F.size("segs").alias("h"), kept.alias("kept")), "jaccard-hot")
+    tied = written(hot.select("key", F.explode("kept").alias("seg")).join(lead, "key").select("seg", F.col("lead").alias("a")).distinct(), "jaccard-tied")
+    first_of = written(tied.groupBy("seg").agg(F.min("a").alias("b")), "jaccard-first")
+    ties = tied.join(first_of, "seg").select("a", "b")
+    counted = base.where("kind = 3").select("key", "other", "n", *code("seg")).groupBy("key", "other", "class").agg(F.sum("n").alias("c"), F.max("need").alias("need"))
+    off = hot.select("key", "class", "h")
+    counted = counted.join(off, ["key", "class"], "left").withColumnRenamed("h", "x").join(off.withColumnsRenamed({"key": "other", "h": "y"}), ["other", "class"], "left")
+    met = counted.where(F.col("c") + F.least(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))) >= F.col("need")).select("key", "other").distinct()
+    pairs = met.join(lead, "key").select("other", F.col("lead").alias("a")).join(lead.withColumnRenamed("key", "other"), "other").select("a", F.col("lead").alias("b"))
+    pairs = pairs.union(ties).where("a <> b")
     blocks = written(components(pairs).join(leaders.select(F.col("lead").alias("node"), "copies", "tokens"), "node"), "jaccard-blocks")
     # parts of about part_rows documents and part_tokens tokens; a part meets itself and every other one
     sizes = written(blocks.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("tokens") / part_tokens)).cast("int").alias("parts")), "jaccard-sizes")
