@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -175,7 +176,7 @@ def test_label_model_finds_the_classes():
 def test_lm_scores(spark, docs, texts):
     got = {r.doc_id: r for r in lm.lm_scores(docs, batch_rows=16).collect()}
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    words = {i: [*(t or "").encode().split(), b""] for i, t in enumerate(texts)}
+    words = {i: [*(t or "").encode().lower().split(), b""] for i, t in enumerate(texts)}
     c = Counter()
     for i in [*words, 8]:  # row 8 stands there twice
         if not out(i):
@@ -203,16 +204,75 @@ def test_lm_tokens_are_lower_case(spark):
         assert math.isclose(got[i].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
 
 
+def small_vocabulary():
+    words = [b"a", b"b", b"ab", b"the", b"cat"]
+    return lm.Vocabulary(words, np.array([9, 5, 4, 2, 1]))
+
+
 def test_lm_is_a_distribution():
-    """Over all texts of up to two of the bytes that there are, probabilities add up to less than one, and the
-    first symbol's alternatives to one."""
-    code = lm.Code(np.bincount(np.frombuffer(b"abab abba", np.uint8), minlength=257).tolist())
+    """Probabilities of many different texts add up to less than one, and a text's does not depend on its company."""
     tables = np.random.default_rng(0).normal(size=(lm.CONTEXTS, lm.SLOTS)).astype(np.float32)
-    mixer = lm.Mixer(code, tables)
-    singles = [bytes([b]) for b in range(256)]
-    p = 10 ** mixer.score([b"", *singles])
-    assert 0 < p.sum() < 1
-    assert np.allclose(mixer.score([b"ab", b"ba" * 500]), [mixer.score([b"ab"])[0], mixer.score([b"ba" * 500])[0]])
+    mixer = lm.Mixer(small_vocabulary(), tables)
+    symbols = [b"a", b"A", b"b", b"x", b" ", b"\n", b"\t", b"\xc3"]
+    texts = [b"".join(t) for n in range(4) for t in itertools.product(symbols, repeat=n)]
+    p = 10 ** mixer.score(texts)
+    assert len(set(texts)) == len(texts) and 0 < p.sum() < 1 and (p > 0).all()
+    assert np.allclose(mixer.score([b"ab the", b"the cat b " * 500]), [mixer.score([b"ab the"])[0], mixer.score([b"the cat b " * 500])[0]])
+
+
+def test_lm_codes_are_complete():
+    """The symbols of each kind of decision are the leaves of a whole binary tree."""
+    codes = small_vocabulary().codes
+    for first, n in zip(codes.first, (2, lm._CLASSES + 3, 3, 4, 257), strict=True):
+        assert sum(2.0 ** -codes.length[first + i] for i in range(n)) == 1
+
+
+def test_lm_words_make_up_the_text():
+    texts = [b"", b" ", b"a", b" a", b"a ", b"The  cat\nSAT\t\tb\n", b"a b"]
+    w = lm.Words(texts, small_vocabulary())
+    assert len(w.rank) == len(w.gap) == len(w.case) == sum(w.sizes)
+    at = int(w.start[w.doc == 5][0])
+    assert w.rank[at:].tolist()[:5] == [3, 4, -1, 1, -2] and w.case[at : at + 4].tolist() == [1, 0, 2, 0] and w.gap[at : at + 4].tolist() == [2, 1, 2, 1]
+
+
+def test_lm_knows_texts_that_occur_twice(spark):
+    """A held-out copy of a training row scores better a word than a held-out text of the same make, and a training
+    row that has a copy better than one that has none."""
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    make = lambda: " ".join(str(x) for x in r.choice(words, 700))
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    held, learned = [i for i in range(400) if out(i)], [i for i in range(400) if not out(i)]
+    texts = {i: make() for i in range(400)}
+    for i in held[:10]:
+        texts[i] = texts[learned[i % 50]]
+    for i in range(60, 70):
+        texts[learned[i]] = texts[learned[i + 10]]
+    twice = set(learned[60:80])
+    got = {r.doc_id: r.bits_per_byte for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert max(got[i] for i in held[:10]) < min(got[i] for i in held[10:])
+    assert max(got[i] for i in twice) < min(got[i] for i in learned if i not in twice)
+
+
+@pytest.mark.parametrize("batch_bytes", [1, 4000])
+def test_lm_large_batches_are_split(spark, docs, batch_bytes):
+    whole = {(r.doc_id, round(r.score, 6), round(r.base_score, 6)) for r in lm.lm_scores(docs).collect()}
+    assert {(r.doc_id, round(r.score, 6), round(r.base_score, 6)) for r in lm.lm_scores(docs, batch_bytes=batch_bytes).collect()} == whole
+
+
+def test_lm_tables_are_summed_in_levels(spark):
+    n = np.arange(2 * lm.CHUNK, dtype=np.uint32)
+    rows = [(k * lm.SLOTS + c, p, bytearray((n * (c == 0)).tobytes())) for p in (0, 1, 300, 70_000) for k in range(lm.CONTEXTS) for c in range(0, lm.SLOTS, lm.CHUNK)][:400]
+    got = lm.sum_tables(spark.createDataFrame(rows, "slice long, part long, counts binary"), 70_001)
+    seen = sum(1 for x in rows if x[0] == 0)
+    want = np.log((seen * n[lm.CHUNK :] + 0.4) / (seen * n[: lm.CHUNK] + 0.4))
+    assert np.allclose(got[0, : lm.CHUNK], want, atol=0.02) and not got[0, lm.CHUNK :].any()
+
+
+def test_lm_null_ids_and_repeated_ids(spark):
+    rows = [(None, "the cat"), (None, "the cat"), (3, "the dog"), (3, "a cat"), (4, None)]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and sum(r.doc_id is None for r in got) == 2 and {r.n_tokens for r in got if r.doc_id == 4} == {1}
 
 
 def test_lm_without_rows(empty):
