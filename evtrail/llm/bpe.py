@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 VOCABULARY = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
 
@@ -60,11 +62,24 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(2, 2, trainer) + _field(3, 2, normalizer)
 
 
+_KEPT_CHARS = 64
+
+
+def _known_pattern() -> str | None:
+    try:
+        from public_tokenizers import PATTERN
+    except ImportError:
+        return None
+    return PATTERN
+
+
 class Codec:
-    """Encodes and decodes whole texts; keeps the codes of recent chunks, at most `kept`.
+    """Encodes and decodes whole texts; keeps the codes of recent chunks, at most `kept`, none longer than
+    `_KEPT_CHARS` characters.
 
-    A single blank between two non-blank characters always starts a pre-token, so texts are cut
-    there first and each distinct chunk is split by the pattern once.  A text with any other blank
+    With the pattern of `public_tokenizers` a single blank between two non-blank characters always starts
+    a pre-token, so texts are cut there first and each distinct chunk is split by the pattern once; with
+    any other pattern texts go through it whole.  A text with any other blank
     (next to white space, or at an end) goes through the pattern whole.
     """
 
@@ -77,6 +92,7 @@ class Codec:
         self.by_id = {rank: token for token, rank in self.ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
         self.find = regex.compile(pattern).findall
+        self.cuts = pattern == _known_pattern()
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.cache: dict[str, bytes | None] = {}
         self.kept = kept
@@ -104,6 +120,8 @@ class Codec:
 
     def encode(self, *texts: str) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if not self.cuts:
+            return [b"".join(self._codes(self.find(t))) if t else b"" for t in texts]
         cut = [t.split(" ") for t in texts]
         seen = set().union(*cut)
         missing = seen.difference(self.cache)
@@ -120,6 +138,9 @@ class Codec:
             else:
                 codes[0] = b"".join(self._codes(self.find(chunks[0])))
                 out.append(b"".join(codes))
+        for c in missing:
+            if len(c) > _KEPT_CHARS:
+                self.cache.pop(c, None)
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -133,7 +154,9 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, *, path: str = VOCABULARY, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per document row: id, ids array<int> and the decoded text, or with `digests` the
-    figures and SHA-256 of both instead.  A null text counts as empty: no ids, empty decoded text.
+    figures and SHA-256 of both instead.  A null text counts as empty: no ids, empty decoded text;
+    repeated rows give repeated results, an empty table none; very long texts go whole; columns but the
+    two named are not looked at.
     Narrow: no shuffle; each worker builds the model once from the vocabulary file at `path`."""
     if pattern is None:
         import public_tokenizers
@@ -142,6 +165,7 @@ def encode(docs: DataFrame, *, path: str = VOCABULARY, pattern: str | None = Non
     at = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         c = codec(path, pattern)
         for batch in batches:
             coded = []

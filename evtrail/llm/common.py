@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtrail.scratch import new_path, written
 
-__all__ = ["SPACES", "SPACE_RUN", "bucket_of", "let", "new_path", "table", "written"]
+__all__ = ["SPACES", "SPACE_RUN", "bucket_of", "claim", "let", "new_path", "table", "written"]
 
 #: White space between words: the six ASCII white-space characters, as bytes.split() cuts them.
 SPACES = " \t\n\x0b\f\r"
@@ -27,3 +31,23 @@ def bucket_of(doc_id: str | Column, modulus: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(v) with value computed once a row: a lambda body would compute it for each element."""
     return F.transform(F.array(value), body)[0]
+
+
+_held: dict[str, tuple[Callable[[], object], ...]] = {}
+
+
+def claim(owner: str, *clear: Callable[[], object]) -> None:
+    """Called in tasks, at the start of an operator's work: drops what other operators keep in this Python
+    worker, which Spark uses again for later stages, and gives the memory back.  `clear` drops what the
+    caller will keep."""
+    others = [f for name, fs in _held.items() if name != owner for f in fs]
+    if others:
+        for f in others:
+            f()
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+    _held[owner] = clear

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import claim
+
 #: A-Z become lower case; of ASCII only digits and letters stay, all else separates words.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -101,6 +103,7 @@ def decontaminate(
         sent = spark.sparkContext.broadcast(tuple(sorted((r["item"], r["t"]) for r in part.collect())))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            claim("decontaminate", _automaton.cache_clear)
             automaton = _automaton(sent.value, window)
             for batch in batches:
                 ids, texts, hits, found = (batch.column(i) for i in range(4))

@@ -45,7 +45,8 @@ from pyspark.sql import types as T
 
 from evtrail.operators.graph import components
 
-from .common import written
+from . import rolling
+from .common import claim, written
 from .rolling import windows, word_hashes
 
 #: Lower ends of the size classes.
@@ -205,6 +206,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays([column(seg, pa.int64()), pa.array(np.full(m, kind, np.int32)), column(key, pa.int64()), column(other, pa.int64()), ids, column(n, pa.int64()), column(sha, pa.binary())], names=row.names)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", rolling.clear, _segments.cache_clear)
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
             keys = batch.column(0).to_numpy()
             n, sha, sent, owner, segs, codes = [], [], set(), [], [], []
@@ -232,6 +234,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of their segment: those of hot ones as they are, pairs of the others with a count."""
+        rolling.clear()
         held = np.zeros((4, 0), np.int64)  # segment, key, flag and code of a group that may go on
 
         def done(g: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,6 +305,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sized = written(blocks.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("block"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "copies"), "jaccard-parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", rolling.clear, _segments.cache_clear)
         for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
             found = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(5).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.int64()))], names=["key", "block", "parts", "part", "copies", "tokens"])
@@ -312,6 +316,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def link(group: pa.Table) -> pa.Table:
         """Links of a forest (a, b), and the number of links of each document of the two parts (a, n)."""
+        rolling.clear()
         keys = group["key"].to_pylist()
         own = [t.values.to_numpy().view(np.uint64) for t in group["tokens"]]
         part, same = group["part"].to_pylist(), group["i"][0] == group["j"][0]

@@ -7,14 +7,17 @@ import xxhash
 
 #: Odd multipliers, 5 modulo 8, of the polynomial hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_KEPT = 200_000
+#: So many words keep their hashes, of at most so many bytes each.
+_KEPT, _KEPT_BYTES = 100_000, 64
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _KEPT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _KEPT_BYTES:
+            self[word] = value
         return value
 
 
@@ -22,6 +25,11 @@ _words = _Words()
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def clear() -> None:
+    _words.clear()
+    _powers.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 

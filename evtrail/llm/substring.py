@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from . import rolling
+from .common import claim, written
 from .rolling import BASES, window_minima, windows, word_hashes
 
 
@@ -47,6 +48,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = at.schema["id"].dataType.simpleString()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring", rolling.clear)
         for batch in batches:
             n_words, sha, grams = [], [], []
             for text in batch.column(2).cast(pa.binary()):
@@ -66,6 +68,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = grams.join(shared, "gram").groupBy("key", "id").agg(F.collect_set("gram").alias("grams"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring", rolling.clear)
         for batch in batches:
             starts, ones, twos = [], [], []
             for text, held in zip(batch.column(2).cast(pa.binary()), batch.column(3), strict=True):

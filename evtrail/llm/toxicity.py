@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of
+from .common import bucket_of, claim
 
 PREFIXES = (4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -129,6 +129,7 @@ def train(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(labelled), "id").select("text", F.col("y").cast("long"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for batch in batches:  # summed per batch, so that little is shuffled
             total: dict[str, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -168,6 +169,7 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
+        claim("toxicity")
         return pd.Series(np.concatenate([model.score(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)] or [np.zeros(0)]))
 
     return of
