@@ -13,6 +13,7 @@ FINAL_MA = "(?m)妈([\"'”’」』）)\\]】》>\\s。！？；!?;….]*)$"
 FILE_NAME_MARKS = r"[\\/:*?\"<>|\r\n]+"
 PUNCTUATION = "[\\s，。！？、,.!?:：；;（）()【】\\[\\]《》<>\"'“”‘’`~\\-_/]+"
 DOC_HOSTS = ("feishu", "larksuite")
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SECRET_PARAMETERS = ("token", "access_token", "key", "secret", "signature", "ticket", "code")
 
 
@@ -26,14 +27,14 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Unicode white space off both ends; trim() takes blanks only."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Unicode white space off both ends, by the native trim."""
+    return F.btrim(_c(c), F.lit(WHITE))
 
 
 def clean_text(c: Column | str) -> Column:
     """Line ends to \\n, trailing white space off each line, a sentence-final particle mended, ends stripped."""
     lines = F.regexp_replace(strip(c), r"\R", "\n")
-    lines = F.regexp_replace(lines, r"(?U)[^\S\n]+(?=\n)", "")
+    lines = F.regexp_replace(lines, r"(?U)(?<![^\S\n])[^\S\n]++\n", "\n")
     return strip(F.regexp_replace(lines, FINAL_MA, "吗$1"))
 
 
@@ -84,6 +85,16 @@ def combine_titles(titles: Column | str) -> Column:
     return F.array_join(F.array_distinct(F.filter(clean, lambda t: t != "")), "；")
 
 
+def output_name(day: Column, owner: Column | str, merged: Column | bool = False, extension: str = "md") -> Column:
+    """Name of a day's file: date, safe owner name and, of a merged one, the mark."""
+    mark = F.when(merged if isinstance(merged, Column) else F.lit(merged), "-merged").otherwise("")
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), safe_file_name(owner), mark, F.lit(f".{extension}"))
+
+
+def format_time(ts: Column, pattern: str = "HH:mm") -> Column:
+    return F.coalesce(F.date_format(ts, pattern), F.lit(""))
+
+
 def safe_file_name(c: Column | str) -> Column:
     name = F.regexp_replace(F.regexp_replace(strip(c), FILE_NAME_MARKS, "_"), r"\s+", "_")
     return F.regexp_replace(name, r"^[ ._]+|[ ._]+$", "")
@@ -103,13 +114,14 @@ def estimate_tokens(c: Column | str) -> Column:
     return tokens_of_counts(a, F.length(F.coalesce(_c(c), F.lit(""))) - a)
 
 
-def trim_text(c: Column | str, n: int, tail: str = "…") -> Column:
-    c = _c(c)
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.left(c, F.lit(n - len(tail))), F.lit(tail)))
+def trim_text(c: Column | str, n: int, tail: str = "...") -> Column:
+    """The clean text, or its first n characters without white space behind them, and the tail."""
+    return let(clean_text(c), lambda t: F.when(F.length(t) <= n, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(n)), F.lit(WHITE)), F.lit(tail))))
 
 
-def preview(c: Column | str, n: int = 120) -> Column:
-    return trim_text(collapse(c), n)
+def preview(c: Column | str, limit: int = 400) -> Column:
+    """What a relation shows of a text: 120 characters at most."""
+    return trim_text(c, min(limit, 120))
 
 
 def redact_query(url: Column | str, names: tuple[str, ...] = SECRET_PARAMETERS) -> Column:
@@ -126,7 +138,7 @@ def ratio(n: Column, d: Column) -> Column:
 
 def conversation_mode(c: Column | str) -> Column:
     mode = F.lower(strip(c))
-    return F.when(mode.isin("p2p", "group", "topic"), mode).otherwise("group")
+    return F.when(mode.isin("p2p", "group", "topic"), mode).otherwise("")
 
 
 def doc_token(url: Column | str) -> Column:

@@ -110,3 +110,54 @@ def error_category(text: Column, categories: dict[str, tuple[str, ...]], default
         hit = F.lower(text).rlike("|".join(patterns))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(default) if out is not None else F.lit(default)
+
+
+def repair_locked(assign: DataFrame, expected: DataFrame, locked: DataFrame) -> DataFrame:
+    """repair_partition(), and groups that hold a part of a locked set only are given up: their drafts become
+    groups of their own.  locked: atom_id, draft_id."""
+    kept = repair_partition(assign, expected)
+    size = locked.groupBy("atom_id").agg(F.count_distinct("draft_id").alias("size"))
+    part = kept.join(locked, "draft_id").groupBy("group_id", "atom_id").agg(F.count_distinct("draft_id").alias("n")).join(size, "atom_id").where("n < size").select("group_id").distinct()
+    alone = F.concat(F.lit("single:"), F.col("draft_id").cast("string"))
+    return kept.join(part.withColumn("broken", F.lit(True)), "group_id", "left").select("draft_id", F.when(F.coalesce("broken", F.lit(False)), alone).otherwise(F.col("group_id")).alias("group_id"))
+
+
+def audit_locked(expected: DataFrame, assign: DataFrame, locked: DataFrame) -> DataFrame:
+    """(draft_id, error): the findings of audit_partition(), and the members of locked sets that several groups share."""
+    torn = audit_atomic(assign, locked).select("atom_id")
+    members = locked.join(torn, "atom_id").select("draft_id", F.lit("locked_set_torn").alias("error")).distinct()
+    return audit_partition(expected, assign).union(members)
+
+
+def audit_segment_drafts(drafts: DataFrame, segments: DataFrame, attachments: DataFrame, signals: DataFrame) -> DataFrame:
+    """(draft_id, error): sources outside the draft's segment, unknown signals, attachments that neither are the
+    segment's nor belong to the one message that is named in their place.
+
+    drafts: draft_id, segment, source_message_ids, attachment_ids, signal_ids; segments: segment, message_id;
+    attachments: message_id, attachment_id; signals: segment, signal_id."""
+    each = lambda c, name: drafts.select("draft_id", "segment", F.explode(c).alias(name))
+    known = segments.select("segment", "message_id").distinct()
+    files = known.join(attachments, "message_id").select("segment", "message_id", "attachment_id")
+    # a message id in the place of an attachment id stands for its attachment, if it has just one
+    single = files.groupBy("segment", "message_id").agg(F.count("*").alias("n")).where("n = 1").select("segment", F.col("message_id").alias("attachment_id"))
+    good = files.select("segment", "attachment_id").union(single).distinct()
+    say = lambda df, error: df.select("draft_id", F.lit(error).alias("error"))
+    out = say(each("source_message_ids", "message_id").join(known, ["segment", "message_id"], "left_anti"), "source_outside_segment")
+    out = out.union(say(each("attachment_ids", "attachment_id").join(good, ["segment", "attachment_id"], "left_anti"), "unknown_attachment"))
+    return out.union(say(each("signal_ids", "signal_id").join(signals, ["segment", "signal_id"], "left_anti"), "unknown_signal")).distinct()
+
+
+def detect_edits(events: DataFrame) -> DataFrame:
+    """Adds edit: 'manual_modified' where version 3 has another fingerprint than the content, 'manual_unknown'
+    without metadata or, from version 2 on, without conversations and earlier marks; else the mark it has.
+
+    events: version, content_fingerprint, actual_fingerprint, conversation_fingerprints, source_edit_types, manual_edit_type."""
+    none = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) == 0
+    version, held = F.coalesce("version", F.lit(0)), F.coalesce("content_fingerprint", F.lit(""))
+    edit = (
+        F.when(F.coalesce("manual_edit_type", F.lit("")) != "", F.col("manual_edit_type"))
+        .when((version == 3) & (held != "") & (held != F.col("actual_fingerprint")), "manual_modified")
+        .when((version == 0) | (version.isin(2, 3) & none("conversation_fingerprints") & none("source_edit_types")), "manual_unknown")
+        .otherwise("")
+    )
+    return events.withColumn("edit", edit)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtrail.functions.text import tokens_of_counts
@@ -54,38 +57,48 @@ def image_parents(units: DataFrame, msgs: DataFrame) -> DataFrame:
 
 
 def limit_context(rows: DataFrame, target: int, base: int = 200) -> DataFrame:
-    """Context rows that fit: temporal ones first, then relations; one that does not fit is passed over.
+    """(slice_id, pos) of context rows that fit: temporal ones first, then relations; one that does not fit is
+    passed over.
+
+    rows: slice_id, pos, kind (main, temporal, relation), ascii, other."""
+    from .packing import estimate, fold_rows
+
+    def make() -> Callable:
+        a = x = 0
 
-    rows: slice_id, pos, kind (main, temporal, relation), ascii, other.  The fold runs on a slice's array."""
-    order = F.when(F.col("kind") == "main", 0).when(F.col("kind") == "temporal", 1).otherwise(2)
-    each = F.array_sort(F.collect_list(F.struct(order.alias("k"), F.col("pos").cast("long").alias("p"), F.col("ascii").cast("long").alias("a"), F.col("other").cast("long").alias("x"))))
-    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("x"), F.array().cast("array<bigint>").alias("out"))
+        def step(row: dict) -> tuple[bool]:
+            nonlocal a, x
+            fits = row["rank"] == 0 or estimate(a + row["ascii"], x + row["other"], base) <= target
+            if fits:
+                a, x = a + row["ascii"], x + row["other"]
+            return (fits,)
 
-    def step(s: Column, r: Column) -> Column:
-        fits = (r["k"] == 0) | (tokens_of_counts(s["a"] + r["a"], s["x"] + r["x"], base) <= target)
-        return F.struct(F.when(fits, s["a"] + r["a"]).otherwise(s["a"]).alias("a"), F.when(fits, s["x"] + r["x"]).otherwise(s["x"]).alias("x"), F.when(fits, F.concat(s["out"], F.array(r["p"]))).otherwise(s["out"]).alias("out"))
+        return step
 
-    return rows.groupBy("slice_id").agg(F.aggregate(each, zero, step)["out"].alias("kept")).select("slice_id", F.explode("kept").alias("pos"))
+    order = F.when(F.col("kind") == "main", 0).when(F.col("kind") == "temporal", 1).otherwise(2).alias("rank")
+    at = rows.select("slice_id", order, F.col("pos").cast("long").alias("pos"), F.col("ascii").cast("long").alias("ascii"), F.col("other").cast("long").alias("other"))
+    return fold_rows(at, ("slice_id",), ("rank", "pos"), make, "kept boolean").where("kept").select("slice_id", "pos")
 
 
-def split_windows(rows: DataFrame, target: int, base: int = 200, max_halvings: int = 20) -> DataFrame:
+def split_windows(rows: DataFrame, target: int, base: int = 200) -> DataFrame:
     """Halves a window's rows again and again until each part is under the target or has one row.
 
     rows: window_id, pos, ascii, other; returns them with part, its bounds encoded as a binary path.  Each
-    round sums the parts still too large, for all windows at once."""
+    round sums the parts still too large, for all windows at once; parts halve, so rounds are as many as
+    the logarithm of the largest window."""
     from evtrail.scratch import written
 
-    at = rows.withColumn("part", F.lit("1"))
-    for _ in range(max_halvings):
+    at, done = rows.withColumn("part", F.lit("1")), []
+    while True:
         w = Window.partitionBy("window_id", "part")
         n, rank = F.count("*").over(w), F.row_number().over(w.orderBy("pos"))
         over = tokens_of_counts(F.sum("ascii").over(w), F.sum("other").over(w), base) > target
-        at = written(at.withColumn("cut", over & (n > 1)).withColumn("part", F.when(F.col("cut"), F.concat("part", F.when(rank <= F.ceil(n / 2), "0").otherwise("1"))).otherwise(F.col("part"))), "split")
-        more = not at.where("cut").isEmpty()
-        at = at.drop("cut")
-        if not more:
-            return at
-    return at
+        half = F.when(rank <= F.ceil(n / 2), "0").otherwise("1")
+        at = written(at.withColumn("cut", over & (n > 1)).withColumn("part", F.when(F.col("cut"), F.concat("part", half)).otherwise(F.col("part"))), "split")
+        done.append(at.where("not cut").drop("cut"))
+        at = at.where("cut").drop("cut")
+        if at.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def self_evidence(members: DataFrame, msgs: DataFrame) -> DataFrame:

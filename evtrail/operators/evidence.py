@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, connected_by, conversation_only
+from .numbering import numbered
 
 
 def review_components(groups: DataFrame, pairs: DataFrame, required: DataFrame | None = None) -> DataFrame:
@@ -18,10 +19,24 @@ def review_components(groups: DataFrame, pairs: DataFrame, required: DataFrame |
     if required is not None:
         found = found.union(required.join(found, "group_id", "left_anti").select("group_id", F.col("group_id").alias("component")))
     found = found.join(groups.select("group_id").distinct(), "group_id", "left_semi")
-    numbers = found.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")))
+    numbers = numbered(found.groupBy("component").agg(F.min("group_id").alias("first")), ["first", "component"], "number").drop("first")
     return found.join(numbers, "component")
 
 
+def merge_review_components(groups: DataFrame, pairs: DataFrame, risks: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(component, group_id, number, reasons, atoms): groups tied by a relation, and groups of high risk even
+    alone; with each group its reasons to review and the atomic sets that lie inside its component.
+
+    groups: group_id, draft_id; pairs: a, b (groups), type; risks: group_id, reason; atoms: atom_id, draft_id."""
+    at = review_components(groups, pairs.select("a", "b"), risks.select("group_id").distinct())
+    ties = pairs.select(F.col("a").alias("group_id"), F.col("type").alias("reason")).union(pairs.select(F.col("b").alias("group_id"), F.col("type").alias("reason")))
+    reasons = ties.union(risks.select("group_id", "reason")).distinct().groupBy("group_id").agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
+    size = atoms.groupBy("atom_id").agg(F.count_distinct("draft_id").alias("size"))
+    inside = atoms.join(groups.select("group_id", "draft_id"), "draft_id").join(at.select("group_id", "component"), "group_id").groupBy("component", "atom_id").agg(F.count_distinct("draft_id").alias("n")).join(size, "atom_id").where("n = size")
+    held = inside.groupBy("component").agg(F.count("*").alias("atoms"))
+    return at.join(reasons, "group_id", "left").join(held, "component", "left").select("component", "group_id", "number", F.coalesce("reasons", F.lit("")).alias("reasons"), F.coalesce("atoms", F.lit(0)).alias("atoms"))
+
+
 def covers_group(assign: DataFrame, relations: DataFrame) -> DataFrame:
     """(group_id, covered): whether the group's chosen relations (group_id, a, b) connect all its members."""
     keys = relations.select("group_id", F.concat_ws("-", "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("draft_id"))
@@ -61,7 +76,13 @@ def evidence_audit(assign: DataFrame, relations: DataFrame, max_relations: int =
                 given = [(r["relation_id"], list(r["draft_ids"])) for r in (row.relations if row.relations is not None else [])]
                 parts = parts_of(list(row.members), given)
                 best = None
-                if len(given) <= max_relations:
+                if all(len(ids) == 2 for _, ids in given):
+                    # pairs: taking each in order that joins two parts gives the first of the smallest sets
+                    best, left = [], len(row.members)
+                    for r in given:
+                        if (now := parts_of(list(row.members), [*best, r])) < left:
+                            best, left = [*best, r], now
+                elif len(given) <= max_relations:
                     best = next((c for k in range(len(given) + 1) for c in combinations(given, k) if parts_of(list(row.members), list(c)) == parts), None)
                 cut = best is None
                 if cut:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evtrail.functions.text import clean_text, compact, contains_any, let, strip
+from evtrail.functions.text import PUNCTUATION, clean_text, contains_any, let, strip
 
 # Fixed values.
 SYSTEM_TYPES = ("system", "recall", "chat_info", "group_event")
@@ -76,10 +76,13 @@ def retention_reason(policy: RetentionPolicy, *, reason="retention_reason", deta
     texts = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(clean.values())])
 
     def compared(v: Column) -> Column:
-        t, c, d, o = (compact(v[f"t{i}"], strip_punct) for i in range(4))
-        three = compact(F.concat_ws(" ", *[v[f"t{i}"] for i in range(3)]), strip_punct)
-        four = compact(F.concat_ws(" ", *[v[f"t{i}"] for i in range(4)]), strip_punct)
-        return F.struct(t.alias("t"), c.alias("c"), d.alias("d"), o.alias("o"), three.alias("three"), four.alias("four"))
+        # the fields are clean: joined by a blank they stay so, and each is folded once
+        t, c, d, o = (F.lower(F.regexp_replace(v[f"t{i}"], PUNCTUATION, "") if strip_punct else v[f"t{i}"]) for i in range(4))
+        return F.struct(t.alias("t"), c.alias("c"), d.alias("d"), o.alias("o"))
+
+    def joined(v: Column) -> Column:
+        three = F.concat_ws("" if strip_punct else " ", v["t"], v["c"], v["d"])
+        return F.struct(*[v[k].alias(k) for k in "tcdo"], three.alias("three"), F.concat_ws("" if strip_punct else " ", three, v["o"]).alias("four"))
 
     def first_failure(v: Column) -> Column:
         t, c, d, o, three, four = (v[k] for k in ("t", "c", "d", "o", "three", "four"))
@@ -100,7 +103,7 @@ def retention_reason(policy: RetentionPolicy, *, reason="retention_reason", deta
         )
 
     known = F.coalesce(clean_text(F.col(reason)).isin(*RETENTION_REASONS), F.lit(False))
-    return F.when(~known, "missing_or_invalid_retention_reason").otherwise(let(let(texts, compared), first_failure))
+    return F.when(~known, "missing_or_invalid_retention_reason").otherwise(let(let(let(texts, compared), joined), first_failure))
 
 
 def filter_retained(df: DataFrame, policy: RetentionPolicy, **columns: str) -> DataFrame:
@@ -132,6 +135,13 @@ def select_fact_review(drafts: DataFrame, messages: DataFrame, *, sources: int =
     return drafts.join(who, "draft_id").withColumn("reasons", reasons).where(F.size("reasons") > 0)
 
 
+def select_retention_review(drafts: DataFrame, reasons: tuple[str, ...], *, enabled: bool = True, without_files: bool = True) -> DataFrame:
+    """Drafts to review for retention: of one of the reasons and, if asked for, without links and attachments."""
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array()))
+    at = drafts.where(F.lit(enabled) & F.col("retention_reason").isin(*reasons))
+    return at.where((size("referenced_link_ids") == 0) & (size("referenced_attachment_ids") == 0)) if without_files else at
+
+
 def eligible_attachments(df: DataFrame, extensions: tuple[str, ...], max_bytes: int, cap: int, keys: tuple[str, ...] = ("owner_id", "date")) -> DataFrame:
     from pyspark.sql import Window
 

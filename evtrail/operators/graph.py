@@ -83,11 +83,16 @@ def replace_components(groups: DataFrame, reviewed: DataFrame) -> DataFrame:
 
 
 def partition_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(change, a, b): draft pairs that `after` puts together or apart; both are (draft_id, group_id)."""
+    """(change, group_id, pairs): how many draft pairs each group of `after` puts together that were apart, and
+    how many each group of `before` had that are apart now; both are (draft_id, group_id).
 
-    def pairs(df: DataFrame) -> DataFrame:
-        left, right = df.select("group_id", F.col("draft_id").alias("a")), df.select("group_id", F.col("draft_id").alias("b"))
-        return left.join(right, "group_id").where("a < b").select("a", "b")
+    Counted from how many drafts each old and new group share, so no pair is made."""
+    shared = before.select("draft_id", F.col("group_id").alias("old")).join(after.select("draft_id", F.col("group_id").alias("new")), "draft_id").groupBy("old", "new").agg(F.count("*").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+
+    def change(name: str, side: str) -> DataFrame:
+        n = pairs(F.sum("n")) - F.sum(pairs(F.col("n")))
+        return shared.groupBy(F.col(side).cast("string").alias("group_id")).agg(n.cast("long").alias("pairs")).where("pairs > 0").select(F.lit(name).alias("change"), "group_id", "pairs")
+
+    return change("merged", "new").union(change("split", "old"))
 
-    old, new = pairs(before), pairs(after)
-    return new.exceptAll(old).select(F.lit("merged").alias("change"), "a", "b").union(old.exceptAll(new).select(F.lit("split").alias("change"), "a", "b"))

@@ -9,7 +9,9 @@ from evtrail.functions.text import clean_text, collapse, dedupe_paragraphs
 
 
 def preferred_text(value: Column, pos: Column, limit: int = 4000) -> Column:
-    """Within the limit first, then longest, then earliest: an aggregate that combines before the shuffle."""
+    """Of the clean values, within the limit first, then longest, then earliest: an aggregate that combines
+    before the shuffle."""
+    value = clean_text(value)
     n = F.length(value)
     return F.max_by(value, F.when(value != "", F.struct((n <= limit).alias("fits"), F.least(n, F.lit(limit)).alias("n"), (-pos).alias("pos"))))
 
@@ -30,7 +32,8 @@ def merge_contents(texts: Column) -> Column:
 
 def exact_groups(events: DataFrame) -> DataFrame:
     """(event_id, n, same): rows of one id that have one title, and contents each of which the next longer
-    one contains; anything else under one id is divergent."""
+    one contains, white space apart; anything else under one id is divergent."""
+    events = events.withColumn("content", collapse("content"))
     w = Window.partitionBy("event_id").orderBy(F.length("content"), "content", "draft_id")
     at = events.withColumn("within", F.coalesce(F.col("content").contains(F.lag("content").over(w)), F.lit(True)))
     return at.groupBy("event_id").agg(F.count("*").alias("n"), (F.bool_and("within") & (F.count_distinct(collapse("title")) == 1)).alias("same"))
@@ -102,3 +105,70 @@ def allocate_lengths(rows: DataFrame, budget: int) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("group_id", "long").orderBy("pos"))
     extra = F.when(F.col("long") & (turn <= budget - spent), 1).otherwise(0)
     return at.select("group_id", "pos", "length", F.when(F.col("long"), F.least(F.col("length"), F.col("cut.level") + extra)).otherwise(F.col("length")).cast("long").alias("share"))
+
+
+def merge_drafts(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key: contents merged in order, and the ordered unions of the members' lists.
+
+    rows: the key, pos, content and array columns, which are flattened in order of pos without repeats."""
+    lists = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    listed = lambda c: F.array_distinct(F.flatten(F.transform("m", lambda x: F.coalesce(x[c], F.array().cast(rows.schema[c].dataType))))).alias(c)
+    at = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "content", *lists))).alias("m"))
+    return at.select(key, merge_contents(F.transform("m", lambda x: x["content"])).alias("content"), *[listed(c) for c in lists])
+
+
+def build_events(drafts: DataFrame) -> DataFrame:
+    """Adds event_id, the fingerprints of the sources and conversations, and `collision`: whether another draft
+    has the same id.  drafts: date (text), source_message_ids, source_conversation_ids, content."""
+    from evtrail.functions.hashing import conversation_fingerprint, evidence_fingerprint, stable_event_id
+
+    conversations = F.filter(F.transform("source_conversation_ids", lambda c: conversation_fingerprint(F.col("date"), c)), lambda f: f != "")
+    at = drafts.withColumns({
+        "event_id": stable_event_id(F.col("date"), F.col("source_message_ids"), F.col("content")),
+        "evidence_fingerprints": F.transform("source_message_ids", evidence_fingerprint), "conversation_fingerprints": conversations,
+    })
+    twice = at.groupBy("event_id").agg((F.count("*") > 1).alias("collision"))
+    return at.join(twice, "event_id")
+
+
+def checked_events(drafts: DataFrame) -> DataFrame:
+    """build_events() without the mark; a collision fails the job that reads them, at the row that has it."""
+    at = build_events(drafts)
+    failed = F.raise_error(F.concat(F.lit("two events have the id "), F.col("event_id"))).cast("string")
+    return at.withColumn("event_id", F.when(F.col("collision"), failed).otherwise(F.col("event_id"))).drop("collision")
+
+
+def materialize_merged(events: DataFrame, assign: DataFrame) -> DataFrame:
+    """One row a group of events of several people: the preferred title, the balanced content, and the ordered
+    unions of people, sources, owners, labels and fingerprints.
+
+    events: draft_id, title, content, person, event_id, owner and the arrays source_people, source_event_ids,
+    source_owners, action_labels, evidence_fingerprints; assign: group_id, draft_id, pos."""
+    or_own = lambda many, one: F.when(F.size(F.coalesce(F.col(many), F.array().cast("array<string>"))) > 0, F.col(many)).otherwise(F.array(one))
+    owners = F.filter(F.concat(F.coalesce("source_owners", F.array().cast("array<string>")), F.array("owner")), lambda o: F.coalesce(o, F.lit("")) != "")
+    at = assign.join(events, "draft_id").withColumns({"source_people": or_own("source_people", "person"), "source_event_ids": or_own("source_event_ids", "event_id"), "source_owners": owners})
+    lists = ("source_people", "source_event_ids", "source_owners", "action_labels", "evidence_fingerprints")
+    rows = at.groupBy("group_id").agg(preferred_text(F.col("title"), F.col("pos")).alias("title"), F.array_sort(F.collect_list(F.struct("pos", "draft_id", *lists))).alias("m"))
+    listed = lambda c: F.array_distinct(F.flatten(F.transform("m", lambda x: x[c]))).alias(c)
+    rows = rows.select("group_id", "title", *map(listed, lists))
+    return rows.join(balanced_content(at.select("group_id", F.col("person").alias("source"), "content", "pos")), "group_id")
+
+
+def summary_events(groups: DataFrame, events: DataFrame) -> DataFrame:
+    """(group_id, synthetic_id, title, content, summary_source, source_ids): each group as one event to go on with.
+
+    A group of one keeps its event's words; one with a whole given summary takes that; any other the preferred
+    title and the merged contents.  groups: group_id, draft_id, pos, summary_title, summary_content; events:
+    draft_id, title, content, source_ids."""
+    at = groups.join(events, "draft_id")
+    rows = at.groupBy("group_id").agg(
+        F.count("*").alias("n"), F.max(clean_text(F.coalesce("summary_title", F.lit("")))).alias("st"), F.max(clean_text(F.coalesce("summary_content", F.lit("")))).alias("sc"),
+        preferred_text(F.col("title"), F.col("pos")).alias("title"), F.array_sort(F.collect_list(F.struct("pos", "content", "source_ids"))).alias("m"),
+    )
+    given = (F.col("st") != "") & (F.col("sc") != "")
+    source = F.when(F.col("n") == 1, "original_singleton").when(given, "given").otherwise("merged")
+    content = F.when(F.col("n") == 1, F.col("m")[0]["content"]).when(given, F.col("sc")).otherwise(merge_contents(F.transform("m", lambda x: x["content"])))
+    return rows.select(
+        "group_id", F.concat(F.lit("summary-"), F.col("group_id").cast("string")).alias("synthetic_id"), F.when(source == "given", F.col("st")).otherwise(F.col("title")).alias("title"),
+        content.alias("content"), source.alias("summary_source"), F.array_distinct(F.flatten(F.transform("m", lambda x: x["source_ids"]))).alias("source_ids"),
+    )

@@ -124,3 +124,43 @@ def step_losses(steps: DataFrame) -> DataFrame:
     ahead = steps.select((F.col("step") - 1).alias("step"), "draft_id")
     last = steps.agg(F.max("step").alias("last"))
     return steps.join(ahead, ["step", "draft_id"], "left_anti").join(F.broadcast(last), F.col("step") < F.col("last")).select("step", "draft_id")
+
+
+def merge_metrics(events: DataFrame, assign: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(metric, value) of a merge: events, files and distinct source ids before it, groups, references and largest
+    group after it, and how often each reason was given for a rejection.
+
+    events: draft_id, source_file, source_ids; assign: group_id, draft_id; rejected: reason."""
+    ids = events.select(F.explode("source_ids").alias("x")).agg(F.count_distinct("x").alias("source_ids"))
+    before = events.agg(F.count("*").alias("events"), F.count_distinct("source_file").alias("source_files"))
+    after = assign.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.sum("n").alias("draft_refs"), F.max("n").alias("largest_group"))
+    long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in df.columns])).alias("x")).select("x.*")
+    return long(before).union(long(ids)).union(long(after)).union(rejected.groupBy(F.concat(F.lit("rejected:"), "reason").alias("metric")).agg(F.count("*").alias("value")))
+
+
+def run_facts(sections: dict[str, DataFrame]) -> DataFrame:
+    """(number, section, fact, value): the facts of a run, (fact, value) a section, numbered in the order given and
+    by fact; a report has few of them."""
+    every = None
+    for place, (name, df) in enumerate(sections.items()):
+        part = df.select(F.lit(place).alias("place"), F.lit(name).alias("section"), F.col("fact").cast("string").alias("fact"), F.col("value").cast("string").alias("value"))
+        every = part if every is None else every.union(part)
+    return every.select(F.row_number().over(Window.orderBy("place", "fact")).alias("number"), "section", "fact", "value")
+
+
+def run_rollup(log: DataFrame) -> DataFrame:
+    """(run_id, kind, calls, seconds, tokens, reported, hits): saved calls of runs by kind and in all of a run.
+
+    log: run_id, kind, seconds, tokens, from_memo."""
+    return log.rollup("run_id", "kind").agg(
+        F.count("*").alias("calls"), F.sum("seconds").alias("seconds"), F.sum("tokens").alias("tokens"), F.count("tokens").alias("reported"), F.count_if("from_memo").alias("hits")
+    ).where("run_id is not null")
+
+
+def step_metrics(steps: DataFrame) -> DataFrame:
+    """(step, kept, lost, avg, longest): of each step's drafts, how many the next one still has, and their texts'
+    lengths; steps: step, draft_id, text."""
+    at = steps.select("step", "draft_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    lost = step_losses(steps.select("step", "draft_id")).withColumn("lost", F.lit(1))
+    at = at.join(lost, ["step", "draft_id"], "left")
+    return at.groupBy("step").agg(F.count_if(F.col("lost").isNull()).alias("kept"), F.count("lost").alias("lost"), F.bround(F.avg("n"), 2).alias("avg"), F.max("n").alias("longest"))

@@ -1,35 +1,67 @@
 """Order-preserving packing into batches under a token target.
 
-The fold is sequential within a group.  Groups (one owner's day, one conversation) are small, so the
-fold runs on the sorted array of a group's sizes, in one higher-order function; the estimate is taken
-of the summed character counts, as it is not additive.
+The fold is sequential within a group, as each batch begins where the one before ends.  Rows are
+sorted by group and place within their partition and pass by once, with the state of the fold carried
+on from batch to batch: no task holds a group.  The estimate is taken of the summed character
+counts, as it is not additive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evtrail.functions.text import let, tokens_of_counts
+from evtrail.functions.text import WHITE, clean_text, let, tokens_of_counts
+
+
+def estimate(ascii_chars: int, other_chars: int, base: int) -> int:
+    """tokens_of_counts() for numbers."""
+    return max(1, (ascii_chars * 5 + 11) // 12 + other_chars + base)
+
+
+def fold_rows(df: DataFrame, group: tuple[str, ...], order: tuple[str, ...], make: Callable[[], Callable], adds: str) -> DataFrame:
+    """df with the columns `adds`: make() begins a group and returns the step, which takes a row (a named
+    tuple) and returns its values."""
+    names, rows = df.columns, df.repartition(*group).sortWithinPartitions(*group, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, step = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                row = dict(zip(names, row, strict=True))
+                key = tuple(str(row[g]) for g in group)
+                if key != last:
+                    last, step = key, make()
+                out.append(step(row))
+            added = [x.split(" ")[0] for x in adds.split(", ")]
+            yield pd.concat([batch, pd.DataFrame(out, columns=added, index=batch.index)], axis=1)
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + adds)
 
 
 def pack(df: DataFrame, group: tuple[str, ...], order: str, ascii_chars: str, other_chars: str, target: int, max_rows: int = 1 << 30, base: int = 200) -> DataFrame:
     """Adds batch (from 1) and oversized: a row alone that is over the target."""
-    fields = "array<struct<o:bigint,a:bigint,x:bigint,batch:bigint,over:boolean>>"
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(ascii_chars).cast("long").alias("a"), F.col(other_chars).cast("long").alias("x"))))
-    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("batch"), F.array().cast(fields).alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        fits = (s["n"] > 0) & (s["n"] < max_rows) & (tokens_of_counts(s["a"] + r["a"], s["x"] + r["x"], base) <= target)
-        batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
-        over = tokens_of_counts(r["a"], r["x"], base) > target
-        return F.struct(
-            F.when(fits, s["a"] + r["a"]).otherwise(r["a"]).alias("a"), F.when(fits, s["x"] + r["x"]).otherwise(r["x"]).alias("x"), F.when(fits, s["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
-            batch.alias("batch"), F.concat(s["out"], F.array(F.struct(r["o"].alias("o"), r["a"].alias("a"), r["x"].alias("x"), batch.alias("batch"), over.alias("over")))).alias("out"),
-        )
+    def make() -> Callable:
+        a = x = n = batch = 0
+
+        def step(row: dict) -> tuple[int, bool]:
+            nonlocal a, x, n, batch
+            ra, rx = int(row[ascii_chars]), int(row[other_chars])
+            if n and n < max_rows and estimate(a + ra, x + rx, base) <= target:
+                a, x, n = a + ra, x + rx, n + 1
+            else:
+                a, x, n, batch = ra, rx, 1, batch + 1
+            return batch, estimate(ra, rx, base) > target
+
+        return step
 
-    packed = df.groupBy(*group).agg(F.aggregate(rows, zero, step)["out"].alias("p")).select(*group, F.explode("p").alias("p"))
-    return packed.select(*group, F.col("p.o").alias(order), F.col("p.a").alias(ascii_chars), F.col("p.x").alias(other_chars), F.col("p.batch").alias("batch"), F.col("p.over").alias("oversized"))
+    rows = df.select(*group, F.col(order).cast("long").alias(order), F.col(ascii_chars).cast("long").alias(ascii_chars), F.col(other_chars).cast("long").alias(other_chars))
+    return fold_rows(rows, group, (order, ascii_chars, other_chars), make, "batch long, oversized boolean")
 
 
 def shard_content(text: Column, limit: int, marks: str = "。！？!?;；\n.") -> Column:
@@ -49,10 +81,39 @@ def shard_content(text: Column, limit: int, marks: str = "。！？!?;；\n.") -
     return F.aggregate(steps, zero, step)["out"]
 
 
-def excerpt(text: Column, limit: int, gap: str = "…") -> Column:
-    """Head and tail of a text that is over the limit."""
-    head = (limit - len(gap)) * 2 // 3
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(gap), F.right(text, F.lit(limit - len(gap) - head))))
+_SENTENCE = r"(?s).+?(?:[。！？!?；;]+|\n+|$)"
+
+
+def excerpt(text: Column, limit: int, gap: str = "...") -> Column:
+    """Whole sentences from both ends of a text that is over the limit: half of what is left beside the gap
+    for the head, the rest for the tail; characters where no sentence fits."""
+    room = limit - len(gap)
+
+    def first_fitting(parts: Column, budget: Column) -> Column:
+        """How many parts fit, each on a line, and how many characters they take."""
+
+        def step(s: Column, p: Column) -> Column:
+            n = s["n"] + F.length(p) + F.when(s["k"] > 0, 1).otherwise(0)
+            fits = s["open"] & (n <= budget)
+            return F.struct(F.when(fits, n).otherwise(s["n"]).alias("n"), F.when(fits, s["k"] + 1).otherwise(s["k"]).alias("k"), fits.alias("open"))
+
+        return F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(True).alias("open")), step)
+
+    def of(t: Column) -> Column:
+        parts = F.filter(F.transform(F.regexp_extract_all(t, F.lit(_SENTENCE), F.lit(0)), clean_text), lambda p: p != "")
+
+        def cut(p: Column) -> Column:
+            head = first_fitting(p, F.lit(room // 2))
+            return let(head, lambda h: let(F.reverse(F.slice(p, h["k"] + 1, F.greatest(F.size(p) - h["k"], F.lit(0)))), lambda rest: let(first_fitting(rest, room - h["n"]), lambda e: F.concat(
+                F.array_join(F.slice(p, F.lit(1), h["k"]), "\n"), F.lit(gap), F.array_join(F.reverse(F.slice(rest, F.lit(1), e["k"])), "\n")))))
+
+        ends = F.concat(F.rtrim(F.left(t, F.lit(room // 2)), F.lit(WHITE)), F.lit(gap), F.ltrim(F.right(t, F.lit(room - room // 2)), F.lit(WHITE)))
+        whole = let(let(parts, cut), lambda x: F.when((x != gap) & (F.length(x) <= limit), x).otherwise(F.left(ends, F.lit(limit))))
+        return F.when(F.length(t) <= limit, t).otherwise(whole)
+
+    if limit <= len(gap):
+        return F.left(clean_text(text), F.lit(max(limit, 0)))
+    return let(clean_text(text), of)
 
 
 def pack_components(rows: DataFrame, group: tuple[str, ...], target: int, base: int = 200) -> DataFrame:

@@ -6,11 +6,15 @@ is connected counts, `hub_links` ties its drafts to the smallest one, linear in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evtrail.functions.text import clean_text, doc_token
 
+from .numbering import numbered
+
 
 def key_counts(keys: DataFrame) -> DataFrame:
     """(key, n): keys is (draft_id, key) without repeats."""
@@ -23,31 +27,46 @@ def hub_links(keys: DataFrame, fan_out: int = 0) -> DataFrame:
     return keys.join(hubs, "key").where("draft_id <> b").select(F.col("draft_id").alias("a"), "b").distinct()
 
 
+def dealt_sides(keys: DataFrame, fan_out: int) -> tuple[DataFrame, DataFrame]:
+    """(key, i, j, a) and (key, i, j, b): a key's drafts in parts of about `fan_out`, each part against each."""
+    parts = F.ceil(F.col("n") / fan_out).cast("int")
+    held = keys.join(key_counts(keys).where("n > 1"), "key").select("key", "draft_id", parts.alias("parts"), F.pmod(F.xxhash64("draft_id"), parts).cast("int").alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    return held.select("key", F.col("part").alias("i"), every.alias("j"), F.col("draft_id").alias("a")), held.select("key", every.alias("i"), F.col("part").alias("j"), F.col("draft_id").alias("b"))
+
+
 def evidence_pairs(keys: DataFrame, fan_out: int = 1000) -> DataFrame:
     """(a, b, shared, same) for all pairs a < b that share a key; same says that their key sets are equal.
 
     A key of more than `fan_out` drafts is dealt into parts of about so many, and each pair of parts is
     joined alone, so that no task holds a whole key; the pairs are as many as the drafts squared."""
-    parts = F.ceil(F.col("n") / fan_out).cast("int")
-    held = keys.join(key_counts(keys).where("n > 1"), "key").select("key", "draft_id", parts.alias("parts"), F.pmod(F.xxhash64("draft_id"), parts).cast("int").alias("part"))
+    left, right = dealt_sides(keys, fan_out)
     size = keys.groupBy("draft_id").agg(F.count("*").alias("size"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left, right = held.select("key", F.col("part").alias("i"), every.alias("j"), F.col("draft_id").alias("a")), held.select("key", every.alias("i"), F.col("part").alias("j"), F.col("draft_id").alias("b"))
     pairs = left.join(right, ["key", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = pairs.join(size.select(F.col("draft_id").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("draft_id").alias("b"), F.col("size").alias("nb")), "b")
     return pairs.select("a", "b", "shared", ((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb"))).alias("same"))
 
 
+def key_pairs(keys: DataFrame, fan_out: int = 1000) -> DataFrame:
+    """(a, b, key): each pair a < b that shares the key, a hot key dealt into parts as in evidence_pairs()."""
+    left, right = dealt_sides(keys, fan_out)
+    return left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b", "key")
+
+
 def relation_catalog(pairs: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Adds relation_id MSG-001, FILE-001, ...: numbered per kind (column kind, 'message' or 'file') by a, b."""
-    rank = F.row_number().over(Window.partitionBy(*scope, "kind").orderBy("a", "b"))
-    return pairs.withColumn("relation_id", F.concat(F.when(F.col("kind") == "message", "MSG-").otherwise("FILE-"), F.format_string("%03d", rank)))
+    at = numbered(pairs, ["a", "b"], "_number", [*scope, "kind"])
+    return at.withColumn("relation_id", F.concat(F.when(F.col("kind") == "message", "MSG-").otherwise("FILE-"), F.format_string("%03d", "_number"))).drop("_number")
 
 
 def conversation_sets(events: DataFrame) -> DataFrame:
-    """Distinct sets of two or more events that share a conversation key; events is (draft_id, key)."""
-    sets = events.groupBy("key").agg(F.sort_array(F.collect_set("draft_id")).alias("members"))
-    return sets.where(F.size("members") >= 2).select("members").distinct()
+    """(set_key, draft_id): distinct sets of two or more events that share a conversation key, each named by
+    its smallest key; events is (draft_id, key).  Sets are told apart by their size and two sums of
+    hashes, so none is gathered into a row."""
+    at = events.select("draft_id", "key").distinct()
+    sums = [F.sum(F.xxhash64(F.lit(salt), "draft_id").cast("decimal(38,0)")).alias(f"h{salt}") for salt in (1, 2)]
+    sets = at.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n >= 2").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    return at.join(sets.select("key"), "key").select(F.col("key").alias("set_key"), "draft_id")
 
 
 def group_relations(kinds: dict[str, DataFrame], assign: DataFrame) -> DataFrame:
@@ -63,6 +82,28 @@ def group_relations(kinds: dict[str, DataFrame], assign: DataFrame) -> DataFrame
     return types.join(group("a"), "a").join(group("b"), "b").where("group_a <> group_b")
 
 
+def draft_attachment_names(drafts: DataFrame, attachments: DataFrame, ignored: tuple[str, ...] = ("image/",)) -> DataFrame:
+    """(draft_id, key): base names of a draft's attachments, those of an ignored kind left out.
+
+    drafts: draft_id, referenced_attachment_ids; attachments: attachment_id, file_name, mime_type."""
+    from evtrail.functions.messages import attachment_base_name
+
+    own = drafts.select("draft_id", F.explode("referenced_attachment_ids").alias("attachment_id")).distinct()
+    kind = F.lower(F.coalesce("mime_type", F.lit("")))
+    plain = attachments.where(~F.coalesce(reduce(lambda a, b: a | b, [kind.startswith(i) for i in ignored], F.lit(False)), F.lit(False)))
+    # names are folded once each, not once a draft
+    names = plain.select("file_name").distinct().select("file_name", attachment_base_name(F.col("file_name")).alias("key")).where("key <> ''")
+    return own.join(plain.select("attachment_id", "file_name"), "attachment_id").join(names, "file_name").select("draft_id", "key").distinct()
+
+
+def name_relations(assign: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b, key): pairs of groups whose drafts have an attachment of the same base name.
+
+    assign: draft_id, group_id; names: draft_id, key."""
+    at = names.join(assign, "draft_id").select(F.col("group_id").alias("draft_id"), "key").distinct()
+    return key_pairs(at)
+
+
 def draft_file_keys(drafts: DataFrame, links: DataFrame) -> DataFrame:
     """(draft_id, key): attachments of a draft and the links it refers to, by their file keys."""
     from evtrail.functions.hashing import attachment_key, file_key

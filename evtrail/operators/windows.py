@@ -7,6 +7,8 @@ Conversation windows partition by conversation; foreign rows enter them only as
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +31,23 @@ def build_anchors(msgs: DataFrame) -> DataFrame:
     return runs.union(alone).withColumn("anchor", F.row_number().over(Window.partitionBy("conversation_id").orderBy("first", "last")))
 
 
-def anchor_windows(msgs: DataFrame, gap_minutes: float = 10, max_unrelated: int = 3, replies: bool = True) -> DataFrame:
+def direct_links(msgs: DataFrame) -> DataFrame:
+    """(conversation_id, message_id, target): what each row replies to or quotes."""
+    every = None
+    for column in ("reply_to", "quote_to"):
+        if column in msgs.columns:
+            part = msgs.where(F.col(column).isNotNull()).select("conversation_id", "message_id", F.col(column).alias("target"))
+            every = part if every is None else every.union(part)
+    return every
+
+
+def anchor_windows(msgs: DataFrame, gap_minutes: float = 10, max_unrelated: int = 3) -> DataFrame:
     """Anchors with the window they belong to.
 
     A new window starts when the gap to the previous anchor is over `gap_minutes` or when more than
-    `max_unrelated` foreign rows between them reply to neither and do not mention the owner.
+    `max_unrelated` foreign rows between them reply to neither, quote neither (column quote_to, if
+    there) and do not mention the owner.  A conversation with a private row (boolean column private, if
+    there) is one window.
     """
     anchors = build_anchors(msgs)
     w = Window.partitionBy("conversation_id").orderBy("idx")
@@ -41,19 +55,22 @@ def anchor_windows(msgs: DataFrame, gap_minutes: float = 10, max_unrelated: int
     at = msgs.join(mark, ["conversation_id", "idx"], "left")
     # anchors that ended before a row, and the anchor that each anchor row belongs to
     at = at.withColumn("gap", F.max("anchor").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    foreign = at.where("not owner and anchor is null and not (reacted and not owner)").select("conversation_id", "gap", "mentions_owner", "reply_to").where("gap is not null")
-    if replies:
-        member = owner_runs(msgs).select("conversation_id", "message_id", "run").join(anchors.where("run is not null").select("conversation_id", "run", "anchor"), ["conversation_id", "run"]).select("conversation_id", F.col("message_id").alias("reply_to"), F.col("anchor").alias("target"))
-        single = msgs.where("reacted and not owner").select("conversation_id", "idx", F.col("message_id").alias("reply_to")).join(anchors.where("run is null").select("conversation_id", F.col("first").alias("idx"), F.col("anchor").alias("target")), ["conversation_id", "idx"]).drop("idx")
-        foreign = foreign.join(member.union(single.select("conversation_id", "reply_to", "target")), ["conversation_id", "reply_to"], "left")
-        related = F.coalesce((F.col("target") == F.col("gap")) | (F.col("target") == F.col("gap") + 1), F.lit(False))
-    else:
-        related = F.lit(False)
-    unrelated = foreign.where(~(related | F.coalesce(F.col("mentions_owner"), F.lit(False)))).groupBy("conversation_id", F.col("gap").alias("before")).agg(F.count("*").alias("unrelated"))
+    foreign = at.where("not owner and anchor is null and not (reacted and not owner)").where("gap is not null").select("conversation_id", "message_id", "gap", "mentions_owner")
+    own = owner_runs(msgs).select("conversation_id", "message_id", "run").join(anchors.where("run is not null").select("conversation_id", "run", "anchor"), ["conversation_id", "run"])
+    single = msgs.where("reacted and not owner").select("conversation_id", "idx", "message_id").join(anchors.where("run is null").select("conversation_id", F.col("first").alias("idx"), "anchor"), ["conversation_id", "idx"])
+    member = own.select("conversation_id", F.col("message_id").alias("target"), "anchor").union(single.select("conversation_id", F.col("message_id").alias("target"), "anchor"))
+    near = foreign.join(direct_links(msgs), ["conversation_id", "message_id"]).join(member, ["conversation_id", "target"]).where((F.col("anchor") == F.col("gap")) | (F.col("anchor") == F.col("gap") + 1))
+    alien = foreign.where(~F.coalesce("mentions_owner", F.lit(False))).join(near.select("conversation_id", "message_id"), ["conversation_id", "message_id"], "left_anti")
+    unrelated = alien.groupBy("conversation_id", F.col("gap").alias("before")).agg(F.count("*").alias("unrelated"))
     v = Window.partitionBy("conversation_id").orderBy("anchor")
     out = anchors.withColumn("before", F.lag("anchor").over(v)).withColumn("gap_minutes", (F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(v))) / 60e6)
     out = out.join(unrelated, ["conversation_id", "before"], "left").fillna(0, ["unrelated"])
-    fresh = F.col("before").isNull() | (F.col("gap_minutes") > gap_minutes) | (F.col("unrelated") > max_unrelated)
+    fresh = (F.col("gap_minutes") > gap_minutes) | (F.col("unrelated") > max_unrelated)
+    if "private" in msgs.columns:
+        private = msgs.where("private").select("conversation_id", F.lit(True).alias("private")).distinct()
+        out = out.join(private, "conversation_id", "left").withColumn("private", F.coalesce("private", F.lit(False)))
+        fresh = ~F.col("private") & fresh
+    fresh = F.col("before").isNull() | fresh
     return out.withColumn("window", F.sum(fresh.cast("long")).over(v)).drop("before")
 
 
@@ -63,6 +80,65 @@ def window_header(windows: DataFrame) -> DataFrame:
     return windows.groupBy("conversation_id", "window").agg(F.count("*").alias("n_anchors"), F.sum("rows").alias("anchor_rows"), F.min("first").alias("first"), F.max("last").alias("last"), span.alias("span_minutes"))
 
 
+def window_ids(members: DataFrame, relations: DataFrame, signals: DataFrame) -> DataFrame:
+    """(conversation_id, window, main_ids, relation_ids, signal_ids) in order of index, id and time.
+
+    members: conversation_id, window, idx, message_id, role; relations: conversation_id, window, message_id;
+    signals: conversation_id, message_id, signal_id, pos."""
+    listed = lambda df, order, value, name: df.groupBy("conversation_id", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(name))
+    main = members.where("role = 'main'")
+    told = main.join(signals.select("conversation_id", "message_id", "signal_id", "pos"), ["conversation_id", "message_id"])
+    out = listed(main, "idx", "message_id", "main_ids")
+    found = relations.select("conversation_id", "window", "message_id", F.col("message_id").alias("other"))
+    out = out.join(listed(found, "other", "message_id", "relation_ids"), ["conversation_id", "window"], "left").join(listed(told, "pos", "signal_id", "signal_ids"), ["conversation_id", "window"], "left")
+    return out.select("conversation_id", "window", "main_ids", F.coalesce("relation_ids", F.array().cast(out.schema["relation_ids"].dataType)).alias("relation_ids"), F.coalesce("signal_ids", F.array().cast("array<string>")).alias("signal_ids"))
+
+
+def expand_direct(units: DataFrame, msgs: DataFrame) -> DataFrame:
+    """(unit_id, message_id): a unit's rows, what its anchor rows reply to or quote, the rows that reply to or
+    quote those, and their other target.
+
+    units: unit_id, conversation_id, message_id, anchor (boolean)."""
+    links = direct_links(msgs)
+    anchors = units.where("anchor").select("unit_id", "conversation_id", "message_id")
+    up = anchors.join(links, ["conversation_id", "message_id"]).select("unit_id", F.col("target").alias("message_id"))
+    child = anchors.select("unit_id", "conversation_id", F.col("message_id").alias("target")).join(links, ["conversation_id", "target"])
+    child = child.select("unit_id", "conversation_id", "message_id").join(anchors, ["unit_id", "conversation_id", "message_id"], "left_anti").distinct()
+    side = child.join(links, ["conversation_id", "message_id"]).select("unit_id", F.col("target").alias("message_id"))
+    return units.select("unit_id", "message_id").union(up).union(child.select("unit_id", "message_id")).union(side).distinct()
+
+
+def order_events(events: DataFrame, msgs: DataFrame) -> DataFrame:
+    """events with pos: by the earliest time of their sources (events whose sources are unknown first), the first
+    source id and the event id; numbered over the whole table.  events: event_id, source_message_ids."""
+    from .numbering import numbered
+
+    seen = events.select("event_id", F.explode("source_message_ids").alias("message_id")).join(msgs.select("message_id", "ts"), "message_id").groupBy("event_id").agg(F.min("ts").alias("first_ts"))
+    at = events.join(seen, "event_id", "left").withColumn("first_id", F.coalesce(F.get("source_message_ids", F.lit(0)).cast("string"), F.lit("")))
+    return numbered(at, ["first_ts", "first_id", "event_id"], "pos").drop("first_id")
+
+
+def input_size(units: DataFrame, base: int = 200) -> DataFrame:
+    """(unit_id, rows, tokens, pos): the estimate of each unit's input and its place, the largest first."""
+    from evtrail.functions.text import ascii_count, tokens_of_counts
+
+    from .numbering import numbered
+
+    a = ascii_count("text")
+    per = units.groupBy("unit_id").agg(F.count("*").alias("rows"), F.sum(a).alias("a"), F.sum(F.length(F.coalesce("text", F.lit(""))) - a).alias("x"))
+    at = per.select("unit_id", "rows", tokens_of_counts(F.col("a"), F.col("x"), base).alias("tokens")).withColumn("less", -F.col("tokens"))
+    return numbered(at, ["less", "unit_id"], "pos").drop("less")
+
+
+def window_preview(members: DataFrame, msgs: DataFrame) -> DataFrame:
+    """(conversation_id, window, line, role, text): the rows of each window in order, as a listing shows them."""
+    from evtrail.functions.text import preview
+
+    line = F.row_number().over(Window.partitionBy("conversation_id", "window").orderBy("idx"))
+    at = members.join(msgs.select("conversation_id", "message_id", "text"), ["conversation_id", "message_id"])
+    return at.select("conversation_id", "window", line.alias("line"), "role", preview("text").alias("text"))
+
+
 def window_members(header: DataFrame, msgs: DataFrame, before: int = 2) -> DataFrame:
     """(conversation_id, window, message_id, role): main rows and the `before` rows ahead of them.
 
@@ -96,14 +172,15 @@ def nearest_messages(requests: DataFrame, msgs: DataFrame, direction: str, limit
     return edge.select("request_id", "conversation_id", near).join(msgs.select("conversation_id", "idx", "message_id"), ["conversation_id", "idx"])
 
 
-def reply_ancestors(starts: DataFrame, msgs: DataFrame, target: str = "reply_to", max_depth: int = 20) -> DataFrame:
-    """(start_id, message_id, depth) along reply links; a fixed number of joins, cycles end by `distinct`."""
+def reply_ancestors(starts: DataFrame, msgs: DataFrame, target: str = "reply_to") -> DataFrame:
+    """(start_id, message_id, depth) along reply links, one join a step until no new row is found; a row is
+    found once for each start, so cycles end."""
     from evtrail.scratch import written
 
     links = msgs.where(F.col(target).isNotNull()).select(F.col("message_id").alias("at"), F.col(target).alias("parent"))
     found = written(starts.select(F.col("message_id").alias("start_id"), "message_id", F.lit(0).alias("depth")), "ancestors")
     last, every = found, found
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         last = last.select("start_id", F.col("message_id").alias("at")).join(links, "at").select("start_id", F.col("parent").alias("message_id"), F.lit(depth).alias("depth")).distinct()
         last = written(last.join(every.select("start_id", "message_id"), ["start_id", "message_id"], "left_anti"), "ancestors")
         if last.isEmpty():

@@ -24,14 +24,14 @@ def j12_evidence_pairs(spark, d):
     return relations.evidence_pairs(_keys(spark, d))
 
 
-@query(f"WITH {D}, {_PAIRS} SELECT a, b, 'MSG-' || lpad(row_number() OVER (ORDER BY a, b)::VARCHAR, 3, '0') AS relation_id FROM p WHERE a < 1000000000")
+@query(f"WITH {D}, {_PAIRS} SELECT a, b, 'MSG-' || printf('%03d', row_number() OVER (ORDER BY a, b)) AS relation_id FROM p")
 def j13_relation_catalog(spark, d):
     return relations.relation_catalog(relations.evidence_pairs(_keys(spark, d)).withColumn("kind", F.lit("message"))).select("a", "b", "relation_id")
 
 
-@query(f"WITH {D} SELECT DISTINCT string_agg(draft_id, ',' ORDER BY draft_id) AS members FROM (SELECT DISTINCT draft_id, conversation FROM d) GROUP BY conversation HAVING count(*) >= 2")
+@query(f"WITH {D}, k AS (SELECT DISTINCT draft_id, conversation AS key FROM d), s AS (SELECT key, string_agg(draft_id, ',' ORDER BY draft_id) AS members FROM k GROUP BY 1 HAVING count(*) >= 2), f AS (SELECT min(key) AS key FROM s GROUP BY members) SELECT key AS set_key, draft_id FROM k JOIN f USING (key)")
 def j14_conversation_sets(spark, d):
-    return relations.conversation_sets(_keys(spark, d, "conversation")).select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    return relations.conversation_sets(_keys(spark, d, "conversation"))
 
 
 @query(f"""WITH {D}, x AS (SELECT DISTINCT draft_id, 'part' AS t, evidence::VARCHAR AS key FROM d UNION SELECT draft_id, 'file', file FROM d UNION SELECT draft_id, 'conversation', conversation::VARCHAR FROM d),
@@ -43,21 +43,20 @@ def j15_group_relations(spark, d):
     return relations.group_relations(kinds, assign).select("a", "b", "types")
 
 
-@query(f"""WITH RECURSIVE {D}, {_K}, h AS (SELECT key, min(draft_id) AS m FROM k GROUP BY 1), e AS (SELECT DISTINCT k.draft_id AS a, m AS b FROM k JOIN h USING (key) WHERE k.draft_id <> m),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT draft_id, draft_id AS c FROM k UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.draft_id WHERE r.c < s.b)
-SELECT draft_id, min(c) AS component FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {D}, {_K}, h AS (SELECT key, min(draft_id) AS m FROM k GROUP BY 1), e AS (SELECT DISTINCT k.draft_id AS a, m AS b FROM k JOIN h USING (key) WHERE k.draft_id <> m), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, c) USING KEY (id) AS (SELECT DISTINCT draft_id, draft_id FROM k UNION SELECT s.b, min(r.c) FROM r JOIN s ON s.a = r.id JOIN recurring.r AS o ON o.id = s.b WHERE r.c < o.c GROUP BY s.b)
+SELECT id AS draft_id, c AS component FROM r""")
 def g1_components(spark, d):
     keys = _keys(spark, d)
     return graph.draft_components(keys, keys)
 
 
-@query(f"""WITH {D}, g AS (SELECT conversation AS group_id, draft_id FROM (SELECT DISTINCT conversation, draft_id FROM d)), z AS (SELECT group_id, count(*) AS n FROM g GROUP BY 1),
-p AS (SELECT DISTINCT x.group_id, l.draft_id AS a, r.draft_id AS b FROM g x JOIN d l ON l.draft_id = x.draft_id JOIN g y ON y.group_id = x.group_id JOIN d r ON r.draft_id = y.draft_id AND r.evidence = l.evidence AND l.draft_id < r.draft_id)
-SELECT group_id, n = 1 OR (n = 2 AND EXISTS (SELECT 1 FROM p WHERE p.group_id = z.group_id)) AS connected FROM z WHERE n <= 2""")
+@query(f"""WITH RECURSIVE {D}, g AS (SELECT DISTINCT conversation AS g, draft_id FROM d), s AS (SELECT DISTINCT x.draft_id AS a, y.draft_id AS b FROM d x JOIN d y ON x.conversation = y.conversation AND x.evidence = y.evidence AND x.draft_id <> y.draft_id),
+r(id, c) USING KEY (id) AS (SELECT draft_id, draft_id FROM g UNION SELECT s.b, min(r.c) FROM r JOIN s ON s.a = r.id JOIN recurring.r AS o ON o.id = s.b WHERE r.c < o.c GROUP BY s.b)
+SELECT g AS group_id, count(DISTINCT c) = 1 AS connected FROM g JOIN r ON r.id = g.draft_id GROUP BY 1""")
 def g7_connected_by(spark, d):
     assign = order_drafts(spark, d).select("draft_id", F.col("conversation").alias("group_id")).distinct()
-    small = assign.groupBy("group_id").agg(F.count("*").alias("n")).where("n <= 2")
-    return graph.connected_by(assign, _keys(spark, d)).join(small, "group_id", "left_semi")
+    return graph.connected_by(assign, _keys(spark, d))
 
 
 _BEFORE, _AFTER = "SELECT o_orderkey AS draft_id, o_custkey::VARCHAR AS g FROM orders", "SELECT o_orderkey AS draft_id, o_custkey || '|' || o_orderpriority AS g FROM orders"
@@ -69,10 +68,10 @@ def _assignments(spark, d):
     return before, o.select(F.col("o_orderkey").alias("draft_id"), F.concat_ws("|", "o_custkey", "o_orderpriority").alias("group_id"))
 
 
-@query(f"""WITH b AS ({_BEFORE}), a AS ({_AFTER}), pb AS (SELECT x.draft_id AS a, y.draft_id AS b FROM b x JOIN b y ON x.g = y.g AND x.draft_id < y.draft_id), pa AS (SELECT x.draft_id AS a, y.draft_id AS b FROM a x JOIN a y ON x.g = y.g AND x.draft_id < y.draft_id)
-SELECT 'merged' AS change, count(*) AS n, min(a) AS a FROM (SELECT * FROM pa EXCEPT SELECT * FROM pb) HAVING count(*) > 0 UNION ALL SELECT 'split', count(*), min(a) FROM (SELECT * FROM pb EXCEPT SELECT * FROM pa) HAVING count(*) > 0""")
+@query(f"""WITH b AS ({_BEFORE}), a AS ({_AFTER}), pb AS (SELECT x.g, x.draft_id AS a, y.draft_id AS b FROM b x JOIN b y ON x.g = y.g AND x.draft_id < y.draft_id), pa AS (SELECT x.g, x.draft_id AS a, y.draft_id AS b FROM a x JOIN a y ON x.g = y.g AND x.draft_id < y.draft_id)
+SELECT 'merged' AS change, g AS group_id, count(*) AS pairs FROM pa ANTI JOIN pb USING (a, b) GROUP BY g UNION ALL SELECT 'split', g, count(*) FROM pb ANTI JOIN pa USING (a, b) GROUP BY g""")
 def g10_partition_diff(spark, d):
-    return graph.partition_diff(*_assignments(spark, d)).groupBy("change").agg(F.count("*").alias("n"), F.min("a").alias("a"))
+    return graph.partition_diff(*_assignments(spark, d))
 
 
 @query(f"""WITH b AS ({_BEFORE}), a AS ({_AFTER}), x AS (SELECT b.g AS o, a.g AS n FROM b JOIN a USING (draft_id))
@@ -81,13 +80,21 @@ def a27_review_metrics(spark, d):
     return metrics.review_metrics(*_assignments(spark, d))
 
 
-@query("SELECT source AS event_id, count(*) AS n FROM documents GROUP BY 1")
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 'other' ELSE 'title' END AS title, (SELECT string_agg(x.text, ' ' ORDER BY x.turn) FROM conversations x WHERE x.conv_id = c.conv_id AND (x.turn <= c.turn OR (c.conv_id % 5 = 0 AND x.turn = c.turn + 1)) AND (x.turn > 0 OR c.turn < 2 OR c.conv_id % 4 <> 0)) AS content FROM conversations c),
+k AS (SELECT *, regexp_replace(trim(content), '\\s+', ' ', 'g') AS t FROM c)
+SELECT conv_id AS event_id, count(*) AS n, count(DISTINCT title) = 1 AND (SELECT coalesce(bool_and(contains(b.t, a.t) OR contains(a.t, b.t)), true) FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.conv_id = k.conv_id) AS same FROM k GROUP BY conv_id""")
 def a1_exact_groups(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("event_id"), F.col("doc_id").alias("draft_id"), "text", F.col("lang").alias("title")).withColumnRenamed("text", "content")
-    return merge.exact_groups(docs).select("event_id", "n")
+    c = table(spark, d, "conversations")
+    late = (F.col("x.turn") <= F.col("c.turn")) | ((F.col("c.conv_id") % 5 == 0) & (F.col("x.turn") == F.col("c.turn") + 1))
+    kept = (F.col("x.turn") > 0) | (F.col("c.turn") < 2) | (F.col("c.conv_id") % 4 != 0)
+    both = c.alias("c").join(c.alias("x"), (F.col("c.conv_id") == F.col("x.conv_id")) & late & kept)
+    texts = both.groupBy("c.conv_id", "c.turn").agg(F.array_sort(F.collect_list(F.struct("x.turn", "x.text"))).alias("m"))
+    content = F.array_join(F.transform("m", lambda x: x["text"]), "  ")
+    title = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 1), "other").otherwise(" title ")
+    return merge.exact_groups(texts.select(F.col("conv_id").alias("event_id"), F.col("turn").alias("draft_id"), title.alias("title"), content.alias("content")))
 
 
-@query("SELECT source, max_by(text, (CASE WHEN length(text) <= 4000 THEN 1 ELSE 0 END)::BIGINT * 1000000000000 + least(length(text), 4000)::BIGINT * 100000000 - doc_id) AS text FROM documents GROUP BY source")
+@query("WITH c AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\r]+\\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents) SELECT source, max_by(text, (CASE WHEN length(text) <= 4000 THEN 1 ELSE 0 END)::BIGINT * 1000000000000 + least(length(text), 4000)::BIGINT * 100000000 - doc_id) AS text FROM c GROUP BY source")
 def a6_preferred_text(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(merge.preferred_text(F.col("text"), F.col("doc_id")).alias("text"))
 
@@ -103,11 +110,11 @@ def a15_merge_detail(spark, d):
     return table(spark, d, "documents").where("n_chars > 0").groupBy("lang").agg(merge.merge_detail(F.col("source")).alias("detail"))
 
 
-@query("""WITH t AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS turn, min(doc_id) OVER (PARTITION BY source, lang) AS start FROM documents)
-SELECT source AS group_id, string_agg(doc_id, chr(10) ORDER BY turn, start) AS content FROM t GROUP BY 1""")
+@query("""WITH x AS (SELECT conv_id, role, text, min(turn) AS turn FROM conversations GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r, min(turn) OVER (PARTITION BY conv_id, role) AS start FROM x),
+f AS (SELECT conv_id, text, min_by(struct_pack(r := r, start := start), r * 1000000 + start) AS o FROM t GROUP BY 1, 2) SELECT conv_id AS group_id, string_agg(text, chr(10) ORDER BY o.r, o.start) AS content FROM f GROUP BY 1""")
 def a11_balanced_content(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("group_id"), F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("content"), F.col("doc_id").alias("pos"))
-    return merge.balanced_content(docs)
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), F.col("role").alias("source"), F.col("text").alias("content"), F.col("turn").alias("pos"))
+    return merge.balanced_content(rows)
 
 
 @query("SELECT lang, round_even(avg(length(text)), 2) AS avg, round_even(median(length(text)), 2) AS median, min(length(text))::INT AS min, max(length(text))::INT AS max FROM documents GROUP BY 1")
@@ -163,9 +170,10 @@ def a29_gap_quantiles(spark, d):
     return metrics.gap_quantiles(table(spark, d, "events").select(F.col("event_type").alias("relation"), F.col("value").alias("gap")))
 
 
-@query("SELECT user_id AS call_id, count(*) AS rows, count(DISTINCT event_type) AS messages, date_diff('second', min(ts), max(ts)) >= 0 AS ordered FROM events GROUP BY 1")
+@query("SELECT user_id AS call_id, count(*) AS rows, count(DISTINCT event_type) AS messages, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM events GROUP BY 1")
 def a30_call_inputs(spark, d):
-    return metrics.call_inputs(table(spark, d, "events").select(F.col("user_id").alias("call_id"), F.col("event_type").alias("message_id"), "ts")).select("call_id", "rows", "messages", (F.col("last") >= F.col("first")).alias("ordered"))
+    calls = metrics.call_inputs(table(spark, d, "events").select(F.col("user_id").alias("call_id"), F.col("event_type").alias("message_id"), F.col("ts").cast("timestamp").alias("ts")))
+    return calls.withColumns({"first": F.unix_micros("first"), "last": F.unix_micros("last")})
 
 
 @query("SELECT user_id AS run, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'signup') THEN 'warnings' ELSE 'success' END AS status FROM events GROUP BY 1")
@@ -199,23 +207,35 @@ def v22_error_category(spark, d):
     return table(spark, d, "events").select("event_id", audit.error_category(F.col("event_type"), {"failure": ("error",), "traffic": ("click", "view")}).alias("category"))
 
 
-@query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents) SELECT doc_id, k = 1 AS kept FROM r")
+@query("WITH r AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents) SELECT doc_id, CASE WHEN k = 1 THEN lang ELSE 'manual-' || sha1(source || '|' || lang || '|' || '|' || k)[1:16] END AS event_id FROM r")
 def v19_fix_duplicate_ids(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("event_id"), F.col("lang").alias("old"), F.lit("").alias("content"), F.col("doc_id").alias("pos"))
-    return audit.fix_duplicate_ids(docs).select(F.col("pos").alias("doc_id"), (F.col("event_id") == F.col("old")).alias("kept"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("event_id"), F.lit("").alias("content"), F.col("doc_id").alias("pos"))
+    return audit.fix_duplicate_ids(docs).select(F.col("pos").alias("doc_id"), "event_id")
 
 
-@query()
+_FOLD = """
+n AS (SELECT conv_id, turn, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))::BIGINT AS a, length(text)::BIGINT AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+p AS (SELECT n.conv_id, n.turn, n.k, n.a, n.t - n.a AS x, 1::BIGINT AS batch, (n.a * 5 + 11) // 12 + n.t - n.a + 200 > 320 AS oversized FROM n WHERE k = 1
+  UNION ALL SELECT n.conv_id, n.turn, n.k, CASE WHEN f THEN p.a + n.a ELSE n.a END, CASE WHEN f THEN p.x + n.t - n.a ELSE n.t - n.a END, p.batch + CASE WHEN f THEN 0 ELSE 1 END, (n.a * 5 + 11) // 12 + n.t - n.a + 200 > 320
+  FROM p JOIN n ON n.conv_id = p.conv_id AND n.k = p.k + 1, LATERAL (SELECT ((p.a + n.a) * 5 + 11) // 12 + p.x + n.t - n.a + 200 <= 320 AS f))
+"""
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT conv_id, turn, batch, oversized FROM p")
 def w14_pack(spark, d):
-    """Tests hold it against a plain loop."""
     n = F.length(F.regexp_replace("text", r"[^\x00-\x7F]", ""))
-    return packing.pack(table(spark, d, "documents").select("source", "doc_id", n.alias("a"), (F.length("text") - n).alias("x")), ("source",), "doc_id", "a", "x", 7000)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", n.alias("a"), (F.length("text") - n).alias("x"))
+    return packing.pack(rows, ("conv_id",), "turn", "a", "x", 320).select("conv_id", "turn", "batch", "oversized")
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+@query(r"""WITH RECURSIVE p(doc_id, pos, piece, rest) AS (SELECT doc_id, 0::BIGINT, ''::VARCHAR, text FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, pos + 1, rest[1:n], rest[n + 1:] FROM p, LATERAL (SELECT CASE WHEN length(rest) <= 2000 THEN length(rest) WHEN length(regexp_extract(rest[1001:2000], '(?s)^(.*[。！？!?;；
+.])', 1)) > 0 THEN 1000 + length(regexp_extract(rest[1001:2000], '(?s)^(.*[。！？!?;；
+.])', 1)) ELSE 2000 END AS n) WHERE length(rest) > 0)
+SELECT doc_id, pos, length(piece)::INT AS n, md5(piece) AS piece FROM p WHERE pos > 0""")
 def w18_shard_content(spark, d):
-    shards = packing.shard_content(F.col("text"), 2000)
-    return table(spark, d, "documents").select("doc_id", F.array_join(shards, "").alias("text"))
+    at = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.posexplode(packing.shard_content(F.col("text"), 2000)).alias("pos", "piece"))
+    return at.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.length("piece").alias("n"), F.md5("piece").alias("piece"))
 
 
 @query(f"""WITH {D}, s AS (SELECT DISTINCT draft_id AS source_id, evidence AS m FROM d), o AS (SELECT DISTINCT conversation AS output_id, evidence AS m FROM d WHERE draft_id % 3 <> 0), n AS (SELECT source_id, count(*) AS n FROM s GROUP BY 1),
@@ -234,16 +254,15 @@ def a12_allocate_lengths(spark, d):
     return merge.allocate_lengths(rows, 20000).select("group_id", "pos", "share")
 
 
-@query("""WITH r AS (SELECT source AS g, length(text) AS n FROM documents), q AS (SELECT g, unnest(range(0, (SELECT max(n) FROM r) + 1, 1)) AS q FROM (SELECT DISTINCT g FROM r WHERE g IN ('src1', 'src2', 'src3')))
-SELECT g AS group_id, max(q)::BIGINT AS quota FROM (SELECT q.g, q.q FROM q JOIN r USING (g) GROUP BY q.g, q.q HAVING sum(least(n, q.q)) <= 20000 AND q.q <= max(n)) GROUP BY 1""")
+@query("""WITH r AS (SELECT source AS g, length(text)::BIGINT AS n FROM documents), c AS (SELECT g, n, count(*) AS k FROM r GROUP BY 1, 2), q AS (SELECT g, unnest(range(0, least(20000, max(n)) + 1)) AS q FROM r GROUP BY g)
+SELECT g AS group_id, max(q)::BIGINT AS quota FROM (SELECT g, q, sum(least(n, q) * k) AS total FROM q JOIN c USING (g) GROUP BY 1, 2) WHERE total <= 20000 GROUP BY g""")
 def a13_fit_quota(spark, d):
-    rows = table(spark, d, "documents").where("source in ('src1', 'src2', 'src3')").select(F.col("source").alias("group_id"), F.length("text").alias("length"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("group_id"), F.length("text").alias("length"))
     return packing.fit_quota(rows, 20000)
 
 
 @query()
 def w15_pack_components(spark, d):
     """Tests check that components stay whole while they fit."""
-    n = F.length("text")
-    rows = table(spark, d, "documents").select("lang", F.col("doc_id").alias("pos"), F.xxhash64("source", (F.col("doc_id") / 40).cast("int")).alias("component"), n.cast("long").alias("ascii"), F.lit(0).cast("long").alias("other"))
-    return packing.pack_components(rows, ("lang",), 7000)
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.floor(F.col("turn") / 2).alias("component"), F.length("text").cast("long").alias("ascii"), F.lit(0).cast("long").alias("other"))
+    return packing.pack_components(rows, ("conv_id",), 320)

@@ -59,17 +59,21 @@ def _drafts(spark, d):
     return table(spark, d, "documents").select("doc_id", reason.alias("retention_reason"), F.col("text").alias("content"), F.substring("text", 1, 10).alias("topic"), F.col("source").alias("object_hint"), F.substring("text", 1, 40).alias("retention_detail"))
 
 
-@query(r"""
+_RETENTION = r"""
 WITH x AS (SELECT doc_id, source AS o, lower(trim(regexp_replace(text[1:10], '\s*\n\s*', chr(10), 'g'), ' ' || chr(10))) AS t, lower(trim(regexp_replace(text, '[ ]*\n', chr(10), 'g'), ' ' || chr(10))) AS c, lower(trim(regexp_replace(text[1:40], '[ ]*\n', chr(10), 'g'), ' ' || chr(10))) AS dt FROM documents),
-y AS (SELECT *, t || ' ' || c || ' ' || dt AS three, t || ' ' || c || ' ' || dt || ' ' || o AS four FROM x)
-SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing_or_invalid_retention_reason'
+y AS (SELECT *, t || ' ' || c || ' ' || dt AS three, t || ' ' || c || ' ' || dt || ' ' || o AS four FROM x),
+z AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing_or_invalid_retention_reason'
   WHEN contains(o, 'src3') OR (contains(four, 'the') AND contains(four, 'idiot')) THEN 'personal_privacy_or_leave_event'
   WHEN contains(three, 'clown') AND NOT contains(three, 'license') THEN 'personal_social_or_reputation_event'
   WHEN (contains(four, 'moron') OR contains(four, 'loser')) AND contains(four, 'trash') AND NOT contains(four, 'license') THEN 'administrative_approval_event'
   WHEN contains(four, 'moron') AND NOT contains(four, 'license') THEN 'generic_review_completion'
   WHEN o IN ('src1', 'src2') THEN 'missing_or_generic_object_hint'
   WHEN length(dt) < 6 OR dt = t OR dt = c OR dt = o OR (length(dt) <= 16 AND dt = t || 'x') THEN 'missing_or_generic_retention_detail' ELSE '' END AS reason
-FROM y""")
+FROM y)
+"""
+
+
+@query(f"{_RETENTION} SELECT doc_id, reason FROM z")
 def f7_retention_cascade(spark, d):
     """F7 with its rules F8 to F14."""
     return _drafts(spark, d).select("doc_id", filters.retention_reason(_POLICY).alias("reason"))

@@ -10,9 +10,9 @@ from evtrail.sources.tables import table
 from .registry import query
 
 
-@query(r"SELECT page_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://[^\s)>\]]+'), lambda u: regexp_replace(regexp_replace(u, '(?:</?[A-Za-z][^>]*)+$', ''), '[)>\]}\"''，。！？、；;]+$', '')), lambda u: u <> '')))::INT AS n FROM pages")
+@query(r"SELECT page_id, array_to_string(list_distinct(list_filter(list_transform(regexp_extract_all(html, 'https?://[^\s)>\]]+'), lambda u: regexp_replace(regexp_replace(u, '(?:</?[A-Za-z][^>]*)+$', ''), '[)>\]}\"''，。！？、；;]+$', '')), lambda u: u <> '')), ' ') AS urls FROM pages")
 def x2_extract_urls(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(text.extract_urls("html")).alias("n"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.split(F.array_join(text.extract_urls("html"), " "), " ")), " ").alias("urls"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]*(feishu|larksuite)') THEN 'doc' ELSE 'normal' END AS kind FROM pages")
@@ -45,9 +45,11 @@ def x8_normalize_url(spark, d):
     return table(spark, d, "pages").select("page_id", text.normalize_url("url").alias("url"))
 
 
-@query("SELECT page_id, sha256(html) IS NOT NULL AS ok FROM pages")
+@query("SELECT page_id, page_id % 4 = 0 AS ok FROM pages")
 def x9_is_fingerprint(spark, d):
-    return table(spark, d, "pages").select("page_id", hashing.is_fingerprint(hashing.fingerprint("x", F.col("html"))).alias("ok"))
+    good = hashing.fingerprint("x", F.col("html"))
+    value = F.when(F.col("page_id") % 4 == 0, good).when(F.col("page_id") % 4 == 1, F.upper(good)).when(F.col("page_id") % 4 == 2, F.concat(good, F.lit("0"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", hashing.is_fingerprint(value).alias("ok"))
 
 
 @query("SELECT doc_id, greatest(1, (length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) * 5 + 11) // 12 + length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) + 200)::BIGINT AS tokens FROM documents")
@@ -55,7 +57,7 @@ def x13_estimate_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"))
 
 
-@query(r"WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE t[1:119] || '…' END AS preview FROM c")
+@query(r"WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\r]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(t[1:120], ' ' || chr(9) || chr(10) || chr(13)) || '...' END AS preview FROM c")
 def x15_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", text.preview("text").alias("preview"))
 
@@ -85,6 +87,6 @@ def x23_markup_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.markup_to_text("html").alias("text"))
 
 
-@query("SELECT role, CASE WHEN lower(trim(role)) IN ('p2p', 'group', 'topic') THEN lower(trim(role)) ELSE 'group' END AS mode, count(*) AS n FROM conversations GROUP BY role")
+@query("SELECT role, CASE WHEN lower(trim(role)) IN ('p2p', 'group', 'topic') THEN lower(trim(role)) ELSE '' END AS mode, count(*) AS n FROM conversations GROUP BY role")
 def x27_conversation_mode(spark, d):
     return table(spark, d, "conversations").groupBy("role", text.conversation_mode("role").alias("mode")).agg(F.count("*").alias("n"))

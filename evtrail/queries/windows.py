@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evtrail.operators import windows as W
+from evtrail.scratch import written
 from evtrail.sources.tables import EVENT_MESSAGES_SQL as M
 from evtrail.sources.tables import event_messages
 
@@ -38,7 +39,7 @@ h AS (SELECT n.conversation_id, win AS "window", count(*) AS n_anchors, sum(a.ro
 
 
 def _header(spark, d):
-    msgs = event_messages(spark, d)
+    msgs = written(event_messages(spark, d), "messages")  # numbered once, read by every branch of the joins
     return msgs, W.window_header(W.anchor_windows(msgs, GAP))
 
 
@@ -84,7 +85,7 @@ def j7_nearest_later(spark, d):
     return W.nearest_messages(requests, msgs, "later", 7).select("request_id", "message_id")
 
 
-@query(f"""WITH RECURSIVE {M}, a(start_id, message_id, depth) AS (SELECT message_id, reply_to, 1 FROM m WHERE owner AND reply_to IS NOT NULL UNION SELECT a.start_id, m.reply_to, a.depth + 1 FROM a JOIN m ON m.message_id = a.message_id WHERE m.reply_to IS NOT NULL AND a.depth < 20)
+@query(f"""WITH RECURSIVE {M}, a(start_id, message_id, depth) AS (SELECT message_id, reply_to, 1 FROM m WHERE owner AND reply_to IS NOT NULL UNION SELECT a.start_id, m.reply_to, a.depth + 1 FROM a JOIN m ON m.message_id = a.message_id WHERE m.reply_to IS NOT NULL)
 SELECT start_id, message_id, depth::INT AS depth FROM a""")
 def j4_reply_ancestors(spark, d):
     msgs = event_messages(spark, d)

@@ -6,6 +6,9 @@ there and not empty wins.  All narrow, but for the last-wins deduplication.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,10 +118,17 @@ def read_event_logs(spark, path: str) -> DataFrame:
 
 
 def event_blocks(logs: DataFrame, mark: str = "event") -> DataFrame:
-    """(path, pos, block): texts between <!-- event:start --> and the end mark, the next start, or the file's end."""
+    """(path, pos, block, manual): texts between <!-- event:start --> and the end mark, the next start, or the
+    file's end; what begins with a heading outside the marks is a block written by hand."""
     parts = F.split("body", rf"<!--\s*{mark}:start\s*-->")
-    at = logs.select("path", F.posexplode(parts).alias("pos", "block")).where("pos > 0")
-    return at.select("path", "pos", strip(F.regexp_replace("block", rf"(?s)<!--\s*{mark}:end\s*-->.*", "")).alias("block"))
+    end = rf"(?s)<!--\s*{mark}:end\s*-->"
+    at = logs.select("path", F.posexplode(parts).alias("part", "text"))
+    marked = at.where("part > 0").select("path", "part", F.lit(0).alias("k"), strip(F.regexp_replace("text", end + ".*", "")).alias("block"), F.lit(False).alias("manual"))
+    # outside: all before the first mark, and what follows the end mark of a part
+    outside = F.when(F.col("part") == 0, F.col("text")).otherwise(F.regexp_extract("text", end + "(.*)", 1))
+    loose = at.select("path", "part", F.posexplode(F.split(outside, r"(?m)^(?=## )")).alias("k", "block")).where(F.col("block").startswith("## "))
+    every = marked.union(loose.select("path", "part", F.col("k") + 1, strip("block"), F.lit(True)))
+    return every.select("path", F.row_number().over(Window.partitionBy("path").orderBy("part", "k")).alias("pos"), "block", "manual")
 
 
 def block_field(block: Column, *labels: str) -> Column:
@@ -127,6 +137,21 @@ def block_field(block: Column, *labels: str) -> Column:
     return strip(F.regexp_extract(block, rf"(?m)^\s*[-*]\s*\**(?:{names})\**\s*[:：]\s*(.*)$", 1))
 
 
+def parse_event_block(blocks: DataFrame, labels: dict[str, tuple[str, ...]], keys: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """blocks with title and one column a field: `labels` names the field's labels, old ones among them; of a field
+    in `keys` the labels found, cut at commas, become keys."""
+    from evtrail.functions.messages import labels_to_keys
+
+    title = strip(F.regexp_extract("block", r"(?m)^#{2,}\s+(?:\d+[.、]\s*)?(.*)$", 1))
+    out = blocks.withColumn("title", title)
+    for name, known in labels.items():
+        value = block_field(F.col("block"), *known)
+        if keys and name in keys:
+            value = labels_to_keys(F.filter(F.transform(F.split(value, "[,，、]"), strip), lambda x: x != ""), keys[name])
+        out = out.withColumn(name, value)
+    return out
+
+
 def classify_source(rows: DataFrame) -> DataFrame:
     """(source_file, kind): rows is (source_file, is_merged, has_metadata)."""
     return rows.groupBy("source_file").agg(F.when(F.bool_or("is_merged"), "upstream_merged").when(F.bool_or("has_metadata"), "enhanced").otherwise("legacy").alias("kind"))
@@ -149,3 +174,102 @@ def check_catalog(catalog: DataFrame) -> DataFrame:
     """One row: count, distinct types, rows with an empty name or description."""
     empty = (F.coalesce("name", F.lit("")) == "") | (F.coalesce("description", F.lit("")) == "")
     return catalog.agg(F.count("*").alias("n"), F.count_distinct("emoji_type").alias("types"), F.count_if(empty).alias("empty"))
+
+
+_CONTENT = "text string, links array<struct<url:string,title:string>>, images array<string>, mentions array<string>"
+
+
+def content_parts(content: str | None) -> tuple[str, list, list, list]:
+    """Text, links, image keys and mentioned ids of one content tree, in the order of the tree."""
+    try:
+        todo = [json.loads(content or "")]
+    except ValueError:
+        return content or "", [], [], []
+    text, links, images, mentions = [], {}, {}, {}
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo += reversed(node)
+        elif isinstance(node, dict):
+            said = str(node.get("text") or node.get("title") or "").strip()
+            tag = str(node.get("tag") or node.get("type") or "").lower()
+            if tag in ("at", "mention", "user"):
+                who = node.get("open_id") or node.get("user_id") or node.get("id")
+                if isinstance(who, str) and who.strip():
+                    mentions[who.strip()] = None
+            elif said:
+                text.append(said)
+            if url := node.get("href") or node.get("url"):
+                links[str(url)] = links.get(str(url)) or (said if tag not in ("at", "mention", "user") else "")
+            if key := node.get("image_key") or node.get("file_key"):
+                images[str(key)] = None
+            todo += reversed([v for v in node.values() if isinstance(v, (dict, list))])
+    return "\n".join(text), [{"url": u, "title": t} for u, t in links.items()], list(images), list(mentions)
+
+
+def extract_content(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with parts: text, links, images and mentions of a JSON tree of any depth; text that is no JSON is itself.
+    Spark has no type that holds itself, so batches of trees are walked in Python, tree by tree."""
+
+    @F.pandas_udf(_CONTENT)
+    def of(trees: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([content_parts(t) for t in trees], columns=["text", "links", "images", "mentions"])
+
+    return df.withColumn("parts", of(F.col(content))).withColumn("parts", F.col("parts").withField("text", clean_text("parts.text")))
+
+
+_META = "version int, self_relations array<string>, evidence_fingerprints array<string>, file_keys array<string>, source_report_owners array<string>, conversation_fingerprints array<string>, source_event_ids array<string>, source_manual_edit_types array<string>, manual_edit_type string, content_fingerprint string"
+_IDS = r"\b(?:ou|oc|om|on)_[0-9a-zA-Z]{8,}\b"
+
+
+def parse_merge_meta(block: Column, edit_types: tuple[str, ...] = ("manual_modified", "manual_unknown"), mark: str = "meta") -> Column:
+    """The metadata line of a block as a struct, null unless all of it is valid: version 1 to 3, arrays of text
+    (from version 2 on with conversations and events, in 3 with edit types), fingerprints in their form, no
+    internal ids, known edit types and the content's fingerprint in version 3."""
+    from evtrail.functions.hashing import is_fingerprint
+
+    line = F.regexp_extract(block, rf"(?m)^<!-- {mark}: (\{{.*\}}) -->$", 1)
+    kinds = F.from_json(line, "map<string,string>")
+
+    def valid(m: Column) -> Column:
+        version = m["version"]
+        listed = lambda c, since: F.when(version >= since, F.coalesce(kinds[c].isNull() | (m[c].isNotNull() & ~F.exists(m[c], lambda x: x.isNull())), F.lit(True)))
+        every = lambda c, test: F.forall(F.coalesce(m[c], F.array().cast("array<string>")), test)
+        lists = [("self_relations", 1), ("evidence_fingerprints", 1), ("file_keys", 1), ("source_report_owners", 1), ("conversation_fingerprints", 2), ("source_event_ids", 2), ("source_manual_edit_types", 3)]
+        good = version.isin(1, 2, 3)
+        for c, since in lists:
+            good = good & F.coalesce(listed(c, since), F.lit(True))
+        for c in ("evidence_fingerprints", "file_keys", "conversation_fingerprints"):
+            good = good & every(c, is_fingerprint)
+        for c in ("self_relations", "source_event_ids", "source_report_owners", "source_manual_edit_types"):
+            good = good & every(c, lambda x: ~x.rlike(_IDS))
+        edits = every("source_manual_edit_types", lambda x: x.isin(*edit_types)) & F.coalesce(m["manual_edit_type"], F.lit("")).isin("", *edit_types)
+        return F.coalesce(good & ((version < 3) | (edits & is_fingerprint(F.coalesce(m["content_fingerprint"], F.lit(""))))), F.lit(False))
+
+    meta = F.from_json(line, _META)
+    return F.when(valid(meta), meta)
+
+
+def scope_of(path: Column, root: str) -> Column:
+    """'' of a file in the root folder, the folder's name one level below; null of anything deeper or hidden."""
+    rest = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20))
+    parts = F.split(rest, "/")
+    return F.when(F.size(parts) == 1, F.when(~parts[0].startswith("."), "")).when((F.size(parts) == 2) & ~parts[0].startswith(".") & ~parts[1].startswith("."), parts[0])
+
+
+def scan_scopes(files: DataFrame, root: str, day: str, owner: str) -> DataFrame:
+    """files (path) with scope: those of the day in the root folder and its first-level folders, without hidden
+    and merged ones and the owner's own output."""
+    at = files.withColumn("scope", scope_of(F.col("path"), root)).withColumn("name", file_name_parts(F.substring_index("path", "/", -1)))
+    own = F.col("name.owner") == owner
+    return at.where(F.col("scope").isNotNull() & F.col("path").endswith(".md") & (F.col("name.day") == day) & ~F.col("name.merged") & ~own).drop("name")
+
+
+def load_catalog(spark, path: str, expected: int | None = None) -> DataFrame:
+    """The reaction catalog of a JSON file; fails unless types are unique, names and descriptions filled and, if
+    given, the number of rows is as expected."""
+    catalog = spark.read.json(path, multiLine=True)
+    found = check_catalog(catalog).first()
+    if found["n"] != found["types"] or found["empty"] or (expected is not None and found["n"] != expected):
+        raise ValueError(f"the catalog at {path} is not sound: {found}")
+    return catalog

@@ -39,9 +39,8 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(draft_id, evidence, file, conversation, source_file): drafts are orders of one month, their
-    evidence the parts, files the supplier and part, conversation the customer, source file the nation."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= '1995-03-01' and o_orderdate < '1995-04-01'")
+    """(draft_id, evidence, file, conversation, source_file): drafts are the orders, their evidence the parts, files the supplier and part, conversation the customer, source file the nation."""
+    o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     return o.join(line, o.o_orderkey == line.l_orderkey).join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("draft_id"), F.col("l_partkey").alias("evidence"), F.concat_ws(":", "l_suppkey", "l_partkey").alias("file"), F.col("o_custkey").alias("conversation"), F.col("c_nationkey").alias("source_file"))
@@ -49,6 +48,5 @@ def order_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDER_DRAFTS_SQL = """
 d AS (SELECT o_orderkey AS draft_id, l_partkey AS evidence, l_suppkey || ':' || l_partkey AS file, o_custkey AS conversation, c_nationkey AS source_file
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1995-04-01')
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey)
 """
