@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evtrail.llm import decontaminate, jaccard, quality, rolling, substring
@@ -161,18 +164,26 @@ def brute_decontaminate(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [32 << 20, 200])
-def test_decontaminate(spark, docs, texts, block):
+@pytest.mark.parametrize("nodes", [2_000_000, 200])
+def test_decontaminate(spark, docs, texts, empty, nodes):
     long = texts[-2].split()
     items = [(1, " ".join(long[100:140])), (2, "ONE, two... three!"), (3, None), (4, ""), (5, " ".join(long[105:118]).upper()), (6, "??"), (None, "one")]
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, hit string")
-    got = decontaminate.decontaminate(docs, bench, max_block_bytes=block, carry=("source", "id")).collect()
+    got = decontaminate.decontaminate(docs, bench, max_nodes=nodes, carry=("source", "id")).collect()
     want = brute_decontaminate(list(enumerate(texts)), [x for x in items if x[0] is not None])
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == want
     assert len(got) == len(texts) + 1 and all(r.rest.id == "y" for r in got)
     span = next(r for r in got if r.doc_id == 4).spans
     assert [texts[4][s.start : s.end] for s in span] == ["one two three"]
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+
+
+def test_decontaminate_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, "x " + " ".join(f"w{i}" for i in range(5000, 5010)) + " y")], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got} == {1: (200_000, 200_000), 2: (12, 10)}
 
 
 def brute_quality(t):
@@ -205,5 +216,42 @@ def test_quality_scores(spark):
     assert all(r.score == 0 for r in none)
 
 
+def brute_ratio_scores(rows, trusted, buckets):
+    """Scores by plain Python, with the hashes that the operator's functions are defined by."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    one = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    raw = lambda x: struct.pack("<q", x)
+
+    def grams(t):
+        h = [one(x) for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+        return [x % buckets for x in h] + [signed(xxhash.xxh64_intdigest(raw(b), xxhash.xxh64_intdigest(raw(a), 42))) % buckets for a, b in zip(h, h[1:], strict=False)]
+
+    every, good = Counter(), Counter()
+    for i, t in rows:
+        every.update(grams(t))
+        if i in trusted:
+            good.update(grams(t))
+    ratio = lambda b: math.log((good[b] + 1) / (sum(good.values()) + buckets)) - math.log((every[b] + 1) / (sum(every.values()) + buckets))
+    return [sum(map(ratio, grams(t))) / max(1, len(grams(t))) if good else 0.0 for _, t in rows]
+
+
+@pytest.mark.parametrize("max_broadcast", [0, 1000])
+def test_quality_scores_against_plain_python(docs, texts, max_broadcast, monkeypatch):
+    monkeypatch.setattr(quality.ratios, "__kwdefaults__", quality.ratios.__kwdefaults__ | {"max_broadcast": max_broadcast})
+    rows = [*enumerate(texts), (8, texts[8])]
+    got = quality.quality_rules(docs, docs.where("doc_id < 30"), buckets=512, threshold=0.01).collect()
+    want = brute_ratio_scores(rows, set(range(30)), 512)
+    assert len(got) == len(rows)
+    for r in got:
+        score = want[r.doc_id]
+        assert abs(r.score - score) < 1e-3 and (abs(score - 0.01) < 1e-3 or r.kept == (not r.base_failed and score >= 0.01))
+
+
+def test_quality_null_ids_and_long_texts(spark):
+    rows = [(None, "a b"), (None, None), (5, "word " * 250_000), (6, " ".join(f"w{i}" for i in range(250_000)))]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5,), (None,)], "doc_id long")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_repeat_words) for r in got) == [(0, 0, 0), (0, 2, 0), (5, 250_000, 250_000), (6, 250_000, 0)]
+
+
 def test_quality_without_rows(empty):
     assert quality.quality_rules(empty, empty).count() == 0
