@@ -1,9 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark windows.
 
-The automaton holds every window of `window` consecutive item words (an item with fewer words is
-one window).  Each text is scanned once; hits map back to words and to code points of the original.
-No shuffle: the benchmark is measured first and goes out in blocks of at most
-`max_block_bytes`, so what is broadcast has a bound whatever the size of the benchmark.
+The automaton works on words: its letters are the numbers of the benchmark's words, its patterns every
+window of `window` consecutive item words (an item with fewer words is one window).  Each text is scanned
+once; hits map back to words and to code points of the original.
+
+No shuffle: the benchmark is measured first and goes out in blocks of at most about `max_nodes` nodes of
+the automaton, whatever its size; an item too large for a block is cut into pieces that overlap by a
+window less one word.  What is broadcast and held by a worker thus has a bound; with several blocks the
+texts are scanned once for each, one block after the other.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim
+from .common import claim, written
 
 #: A-Z become lower case; of ASCII only digits and letters stay, all else separates words.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -37,36 +41,39 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [(int(starts[m.start()]) - 1, int(starts[m.end() - 1])) for m in _WORD.finditer(raw.translate(_KEEP))]
 
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[str, str], ...], window: int):
-    import ahocorasick
-
-    owners: dict[str, set[str]] = defaultdict(set)
-    for item, text in items:
-        words = normalised_words(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            owners[" " + b" ".join(words[i : i + window]).decode() + " "].add(item)
-    automaton = ahocorasick.Automaton()
-    for pattern, ids in owners.items():
-        automaton.add_word(pattern, (pattern.count(" ") - 1, tuple(sorted(ids))))
-    if owners:
-        automaton.make_automaton()
-    return automaton
-
-
-def scan_words(words: list[bytes], automaton) -> tuple[np.ndarray, set[str]]:
-    """Indexes of the hit words and the items found."""
-    hit, items = np.zeros(len(words), bool), set()
-    if words and len(automaton):
-        line = " " + b" ".join(words).decode() + " "
-        if found := list(automaton.iter(line)):
-            # the blank that ends a pattern is the (k+1)-th blank of the line, k words before it
-            blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-            last = np.searchsorted(blanks, [end for end, _ in found])
-            for k, (_, (n, ids)) in zip(last, found, strict=True):
-                hit[k - n : k] = True
+class Patterns:
+    """The automaton of a block of items (item, words)."""
+
+    def __init__(self, items: tuple[tuple[str, tuple[bytes, ...]], ...], window: int):
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        for item, words in items:
+            line = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words)
+            for i in range(max(1, len(line) - window + 1) if line else 0):
+                owners[line[i : i + window]].add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for pattern, ids in owners.items():
+            self.automaton.add_word(pattern, (len(pattern), tuple(sorted(ids))))
+        if owners:
+            self.automaton.make_automaton()
+        self.shortest = min(map(len, owners), default=0)
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Indexes of the hit words and the items found."""
+        hit, items = set(), set()
+        if self.shortest and len(words) >= self.shortest:
+            get = self.numbers.get
+            for end, (n, ids) in self.automaton.iter(tuple([get(w, 0) for w in words])):
+                hit.update(range(end - n + 1, end + 1))
                 items.update(ids)
-    return np.flatnonzero(hit), items
+        return np.array(sorted(hit), np.int64), items
+
+
+@lru_cache(maxsize=1)
+def _patterns(sent, window: int) -> Patterns:
+    return Patterns(sent.value, window)
 
 
 def decontaminate(
@@ -78,20 +85,34 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    max_block_bytes: int = 32 << 20,
+    max_nodes: int = 2_000_000,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document row: id, text, n_words, n_hit, items (sorted), spans of hit words, and
     `rest`, a struct of the `carry` columns (null without any).
 
     Null or empty texts have no words and no hits; null items have no window; repeated rows give
-    repeated results; an empty benchmark hits nothing.  spans are [start, end) in code points of
-    the original text, runs of neighbouring hit words joined.
+    repeated results; an empty benchmark hits nothing, an empty table gives no rows; very long texts
+    are scanned whole.  spans are [start, end) in code points of the original text, runs of
+    neighbouring hit words joined.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("t")).where("item is not null and t is not null")
-    total = items.agg(F.sum(F.octet_length("t")).alias("b"), F.max(F.octet_length("t")).alias("m")).first()
-    blocks = max(1, -(-(total["b"] or 0) // max_block_bytes))
+    most = max(window, max_nodes // window)  # words of a piece: each begins at most one window
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = normalised_words(text)
+                out += [(item, words[i : i + most + window - 1]) for i in range(0, max(1, len(words) - window + 1), most) if words]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.string()), pa.array([w for _, w in out], pa.list_(pa.binary()))], names=["item", "words"])
+
+    pieces = items.mapInArrow(cut, "item string, words array<binary>").distinct()
+    nodes = pieces.agg(F.sum(window * F.greatest(F.size("words") - window + 1, F.lit(1)))).first()[0] or 0
+    blocks = 1 if nodes <= max_nodes else -(-2 * nodes // max_nodes)  # dealt by hash: half full, so that none is too large
+    if blocks > 1:
+        pieces = written(pieces, "benchmark")
     at = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
         F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"),
@@ -99,17 +120,17 @@ def decontaminate(
     )
     schema = at.schema
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast(tuple(sorted((r["item"], r["t"]) for r in part.collect())))
+        part = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else pieces
+        sent = spark.sparkContext.broadcast(tuple(sorted((r["item"], tuple(bytes(w) for w in r["words"])) for r in part.collect())))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            claim("decontaminate", _automaton.cache_clear)
-            automaton = _automaton(sent.value, window)
+            claim("decontaminate", _patterns.cache_clear)
+            patterns = _patterns(sent, window)
             for batch in batches:
                 ids, texts, hits, found = (batch.column(i) for i in range(4))
                 new_hits, new_items = [], []
                 for text, old, had in zip(texts, hits, found, strict=True):
-                    hit, got = scan_words(normalised_words(text.as_py()), automaton)
+                    hit, got = patterns.scan(normalised_words(text.as_py()))
                     if old.is_valid and len(old):
                         hit = np.union1d(hit, np.array(old.as_py(), np.int64))
                     new_hits.append(hit.astype(np.int32))
@@ -117,6 +138,8 @@ def decontaminate(
                 yield pa.RecordBatch.from_arrays([ids, texts, pa.array(new_hits, pa.list_(pa.int32())), pa.array(new_items, pa.list_(pa.string())), batch.column(4)], names=["id", "text", "hit", "items", "rest"])
 
         at = at.mapInArrow(scan, schema)
+        if b < blocks - 1:  # one block's automaton in a worker at a time
+            at = written(at, "decontaminate")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
