@@ -228,10 +228,10 @@ def test_lm_codes_are_complete():
 
 
 def test_lm_words_make_up_the_text():
-    texts = [b"", b" ", b"a", b" a", b"a ", b"The  cat\nSAT\t\tb\n", b"a b"]
+    texts = [b"", b"", b" ", b"a", b"", b" a", b"a ", b"The  cat\nSAT\t\tb\n", b"a b", b""]
     w = lm.Words(texts, small_vocabulary())
-    assert len(w.rank) == len(w.gap) == len(w.case) == sum(w.sizes)
-    at = int(w.start[w.doc == 5][0])
+    assert len(w.rank) == len(w.gap) == len(w.case) == sum(w.sizes) and w.sizes.tolist() == [1, 1, 2, 2, 1, 3, 2, 5, 3, 1]
+    at = int(w.start[w.doc == 7][0])
     assert w.rank[at:].tolist()[:5] == [3, 4, -1, 1, -2] and w.case[at : at + 4].tolist() == [1, 0, 2, 0] and w.gap[at : at + 4].tolist() == [2, 1, 2, 1]
 
 
@@ -262,7 +262,7 @@ def test_lm_large_batches_are_split(spark, docs, batch_bytes):
 
 def test_lm_tables_are_summed_in_levels(spark):
     n = np.arange(2 * lm.CHUNK, dtype=np.uint32)
-    rows = [(k * lm.SLOTS + c, p, bytearray((n * (c == 0)).tobytes())) for p in (0, 1, 300, 70_000) for k in range(lm.CONTEXTS) for c in range(0, lm.SLOTS, lm.CHUNK)][:400]
+    rows = [(k * lm.SLOTS + c, p, bytearray(zlib.compress((n * (c == 0)).tobytes()))) for p in (0, 1, 300, 70_000) for k in range(lm.CONTEXTS) for c in range(0, lm.SLOTS, lm.CHUNK)][:400]
     got = lm.sum_tables(spark.createDataFrame(rows, "slice long, part long, counts binary"), 70_001)
     seen = sum(1 for x in rows if x[0] == 0)
     want = np.log((seen * n[lm.CHUNK :] + 0.4) / (seen * n[: lm.CHUNK] + 0.4))
