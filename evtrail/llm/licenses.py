@@ -1,11 +1,13 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text.  A softmax regression on hashed word n-grams (one to three words)
-separates licence families and an unknown class.  It is trained here on template sentences with
-words dropped or changed, against paragraphs of the corpus (a bounded sample) and shuffled
-template words as unknown; a temperature fitted on held-out examples calibrates it.  A family counts
-only if its probability reaches `threshold` and the paragraph contains the n-grams of one of the
-family's templates to a share of `containment`.
+Paragraphs are the lines of a text, and runs of up to `wrapped` lines in a row in which a licence text
+can be wrapped.  A softmax regression on hashed word n-grams (one to three words) separates licence
+families and an unknown class.  It is trained here on template sentences with words dropped or
+changed, against lines of the corpus (a bounded sample, those that look like licence talk among
+them), shuffled template words and templates with another family's names as unknown; a temperature
+calibrates it on examples made from templates and lines that the training has not seen.  A family
+counts only if its probability reaches `threshold` and the paragraph contains the n-grams of one of
+the family's templates to a share of `containment`.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 #: Sentences by which texts and files declare common licences.
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     "LGPL": ("Licensed under the GNU Lesser General Public License.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    "BSD": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    "BSD": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -76,27 +80,34 @@ class Classifier:
 
 
 def train(negatives: list[str], *, copies: int = 40, seed: int = 7, rounds: int = 60) -> Classifier:
-    """Fits on three quarters of the examples and calibrates on the rest."""
+    """Fits on noised templates and three quarters of the negative lines, calibrates on templates noised otherwise and
+    the other lines."""
     rng = np.random.default_rng(seed)
     vocabulary = sorted({w for p in negatives for w in words_of(p)}) or ["text"]
-    examples: list[tuple[list[str], int]] = []
+    shown: list[tuple[list[str], int]] = []
+    unseen: list[tuple[list[str], int]] = []
+
+    def noised(words: list[str], drop: float) -> list[str]:
+        kept = [w for w in words if rng.random() > drop]
+        around = [str(rng.choice(vocabulary)) for _ in range(rng.integers(0, 6))]
+        cut = int(rng.integers(0, len(around) + 1))
+        return around[:cut] + kept + around[cut:]
+
     for k, (_, texts) in enumerate(TEMPLATES.items(), 1):
         for text in texts:
             words = words_of(text)
-            examples.append((words, k))
-            for _ in range(copies):
-                kept = [w for w in words if rng.random() > 0.08]
-                around = [str(rng.choice(vocabulary)) for _ in range(rng.integers(0, 6))]
-                cut = int(rng.integers(0, len(around) + 1))
-                examples.append((around[:cut] + kept + around[cut:], k))
-            for _ in range(copies // 4):
-                examples.append(([str(w) for w in rng.permutation(words)][: max(1, len(words) // 2)], 0))
-    examples += [(words_of(p), 0) for p in negatives]
-    examples = [(w, k) for w, k in examples if w]
-    order = rng.permutation(len(examples))
-    x = [hashed(examples[i][0]) for i in order]
-    y = np.array([examples[i][1] for i in order])
-    n = max(1, len(x) * 3 // 4)
+            shown.append((words, k))
+            shown += [(noised(words, 0.08), k) for _ in range(copies)]
+            # calibration sees templates in a noise that training has not: more words gone, others in between
+            unseen += [(noised(words, 0.2), k) for _ in range(copies // 4)]
+            for pile in (shown, unseen):
+                pile += [([str(w) for w in rng.permutation(words)][: max(1, len(words) // 2)], 0) for _ in range(copies // 8)]
+    lines = [words_of(p) for p in negatives]
+    shown += [(w, 0) for i, w in enumerate(lines) if i % 4]
+    unseen += [(w, 0) for i, w in enumerate(lines) if i % 4 == 0]
+    shown, unseen = [(x, k) for x, k in shown if x], [(x, k) for x, k in unseen if x]
+    order = rng.permutation(len(shown))
+    x, y, n = [hashed(shown[i][0]) for i in order], np.array([shown[i][1] for i in order]), len(shown)
     w, b = np.zeros((DIMS, len(FAMILIES))), np.zeros(len(FAMILIES))
     seen = np.full((DIMS, 1), 1e-3)
     for step in range(rounds):
@@ -116,7 +127,7 @@ def train(negatives: list[str], *, copies: int = 40, seed: int = 7, rounds: int
             b -= 0.05 * e.mean(0)
         if step > 4 and -np.log(Classifier(w, b, 1.0).probabilities(x[:n:7])[np.arange(len(x[:n:7])), y[:n:7]] + 1e-12).mean() < 0.02:
             break
-    held, want = x[n:] or x, y[n:] if len(x) > n else y
+    held, want = [hashed(w) for w, _ in unseen], np.array([k for _, k in unseen])
     loss = {t: -np.log(Classifier(w, b, t).probabilities(held)[np.arange(len(want)), want] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
     return Classifier(w, b, min(loss, key=loss.get))
 
@@ -140,6 +151,44 @@ def classify(paragraphs: list[str], model: Classifier, threshold: float, contain
     return out
 
 
+def spans_of(text: str | None, model: Classifier, threshold: float, containment: float, wrapped: int) -> tuple[int, list[dict]]:
+    """Number of paragraphs, and the licence spans of a text: lines, then runs of lines that hold a licence only
+    together, without those that meet a span already found."""
+    lines = text.split("\n") if text else []
+    ends = np.cumsum([len(x) + 1 for x in lines]).tolist()
+    spans, taken = [], set()
+
+    def add(i: int, j: int, family: str, p: float) -> None:
+        spans.append({"line": i, "start": ends[i] - 1 - len(lines[i]), "end": ends[j] - 1, "family": family, "probability": p})
+        taken.update(range(i, j + 1))
+
+    for i, (family, p) in enumerate(classify(lines, model, threshold, containment)):
+        if family != "unknown":
+            add(i, i, family, p)
+    cues = [len(_cue_words().intersection(words_of(x))) for x in lines] if wrapped > 1 and len(lines) > 1 else []
+    for i, n in enumerate(cues):
+        # a wrapped text begins and goes on with lines of template words
+        runs = []
+        for j in range(i + 1, min(i + wrapped, len(lines))):
+            if n < 2 or i in taken or j in taken or cues[j] < 2:
+                break
+            runs.append(j)
+        for j, (family, p) in zip(runs, classify(["\n".join(lines[i : j + 1]) for j in runs], model, threshold, containment), strict=True) if runs else ():
+            if family != "unknown":
+                add(i, j, family, p)
+                break
+    return sum(1 for x in lines if x.strip()), sorted(spans, key=lambda s: s["start"])
+
+
+def sample_lines(docs: DataFrame, column: str, sample_rows: int, lines_a_row: int) -> list[str]:
+    """Distinct lines of the `sample_rows` distinct texts with the smallest hashes, from each the `lines_a_row` with
+    the smallest hashes; lines of licence talk that fit no template stay, those that do are left out."""
+    texts = docs.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"), F.col(column).alias("t")).dropDuplicates(["h", "t"]).orderBy("h", "t").limit(sample_rows)
+    each = F.slice(F.array_sort(F.transform(F.filter(F.split("t", "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, lines_a_row)
+    found = {r["x"] for r in texts.select(F.explode(F.transform(each, lambda x: x["x"])).alias("x")).distinct().collect()}
+    return sorted(x for x in found if max(confirm(words_of(x), family) for family in TEMPLATES) < 0.5)
+
+
 def scan_licenses(
     docs: DataFrame,
     *,
@@ -148,34 +197,27 @@ def scan_licenses(
     threshold: float = 0.5,
     containment: float = 0.7,
     sample_rows: int = 500,
+    lines_a_row: int = 20,
+    wrapped: int = 6,
     model: Classifier | None = None,
 ) -> DataFrame:
     """One row per document row: id, n_paragraphs and found, an array of (line, start, end, family,
     probability) in code points.  Every paragraph of every whole text is judged; only the unknown
-    class is trained on a sample, the first lines of the `sample_rows` rows with the smallest hash.
-    Null and empty texts have no paragraphs; repeated rows give repeated results.  Narrow."""
+    class is trained on a sample, whose bounds are `sample_rows` texts and `lines_a_row` lines of each.
+    Null and empty texts have no paragraphs; repeated rows give repeated results and weigh once in the
+    sample; an empty table gives no rows; columns but the two named are not looked at.  Narrow."""
     spark = docs.sparkSession
     at = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
-        first = at.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, 2000).alias("t")).orderBy("h", "t").limit(sample_rows).collect()
-        cues = re.compile(r"licen|rights|copyright|permission|\bcc\b", re.I)
-        model = train(sorted({line for r in first for line in r["t"].split("\n")[:6] if line.strip() and not cues.search(line)}))
+        model = train(sample_lines(at, "text", sample_rows, lines_a_row))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("licenses")
         for batch in batches:
-            n, found = [], []
-            for text in batch.column(1).to_pylist():
-                lines = text.split("\n") if text else []
-                ends = np.cumsum([len(x) + 1 for x in lines]).tolist()
-                n.append(sum(1 for x in lines if x.strip()))
-                spans = []
-                for i, (line, end, (family, p)) in enumerate(zip(lines, ends, classify(lines, sent.value, threshold, containment), strict=True)):
-                    if family != "unknown":
-                        spans.append({"line": i, "start": end - 1 - len(line), "end": end - 1, "family": family, "probability": p})
-                found.append(spans)
+            found = [spans_of(text, sent.value, threshold, containment, wrapped) for text in batch.column(1).to_pylist()]
             kind = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("family", pa.string()), ("probability", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, kind)], names=["id", "n_paragraphs", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], kind)], names=["id", "n_paragraphs", "found"])
 
     kind = at.schema["id"].dataType.simpleString()
     return at.mapInArrow(run, f"id {kind}, n_paragraphs long, found array<struct<line:int,start:int,end:int,family:string,probability:double>>").withColumnRenamed("id", id_col)
