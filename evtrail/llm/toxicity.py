@@ -4,7 +4,7 @@
    others, counted in Spark over the labelled training rows (a bounded sample of them, see
    `max_labelled`); the strongest `lexicon_size` become voters, along with patterns for shouting,
    direct address and strong punctuation.
-2. Label model: voters vote or abstain on every training row.  Their rates of voting in either class
+2. Label model: voters vote or abstain on every labelled training row.  Their rates of voting in either class
    and the share of toxic rows are estimated by expectation maximisation, which starts from the
    labels; voters that agree beyond what the two classes explain are taken for one source and
    share their weight, so a correlated lexicon does not count twice.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, claim
+from .common import bucket_of, claim, written
 
 PREFIXES = (4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -119,14 +119,20 @@ def train(
     min_rows: int = 3,
 ) -> Model:
     """Learns from labelled rows whose crc32(id) modulo 4 is not 2, at most about `max_labelled` of them
-    by a hash of the id (that bounds what is broadcast and what comes to the driver).  Without labels
-    of both kinds the model scores everything near 0."""
+    by a hash of the id and of the row (that bounds what is broadcast and what comes to the driver).
+    Repeated rows count once, of an id with two labels the larger; rows without id or label are not
+    learned from.  Without labels of both kinds the model scores everything near 0."""
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(bucket_of("id", 4) != 2)
     labelled = labelled.groupBy("id").agg(F.max("y").alias("y"))
     n = labelled.count()
     if n > max_labelled:  # about so many, by a hash that no order of rows changes
-        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(labelled), "id").select("text", F.col("y").cast("long"))
+        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * max_labelled / n))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(labelled), "id").dropDuplicates(["id", "text"])
+    rows = written(rows, "toxicity-rows")
+    n = rows.count()
+    if n > 2 * max_labelled:  # ids that stand there again and again with other texts
+        rows = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) < int((1 << 40) * max_labelled / n))
+    rows = rows.select("text", F.col("y").cast("long"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
@@ -177,5 +183,6 @@ def scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id and score.  Null and empty texts have no votes and get the score
-    of a text without any; repeated rows give repeated results.  Narrow: no shuffle."""
+    of a text without any; repeated rows give repeated results, an empty table none; very long texts are
+    read whole; columns but the two named are not looked at.  Narrow: no shuffle."""
     return docs.select(id_col, scorer(model)(F.col(text_col).cast("string")).alias("score"))
