@@ -51,13 +51,29 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Headers by lower-case name, the HTTP header and the payload of one record."""
+    """Headers by lower-case name, the HTTP header and the payload of one record; of a record that is no HTTP
+    message, no HTTP header and the whole block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    http, _, payload = rest[: int(headers["content-length"])].partition(b"\r\n\r\n")
+    block = rest[: int(headers["content-length"])]
+    if not headers.get("content-type", "").startswith("application/http"):
+        return headers, b"", block
+    http, _, payload = block.partition(b"\r\n\r\n")
     return headers, http, payload
 
 
+def described(headers: dict[str, str], http: bytes, payload: bytes, where: str) -> tuple[int, str]:
+    """Size and digest of a record's payload: a revisit's from its headers, any other's from its bytes, which must
+    agree with the digest and length that the headers give, if they do."""
+    length, given = _LENGTH.search(http), headers.get("warc-payload-digest", "").removeprefix("sha256:")
+    if headers.get("warc-type") == "revisit":
+        return int(length[1]) if length else 0, given
+    digest = hashlib.sha256(payload).hexdigest()
+    if (re.fullmatch("[0-9a-f]{64}", given) and given != digest) or (length and b"content-encoding" not in http.lower() and headers.get("warc-type") == "response" and int(length[1]) != len(payload)):
+        raise ValueError(f"{where}: the payload does not match its digest or length")
+    return len(payload), digest
+
+
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """Whole records from pieces of an inflated archive; holds one record and one piece."""
     held, need = bytearray(), 0
@@ -79,13 +95,16 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 def inflate(file, piece: int = 1 << 20) -> Iterator[bytes]:
     """A gzip file once from front to back, its members one after the other."""
-    d = zlib.decompressobj(31)
+    d, begun = zlib.decompressobj(31), False
     while raw := file.read(piece):
         while raw:
+            begun = True
             yield d.decompress(raw, piece)
             raw = d.unconsumed_tail
             if d.eof:
-                raw, d = d.unused_data, zlib.decompressobj(31)
+                raw, d, begun = d.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("an archive ends within a gzip member")
 
 
 def write_archives(records: DataFrame, folder: str, *, max_bytes: int = 64 << 20) -> DataFrame:
@@ -135,7 +154,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         out.write(packed)
                         offsets.append(place)
                         lengths.append(len(packed))
-                        ids.append(parse(data)[0]["warc-record-id"])
+                        ids.append(parse(data)[0].get("warc-record-id", "-"))
                         place += len(packed)
                 with files.open_output_stream(f"{root}/{name}.idx", compression=None) as index:
                     index.write("".join(f"{o} {n} {i}\n" for o, n, i in zip(offsets, lengths, ids, strict=True)).encode())
@@ -145,7 +164,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records of indexed archives: each is sought and inflated alone."""
+    """The records of indexed archives: each is sought and inflated alone.  Records of other makers (warcinfo,
+    request, responses without a length) are read as well; their page_id is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +176,9 @@ def read_records(index: DataFrame) -> DataFrame:
                     for offset, length in zip(offsets, lengths, strict=True):
                         f.seek(offset)
                         headers, http, payload = parse(zlib.decompress(f.read(length), 31))
-                        size = int(_LENGTH.search(http)[1])
-                        digest = headers["warc-payload-digest"].removeprefix("sha256:")
-                        if headers["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError(f"{path} at {offset}: the payload does not match its digest")
+                        size, digest = described(headers, http, payload, f"{path} at {offset}")
                         number = lambda x: int(m[1]) if (m := re.fullmatch(rf"<{RECORD}(-?\d+)>", x)) else None
-                        rows.append((number(headers["warc-record-id"]), headers.get("warc-target-uri"), size, digest, headers["warc-type"], number(headers.get("warc-refers-to", ""))))
+                        rows.append((number(headers.get("warc-record-id", "")), headers.get("warc-target-uri"), size, digest, headers.get("warc-type"), number(headers.get("warc-refers-to", ""))))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
@@ -172,7 +189,9 @@ def read_records(index: DataFrame) -> DataFrame:
 def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
     """Rows to write: of equal payloads of `least` bytes or more the one with the smallest id keeps
     its payload (all rows that share that id do), the others refer to it.  Null html is empty; a
-    null id stays null and is never referred to.  Digests are summed per task before the shuffle, and
+    null id stays null and is never referred to; repeated rows give a record each, under the same record id.
+    Very long payloads are whole records, an empty table gives no archive; columns but the three named are
+    not looked at.  Digests are summed per task before the shuffle, and
     a payload that many pages hold is a hot join key whose partition Spark splits."""
     at = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     at = at.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import itertools
 import math
 import re
@@ -112,6 +114,25 @@ def test_warc(spark, max_bytes, tmp_path):
     assert warc.archive(spark, pages.limit(0))[1].count() == 0
 
 
+def test_warc_of_other_makers(spark, tmp_path):
+    """A whole-stream archive with records that the writer here does not make, and damaged ones."""
+    def other(kind, block, *more):
+        return b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:1>", *more, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"Content-Type: application/http"
+    stream = other(b"warcinfo", b"software: x\r\n", b"Content-Type: application/warc-fields") + other(b"request", b"GET / HTTP/1.1\r\n\r\n", http) + other(b"response", b"HTTP/1.1 200 OK\r\n\r\nbody", http, b"WARC-Payload-Digest: sha1:ABC")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(stream))
+    index = warc.normalise(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string"), f"file://{tmp_path}/normal")
+    got = [tuple(r) for r in warc.read_records(warc.written(index, "i")).select("record_type", "payload_bytes", "payload_digest", "page_id").collect()]
+    assert [(k, n) for k, n, _, _ in got] == [("warcinfo", 13), ("request", 0), ("response", 4)] and got[2][2] == hashlib.sha256(b"body").hexdigest() and got[0][3] is None
+    whole = gzip.compress(warc.record(1, "u", b"p" * 500, "d", 500, None))
+    with pytest.raises(ValueError, match="gzip member"):
+        list(warc.inflate(io.BytesIO(whole[:-4])))
+    assert b"".join(warc.inflate(io.BytesIO(whole + whole))) == 2 * warc.record(1, "u", b"p" * 500, "d", 500, None)
+    with pytest.raises(ValueError, match="does not match"):
+        warc.described(*warc.parse(warc.record(1, "u", b"pp", hashlib.sha256(b"p").hexdigest(), 2, None)), "x")
+
+
 def test_warc_streams_any_pieces():
     records = [warc.record(i, "u", b"p" * i, "d", i, None) for i in range(40)]
     whole = b"".join(records)
@@ -129,10 +150,27 @@ def test_licenses(spark, docs, texts):
     assert families[2000] == ["MIT", "Apache-2.0"] and families[2001] == ["MIT"] and families[2002] == ["Apache-2.0"] and families[2003] == ["CC-BY-NC"] and families[2004] == ["proprietary"]
     assert not families[2005] and not families[2006] and not families[2007]
     assert all(not families[i] for i in range(len(texts)))
+    wrapped = "Kopf\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files\nmore text\n\nRedistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met"
+    again = licenses.scan_licenses(spark.createDataFrame([(1, wrapped, "y"), (1, wrapped, "y"), (None, None, "z"), (2, wrapped + "\n" + "wort " * 200_000, "y")], "doc_id long, text string, found string")).collect()
+    assert len(again) == 4 and all([(s.line, s.family) for s in r.found] == ([(1, "MIT"), (5, "BSD")] if r.doc_id else []) for r in again)
+    assert wrapped[again[0].found[0].start :].startswith("Permission") or again[0].doc_id is None
     x = got[2000].found[1]
     assert more[0][1][x.start : x.end] == lines[1] and got[0].n_paragraphs == 0 and got[2000].n_paragraphs == 3
 
 
+def test_licenses_without_rows(empty):
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_license_scan_against_plain_python(spark, docs, texts):
+    """The job gives what the plain functions give text by text with the same model."""
+    model = licenses.train(["one two three", "a b c d", "licensed to drive"], rounds=10)
+    rows = [*enumerate(texts), (8, texts[8])]
+    got = licenses.scan_licenses(docs, model=model).collect()
+    want = Counter((i, licenses.spans_of(t, model, 0.5, 0.7, 6)[0], str(licenses.spans_of(t, model, 0.5, 0.7, 6)[1])) for i, t in rows)
+    assert Counter((r.doc_id, r.n_paragraphs, str([x.asDict() for x in r.found])) for r in got) == want
+
+
 def toxic_rows(n=600):
     r = np.random.default_rng(4)
     words = [f"word{i}" for i in range(400)]
