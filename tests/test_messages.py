@@ -22,9 +22,9 @@ def test_compress_text(spark):
 
 
 def test_base_names(spark):
-    assert m.base_name("合同 V1.2（最终版）.DOCX") == "合同.docx" and m.base_name("ｒｅｐｏｒｔ_v2.pdf") == "report.pdf" and m.base_name("终版.txt") == "" and m.base_name(None) == ""
-    df = spark.createDataFrame([("a v1.txt",), (None,)], "n string")
-    assert [r[0] for r in df.select(m.attachment_base_name(F.col("n"))).collect()] == ["a.txt", ""]
+    cases = [("合同 V1.2（最终版）.DOCX", "合同.docx"), ("ｒｅｐｏｒｔ_v2.pdf", "report.pdf"), ("终版.txt", ""), (None, ""), ("a v1.txt", "a.txt"), (".v2", "."), ("Straße  x", "strasse x"), ("a_v1_v2_修订版", "a")]
+    df = spark.createDataFrame(cases, "n string, want string")
+    assert [(r.want, r.got) for r in df.select("want", m.attachment_base_name(F.col("n")).alias("got")).collect()] == [(w, w) for _, w in cases]
 
 
 def test_labels_and_links(spark):

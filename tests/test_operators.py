@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evtrail.functions import hashing, text
-from evtrail.operators import audit, filters, graph, merge, metrics, packing, relations, windows
+from evtrail.operators import audit, context, evidence, filters, graph, merge, metrics, numbering, packing, relations, windows
+from evtrail.sources import chat, sinks
 
 
 def one(spark, value, column):
@@ -106,7 +109,139 @@ def test_shards_and_excerpt(spark):
     value = "Aaaa bbbb. Cccc dddd. " * 40
     shards = one(spark, value, lambda c: packing.shard_content(c, 50))
     assert "".join(shards) == value and max(map(len, shards)) <= 50 and all(s.endswith(".") for s in shards[:-1])
-    assert len(one(spark, value, lambda c: packing.excerpt(c, 61))) == 61
+    said = "".join(f"Satz {i} 说了。" for i in range(20))
+    cut = one(spark, said, lambda c: packing.excerpt(c, 40))
+    assert cut == "Satz 0 说了。...Satz 18 说了。\nSatz 19 说了。" and len(cut) <= 40
+    assert one(spark, "x" * 50, lambda c: packing.excerpt(c, 13)) == "x" * 5 + "..." + "x" * 5
+    assert one(spark, " short ", lambda c: packing.excerpt(c, 13)) == "short" and one(spark, "long", lambda c: packing.excerpt(c, 3)) == "lon"
+    assert one(spark, "long", lambda c: packing.excerpt(c, 0)) == ""
+
+
+def test_trimmed_texts(spark):
+    assert one(spark, " ab cd ef ", lambda c: text.trim_text(c, 6)) == "ab cd..." and one(spark, "ab cd", lambda c: text.trim_text(c, 5)) == "ab cd"
+    assert one(spark, "x" * 200, text.preview) == "x" * 120 + "..." and one(spark, "x" * 200, lambda c: text.preview(c, 50)) == "x" * 50 + "..."
+    assert [one(spark, v, text.conversation_mode) for v in (" P2P ", "other", "Topic")] == ["p2p", "", "topic"]
+
+
+def test_pack_carries_on_over_batches(spark):
+    """Groups longer than an Arrow batch fold as one."""
+    r = random.Random(2)
+    sizes = {g: [r.randint(1, 9) for _ in range(n)] for g, n in (("a", 2500), ("b", 3), ("c", 900))}
+    df = spark.createDataFrame([(g, i, 0, n) for g, ns in sizes.items() for i, n in enumerate(ns)], "g string, o long, a long, x long").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = {(x.g, x.o): x.batch for x in packing.pack(df, ("g",), "o", "a", "x", 20, base=0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g, ns in sizes.items():
+        held, batch = 0, 0
+        for i, n in enumerate(ns):
+            held, batch = (held + n, batch) if batch and held + n <= 20 else (n, batch + 1)
+            assert got[g, i] == batch
+
+
+def test_pack_components_keeps_what_fits(spark):
+    r = random.Random(6)
+    rows = [("g", i, i // 3, r.randint(1, 30), 0) for i in range(60)]
+    got = packing.pack_components(spark.createDataFrame(rows, "g string, pos long, component long, ascii long, other long"), ("g",), 40, base=0).collect()
+    size = {c: sum(x[3] for x in rows if x[2] == c) for c in range(20)}
+    for c, n in size.items():
+        if (n * 5 + 11) // 12 <= 40:
+            assert len({x.batch for x in got if x.component == c}) == 1
+    for b in {x.batch for x in got}:
+        part = [x for x in got if x.batch == b]
+        assert (sum(x["ascii"] for x in part) * 5 + 11) // 12 <= 40 or len(part) == 1
+
+
+def test_split_windows(spark):
+    rows = [(w, i, 600, 0) for w, n in ((1, 37), (2, 1), (3, 5)) for i in range(n)] + [(4, 0, 90_000, 0)]
+    got = context.split_windows(spark.createDataFrame(rows, "window_id long, pos long, ascii long, other long"), 1200).collect()
+    assert sorted((x.window_id, x.pos) for x in got) == sorted(x[:2] for x in rows)
+    parts = {}
+    for x in sorted(got, key=lambda x: (x.window_id, x.pos)):
+        parts.setdefault((x.window_id, x.part), []).append(x)
+    for part in parts.values():
+        assert [x.pos for x in part] == list(range(part[0].pos, part[0].pos + len(part)))
+        assert len(part) == 1 or (sum(x["ascii"] for x in part) * 5 + 11) // 12 + 200 <= 1200
+
+
+def test_evidence_audit_against_all_subsets(spark):
+    r, rows, want = random.Random(9), [], {}
+    for g in range(25):
+        members = list(range(100 * g, 100 * g + r.randint(1, 6)))
+        pairs = sorted({tuple(sorted(r.sample(members, 2))) for _ in range(r.randint(0, 6))}) if len(members) > 1 else []
+        rows.append((g, members, pairs))
+
+        def parts(chosen, members=members):
+            find = {m: m for m in members}
+            for a, b in chosen:
+                a, b = find[a], find[b]
+                find = {k: a if v == b else v for k, v in find.items()}
+            return len(set(find.values()))
+
+        names = sorted(pairs, key=lambda p: f"{p[0]}-{p[1]}")
+        best = next(c for k in range(len(names) + 1) for c in itertools.combinations(names, k) if parts(c) == parts(names))
+        want[g] = (",".join(f"{a}-{b}" for a, b in best), parts(names))
+    assign = spark.createDataFrame([(g, m) for g, ms, _ in rows for m in ms], "group_id long, draft_id long")
+    rel = spark.createDataFrame([(f"{a}-{b}", [a, b]) for _, _, ps in rows for a, b in ps], "relation_id string, draft_ids array<long>")
+    got = {x.group_id: (x.relation_ids, x.parts) for x in evidence.evidence_audit(assign, rel).collect()}
+    assert got == want
+
+
+def test_numbers_over_a_whole_table(spark):
+    r = random.Random(1)
+    rows = [(r.choice("abc"), r.randrange(1000), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(6)
+    order = {x[2]: n for n, x in enumerate(sorted(rows, key=lambda x: (x[1], x[2])), 1)}
+    assert {x.i: x.n for x in numbering.numbered(df, ["v", "i"], "n").collect()} == order
+    got = {x.i: x.n for x in numbering.numbered(df, ["v", "i"], "n", ["k"]).collect()}
+    for k in "abc":
+        assert [got[x[2]] for x in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))] == list(range(1, sum(x[0] == k for x in rows) + 1))
+    assert numbering.numbered(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_reply_chains_longer_than_twenty_and_cycles(spark):
+    msgs = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100)], "message_id long, reply_to long")
+    got = windows.reply_ancestors(spark.createDataFrame([(39,), (100,)], "message_id long"), msgs).collect()
+    assert sorted((x.start_id, x.message_id, x.depth) for x in got) == sorted([(39, 39 - k, k) for k in range(1, 40)] + [(100, 101, 1)])
+
+
+def test_content_trees(spark):
+    tree = '{"a": [{"tag": "text", "text": " one "}, [[{"tag": "a", "href": "http://x", "text": "L"}]], {"tag": "at", "user_id": "u1", "text": "name"}], "b": {"image_key": "img_1", "text": "two"}}'
+    got = chat.extract_content(spark.createDataFrame([(tree,), ("plain",), (None,), ("[]",)], "content string")).select("parts.*").collect()
+    assert (got[0].text, got[0].links[0].url, got[0].links[0].title, got[0].images, got[0].mentions) == ("one\nL\ntwo", "http://x", "L", ["img_1"], ["u1"])
+    assert [x.text for x in got[1:]] == ["plain", "", ""]
+
+
+def test_a_collision_of_events_fails(spark):
+    rows = [("2026-01-01", ["m"], ["c"], "x")] * 2
+    drafts = spark.createDataFrame(rows, "date string, source_message_ids array<string>, source_conversation_ids array<string>, content string")
+    assert [x.collision for x in merge.build_events(drafts).collect()] == [True, True]
+    with pytest.raises(Exception, match="two events have the id"):
+        merge.checked_events(drafts).collect()
+    assert merge.checked_events(drafts.limit(1)).count() == 1
+
+
+def test_days_are_written_anew(spark, tmp_path):
+    rows = [("a", "2026-01-01", "e1"), ("a", "2026-01-01", "e2"), ("b", "2026-01-01", "e3")]
+    events = spark.createDataFrame(rows, "owner_id string, date string, event_id string")
+    days = spark.createDataFrame([("a", "2026-01-01"), ("b", "2026-01-01"), ("c", "2026-01-01")], "owner_id string, date string")
+    path = str(tmp_path / "days")
+    assert sinks.write_day(events, path, days) == 3
+    assert sinks.write_day(events.where("event_id = 'e1'"), path, days.where("owner_id = 'a'")) == 1
+    assert spark.read.parquet(path).where("not is_marker").count() == 2 and spark.read.parquet(path).where("is_marker").count() == 3
+    known = sinks.remember(events.select(sinks.input_hash("event_id").alias("fingerprint"), F.to_json(F.struct("event_id")).alias("input"), F.lit(1).alias("result"), "owner_id"))
+    assert known.columns == ["fingerprint", "input", "result"]
+
+
+def test_catalogs_are_checked(spark, tmp_path):
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('[{"emoji_type": "a", "name": "A", "description": "x"}, {"emoji_type": "b", "name": "B", "description": "y"}]')
+    bad.write_text('[{"emoji_type": "a", "name": "A", "description": "x"}, {"emoji_type": "a", "name": "", "description": "y"}]')
+    assert chat.load_catalog(spark, str(good), 2).count() == 2
+    for path, n in ((good, 3), (bad, None)):
+        with pytest.raises(ValueError, match="not sound"):
+            chat.load_catalog(spark, str(path), n)
 
 
 def test_merge_contents(spark):
