@@ -117,14 +117,20 @@ def excerpt(text: Column, limit: int, gap: str = "...") -> Column:
 
 
 def pack_components(rows: DataFrame, group: tuple[str, ...], target: int, base: int = 200) -> DataFrame:
-    """Packs whole components in the order of their first row; one over the target goes row by row.
+    """Packs whole components in the order of their first row; one over the target goes by its locked sets (column
+    locked, if there; null for none), and a locked set over the target, like a row in none, row by row.
 
     rows: the group columns, pos, component, ascii, other; adds batch."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*group, "component")
-    over = tokens_of_counts(F.sum("ascii").over(w), F.sum("other").over(w), base) > target
-    at = rows.withColumn("unit", F.when(over, F.col("pos")).otherwise(F.min("pos").over(w)))
+    def over(w) -> Column:
+        return tokens_of_counts(F.sum("ascii").over(w), F.sum("other").over(w), base) > target
+
+    w, part = Window.partitionBy(*group, "component"), F.col("pos")
+    if "locked" in rows.columns:
+        v = Window.partitionBy(*group, "component", "locked")
+        part = F.when(F.col("locked").isNull() | over(v), F.col("pos")).otherwise(F.min("pos").over(v))
+    at = rows.withColumn("unit", F.when(over(w), part).otherwise(F.min("pos").over(w)))
     units = at.groupBy(*group, "unit").agg(F.sum("ascii").alias("ascii"), F.sum("other").alias("other"))
     packed = pack(units, group, "unit", "ascii", "other", target, base=base).select(*group, "unit", "batch")
     return at.join(packed, [*group, "unit"]).drop("unit")

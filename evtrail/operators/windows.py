@@ -232,11 +232,21 @@ def anchor_segments(members: DataFrame) -> DataFrame:
     return members.join(keep, ["conversation_id", "segment"], "left_semi")
 
 
-def anchor_gaps(msgs: DataFrame) -> DataFrame:
-    """Gap in minutes and rows between neighbouring owner runs."""
+def anchor_gaps(msgs: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Gap in minutes and rows between neighbouring owner runs; with events (message_id, event_id) also relation:
+    'same' if the two runs share an event, 'different' if both have events but none in common, else
+    'unclassified'."""
     w = Window.partitionBy("conversation_id").orderBy("first")
-    runs = owner_runs(msgs).groupBy("conversation_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return runs.select("conversation_id", "run", ((F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(w))) / 60e6).alias("gap_minutes"), (F.col("first") - F.lag("last").over(w) - 1).alias("rows_between")).where("gap_minutes is not null")
+    own = owner_runs(msgs)
+    runs = own.groupBy("conversation_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    relation = []
+    if events is not None:
+        held = own.join(events, "message_id").groupBy("conversation_id", "run").agg(F.collect_set("event_id").alias("events"))
+        runs = runs.join(held, ["conversation_id", "run"], "left")
+        before = F.lag("events").over(w)
+        relation = [F.when(F.arrays_overlap("events", before), "same").when(before.isNotNull() & F.col("events").isNotNull(), "different").otherwise("unclassified").alias("relation")]
+    gap = (F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(w))) / 60e6
+    return runs.select("conversation_id", "run", gap.alias("gap_minutes"), (F.col("first") - F.lag("last").over(w) - 1).alias("rows_between"), *relation).where("gap_minutes is not null")
 
 
 def rank_stages(timings: DataFrame, top: int = 5, slow_share: float = 0.25) -> DataFrame:

@@ -117,9 +117,13 @@ def w10_segments(spark, d):
 
 
 @query(f"""WITH {M}, {_RUNS}, u AS (SELECT conversation_id, run, min(idx) AS first, max(idx) AS last, min(ts) AS first_ts, max(ts) AS last_ts FROM r WHERE owner GROUP BY 1, 2),
-g AS (SELECT conversation_id, run::BIGINT AS run, date_diff('microsecond', lag(last_ts) OVER v, first_ts) / 60e6 AS gap, first - lag(last) OVER v - 1 AS rows_between FROM u WINDOW v AS (PARTITION BY conversation_id ORDER BY first)) SELECT conversation_id, run, round(gap, 3) AS gap_minutes, rows_between::INT AS rows_between FROM g WHERE gap IS NOT NULL""")
+g AS (SELECT conversation_id, run::BIGINT AS run, date_diff('microsecond', lag(last_ts) OVER v, first_ts) / 60e6 AS gap, first - lag(last) OVER v - 1 AS rows_between FROM u WINDOW v AS (PARTITION BY conversation_id ORDER BY first)) , e AS (SELECT DISTINCT conversation_id, run::BIGINT AS run, k % 4 AS e FROM r WHERE owner AND k % 3 > 0), o AS (SELECT run_of.*, (SELECT max(p.run) FROM (SELECT DISTINCT conversation_id, run FROM r WHERE owner) p WHERE p.conversation_id = run_of.conversation_id AND p.run < run_of.run) AS before FROM (SELECT DISTINCT conversation_id, run::BIGINT AS run FROM r WHERE owner) run_of)
+SELECT conversation_id, run, round(gap, 3) AS gap_minutes, rows_between::INT AS rows_between, CASE WHEN EXISTS (SELECT 1 FROM e x JOIN e y ON x.e = y.e WHERE x.conversation_id = g.conversation_id AND y.conversation_id = g.conversation_id AND x.run = g.run AND y.run = o.before) THEN 'same'
+  WHEN EXISTS (SELECT 1 FROM e x WHERE x.conversation_id = g.conversation_id AND x.run = g.run) AND EXISTS (SELECT 1 FROM e x WHERE x.conversation_id = g.conversation_id AND x.run = o.before) THEN 'different' ELSE 'unclassified' END AS relation FROM g JOIN o USING (conversation_id, run) WHERE gap IS NOT NULL""")
 def w19_anchor_gaps(spark, d):
-    return W.anchor_gaps(event_messages(spark, d)).withColumn("gap_minutes", F.round("gap_minutes", 3))
+    msgs = written(event_messages(spark, d), "messages")
+    events = msgs.where("k % 3 > 0").select("message_id", (F.col("k") % 4).alias("event_id"))
+    return W.anchor_gaps(msgs, events).withColumn("gap_minutes", F.round("gap_minutes", 3))
 
 
 @query("WITH p AS (SELECT event_type AS stage, sum(value) AS seconds FROM events GROUP BY 1), q AS (SELECT *, seconds / sum(seconds) OVER () AS share, row_number() OVER (ORDER BY seconds DESC, stage) AS rank FROM p) SELECT stage, round(seconds, 2) AS seconds, round(share, 4) AS share, rank::INT AS rank, share >= 0.25 AS slow FROM q WHERE rank <= 5")

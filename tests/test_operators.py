@@ -153,6 +153,13 @@ def test_pack_components_keeps_what_fits(spark):
         assert (sum(x["ascii"] for x in part) * 5 + 11) // 12 <= 40 or len(part) == 1
 
 
+def test_pack_components_by_locked_sets(spark):
+    rows = [("g", i, 1, 10, 0, {0: "a", 3: "a", 1: "b", 2: "b", 4: None}[i]) for i in range(5)]
+    got = packing.pack_components(spark.createDataFrame(rows, "g string, pos long, component long, ascii long, other long, locked string"), ("g",), 10, base=0).collect()
+    batch = {x.pos: x.batch for x in got}
+    assert batch[0] == batch[3] and batch[1] == batch[2] and len(set(batch.values())) == 3
+
+
 def test_split_windows(spark):
     rows = [(w, i, 600, 0) for w, n in ((1, 37), (2, 1), (3, 5)) for i in range(n)] + [(4, 0, 90_000, 0)]
     got = context.split_windows(spark.createDataFrame(rows, "window_id long, pos long, ascii long, other long"), 1200).collect()
