@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim
+from .common import claim, slices
 
 VOCABULARY = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, *, path: str = VOCABULARY, pattern: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe", codec.cache_clear)
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             coded = []
             for i in range(0, len(batch), 64):
                 coded += c.encode(*(t or "" for t in batch.column(1)[i : i + 64].to_pylist()))

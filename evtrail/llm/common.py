@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtrail.scratch import new_path, written
 
-__all__ = ["SPACES", "SPACE_RUN", "bucket_of", "claim", "let", "new_path", "table", "written"]
+__all__ = ["SPACES", "SPACE_RUN", "bucket_of", "claim", "let", "new_path", "slices", "table", "written"]
 
 #: White space between words: the six ASCII white-space characters, as bytes.split() cuts them.
 SPACES = " \t\n\x0b\f\r"
@@ -33,6 +33,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Record batches cut small, so that what a task makes of one stays small whatever Spark sends."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 _held: dict[str, tuple[Callable[[], object], ...]] = {}
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, written
+from .common import claim, slices, written
 
 #: A-Z become lower case; of ASCII only digits and letters stay, all else separates words.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -41,6 +41,20 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [(int(starts[m.start()]) - 1, int(starts[m.end() - 1])) for m in _WORD.finditer(raw.translate(_KEEP))]
 
 
+def joined_spans(text: str | None, hit: list[int]) -> list[dict]:
+    """Spans of the hit words in the text, neighbouring words as one."""
+    out: list[dict] = []
+    if hit:
+        where, last = word_spans(text), -2
+        for w in hit:
+            if w == last + 1:
+                out[-1]["end"] = where[w][1]
+            else:
+                out.append({"start": where[w][0], "end": where[w][1]})
+            last = w
+    return out
+
+
 class Patterns:
     """The automaton of a block of items (item, words)."""
 
@@ -119,50 +133,34 @@ def decontaminate(
         (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("rest"),
     )
     schema = at.schema
+    shape = T.StructType([schema["id"], schema["text"], *T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>").fields, schema["rest"]])
     for b in range(blocks):
         part = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else pieces
         sent = spark.sparkContext.broadcast(tuple(sorted((r["item"], tuple(bytes(w) for w in r["words"])) for r in part.collect())))
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, last=b == blocks - 1) -> Iterator[pa.RecordBatch]:
             claim("decontaminate", _patterns.cache_clear)
             patterns = _patterns(sent, window)
-            for batch in batches:
+            for batch in slices(batches):
                 ids, texts, hits, found = (batch.column(i) for i in range(4))
-                new_hits, new_items = [], []
+                new_hits, new_items, n_words = [], [], []
                 for text, old, had in zip(texts, hits, found, strict=True):
-                    hit, got = patterns.scan(normalised_words(text.as_py()))
+                    words = normalised_words(text.as_py())
+                    hit, got = patterns.scan(words)
                     if old.is_valid and len(old):
                         hit = np.union1d(hit, np.array(old.as_py(), np.int64))
+                    n_words.append(len(words))
                     new_hits.append(hit.astype(np.int32))
                     new_items.append(sorted(got | set(had.as_py() or ())))
-                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(new_hits, pa.list_(pa.int32())), pa.array(new_items, pa.list_(pa.string())), batch.column(4)], names=["id", "text", "hit", "items", "rest"])
+                items = pa.array(new_items, pa.list_(pa.string()))
+                if last:
+                    spans = pa.array([joined_spans(t.as_py(), h.tolist()) for t, h in zip(texts, new_hits, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([ids, texts, pa.array(n_words, pa.int64()), pa.array([len(h) for h in new_hits], pa.int64()), items, spans, batch.column(4)], names=["id", "text", "n_words", "n_hit", "items", "spans", "rest"])
+                else:
+                    yield pa.RecordBatch.from_arrays([ids, texts, pa.array(new_hits, pa.list_(pa.int32())), items, batch.column(4)], names=["id", "text", "hit", "items", "rest"])
 
-        at = at.mapInArrow(scan, schema)
-        if b < blocks - 1:  # one block's automaton in a worker at a time
-            at = written(at, "decontaminate")
+        # the last scan reports as well; before it, one block's automaton in a worker at a time
+        at = at.mapInArrow(scan, shape) if b == blocks - 1 else written(at.mapInArrow(scan, schema), "decontaminate")
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, spans = [], []
-            for text, hit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n_words.append(len(normalised_words(text)))
-                out: list[dict] = []
-                if hit:
-                    where = word_spans(text)
-                    last = -2
-                    for w in hit:
-                        if w == last + 1:
-                            out[-1]["end"] = where[w][1]
-                        else:
-                            out.append({"start": where[w][0], "end": where[w][1]})
-                        last = w
-                spans.append(out)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array([len(h or ()) for h in batch.column(2).to_pylist()], pa.int64()), batch.column(3), pa.array(spans, kind), batch.column(4)],
-                names=["id", "text", "n_words", "n_hit", "items", "spans", "rest"],
-            )
-
-    shape = T.StructType([schema["id"], schema["text"], *T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>").fields, schema["rest"]])
-    out = at.mapInArrow(report, shape)
+    out = at
     return out.withColumnsRenamed({"id": id_col, "text": text_col} if id_col != text_col else {"id": id_col})

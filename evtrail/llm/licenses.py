@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim
+from .common import claim, slices
 
 #: Sentences by which texts and files declare common licences.
 TEMPLATES = {
@@ -214,7 +214,7 @@ def scan_licenses(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("licenses")
-        for batch in batches:
+        for batch in slices(batches):
             found = [spans_of(text, sent.value, threshold, containment, wrapped) for text in batch.column(1).to_pylist()]
             kind = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("family", pa.string()), ("probability", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], kind)], names=["id", "n_paragraphs", "found"])

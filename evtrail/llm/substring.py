@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import claim, written
+from .common import claim, slices, written
 from .rolling import BASES, window_minima, windows, word_hashes
 
 
@@ -49,7 +49,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring", rolling.clear)
-        for batch in batches:
+        for batch in slices(batches):
             n_words, sha, grams = [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 words = (text.as_py() or b"").split()
@@ -69,7 +69,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring", rolling.clear)
-        for batch in batches:
+        for batch in slices(batches):
             starts, ones, twos = [], [], []
             for text, held in zip(batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 words = text.as_py().split()
@@ -89,7 +89,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeats = each.join(lowest, ["one", "two"]).where("id > a").groupBy("key", "id").agg(F.collect_set("start").alias("starts"))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_removed, sha, spans = [], [], []
             for text, starts in zip(batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 words = text.as_py().split()

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,10 +172,10 @@ def train(
 def scorer(model: Model):
     """The score as a function of a text column."""
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
         claim("toxicity")
-        return pd.Series(np.concatenate([model.score(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)] or [np.zeros(0)]))
+        return pa.array(np.concatenate([model.score(texts[i : i + 500].to_pylist()) for i in range(0, len(texts), 500)] or [np.zeros(0)]))
 
     return of
 
