@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, let
+from .common import SPACE_RUN, let
 
 SYMBOLS = "[#*$%&|<>]"
 NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -27,8 +27,7 @@ THRESHOLD = -0.08
 
 
 def words_of(text: Column) -> Column:
-    t = F.btrim(text, F.lit(SPACES))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_RUN))
+    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
 def word_hashes(words: Column) -> Column:
