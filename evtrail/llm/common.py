@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.scratch import new_path, written
+from evtrail.scratch import drop_written, new_path, written
 
-__all__ = ["SPACES", "SPACE_RUN", "bucket_of", "claim", "let", "new_path", "slices", "table", "written"]
+__all__ = ["SPACES", "SPACE_RUN", "bucket_of", "claim", "drop_written", "let", "new_path", "slices", "table", "written"]
 
 #: White space between words: the six ASCII white-space characters, as bytes.split() cuts them.
 SPACES = " \t\n\x0b\f\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, lm, quality, secrets, substring, toxicity, warc
+from . import bpe, decontaminate, jaccard, licenses, lm, packing, quality, repair, secrets, substring, toxicity, trie, warc
 from .common import bucket_of, table
 
 
@@ -57,7 +57,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op3_licenses, op4_lm, op5_secrets, op6_toxicity, op7_jaccard, op8_bpe, op9_quality, op10_warc)}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_decontaminate, op3_licenses, op4_lm, op5_secrets, op6_toxicity, op7_jaccard, op8_bpe, op9_quality, op10_warc, op11_trie, op12_repair, op13_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -140,4 +154,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES = {"op1_substring": _OP1, "op2_decontaminate": _OP2, "op5_secrets": _secret_sql(), "op7_jaccard": _OP7, "op10_warc": _OP10}
+# crc32 of a text of ASCII characters: eight steps a character, of which the first takes the character in
+_CRC = "(4294967295 - list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(range(1, length(({0})) + 1), lambda i: [unicode(({0})[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))]), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)))"
+
+_OP11 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY pos) AS own FROM t GROUP BY 1),
+h AS (SELECT conv_id, own, {_CRC.format("conv_id::VARCHAR")} % 6 AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h], []), h.own[h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, turns[1:d] AS k, len(turns) = d AS last FROM b, unnest(range(0, len(turns) + 1)) u(d)),
+n AS (SELECT k, any_value(d)::BIGINT AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256,
+  CASE WHEN any_value(d) > 0 THEN (count(*) - 1) * length(any_value(k[d].x)) ELSE 0 END AS saves FROM p GROUP BY k),
+c AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k)),
+s AS (SELECT k[1:d] AS k, sum(saves)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM m, unnest(range(0, depth + 1)) u(d) GROUP BY 1)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN s USING (k) LEFT JOIN n q ON m.depth > 0 AND q.k = m.k[1:m.depth - 1]
+"""
+
+# an inserted turn costs 5, to delete its neighbour, or a lone s and its neighbour, 4 at most: so no cheapest repair inserts
+_OP12 = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT *, {_CRC.format("key")} % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+e AS (SELECT *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+f AS (SELECT *, CASE WHEN cut = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS pair FROM e),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'i': role[1], 'r': role, 't': text, 'f': fault}} ORDER BY pos) AS rows FROM f GROUP BY 1),
+v AS (SELECT conv_id, rows, 0 AS i, [{{'c': 0, 'e': '', 's': '', 'o': NULL::VARCHAR}}] AS best FROM g
+  UNION ALL
+  SELECT conv_id, rows, i + 1, list_filter([list_min(list_filter(list_transform(best, lambda b: CASE
+      WHEN b.s = to_s THEN {{'c': b.c + 2, 'e': b.e || 'D', 's': b.s, 'o': b.o}} END), lambda x: x IS NOT NULL) || list_filter(list_transform(best, lambda b: CASE
+      WHEN rows[i + 1].f IN (1, 2) OR to_s = '' OR NOT ((to_s = 's' AND b.s = '') OR (to_s = 'u' AND b.s <> 'u') OR (to_s = 'a' AND b.s = 'u')) THEN NULL
+      WHEN rows[i + 1].i = to_s THEN {{'c': b.c + CASE WHEN rows[i + 1].f = 3 THEN 5 ELSE 0 END, 'e': b.e || 'K', 's': to_s, 'o': coalesce(b.o || chr(10), '') || rows[i + 1].r || ':' || rows[i + 1].t}}
+      WHEN to_s <> 's' THEN {{'c': b.c + 1 + CASE WHEN rows[i + 1].f = 3 THEN 5 ELSE 0 END, 'e': b.e || 'R', 's': to_s, 'o': coalesce(b.o || chr(10), '') || CASE to_s WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || rows[i + 1].t}} END), lambda x: x IS NOT NULL))
+    FOR to_s IN ['', 's', 'u', 'a']], lambda x: x IS NOT NULL)
+  FROM v WHERE i < len(rows)),
+w AS (SELECT conv_id, list_min(list_filter(best, lambda b: b.s IN ('', 'a'))) AS b FROM v WHERE i = len(rows))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(b.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+ORACLES = {"op1_substring": _OP1, "op2_decontaminate": _OP2, "op5_secrets": _secret_sql(), "op7_jaccard": _OP7, "op10_warc": _OP10, "op11_trie": _OP11, "op12_repair": _OP12}
