@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evtrail.functions.text import clean_text, doc_token
+from evtrail.functions.text import clean_text, doc_token, strip
 
 from .numbering import numbered
+from .substrings import contains_join
 
 
 def key_counts(keys: DataFrame) -> DataFrame:
@@ -130,14 +131,15 @@ def attach_links(events: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def attach_mentioned_links(events: DataFrame, links: DataFrame, keys: tuple[str, ...] = ("owner_id", "date")) -> DataFrame:
-    """Links of the same owner and day whose URL or document token occurs in the event's text."""
-    token = doc_token("url")
-    return events.join(links.withColumn("token", token), list(keys)).where(F.col("text").contains(F.col("url")) | ((F.col("token") != "") & F.col("text").contains(F.col("token"))))
+    """Links of the same owner and day whose URL or document token occurs in the event's text, found through an index of
+    pieces (substrings.contains_join)."""
+    at = links.withColumn("token", doc_token("url"))
+    return contains_join(events, at, list(keys), [(F.col("text"), strip("url")), (F.col("text"), F.col("token"))])
 
 
 def attach_named_files(events: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Attachments of the event's conversation that its text names."""
-    return events.join(attachments, "conversation_id").where((F.col("file_name") != "") & F.lower("text").contains(F.lower("file_name")))
+    """Attachments of the event's conversation that its text names, in any case, found through an index of pieces."""
+    return contains_join(events, attachments, ["conversation_id"], [(F.lower("text"), F.lower(strip("file_name")))])
 
 
 def filter_lineage(filtered: DataFrame, sources: DataFrame) -> DataFrame:

@@ -164,12 +164,21 @@ def j19_attach_links(spark, d):
     return relations.attach_links(events, links)
 
 
-@query("SELECT p.page_id, c.conv_id FROM pages p JOIN (SELECT conv_id, conv_id % 25 AS o, 'see ' || (SELECT max(url) FROM pages x WHERE x.page_id = conv_id) || ' now' AS text FROM (SELECT DISTINCT conv_id FROM conversations)) c ON p.page_id % 25 = c.o WHERE contains(c.text, p.url)")
+_DOC_TOKEN = "nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^?#]*'), '/([A-Za-z0-9_-]{6,})/?$', 1), '')"
+
+
+@query(f"""WITH l AS (SELECT page_id, page_id % 5 AS o, url FROM pages UNION ALL SELECT page_id, page_id % 5, 'https://docs.example.org/docx/' || regexp_extract(html, '[a-z]{{6,}}', 0) || '?from=' || page_id FROM pages),
+e AS (SELECT page_id AS event_id, page_id % 5 AS o, html || ' ' || (SELECT x.url FROM pages x WHERE x.page_id = p.page_id + 5) AS text FROM pages p UNION ALL SELECT -page_id - 1, page_id % 5, html FROM pages)
+SELECT e.event_id, l.url FROM e JOIN l USING (o) WHERE contains(e.text, l.url) OR contains(e.text, {_DOC_TOKEN})""")
 def j20_attach_mentioned_links(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url")
-    events = _turns(spark, d).select("conv_id").distinct().join(pages, F.col("conv_id") == F.col("page_id")).select("conv_id", (F.col("conv_id") % 25).alias("owner_id"), F.lit("d").alias("date"), F.concat(F.lit("see "), "url", F.lit(" now")).alias("text"))
-    links = pages.select("page_id", (F.col("page_id") % 25).alias("owner_id"), F.lit("d").alias("date"), F.concat("url", F.lit("")).alias("url"))
-    return relations.attach_mentioned_links(events, links).where(F.col("text").contains(F.col("url"))).select("page_id", "conv_id")
+    pages = table(spark, d, "pages").select("page_id", "url", "html", (F.col("page_id") % 5).alias("owner_id"), F.lit("d").alias("date"))
+    # a page's text names the link five pages on; document links end in a word of their page
+    ahead = pages.select((F.col("page_id") - 5).alias("page_id"), F.concat(F.lit(" "), "url").alias("named"))
+    word = F.regexp_extract("html", "[a-z]{6,}", 0)
+    links = pages.select("owner_id", "date", "url").union(pages.select("owner_id", "date", F.concat(F.lit("https://docs.example.org/docx/"), word, F.lit("?from="), "page_id")))
+    events = pages.join(ahead, "page_id", "left").select(F.col("page_id").alias("event_id"), "owner_id", "date", F.concat("html", "named").alias("text"))
+    events = events.union(pages.select(-F.col("page_id") - 1, "owner_id", "date", "html"))
+    return relations.attach_mentioned_links(events, links).select("event_id", "url")
 
 
 @query("SELECT a.conv_id || ':' || a.turn AS event_id, b.turn AS file FROM conversations a JOIN conversations b USING (conv_id) WHERE regexp_extract(lower(b.text), '([a-z]{5,})', 1) <> '' AND contains(lower(a.text), regexp_extract(lower(b.text), '([a-z]{5,})', 1))")
