@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evtrail.scratch import written
+
 from .graph import components, connected_by, conversation_only
 from .numbering import numbered
+from .packing import fold_rows
 
 
 def review_components(groups: DataFrame, pairs: DataFrame, required: DataFrame | None = None) -> DataFrame:
@@ -43,58 +46,216 @@ def covers_group(assign: DataFrame, relations: DataFrame) -> DataFrame:
     return connected_by(assign, keys.select("draft_id", "key")).withColumnRenamed("connected", "covered")
 
 
-def evidence_audit(assign: DataFrame, relations: DataFrame, max_relations: int = 12) -> DataFrame:
-    """(group_id, relation_ids, parts, truncated): the fewest relations, then the first by id, that connect as much
-    of the group as all of them do.  A spanning forest in the order of ids is a smallest such set of
-    pairs; relations that join more than two drafts are searched, up to `max_relations` of them.
+def contained_relations(assign: DataFrame, relations: DataFrame) -> DataFrame:
+    """(group_id, relation_id, draft_id, size): the drafts of the relations that lie wholly inside a group and have two or more."""
+    each = relations.select("relation_id", F.explode("draft_ids").alias("draft_id")).distinct()
+    size = each.groupBy("relation_id").agg(F.count("*").alias("size")).where("size > 1")
+    at = each.join(assign.select("group_id", "draft_id").distinct(), "draft_id")
+    whole = at.groupBy("group_id", "relation_id").agg(F.count("*").alias("size")).join(size, ["relation_id", "size"])
+    return at.join(whole, ["group_id", "relation_id"]).select("group_id", "relation_id", "draft_id", "size")
 
-    relations: relation_id, draft_ids; one small group at a time."""
-    inside = relations.select("relation_id", F.explode("draft_ids").alias("draft_id")).join(assign.select("group_id", "draft_id"), "draft_id").groupBy("group_id", "relation_id").agg(F.sort_array(F.collect_list("draft_id")).alias("draft_ids")).where(F.size("draft_ids") > 1)
-    members = assign.groupBy("group_id").agg(F.sort_array(F.collect_list("draft_id")).alias("members"))
-    lists = inside.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("relation_id", "draft_ids"))).alias("relations"))
-    at = members.join(lists, "group_id", "left")
 
-    def parts_of(members: list, chosen: list) -> int:
-        parent = {m: m for m in members}
+class _Parts:
+    """Union-find whose roots are the smallest members."""
 
-        def root(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
+    def __init__(self):
+        self.up: dict = {}
 
-        for _, ids in chosen:
-            for other in ids[1:]:
-                parent[root(other)] = root(ids[0])
-        return len({root(m) for m in members})
+    def root(self, x):
+        while (up := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up.setdefault(up, up)
+        return x
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from itertools import combinations
+    def join(self, a, b) -> bool:
+        """Whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _forest(edges: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """The edges (group_id, relation_id, a, b) that, taken in the order of relation_id within `within`, join two parts: a
+    spanning forest, as the union-find of one group is all that a task holds."""
+
+    def make() -> Callable:
+        parts = _Parts()
+        return lambda row: (parts.join(row["a"], row["b"]),)
+
+    return fold_rows(edges, within, ("relation_id", "a", "b"), make, "kept boolean").where("kept").drop("kept")
+
+
+def relation_forest(contained: DataFrame, salts: int = 8) -> DataFrame:
+    """(group_id, relation_id, a, b): a forest of ties between drafts, from the first relations by id that join two parts of their
+    group.  Edges of a group are dealt to `salts` tasks first and each keeps the forest of its own: an edge that is in
+    no such forest is in none of the whole."""
+    hub = contained.groupBy("group_id", "relation_id").agg(F.min("draft_id").alias("a"))
+    edges = contained.join(hub, ["group_id", "relation_id"]).where("draft_id <> a").select("group_id", "relation_id", "a", F.col("draft_id").alias("b"))
+    part = F.pmod(F.xxhash64("relation_id", "b"), F.lit(salts)).cast("int")
+    return _forest(_forest(edges.withColumn("part", part), ("group_id", "part")).drop("part"), ("group_id",))
 
+
+def evidence_members(assign: DataFrame, relations: DataFrame) -> DataFrame:
+    """(group_id, draft_id, component, covered): the parts that the relations make of a group, named by their smallest draft; the
+    largest one, of equal ones the first, is covered."""
+    forest = written(relation_forest(contained_relations(assign, relations)), "forest")
+    return _members(assign, forest)
+
+
+def _members(assign: DataFrame, forest: DataFrame) -> DataFrame:
+    kinds = ", ".join(f"{c} {assign.schema[c].dataType.simpleString()}" for c in ("group_id", "draft_id")) + f", component {assign.schema['draft_id'].dataType.simpleString()}"
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, parts = None, _Parts()
+        for batch in batches:
+            out = []
+            for g, a, b in batch.itertuples(index=False, name=None):
+                if g != group:
+                    out += [(group, x, parts.root(x)) for x in list(parts.up)]
+                    group, parts = g, _Parts()
+                parts.join(a, b)
+            yield pd.DataFrame(out, columns=["group_id", "draft_id", "component"])
+        yield pd.DataFrame([(group, x, parts.root(x)) for x in list(parts.up)], columns=["group_id", "draft_id", "component"])
+
+    found = forest.select("group_id", "a", "b").repartition("group_id").sortWithinPartitions("group_id").mapInPandas(label, kinds)
+    at = assign.select("group_id", "draft_id").distinct().join(found, ["group_id", "draft_id"], "left").withColumn("component", F.coalesce("component", "draft_id"))
+    size = at.groupBy("group_id", "component").agg(F.count("*").alias("n"))
+    most = size.groupBy("group_id").agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("most"))
+    return at.join(most, "group_id").select("group_id", "draft_id", "component", (F.col("component") == F.col("most")).alias("covered"))
+
+
+def evidence_audit(assign: DataFrame, relations: DataFrame) -> DataFrame:
+    """(group_id, relation_ids, parts, covered, uncovered): the smallest set of relations that connects the group, of equally small ones
+    the first by ids; of a group that they don't connect, those that join parts in the order of ids. covered and
+    uncovered count the drafts in and out of the largest part.
+
+    relations: relation_id, draft_ids; one counts for a group that has all its drafts.  Where all relations of a group are pairs,
+    the first ones that join two parts are that set, and no group is gathered.  Larger relations are searched exactly, at any
+    number (smallest_connecting): a row then has the group's larger relations and those of its pairs that are in the
+    forest of the pairs, as no other can be in the set."""
+    contained = written(contained_relations(assign, relations), "contained")
+    forest = written(relation_forest(contained), "forest")
+    n = assign.select("group_id", "draft_id").distinct().groupBy("group_id").agg(F.count("*").alias("n"))
+    joined = forest.groupBy("group_id").agg(F.count("*").alias("edges"))
+    parts = n.join(joined, "group_id", "left").select("group_id", "n", (F.col("n") - F.coalesce("edges", F.lit(0))).alias("parts"))
+    hard = contained.where("size > 2").select("group_id").distinct().join(parts.where("parts = 1"), "group_id")
+    asked = contained.join(hard.select("group_id"), "group_id", "left_semi")
+    pairs = relation_forest(asked.where("size = 2")).select("group_id", "relation_id").join(asked, ["group_id", "relation_id"])
+    lists = asked.where("size > 2").union(pairs.select(asked.columns)).groupBy("group_id", "relation_id").agg(F.sort_array(F.collect_list("draft_id")).alias("draft_ids"))
+    lists = lists.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("relation_id", "draft_ids"))).alias("relations"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                given = [(r["relation_id"], list(r["draft_ids"])) for r in (row.relations if row.relations is not None else [])]
-                parts = parts_of(list(row.members), given)
-                best = None
-                if all(len(ids) == 2 for _, ids in given):
-                    # pairs: taking each in order that joins two parts gives the first of the smallest sets
-                    best, left = [], len(row.members)
-                    for r in given:
-                        if (now := parts_of(list(row.members), [*best, r])) < left:
-                            best, left = [*best, r], now
-                elif len(given) <= max_relations:
-                    best = next((c for k in range(len(given) + 1) for c in combinations(given, k) if parts_of(list(row.members), list(c)) == parts), None)
-                cut = best is None
-                if cut:
-                    best, left = [], len(row.members)
-                    for r in given:
-                        if (now := parts_of(list(row.members), [*best, r])) < left:
-                            best, left = [*best, r], now
-                out.append((row.group_id, ",".join(str(r[0]) for r in best), parts, cut))
-            yield pd.DataFrame(out, columns=["group_id", "relation_ids", "parts", "truncated"])
-
-    kind = assign.schema["group_id"].dataType.simpleString()
-    return at.mapInPandas(choose, f"group_id {kind}, relation_ids string, parts long, truncated boolean")
+                sets = [frozenset(r["draft_ids"]) for r in row.relations]
+                out += [(row.group_id, row.relations[i]["relation_id"]) for i in smallest_connecting(sets)]
+            yield pd.DataFrame(out, columns=["group_id", "relation_id"])
+
+    kinds = {c: contained.schema[c].dataType.simpleString() for c in ("group_id", "relation_id")}
+    found = lists.mapInPandas(choose, f"group_id {kinds['group_id']}, relation_id {kinds['relation_id']}")
+    easy = forest.select("group_id", "relation_id").distinct().join(hard.select("group_id"), "group_id", "left_anti")
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("relation_id")), lambda x: x.cast("string")), ",").alias("relation_ids")
+    chosen = easy.union(found).groupBy("group_id").agg(ids)
+    held = _members(assign, forest).groupBy("group_id").agg(F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("uncovered"))
+    return parts.join(chosen, "group_id", "left").join(held, "group_id").select("group_id", F.coalesce("relation_ids", F.lit("")).alias("relation_ids"), "parts", "covered", "uncovered")
+
+
+def smallest_connecting(sets: list[frozenset]) -> list[int]:
+    """Indexes of the smallest number of sets that connect all members of all sets, the first in the order of indexes; the sets
+    together connect them.
+
+    A set inside an earlier one is never needed.  The rest falls into blocks that share single members only, and each
+    is searched alone, with one more set at a time, no further where the sets left can't join the parts
+    in the number left or have failed from the same parts before.  The number of sets is not limited; the time grows
+    with how many of a block are needed."""
+    kept = [i for i, s in enumerate(sets) if not any(s <= sets[j] for j in range(i))]
+    return sorted(i for block in _blocks({i: sets[i] for i in kept}) for i in _search(block, sets))
+
+
+def _blocks(sets: dict[int, frozenset]) -> list[list[int]]:
+    """The sets in blocks: two are together where taking away any one member leaves a way between them."""
+    after: dict = {}
+    for i, s in sets.items():
+        for m in s:
+            after.setdefault(("m", m), []).append(("s", i))
+        after[("s", i)] = [("m", m) for m in sorted(s)]
+    number: dict = {}
+    low: dict = {}
+    label = {i: i for i in sets}
+
+    def top(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for start in after:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        open_nodes, walk = [start], [(start, None, iter(after[start]))]
+        while walk:
+            node, up, ways = walk[-1]
+            other = next(ways, None)
+            if other is None:
+                walk.pop()
+                if up is not None:
+                    low[up] = min(low[up], low[node])
+                    if low[node] >= number[up]:  # what is below hangs on `up` alone
+                        block = []
+                        while not block or block[-1] != node:
+                            block.append(open_nodes.pop())
+                        own = [i for kind, i in [*block, up] if kind == "s"]
+                        for i in own[1:]:
+                            label[top(i)] = top(own[0])
+            elif other not in number:
+                number[other] = low[other] = len(number)
+                open_nodes.append(other)
+                walk.append((other, node, iter(after[other])))
+            elif other != up:
+                low[node] = min(low[node], number[other])
+    blocks: dict[int, list[int]] = {}
+    for i in sets:
+        blocks.setdefault(top(i), []).append(i)
+    return list(blocks.values())
+
+
+def _search(block: list[int], sets: list[frozenset]) -> list[int]:
+    members = sorted(set().union(*(sets[i] for i in block)))
+    bit = {m: 1 << n for n, m in enumerate(members)}
+    masks = [sum(bit[m] for m in sets[i]) for i in block]
+    failed: dict[tuple, int] = {}
+
+    def merge(parts: tuple[int, ...], mask: int) -> tuple[int, ...]:
+        hit = [p for p in parts if p & mask]
+        return parts if len(hit) < 2 else tuple(sorted([p for p in parts if not p & mask] + [sum(hit)]))
+
+    def possible(parts: tuple[int, ...], left: int, allowed: tuple[int, ...]) -> bool:
+        """Whether `left` of the allowed sets join all parts: some part must be met, so the one that the fewest sets meet is tried."""
+        if len(parts) == 1:
+            return True
+        if left == 0 or failed.get((parts, allowed), -1) >= left:
+            return False
+        gains = {i: n for i in allowed if (n := sum(1 for p in parts if p & masks[i]) - 1) > 0}
+        if sum(sorted(gains.values(), reverse=True)[:left]) >= len(parts) - 1:
+            tried = min(([i for i in gains if p & masks[i]] for p in parts), key=len)
+            rest = list(gains)
+            for i in sorted(tried, key=lambda i: -gains[i]):
+                rest.remove(i)
+                if possible(merge(parts, masks[i]), left - 1, tuple(rest)):
+                    return True
+        failed[(parts, allowed)] = left
+        return False
+
+    parts, chosen, allowed = tuple(1 << n for n in range(len(members))), [], tuple(range(len(masks)))
+    size = next((k for k in range(len(masks) + 1) if possible(parts, k, allowed)), None)
+    if size is None:
+        raise ValueError("the sets don't connect their members")
+    for left in range(size - 1, -1, -1):  # the first set that some solution goes on from
+        for i in allowed:
+            if len(now := merge(parts, masks[i])) < len(parts) and possible(now, left, tuple(j for j in allowed if j > i)):
+                break
+        parts, chosen, allowed = now, [*chosen, block[i]], tuple(j for j in allowed if j > i)
+    return chosen
 
 
 def audit_resolutions(relations: DataFrame, resolutions: DataFrame, assign: DataFrame) -> DataFrame:

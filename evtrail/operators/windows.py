@@ -7,8 +7,6 @@ Conversation windows partition by conversation; foreign rows enter them only as
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,20 +171,25 @@ def nearest_messages(requests: DataFrame, msgs: DataFrame, direction: str, limit
 
 
 def reply_ancestors(starts: DataFrame, msgs: DataFrame, target: str = "reply_to") -> DataFrame:
-    """(start_id, message_id, depth) along reply links, one join a step until no new row is found; a row is
-    found once for each start, so cycles end."""
+    """(start_id, message_id, depth): what each start replies to, what that replies to and so on; depth is the smallest number of steps.
+
+    Links of 1, 2, 4, ... steps: a round puts one behind all that is found so far and joins the links with themselves, so that
+    rounds grow with the logarithm of the depth.  A row is found once for each start, which ends cycles."""
     from evtrail.scratch import written
 
-    links = msgs.where(F.col(target).isNotNull()).select(F.col("message_id").alias("at"), F.col(target).alias("parent"))
-    found = written(starts.select(F.col("message_id").alias("start_id"), "message_id", F.lit(0).alias("depth")), "ancestors")
-    last, every = found, found
-    for depth in count(1):
-        last = last.select("start_id", F.col("message_id").alias("at")).join(links, "at").select("start_id", F.col("parent").alias("message_id"), F.lit(depth).alias("depth")).distinct()
-        last = written(last.join(every.select("start_id", "message_id"), ["start_id", "message_id"], "left_anti"), "ancestors")
-        if last.isEmpty():
-            break
-        every = every.union(last)
-    return every.where("depth > 0")
+    links = written(msgs.where(F.col(target).isNotNull()).select(F.col("message_id").alias("at"), F.col(target).alias("parent")).distinct(), "ancestor-links")
+    begin = starts.select(F.col("message_id").alias("at")).distinct()
+    found = written(begin.join(links, "at").where("at <> parent").select(F.col("at").alias("start_id"), F.col("parent").alias("message_id"), F.lit(1).alias("depth")), "ancestors")
+    step = 1
+    while True:
+        ahead = found.join(links, found.message_id == links.at).where("start_id <> parent").select("start_id", F.col("parent").alias("message_id"), (F.col("depth") + step).alias("depth"))
+        more = ahead.groupBy("start_id", "message_id").agg(F.min("depth").alias("depth")).join(found.select("start_id", "message_id"), ["start_id", "message_id"], "left_anti")
+        more = written(more, "ancestors")
+        if more.isEmpty():
+            return found
+        found, step = found.union(more), 2 * step
+        twice = links.select(F.col("at").alias("from"), F.col("parent").alias("at")).join(links, "at").select(F.col("from").alias("at"), "parent").distinct()
+        links = written(twice, "ancestor-links")
 
 
 def trim_conversation(msgs: DataFrame, k: int, priority: Column) -> DataFrame:

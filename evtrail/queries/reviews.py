@@ -101,11 +101,30 @@ def v4_repair_status(spark, d):
     return evidence.repair_status(before, after)
 
 
-@query()
+_TIES = f"""WITH RECURSIVE {D}, m AS (SELECT DISTINCT conversation AS g, draft_id FROM d), k AS (SELECT DISTINCT conversation AS g, draft_id, evidence FROM d),
+e AS (SELECT DISTINCT x.g, x.draft_id AS a, y.draft_id AS b, x.draft_id || '-' || y.draft_id AS id FROM k x JOIN k y ON x.g = y.g AND x.evidence = y.evidence AND x.draft_id < y.draft_id)"""
+
+
+@query(f"""{_TIES}, l AS (SELECT g, list(draft_id ORDER BY draft_id) AS ms, range(1, count(*) + 1) AS own FROM m GROUP BY 1), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS n FROM e),
+f AS (SELECT g, ms, own, 0 AS n, ''::VARCHAR AS ids FROM l UNION ALL SELECT g, ms, CASE WHEN x = y THEN own ELSE list_transform(own, lambda v: CASE WHEN v = greatest(x, y) THEN least(x, y) ELSE v END) END, f.n + 1,
+  CASE WHEN x = y THEN ids WHEN ids = '' THEN id ELSE ids || ',' || id END FROM (SELECT f.*, o.id, own[list_position(ms, a)] AS x, own[list_position(ms, b)] AS y FROM f JOIN o ON o.g = f.g AND o.n = f.n + 1) f),
+z AS (SELECT g, arg_max(own, n) AS own, arg_max(ids, n) AS ids FROM f GROUP BY 1)
+SELECT g AS group_id, ids AS relation_ids, len(list_distinct(own)) AS parts, list_max(map_values(list_histogram(own)))::BIGINT AS covered, len(own) - list_max(map_values(list_histogram(own)))::BIGINT AS uncovered FROM z""")
 def g6_evidence_audit(spark, d):
-    """Fewest relations that connect each customer's orders; tests hold it against all subsets."""
+    assign, rel = _ties(spark, d)
+    return evidence.evidence_audit(assign, rel)
+
+
+@query(f"""{_TIES}, s AS (SELECT g, a, b FROM e UNION SELECT g, b, a FROM e), r(g, id, c) USING KEY (g, id) AS (SELECT g, draft_id, draft_id FROM m UNION SELECT s.g, s.b, min(r.c) FROM r JOIN s ON s.g = r.g AND s.a = r.id JOIN recurring.r AS o ON o.g = s.g AND o.id = s.b WHERE r.c < o.c GROUP BY s.g, s.b),
+n AS (SELECT g, c, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT g, arg_min(c, (-n, c)) AS c FROM n GROUP BY 1)
+SELECT r.g AS group_id, r.id AS draft_id, r.c AS component, r.c = t.c AS covered FROM r JOIN t USING (g)""")
+def g6_evidence_members(spark, d):
+    return evidence.evidence_members(*_ties(spark, d))
+
+
+def _ties(spark, d):
+    """Orders of a customer are a group, a part that two of its orders have ties them."""
     rows = order_drafts(spark, d)
     assign = rows.select("draft_id", F.col("conversation").alias("group_id")).distinct()
     keys = rows.select("draft_id", F.concat_ws("|", "conversation", "evidence").alias("key")).distinct()
-    rel = relations.key_pairs(keys).select("a", "b").distinct().select(F.concat_ws("-", "a", "b").alias("relation_id"), F.array("a", "b").alias("draft_ids"))
-    return evidence.evidence_audit(assign, rel)
+    return assign, relations.key_pairs(keys).select("a", "b").distinct().select(F.concat_ws("-", "a", "b").alias("relation_id"), F.array("a", "b").alias("draft_ids"))

@@ -83,5 +83,8 @@ def test_evidence_audit(spark):
     assign = spark.createDataFrame([("g", i) for i in range(4)], "group_id string, draft_id long")
     rel = spark.createDataFrame([("a", [0, 1]), ("b", [1, 2]), ("c", [0, 1, 2]), ("d", [2, 9])], "relation_id string, draft_ids array<long>")
     r = evidence.evidence_audit(assign, rel).first()
-    assert (r.relation_ids, r.parts, r.truncated) == ("c", 2, False)
-    assert evidence.evidence_audit(assign, rel, max_relations=1).first().relation_ids == "a,b"
+    assert (r.relation_ids, r.parts, r.covered, r.uncovered) == ("a,b", 2, 3, 1)  # not connected: in order; d is not inside
+    r = evidence.evidence_audit(assign.where("draft_id < 3"), rel).first()
+    assert (r.relation_ids, r.parts) == ("c", 1)
+    got = {x.draft_id: (x.component, x.covered) for x in evidence.evidence_members(assign, rel).collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, True), 3: (3, False)}

@@ -195,6 +195,52 @@ def test_evidence_audit_against_all_subsets(spark):
     assert got == want
 
 
+def joined(sets, chosen, members):
+    parts = [{m} for m in members]
+    for i in chosen:
+        hit = [p for p in parts if p & sets[i]]
+        parts = [p for p in parts if not p & sets[i]] + ([set().union(*hit)] if hit else [])
+    return len(parts)
+
+
+def test_smallest_connecting_sets_against_all_subsets():
+    r, done = random.Random(3), 0
+    while done < 300:
+        members = list(range(r.randint(2, 9)))
+        sets = [frozenset(r.sample(members, min(len(members), r.choice([2, 2, 3, 4])))) for _ in range(r.randint(1, 12))]
+        if joined(sets, range(len(sets)), set().union(*sets)) > 1:
+            continue
+        done += 1
+        best = next(c for k in range(len(sets) + 1) for c in itertools.combinations(range(len(sets)), k) if joined(sets, c, set().union(*sets)) == 1)
+        assert tuple(evidence.smallest_connecting(sets)) == best
+
+
+def test_larger_relations_at_any_number(spark):
+    r, rows, want = random.Random(5), [], {}
+    for g in range(12):
+        members = list(range(100 * g, 100 * g + r.randint(5, 9)))
+        sets = sorted({tuple(sorted(r.sample(members, r.choice([2, 2, 3, 3, 4])))) for _ in range(r.randint(14, 20))})
+        names = [f"r{g:02}-{i:02}" for i in range(len(sets))]
+        rows += [(g, members, n, list(s)) for n, s in zip(names, sets, strict=True)]
+        sets = [frozenset(s) for s in sets]
+        parts = joined(sets, range(len(sets)), members)
+        if parts == 1:
+            best = next(c for k in range(len(sets) + 1) for c in itertools.combinations(range(len(sets)), k) if joined(sets, c, members) == 1)
+        else:
+            best = [i for i in range(len(sets)) if joined(sets, range(i + 1), members) < joined(sets, range(i), members)]
+        want[g] = (",".join(names[i] for i in best), parts)
+    # nine drafts, thirteen relations, of which the last two are enough
+    many = [[0, 1], [1, 2], [2, 3], [3, 4], [4, 5], [5, 6], [6, 7], [7, 8], [0, 8], [1, 3], [2, 4], [0, 1, 2, 3, 4], [4, 5, 6, 7, 8]]
+    rows += [(50, [9000 + i for i in range(9)], f"r{n:02}", [9000 + i for i in ids]) for n, ids in enumerate(many)]
+    want[50] = ("r11,r12", 1)
+    assign = spark.createDataFrame(sorted({(g, m) for g, ms, _, _ in rows for m in ms}), "group_id long, draft_id long")
+    rel = spark.createDataFrame([(n, ids) for _, _, n, ids in rows], "relation_id string, draft_ids array<long>")
+    got = {x.group_id: (x.relation_ids, x.parts) for x in evidence.evidence_audit(assign, rel).collect()}
+    assert got == want
+    assert evidence.evidence_audit(assign.limit(0), rel).count() == 0
+    assert {x.parts for x in evidence.evidence_audit(assign.where("group_id = 50"), rel.limit(0)).collect()} == {9}
+
+
 def test_numbers_over_a_whole_table(spark):
     r = random.Random(1)
     rows = [(r.choice("abc"), r.randrange(1000), i) for i in range(3000)]
@@ -213,6 +259,39 @@ def test_reply_chains_longer_than_twenty_and_cycles(spark):
     assert sorted((x.start_id, x.message_id, x.depth) for x in got) == sorted([(39, 39 - k, k) for k in range(1, 40)] + [(100, 101, 1)])
 
 
+def test_a_chain_of_five_thousand_replies(spark, monkeypatch):
+    from evtrail import scratch
+
+    tables, real = [], scratch.written
+
+    def counted(df, what, rows=None):
+        tables.append(what)
+        return real(df, what, rows)
+
+    monkeypatch.setattr(scratch, "written", counted)
+    msgs = spark.range(5001).select(F.col("id").alias("message_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("reply_to"))
+    got = windows.reply_ancestors(spark.createDataFrame([(5000,), (7,)], "message_id long"), msgs)
+    assert got.groupBy("start_id").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.sum("message_id").alias("s")).orderBy("start_id").collect() == [(7, 7, 7, 21), (5000, 5000, 5000, 5000 * 4999 // 2)]
+    assert tables.count("ancestors") <= 15  # one to begin with, and fourteen rounds
+
+
+def test_ancestors_against_a_walk(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice([None, r.randrange(60)])) for i in range(60)] + [(5, 9), (5, 11)]  # some ids twice, many cycles
+    up = {}
+    for i, p in rows:
+        up.setdefault(i, set()).update({p} - {None})
+    want = []
+    for start in range(0, 60, 3):
+        seen, at, depth = {start}, {start}, 0
+        while at:
+            at, depth = {p for x in at for p in up.get(x, ())} - seen, depth + 1
+            want += [(start, p, depth) for p in at]
+            seen |= at
+    got = windows.reply_ancestors(spark.createDataFrame([(i,) for i in range(0, 60, 3)], "message_id long"), spark.createDataFrame(rows, "message_id long, reply_to long")).collect()
+    assert sorted((x.start_id, x.message_id, x.depth) for x in got) == sorted(want)
+
+
 def test_content_trees(spark):
     tree = '{"a": [{"tag": "text", "text": " one "}, [[{"tag": "a", "href": "http://x", "text": "L"}]], {"tag": "at", "user_id": "u1", "text": "name"}], "b": {"image_key": "img_1", "text": "two"}}'
     got = chat.extract_content(spark.createDataFrame([(tree,), ("plain",), (None,), ("[]",)], "content string")).select("parts.*").collect()
