@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evtrail.functions.text import tokens_of_counts
 
-from .windows import nearest_messages
+from .windows import direct_links, nearest_messages
 
 
 def messages_by_id(ids: DataFrame, msgs: DataFrame) -> DataFrame:
@@ -37,16 +37,43 @@ def valid_requests(requests: DataFrame, members: DataFrame, types: tuple[str, ..
     return requests.where(F.col("request_type").isin(*types)).join(good.select("request_id"), "request_id", "left_semi")
 
 
-def expand_context(requests: DataFrame, msgs: DataFrame, cap: int = 7) -> DataFrame:
-    """(request_id, conversation_id, message_id): nearest rows in the asked direction, then rows that those
-    reply to; requests: request_id, request_type, conversation_id, idx."""
-    near = None
-    for kind in ("earlier", "later"):
-        part = nearest_messages(requests.where(F.col("request_type") == kind), msgs, kind, cap)
-        near = part if near is None else near.union(part)
-    near = near.select("request_id", "conversation_id", "message_id")
-    parents = near.join(msgs.where("reply_to is not null").select("conversation_id", "message_id", "reply_to"), ["conversation_id", "message_id"]).select("request_id", "conversation_id", F.col("reply_to").alias("message_id"))
-    return near.union(parents).distinct()
+def expand_context(slices: DataFrame, requests: DataFrame, msgs: DataFrame, blocks: DataFrame | None = None, cap: int = 7, rounds: int = 2) -> DataFrame:
+    """(slice_id, round, kind, message_id, block_id): what the requests of each round add to their slices.
+
+    A round takes texts first (kinds attachment and linked_text, with their block_id), then for each slice and direction the `cap` rows
+    before its first or behind its last target (temporal), then what these reply to or quote (relation); a row
+    comes once.  A target has to be in its slice when its round begins, so rows of round one can be targets of round two.
+
+    slices: slice_id, conversation_id, message_id; requests: slice_id, round, request_type (earlier, later, attachment, linked_text),
+    message_id (a row a target), block_id (the text that is asked for); msgs: conversation_id, message_id, idx, reply_to
+    and quote_to, if there; blocks: kind, message_id, block_id.  A job a round, whatever the number of slices."""
+    from evtrail.scratch import written
+
+    known = slices.select("slice_id", "conversation_id", "message_id").distinct()
+    place = msgs.select("conversation_id", "message_id", "idx")
+    links = direct_links(msgs)
+    out, held = [], None
+    for n in range(1, rounds + 1):
+        asked = requests.where(F.col("round") == n).join(known, ["slice_id", "message_id"])
+        if blocks is not None:
+            texts = asked.where("block_id is not null").join(blocks.select(F.col("kind").alias("request_type"), "message_id", "block_id"), ["request_type", "message_id", "block_id"])
+            texts = texts.select("slice_id", F.col("request_type").alias("kind"), "message_id", "block_id").distinct()
+            fresh = texts if held is None else texts.join(held, ["slice_id", "kind", "block_id"], "left_anti").select(texts.columns)
+            # a block belongs to the message that asks for it first
+            fresh = written(fresh.groupBy("slice_id", "kind", "block_id").agg(F.min("message_id").alias("message_id")), "context-texts")
+            held = fresh.select("slice_id", "kind", "block_id") if held is None else held.union(fresh.select("slice_id", "kind", "block_id"))
+            out.append(fresh.select("slice_id", F.lit(n).alias("round"), "kind", "message_id", "block_id"))
+        targets = asked.join(place, ["conversation_id", "message_id"]).select(F.col("slice_id").alias("request_id"), "conversation_id", "idx", "request_type")
+        near = reduce(DataFrame.union, [nearest_messages(targets.where(F.col("request_type") == kind), msgs, kind, cap) for kind in ("earlier", "later")])
+        near = written(near.select(F.col("request_id").alias("slice_id"), "conversation_id", "message_id").distinct(), "context-near")
+        more = near.join(known, ["slice_id", "conversation_id", "message_id"], "left_anti")
+        behind = near.join(links, ["conversation_id", "message_id"]).select("slice_id", "conversation_id", F.col("target").alias("message_id")).distinct()
+        behind = behind.join(place, ["conversation_id", "message_id"], "left_semi").select(near.columns)
+        behind = behind.join(known.union(near), ["slice_id", "conversation_id", "message_id"], "left_anti")
+        new = written(more.withColumn("kind", F.lit("temporal")).union(behind.withColumn("kind", F.lit("relation"))), "context")
+        out.append(new.select("slice_id", F.lit(n).alias("round"), "kind", "message_id", F.lit(None).cast(blocks.schema["block_id"].dataType if blocks is not None else "string").alias("block_id")))
+        known = known.union(new.select(known.columns))
+    return reduce(DataFrame.union, out)
 
 
 def image_parents(units: DataFrame, msgs: DataFrame) -> DataFrame:

@@ -22,11 +22,35 @@ def owner_runs(msgs: DataFrame) -> DataFrame:
     return msgs.withColumn("run", F.sum(fresh.cast("long")).over(w)).where("owner")
 
 
-def build_anchors(msgs: DataFrame) -> DataFrame:
-    """One row an anchor: a run of owner rows, or a foreign row the owner reacted on; numbered by first row."""
-    runs = owner_runs(msgs).groupBy("conversation_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("rows"))
-    alone = msgs.where("reacted and not owner").select("conversation_id", F.lit(None).cast("long").alias("run"), F.col("idx").alias("first"), F.col("idx").alias("last"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), F.lit(1).cast("long").alias("rows"))
-    return runs.union(alone).withColumn("anchor", F.row_number().over(Window.partitionBy("conversation_id").orderBy("first", "last")))
+def own_reactions(msgs: DataFrame, reactions: DataFrame | None = None) -> DataFrame:
+    """(conversation_id, message_id, idx, ts, owner, signal_id, pos, action_time): the owner's reactions, each signal id once in a
+    conversation, where it is seen first.
+
+    reactions: conversation_id, message_id, pos (from 0, among all reactions on the message), reaction_id and
+    action_time, either of which may be null or the id empty; without them a row's `reacted` is one reaction without id."""
+    if reactions is None:
+        at = msgs.where("reacted").withColumns({"pos": F.lit(0), "reaction_id": F.lit(None).cast("string"), "action_time": F.lit(None).cast("timestamp")})
+    else:
+        at = msgs.join(reactions.select("conversation_id", "message_id", "pos", "reaction_id", "action_time"), ["conversation_id", "message_id"])
+    made = F.concat_ws(":", F.lit("reaction"), "message_id", "pos")
+    signal = F.when(F.coalesce("reaction_id", F.lit("")) != "", F.col("reaction_id")).otherwise(made)
+    first = F.row_number().over(Window.partitionBy("conversation_id", "signal_id").orderBy("idx", "pos"))
+    at = at.select("conversation_id", "message_id", "idx", "ts", "owner", signal.alias("signal_id"), F.col("pos").cast("int").alias("pos"), F.coalesce("action_time", "ts").alias("action_time"))
+    return at.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+
+
+def build_anchors(msgs: DataFrame, reactions: DataFrame | None = None) -> DataFrame:
+    """One row an anchor: a run of owner rows, or one reaction of the owner on a foreign row, so that two reactions on a row are two
+    anchors; a reaction on an own row belongs to its run.  Numbered by first row, those of a row in the order of
+    its reactions; signals counts an anchor's reactions and own rows.  See own_reactions() for `reactions`."""
+    marks = own_reactions(msgs, reactions)
+    runs = owner_runs(msgs)
+    held = marks.where("owner").join(runs.select("conversation_id", "message_id", "run"), ["conversation_id", "message_id"]).groupBy("conversation_id", "run").agg(F.count("*").alias("marks"))
+    text = runs.groupBy("conversation_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("rows"))
+    text = text.join(held, ["conversation_id", "run"], "left").select(*text.columns, (F.col("rows") + F.coalesce("marks", F.lit(0))).alias("signals"), F.lit(0).alias("pos"))
+    one = F.lit(1).cast("long")
+    alone = marks.where("not owner").select("conversation_id", F.lit(None).cast("long").alias("run"), F.col("idx").alias("first"), F.col("idx").alias("last"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), one.alias("rows"), one.alias("signals"), "pos")
+    return text.union(alone).withColumn("anchor", F.row_number().over(Window.partitionBy("conversation_id").orderBy("first", "last", "pos"))).drop("pos")
 
 
 def direct_links(msgs: DataFrame) -> DataFrame:
@@ -39,7 +63,7 @@ def direct_links(msgs: DataFrame) -> DataFrame:
     return every
 
 
-def anchor_windows(msgs: DataFrame, gap_minutes: float = 10, max_unrelated: int = 3) -> DataFrame:
+def anchor_windows(msgs: DataFrame, gap_minutes: float = 10, max_unrelated: int = 3, reactions: DataFrame | None = None) -> DataFrame:
     """Anchors with the window they belong to.
 
     A new window starts when the gap to the previous anchor is over `gap_minutes` or when more than
@@ -47,15 +71,16 @@ def anchor_windows(msgs: DataFrame, gap_minutes: float = 10, max_unrelated: int
     there) and do not mention the owner.  A conversation with a private row (boolean column private, if
     there) is one window.
     """
-    anchors = build_anchors(msgs)
+    anchors = build_anchors(msgs, reactions)
     w = Window.partitionBy("conversation_id").orderBy("idx")
-    mark = anchors.select("conversation_id", F.col("last").alias("idx"), "anchor")
+    # several anchors may stand on one row: the last one is what comes before the next
+    mark = anchors.groupBy("conversation_id", F.col("last").alias("idx")).agg(F.max("anchor").alias("anchor"))
     at = msgs.join(mark, ["conversation_id", "idx"], "left")
     # anchors that ended before a row, and the anchor that each anchor row belongs to
     at = at.withColumn("gap", F.max("anchor").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    foreign = at.where("not owner and anchor is null and not (reacted and not owner)").where("gap is not null").select("conversation_id", "message_id", "gap", "mentions_owner")
+    foreign = at.where("not owner and anchor is null and gap is not null").select("conversation_id", "message_id", "gap", "mentions_owner")
     own = owner_runs(msgs).select("conversation_id", "message_id", "run").join(anchors.where("run is not null").select("conversation_id", "run", "anchor"), ["conversation_id", "run"])
-    single = msgs.where("reacted and not owner").select("conversation_id", "idx", "message_id").join(anchors.where("run is null").select("conversation_id", F.col("first").alias("idx"), "anchor"), ["conversation_id", "idx"])
+    single = msgs.where("not owner").select("conversation_id", "idx", "message_id").join(anchors.where("run is null").select("conversation_id", F.col("first").alias("idx"), "anchor"), ["conversation_id", "idx"])
     member = own.select("conversation_id", F.col("message_id").alias("target"), "anchor").union(single.select("conversation_id", F.col("message_id").alias("target"), "anchor"))
     near = foreign.join(direct_links(msgs), ["conversation_id", "message_id"]).join(member, ["conversation_id", "target"]).where((F.col("anchor") == F.col("gap")) | (F.col("anchor") == F.col("gap") + 1))
     alien = foreign.where(~F.coalesce("mentions_owner", F.lit(False))).join(near.select("conversation_id", "message_id"), ["conversation_id", "message_id"], "left_anti")
@@ -203,11 +228,13 @@ def trim_conversation(msgs: DataFrame, k: int, priority: Column) -> DataFrame:
     return at.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def response_signals(msgs: DataFrame) -> DataFrame:
-    """Owner texts and reactions as signals, in order of time."""
-    texts = msgs.where("owner").select("conversation_id", F.concat(F.lit("text:"), F.col("message_id").cast("string")).alias("signal_id"), F.lit("text").alias("kind"), "message_id", "ts")
-    marks = msgs.where("reacted").select("conversation_id", F.concat(F.lit("reaction:"), F.col("message_id").cast("string")).alias("signal_id"), F.lit("reaction").alias("kind"), "message_id", "ts")
-    both = texts.union(marks).dropDuplicates(["conversation_id", "signal_id"])
+def response_signals(msgs: DataFrame, reactions: DataFrame | None = None) -> DataFrame:
+    """Owner texts and reactions as signals, in order of time and id; a signal id counts once, where the conversation has it first.
+    (conversation_id, signal_id, kind, message_id, ts, pos); see own_reactions() for `reactions`."""
+    texts = msgs.where("owner").select("conversation_id", F.concat(F.lit("text:"), F.col("message_id").cast("string")).alias("signal_id"), F.lit("text").alias("kind"), "message_id", "ts", "idx", F.lit(-1).alias("nth"))
+    marks = own_reactions(msgs, reactions).select("conversation_id", "signal_id", F.lit("reaction").alias("kind"), "message_id", F.col("action_time").alias("ts"), "idx", F.col("pos").alias("nth"))
+    first = F.row_number().over(Window.partitionBy("conversation_id", "signal_id").orderBy("idx", "nth"))
+    both = texts.union(marks).withColumn("_nth", first).where("_nth = 1").drop("_nth", "idx", "nth")
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("conversation_id").orderBy("ts", "signal_id")))
 
 

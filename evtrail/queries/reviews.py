@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evtrail.operators import context, evidence, relations
 from evtrail.operators import windows as W
+from evtrail.scratch import written
 from evtrail.sources.tables import EVENT_MESSAGES_SQL as M
 from evtrail.sources.tables import ORDER_DRAFTS_SQL as D
 from evtrail.sources.tables import event_messages, order_drafts
@@ -21,14 +22,35 @@ def j8_messages_by_id(spark, d):
     return context.messages_by_id(ids, msgs).select("conversation_id", "message_id")
 
 
-@query(f"""WITH {M}, q AS (SELECT conversation_id, CASE WHEN conversation_id % 2 = 0 THEN 'later' ELSE 'earlier' END AS kind, min(idx) AS lo, max(idx) AS hi FROM m WHERE owner GROUP BY 1, 2),
-n AS (SELECT m.conversation_id, m.message_id, m.reply_to FROM m JOIN q USING (conversation_id) WHERE (kind = 'later' AND idx BETWEEN hi + 1 AND hi + 7) OR (kind = 'earlier' AND idx BETWEEN lo - 7 AND lo - 1))
-SELECT conversation_id AS request_id, message_id FROM n UNION SELECT conversation_id, reply_to FROM n WHERE reply_to IS NOT NULL""")
+def _round_sql(n: int) -> str:
+    """The rows that round n adds, as SQL over the rounds before."""
+    return f"""
+q{n} AS (SELECT q.s, q.kind, q.block, m.conversation_id, m.message_id, m.idx FROM q JOIN k{n - 1} k ON k.s = q.s AND k.message_id = q.message_id JOIN m ON m.message_id = q.message_id WHERE q.round = {n}),
+t{n} AS (SELECT s, kind, block, min(message_id) AS message_id FROM q{n} WHERE kind IN ('attachment', 'linked_text') AND block % 10 < 7 AND message_id = block // 10 {"AND NOT EXISTS (SELECT 1 FROM t1 WHERE t1.s = q2.s AND t1.kind = q2.kind AND t1.block = q2.block)" if n == 2 else ""} GROUP BY 1, 2, 3),
+e{n} AS (SELECT s, conversation_id, kind, min(idx) AS lo, max(idx) AS hi FROM q{n} WHERE kind IN ('earlier', 'later') GROUP BY 1, 2, 3),
+n{n} AS (SELECT DISTINCT s, m.message_id, m.reply_to FROM e{n} e JOIN m USING (conversation_id) WHERE (kind = 'later' AND idx BETWEEN hi + 1 AND hi + 7) OR (kind = 'earlier' AND idx BETWEEN lo - 7 AND lo - 1)),
+a{n} AS (SELECT s, message_id, 'temporal' AS kind FROM n{n} WHERE (s, message_id) NOT IN (SELECT (s, message_id) FROM k{n - 1})
+  UNION SELECT s, reply_to, 'relation' FROM n{n} WHERE reply_to IS NOT NULL AND (s, reply_to) NOT IN (SELECT (s, message_id) FROM k{n - 1}) AND (s, reply_to) NOT IN (SELECT (s, message_id) FROM n{n})),
+k{n} AS (SELECT * FROM k{n - 1} UNION SELECT s, message_id FROM a{n})"""
+
+
+@query(f"""WITH {M}, k0 AS (SELECT conversation_id AS s, message_id FROM m WHERE owner AND k % 4 = 0),
+q AS (SELECT conversation_id AS s, 1 AS round, CASE WHEN conversation_id % 2 = 0 THEN 'later' ELSE 'earlier' END AS kind, message_id, NULL::BIGINT AS block FROM m WHERE k % 3 = 0
+  UNION ALL SELECT conversation_id, 2, CASE WHEN k % 2 = 0 THEN 'later' ELSE 'earlier' END, message_id, NULL FROM m WHERE NOT owner
+  UNION ALL SELECT conversation_id, 1 + k % 2, CASE WHEN k % 5 = 0 THEN 'attachment' ELSE 'linked_text' END, message_id, message_id * 10 + k % 10 FROM m WHERE k % 3 = 1),
+{_round_sql(1)}, {_round_sql(2)}
+SELECT s AS slice_id, 1 AS round, kind, message_id, NULL::BIGINT AS block_id FROM a1 UNION ALL SELECT s, 2, kind, message_id, NULL FROM a2
+UNION ALL SELECT s, 1, kind, message_id, block FROM t1 UNION ALL SELECT s, 2, kind, message_id, block FROM t2""")
 def j10_expand_context(spark, d):
-    msgs = event_messages(spark, d)
-    kind = F.when(F.col("conversation_id") % 2 == 0, "later").otherwise("earlier")
-    requests = msgs.where("owner").select(F.col("conversation_id").alias("request_id"), kind.alias("request_type"), "conversation_id", "idx")
-    return context.expand_context(requests, msgs).select("request_id", "message_id")
+    msgs = written(event_messages(spark, d), "messages")
+    slices = msgs.where("owner and k % 4 = 0").select(F.col("conversation_id").alias("slice_id"), "conversation_id", "message_id")
+    none, own = F.lit(None).cast("long"), F.col("message_id") * 10 + F.col("k") % 10
+    ask = lambda rows, n, kind, block: rows.select(F.col("conversation_id").alias("slice_id"), n.alias("round"), kind.alias("request_type"), "message_id", block.alias("block_id"))
+    even = lambda c: F.when(F.col(c) % 2 == 0, "later").otherwise("earlier")
+    text = F.when(F.col("k") % 5 == 0, "attachment").otherwise("linked_text")
+    requests = ask(msgs.where("k % 3 = 0"), F.lit(1), even("conversation_id"), none).union(ask(msgs.where("not owner"), F.lit(2), even("k"), none)).union(ask(msgs.where("k % 3 = 1"), F.col("k") % 2 + 1, text, own))
+    blocks = msgs.select(text.alias("kind"), "message_id", own.alias("block_id")).where("block_id % 10 < 7")
+    return context.expand_context(slices, requests, msgs, blocks)
 
 
 @query(f"""WITH {M}, {_ANCHORS}, t AS (SELECT conversation_id, run, greatest(first - 2, 1) AS first, last + 2 AS last FROM a WHERE run IS NOT NULL),

@@ -240,7 +240,7 @@ def w4_private_windows(spark, d):
 
 
 @query(f"""WITH {M}, {_WINDOWS}, x AS (SELECT h.conversation_id, "window", m.* EXCLUDE (conversation_id) FROM h JOIN m ON m.conversation_id = h.conversation_id AND m.idx BETWEEN first AND last),
-sig AS (SELECT conversation_id, "window", 'text:' || message_id AS id, ts FROM x WHERE owner UNION ALL SELECT conversation_id, "window", 'reaction:' || message_id, ts FROM x WHERE reacted),
+sig AS (SELECT conversation_id, "window", 'text:' || message_id AS id, ts FROM x WHERE owner UNION ALL SELECT conversation_id, "window", 'reaction:' || message_id || ':0', ts FROM x WHERE reacted),
 k AS (SELECT x.conversation_id, x."window", m.message_id FROM x JOIN m ON m.conversation_id = x.conversation_id AND m.reply_to = x.message_id UNION SELECT conversation_id, "window", reply_to FROM x WHERE reply_to IS NOT NULL),
 ou AS (SELECT k.* FROM k ANTI JOIN x USING (conversation_id, "window", message_id)), rr AS (SELECT conversation_id, "window", string_agg(message_id, ',' ORDER BY message_id) AS ids FROM ou GROUP BY 1, 2)
 SELECT x.conversation_id, x."window"::BIGINT AS "window", string_agg(message_id, ',' ORDER BY idx) AS main, coalesce(any_value(rr.ids), '') AS relations, (SELECT string_agg(id, ',' ORDER BY ts, id) FROM sig WHERE sig.conversation_id = x.conversation_id AND sig."window" = x."window") AS signals FROM x LEFT JOIN rr ON rr.conversation_id = x.conversation_id AND rr."window" = x."window" GROUP BY 1, x."window" """)

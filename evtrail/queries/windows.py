@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evtrail.operators import windows as W
 from evtrail.scratch import written
 from evtrail.sources.tables import EVENT_MESSAGES_SQL as M
-from evtrail.sources.tables import event_messages
+from evtrail.sources.tables import EVENT_REACTIONS_SQL, event_messages, event_reactions
 
 from .registry import query
 
@@ -48,9 +48,12 @@ def w1_owner_runs(spark, d):
     return W.owner_runs(event_messages(spark, d)).groupBy("conversation_id", "run").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
 
 
-@query(f"WITH {M}, {_ANCHORS} SELECT conversation_id, anchor::INT AS anchor, first::INT AS first, last::INT AS last, rows::BIGINT AS rows FROM a")
+@query(f"""WITH {M}, {EVENT_REACTIONS_SQL}, {_RUNS}, t AS (SELECT conversation_id, run, min(idx) AS first, max(idx) AS last, count(*) AS rows FROM r WHERE owner GROUP BY 1, 2),
+u AS (SELECT conversation_id, first, last, rows, rows + (SELECT count(*) FROM sg WHERE sg.owner AND sg.conversation_id = t.conversation_id AND sg.idx BETWEEN first AND last) AS signals, 0 AS pos FROM t
+  UNION ALL SELECT conversation_id, idx, idx, 1, 1, pos FROM sg WHERE NOT owner)
+SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY first, last, pos)::INT AS anchor, first::INT AS first, last::INT AS last, rows::BIGINT AS rows, signals::BIGINT AS signals FROM u""")
 def w2_anchors(spark, d):
-    return W.build_anchors(event_messages(spark, d)).select("conversation_id", "anchor", "first", "last", "rows")
+    return W.build_anchors(event_messages(spark, d), event_reactions(spark, d)).select("conversation_id", "anchor", "first", "last", "rows", "signals")
 
 
 @query(f"WITH {M}, {_WINDOWS} SELECT conversation_id, \"window\"::BIGINT AS \"window\", n_anchors, anchor_rows, first, last, round(span_minutes, 3) AS span_minutes FROM h")
@@ -99,10 +102,10 @@ def w7_trim_conversation(spark, d):
     return W.trim_conversation(event_messages(spark, d), 20, priority).select("conversation_id", "message_id", "rank")
 
 
-@query(f"""WITH {M}, s AS (SELECT conversation_id, 'text:' || message_id AS signal_id, message_id, ts FROM m WHERE owner UNION ALL SELECT conversation_id, 'reaction:' || message_id, message_id, ts FROM m WHERE reacted)
+@query(f"""WITH {M}, {EVENT_REACTIONS_SQL}, s AS (SELECT conversation_id, 'text:' || message_id AS signal_id, message_id, ts FROM m WHERE owner UNION ALL SELECT conversation_id, signal_id, message_id, action_time FROM sg)
 SELECT conversation_id, signal_id, message_id, row_number() OVER (PARTITION BY conversation_id ORDER BY ts, signal_id)::INT AS pos FROM s""")
 def w8_response_signals(spark, d):
-    return W.response_signals(event_messages(spark, d)).select("conversation_id", "signal_id", "message_id", "pos")
+    return W.response_signals(event_messages(spark, d), event_reactions(spark, d)).select("conversation_id", "signal_id", "message_id", "pos")
 
 
 @query(f"WITH {M} SELECT conversation_id, message_id FROM m WHERE NOT owner AND reply_to IS NULL AND mentions_other AND NOT mentions_owner")

@@ -32,6 +32,27 @@ m AS (SELECT *, event_type = 'view' AND k < 10 AS mentions_owner, row_number() O
 """
 
 
+def event_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner's reactions on event_messages: one without id on signups, with k divisible by 3 a second one whose id, of ten, comes back
+    in its conversation; one with an id and a time of its own on clicks with k divisible by 4."""
+    m = event_messages(spark, sf_dir)
+    entry = lambda pos, name, minutes: F.struct(F.lit(pos).alias("pos"), name.alias("reaction_id"), (F.col("ts") + F.expr(f"interval {minutes} minutes")).alias("action_time"))
+    none = F.lit(None).cast("string")
+    marks = F.array_compact(F.array(
+        F.when(F.col("reacted"), entry(0, none, 0)), F.when(F.col("reacted") & (F.col("k") % 3 == 0), entry(2, F.concat(F.lit("r"), F.col("k") % 10), 5)),
+        F.when(F.col("owner") & (F.col("k") % 4 == 0), entry(0, F.concat(F.lit("o"), "message_id"), 90)),
+    ))
+    return m.select("conversation_id", "message_id", F.explode(marks).alias("e")).select("conversation_id", "message_id", "e.*")
+
+
+EVENT_REACTIONS_SQL = """
+rx AS (SELECT conversation_id, message_id, idx, ts, owner, 0 AS pos, NULL AS reaction_id, ts AS action_time FROM m WHERE reacted
+  UNION ALL SELECT conversation_id, message_id, idx, ts, owner, 2, 'r' || k % 10, ts + INTERVAL 5 MINUTE FROM m WHERE reacted AND k % 3 = 0
+  UNION ALL SELECT conversation_id, message_id, idx, ts, owner, 0, 'o' || message_id, ts + INTERVAL 90 MINUTE FROM m WHERE owner AND k % 4 = 0),
+sg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, signal_id ORDER BY idx, pos) AS nth FROM (SELECT *, coalesce(reaction_id, 'reaction:' || message_id || ':' || pos) AS signal_id FROM rx)) WHERE nth = 1)
+"""
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages from conversations: the user's turns are the owner's, a turn replies to the one before."""
     c = table(spark, sf_dir, "conversations")
