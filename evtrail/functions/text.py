@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,17 +154,26 @@ def link_tokens(title: Column | str, url: Column | str, stop: tuple[str, ...] =
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)))
 
 
+def unescape(c: Column | str) -> Column:
+    """Character references back to characters, as HTML names and numbers them; Python has the table, batch by batch."""
+
+    @F.pandas_udf("string")
+    def back(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    c = _c(c)
+    return F.when(c.contains("&"), back(c)).otherwise(c)
+
+
 def markup_to_text(c: Column | str) -> Column:
-    """Text of HTML or XML: scripts and styles out, tags to blanks, common entities back."""
+    """Text of HTML or XML: scripts and styles out, tags to blanks, character references back."""
     text = F.regexp_replace(_c(c), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    return collapse(text)
+    return collapse(unescape(text))
 
 
 def markup_title(c: Column | str) -> Column:
-    return collapse(F.regexp_extract(_c(c), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return collapse(unescape(F.regexp_extract(_c(c), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:

@@ -73,10 +73,17 @@ def x18_base_name(spark, d):
     return table(spark, d, "part").select("p_partkey", messages.attachment_base_name(name).alias("name"))
 
 
-@query("SELECT page_id, 'a《T' || page_id || '》b ' || CASE WHEN page_id % 2 = 0 THEN '《U》' ELSE 'http://u.example' END AS t FROM pages")
+@query("""SELECT page_id, 'a《T' || page_id || '》b ' || CASE WHEN page_id % 2 = 0 THEN '《U》' ELSE '《http://u.example》' END || ' and 《V.*》, 《V.*》《T' || page_id || '》' AS t,
+  replace(html, '<title>', '《V.*》') AS named, '《¤' || page_id || '》' || html AS begun FROM pages""")
 def x21_readable_files(spark, d):
-    links = F.array(F.struct(F.col("url"), F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title")), F.struct(F.lit("http://u.example").alias("url"), F.when(F.col("page_id") % 2 == 0, "U").otherwise("").alias("title")))
-    return table(spark, d, "pages").select("page_id", messages.readable_files(F.concat(F.lit("a"), "url", F.lit("b http://u.example")), links).alias("t"))
+    name = F.concat(F.lit("T"), F.col("page_id"))
+    link = lambda url, title: F.struct(F.lit(url).alias("url") if isinstance(url, str) else url.alias("url"), (F.lit(title) if isinstance(title, str) else title).alias("title"))
+    # the second URL begins the third, a title holds what a pattern would read as more than itself
+    links = F.array(link(F.col("url"), name), link("http://u.example", F.when(F.col("page_id") % 2 == 0, "U").otherwise("")), link("http://u.example/c", "V.*"))
+    body = F.concat(F.lit("a"), "url", F.lit("b http://u.example and http://u.example/c, 《V.*》"), name)
+    named = messages.readable_files(F.col("html"), F.array(link("<title>", "V.*")))
+    begun = messages.readable_files(F.col("html"), F.array(link("no such link", F.concat(F.lit("¤"), "page_id"))), prefix=True)
+    return table(spark, d, "pages").select("page_id", messages.readable_files(body, links).alias("t"), named.alias("named"), begun.alias("begun"))
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), ['token-' || printf('%04d', p_partkey)]))), ' ') AS tokens FROM part")

@@ -33,6 +33,30 @@ def test_labels_and_links(spark):
     assert r.a == ["a", "other"] and r.b == "see 《T》 now" and r.c == "see u1 now\nT u1\nu2"
 
 
+def test_links_are_put_in_at_once(spark):
+    cases = [
+        ("see http://a/b and http://a/b/c", [("http://a/b", "T1"), ("http://a/b/c", "T2")], False, "see 《T1》 and 《T2》"),
+        ("T1 names http://a/b", [("http://a/b", "T1"), ("http://x", "a")], False, "《T1》 n《a》mes 《T1》"),
+        ("ab", [("a", "b"), ("b", "a")], False, "《b》《b》"), ("《T》 T", [("u", "T")], False, "《T》 《T》"), ("x", [("", "")], True, "x"), ("", [("u", "T")], True, "《T》"),
+        ("x", [("u", "《T》"), ("v", "W")], True, "《T》x"), ("has W", [("u", "T"), ("v", "W")], True, "has 《W》"), ("a.c $1 \\E b", [("a.c", "$1"), ("\\E", "q\\Q")], False, "《$1》 《$1》 《q\\Q》 b"),
+        ("by AbCdEf12!", [("https://x.org/docx/AbCdEf12?q", "")], False, "by 《https://x.org/docx/AbCdEf12?q》!"), (None, [("u", "T")], False, None), ("keep", None, True, "keep"),
+    ]
+    df = spark.createDataFrame(cases, "t string, k array<struct<url:string,title:string>>, prefix boolean, want string")
+    for prefix in (True, False):
+        for r in df.where(F.col("prefix") == prefix).select("want", m.readable_files(F.col("t"), F.col("k"), prefix).alias("got")).collect():
+            assert r.got == r.want
+
+
+def test_all_character_references(spark):
+    from evtrail.functions import text
+
+    cases = [("<p>caf&eacute; &#8220;x&#x201D; &amp;lt; &notit; &bogus; &nbsp;y</p>", "café “x” &lt; ¬it; &bogus; y"), (None, None), ("a & b", "a & b")]
+    df = spark.createDataFrame(cases, "t string, want string").select("want", text.markup_to_text("t").alias("got"), text.markup_title(F.concat(F.lit("<title>"), "t", F.lit("</title>"))).alias("title"))
+    for r in df.collect():
+        assert r.got == r.want
+        assert r.title == (r.want and r.want.replace("café", "<p>café").replace(" y", " y</p>"))
+
+
 def test_times_and_reactions(spark):
     df = spark.createDataFrame([("2024-01-01T08:00:00+08:00",), ("2024-01-01T00:00:00Z",), ("2024-01-01 08:00:00",), ("1704067200",), ("1704067200000",), ("nonsense",)], "t string")
     got = [r[0] for r in df.select(F.unix_seconds(chat.to_event_ts(F.col("t")))).collect()]
