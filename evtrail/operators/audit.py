@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import scanned
+
 
 def audit_partition(expected: DataFrame, assign: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, draft_id, error): missing, duplicate and unknown members of a partition."""
@@ -93,10 +95,11 @@ def risk_reasons(groups: DataFrame, *, events: int = 10, files: int = 4) -> Data
 
 
 def fix_duplicate_ids(events: DataFrame) -> DataFrame:
-    """Of equal ids in a file the first row keeps its id, the others get one from their text and place."""
-    rank = F.row_number().over(Window.partitionBy("source_file", "event_id").orderBy("pos"))
-    made = F.concat(F.lit("manual-"), F.substring(F.sha1(F.concat_ws("|", "source_file", "event_id", "content", rank.cast("string"))), 1, 16))
-    return events.withColumn("event_id", F.when(rank == 1, F.col("event_id")).otherwise(made))
+    """Of equal ids in a file the first row keeps its id, the others get one from their text and place among them; places come from sorted
+    ranges, so an id may be repeated in most of the rows."""
+    at = scanned(events, ["pos"], ["source_file", "event_id"], "_rank")
+    made = F.concat(F.lit("manual-"), F.substring(F.sha1(F.concat_ws("|", "source_file", "event_id", "content", F.col("_rank").cast("string"))), 1, 16))
+    return at.withColumn("event_id", F.when(F.col("_rank") == 1, F.col("event_id")).otherwise(made)).drop("_rank")
 
 
 def privacy_scan(text: Column, patterns: dict[str, str]) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evtrail.functions.text import clean_text, collapse, dedupe_paragraphs
 
+from .numbering import scanned
+
 
 def preferred_text(value: Column, pos: Column, limit: int = 4000) -> Column:
     """Of the clean values, within the limit first, then longest, then earliest: an aggregate that combines
@@ -16,8 +18,12 @@ def preferred_text(value: Column, pos: Column, limit: int = 4000) -> Column:
     return F.max_by(value, F.when(value != "", F.struct((n <= limit).alias("fits"), F.least(n, F.lit(limit)).alias("n"), (-pos).alias("pos"))))
 
 
-def ordered_distinct(value: Column, pos: Column) -> Column:
-    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("pos"), value.alias("v")))), lambda x: x["v"]))
+def ordered_distinct(rows: DataFrame, keys: list[str], value: str, pos: str, name: str) -> DataFrame:
+    """(keys, name): the distinct values of each key in the order they come first.  Each value goes down to its first place
+    before the shuffle, so a key's row holds its distinct values and no more."""
+    first = rows.groupBy(*keys, value).agg(F.min(pos).alias("_pos")).where(F.col(value).isNotNull())
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col(value).alias("_v")))), lambda x: x["_v"])
+    return rows.select(*keys).distinct().join(first.groupBy(*keys).agg(listed.alias(name)), keys, "left") if keys else first.agg(listed.alias(name))
 
 
 def merge_contents(texts: Column) -> Column:
@@ -86,25 +92,43 @@ def merge_detail(value: Column, separator: str = "；") -> Column:
     return F.array_join(F.transform(F.slice(longest, 1, 3), lambda x: x["v"]), separator)
 
 
-def group_titles(titles: Column, pos: Column) -> Column:
-    return F.array_join(F.filter(ordered_distinct(titles, pos), lambda t: t != ""), "；")
+def group_titles(rows: DataFrame, keys: list[str], title: str, pos: str) -> DataFrame:
+    """(keys, titles): the distinct titles of each key, none empty, in the order they come first, joined."""
+    at = ordered_distinct(rows, keys, title, pos, "titles")
+    return at.withColumn("titles", F.array_join(F.filter(F.coalesce("titles", F.array().cast("array<string>")), lambda t: t != ""), "；"))
 
 
 def allocate_lengths(rows: DataFrame, budget: int) -> DataFrame:
     """Fair shares of `budget` characters per group: short texts keep all, the long ones share a level, what
-    is left over goes one each by position.  rows: group_id, pos, length."""
-    by = Window.partitionBy("group_id").orderBy("length", "pos")
-    n = F.count("*").over(Window.partitionBy("group_id"))
-    before = F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = rows.withColumn("level", F.floor((budget - before) / (n - F.row_number().over(by) + 1)))
-    whole = F.col("length") <= F.col("level")
-    # the level at the first text that does not fit holds for all from there on
-    at = at.withColumn("cut", F.min(F.when(~whole, F.struct("length", "pos", "level"))).over(Window.partitionBy("group_id")))
-    at = at.withColumn("long", F.coalesce(F.struct("length", "pos") >= F.struct("cut.length", "cut.pos"), F.lit(False)))
-    spent = F.sum(F.when(F.col("long"), F.col("cut.level")).otherwise(F.col("length"))).over(Window.partitionBy("group_id"))
-    turn = F.row_number().over(Window.partitionBy("group_id", "long").orderBy("pos"))
-    extra = F.when(F.col("long") & (turn <= budget - spent), 1).otherwise(0)
-    return at.select("group_id", "pos", "length", F.when(F.col("long"), F.least(F.col("length"), F.col("cut.level") + extra)).otherwise(F.col("length")).cast("long").alias("share"))
+    is left over goes one each by position.  rows: group_id, pos, length.
+
+    Ranks and sums within a group come from sorted ranges (scanned), so a group may hold most of the rows."""
+    at, cut = _levels(rows.select("group_id", "pos", F.col("length").cast("long").alias("length")), budget)
+    at = at.join(cut, "group_id", "left").withColumn("long", F.col("cut").isNotNull() & (F.struct("length", "pos") >= F.struct("cut.length", "cut.pos")))
+    spent = at.groupBy("group_id").agg(F.sum(F.when(F.col("long"), F.col("cut.level")).otherwise(F.col("length"))).alias("spent"))
+    turns = scanned(at.where("long").select("group_id", "pos", "length"), ["pos", "length"], ["group_id"], "turn").select("group_id", "pos", "length", "turn")
+    share = F.least(F.col("length"), F.col("cut.level") + F.when(F.col("turn") <= budget - F.col("spent"), 1).otherwise(0))
+    short = at.where("not long").select("group_id", "pos", "length", F.col("length").alias("share"))
+    return short.union(turns.join(cut, "group_id").join(spent, "group_id").select("group_id", "pos", "length", share.cast("long").alias("share")))
+
+
+def _levels(rows: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with rank and level (what each text may have if all from it on have equally much), and (group_id, cut): the first text of
+    each group, by length, that its level does not reach; its level holds for all from there on."""
+    order = [c for c in ("length", "pos") if c in rows.columns]
+    at = scanned(rows, order, ["group_id"], "rank", {"upto": F.col("length")})
+    n = rows.groupBy("group_id").agg(F.count("*").alias("n"))
+    at = at.join(n, "group_id").withColumn("level", F.floor((budget - (F.col("upto") - F.col("length"))) / (F.col("n") - F.col("rank") + 1)))
+    cut = at.where("length > level").groupBy("group_id").agg(F.min(F.struct(*order, "rank", "level")).alias("cut"))
+    return at, cut
+
+
+def fit_quota(rows: DataFrame, budget: int) -> DataFrame:
+    """(group_id, quota): the largest q with sum(min(length, q)) <= budget; the longest length if all fit.
+    rows: group_id, length.  Closed form from one sort: the first length whose level does not reach it."""
+    at, cut = _levels(rows.select("group_id", F.col("length").cast("long").alias("length")), budget)
+    most = at.groupBy("group_id").agg(F.max("length").alias("most"))
+    return most.join(cut, "group_id", "left").select("group_id", F.coalesce("cut.level", "most").cast("long").alias("quota"))
 
 
 def merge_drafts(rows: DataFrame, key: str) -> DataFrame:

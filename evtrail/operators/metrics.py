@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evtrail.functions.text import ratio
 
+from .numbering import scanned
+
 
 def text_metrics(df: DataFrame, field: str, keys: tuple[str, ...] = ()) -> DataFrame:
     n = F.length(F.coalesce(F.col(field), F.lit("")))
@@ -88,12 +90,13 @@ def outcome_summary(df: DataFrame) -> DataFrame:
 def gap_quantiles(pairs: DataFrame) -> DataFrame:
     """Count, min, median, 75 % (the value at round((n - 1) * 0.75), half to even) and max by relation.
 
-    The value at a place comes from a rank within the relation, not from a list of all values."""
-    w = Window.partitionBy("relation").orderBy("gap")
-    n = F.count("*").over(Window.partitionBy("relation"))
-    at = pairs.withColumn("rank", F.row_number().over(w)).withColumn("n", n)
-    place = F.bround((F.col("n") - 1) * 0.75) + 1
-    return at.groupBy("relation").agg(F.count("*").alias("n"), F.min("gap").alias("min"), F.median("gap").alias("median"), F.max(F.when(F.col("rank") == place, F.col("gap"))).alias("p75"), F.max("gap").alias("max"))
+    Values are ranked within their relation by sorted ranges, so a relation with most of the pairs is no single task's work."""
+    at = scanned(pairs.select("relation", "gap").where("gap is not null"), ["gap"], ["relation"], "rank")
+    n = pairs.groupBy(F.col("relation").alias("_by")).agg(F.count("gap").alias("of"), F.count("*").alias("n"))
+    at = n.join(at, F.col("relation").eqNullSafe(F.col("_by")), "left")
+    value = lambda place: F.max(F.when(F.col("rank") == place, F.col("gap")))
+    lower, upper = F.floor((F.col("of") + 1) / 2), F.floor(F.col("of") / 2) + 1
+    return at.groupBy(F.col("_by").alias("relation")).agg(F.max("n").alias("n"), F.min("gap").alias("min"), ((value(lower) + value(upper)) / 2).alias("median"), value(F.bround((F.col("of") - 1) * 0.75) + 1).alias("p75"), F.max("gap").alias("max"))
 
 
 def call_inputs(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtrail.scratch import written
@@ -23,3 +23,25 @@ def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | Non
         start = at.groupBy(*within).agg((F.min(name) - 1).alias("_start"))
         at = at.join(start, within).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
     return at.drop("_range", "_at", "_before")
+
+
+def scanned(df: DataFrame, order: list[str], within: list[str], rank: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """df with its number from 1 by `order` in each value of `within`, and for each name of `sums` the sum of the column over
+    the rows up to and with this one.
+
+    As numbered(), for values of `within` that hold very many rows: sorted ranges are written, each (range, value) is
+    counted and summed in its rows, and what comes before it is the sum over the ranges before, one row a range and value."""
+    sums = sums or {}
+    at = df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_at", F.monotonically_increasing_id())
+    at = written(at, "scanned").withColumn("_range", F.shiftright("_at", 33))
+    total = at.groupBy("_range", *within).agg(F.count("*").alias("_count"), *(F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c)
+    total = total.select(F.col("_range").alias("_r"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(within)), *(earlier(c) for c in ("_count", *(f"_sum_{name}" for name in sums))))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    own = Window.partitionBy("_range", *within).orderBy("_at")
+    at = at.withColumn(rank, F.row_number().over(own)).withColumns({name: F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)) for name, c in sums.items()})
+    at = at.join(total, same)
+    return at.select(*df.columns, (F.col(rank) + F.col("_count")).alias(rank), *((F.coalesce(name, F.lit(0)) + F.col(f"_sum_{name}")).alias(name) for name in sums))

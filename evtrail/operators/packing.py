@@ -134,18 +134,3 @@ def pack_components(rows: DataFrame, group: tuple[str, ...], target: int, base:
     units = at.groupBy(*group, "unit").agg(F.sum("ascii").alias("ascii"), F.sum("other").alias("other"))
     packed = pack(units, group, "unit", "ascii", "other", target, base=base).select(*group, "unit", "batch")
     return at.join(packed, [*group, "unit"]).drop("unit")
-
-
-def fit_quota(rows: DataFrame, budget: int) -> DataFrame:
-    """(group_id, quota): the largest q with sum(min(length, q)) <= budget; the longest length if all fit.
-
-    rows: group_id, length.  Closed form from one sort: the first length whose level does not reach it."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("group_id").orderBy("length", "tie")
-    at = rows.withColumn("tie", F.monotonically_increasing_id())
-    before = F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.count("*").over(Window.partitionBy("group_id")) - F.row_number().over(by) + 1
-    level = F.floor((budget - before) / left)
-    at = at.withColumn("level", level)
-    return at.groupBy("group_id").agg(F.coalesce(F.min_by("level", F.when(F.col("length") > F.col("level"), F.struct("length", "tie"))), F.max("length")).cast("long").alias("quota"))

@@ -328,7 +328,7 @@ def a31_run_facts(spark, d):
 
 @query("WITH x AS (SELECT source AS g, lang AS t, min(doc_id) AS p FROM documents GROUP BY 1, 2) SELECT g AS source, string_agg(t, '；' ORDER BY p) AS titles FROM x GROUP BY 1")
 def a33_group_titles(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(merge.group_titles(F.col("lang"), F.col("doc_id")).alias("titles"))
+    return merge.group_titles(table(spark, d, "documents").select("source", "lang", "doc_id"), ["source"], "lang", "doc_id")
 
 
 @query("SELECT l_orderkey AS draft_id, count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS signals, count(DISTINCT l_linestatus) AS fields, count(DISTINCT l_partkey) AS evidence FROM lineitem GROUP BY 1")
@@ -381,7 +381,7 @@ def g3_merge_review_components(spark, d):
     rows = order_drafts(spark, d)
     groups = rows.select(F.col("conversation").alias("group_id"), "draft_id").distinct()
     keys = rows.select(F.col("conversation").alias("draft_id"), F.concat_ws("|", "source_file", F.col("conversation") % 10).alias("key")).distinct()
-    pairs = relations.key_pairs(keys).select("a", "b", F.lit("file").alias("type"))
+    pairs = relations.hub_links(keys).select("a", "b", F.lit("file").alias("type"))  # what is tied, not every pair
     risks = groups.where("group_id % 7 = 0").select("group_id", F.lit("risk").alias("reason")).distinct()
     return evidence.merge_review_components(groups, pairs, risks, groups.select(F.col("draft_id").alias("atom_id"), "draft_id"))
 

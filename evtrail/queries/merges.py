@@ -101,7 +101,7 @@ def a6_preferred_text(spark, d):
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) GROUP BY 1")
 def a8_ordered_distinct(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(merge.ordered_distinct(F.col("role"), F.col("turn")), ",").alias("roles"))
+    return merge.ordered_distinct(table(spark, d, "conversations"), ["conv_id"], "role", "turn", "roles").withColumn("roles", F.array_join("roles", ","))
 
 
 @query("""WITH x AS (SELECT DISTINCT lang, source, n_chars FROM documents WHERE n_chars > 0), l AS (SELECT lang, length(source) AS n, source FROM (SELECT DISTINCT lang, source FROM x)),
@@ -258,7 +258,7 @@ def a12_allocate_lengths(spark, d):
 SELECT g AS group_id, max(q)::BIGINT AS quota FROM (SELECT g, q, sum(least(n, q) * k) AS total FROM q JOIN c USING (g) GROUP BY 1, 2) WHERE total <= 20000 GROUP BY g""")
 def a13_fit_quota(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("group_id"), F.length("text").alias("length"))
-    return packing.fit_quota(rows, 20000)
+    return merge.fit_quota(rows, 20000)
 
 
 @query()

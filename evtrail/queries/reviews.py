@@ -103,7 +103,8 @@ def _pairs(spark, d):
 SELECT id AS group_id, c AS component, dense_rank() OVER (ORDER BY c) AS number FROM r""")
 def g2_review_components(spark, d):
     groups = order_drafts(spark, d).select(F.col("draft_id").alias("group_id")).distinct()
-    return evidence.review_components(groups, _pairs(spark, d).select("a", "b"))
+    keys = order_drafts(spark, d).select("draft_id", F.col("evidence").alias("key")).distinct()
+    return evidence.review_components(groups, relations.hub_links(keys))
 
 
 @query(f"""WITH {D}, {_PAIRS}, q AS (SELECT a || '-' || b AS relation_id, a, b, CASE WHEN (a + b) % 3 = 0 THEN 'merged' ELSE 'separate' END AS decision FROM p), x AS (SELECT *, a % 4 = b % 4 AS same FROM q WHERE (a + b) % 5 <> 0)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtrail.functions.text import clean_text, extract_urls, file_name_parts, link_type, strip
+from evtrail.operators.numbering import scanned
 
 INLINE_IMAGE = r"(?i)\[Image:\s*(img_[^\]\s]+)\]"
 MARKDOWN_IMAGE = r"(?i)!\[[^\]]*\]\((img_[^)\s]+)\)"
@@ -158,8 +159,9 @@ def classify_source(rows: DataFrame) -> DataFrame:
 
 
 def assign_draft_ids(rows: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source_file").orderBy("pos"))
-    return rows.withColumn("draft_id", F.concat(F.col("source_file"), F.lit("#"), n.cast("string"), F.lit(":"), F.col("event_id")))
+    """rows with draft_id: source file, place in it by pos and event id; places come from sorted ranges, so a file may be large."""
+    at = scanned(rows, ["pos"], ["source_file"], "_n")
+    return at.withColumn("draft_id", F.concat(F.col("source_file"), F.lit("#"), F.col("_n").cast("string"), F.lit(":"), F.col("event_id"))).drop("_n")
 
 
 def read_audit(files: DataFrame, blocks: DataFrame) -> DataFrame:

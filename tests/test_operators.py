@@ -391,3 +391,32 @@ def test_metrics(spark):
     assert metrics.gap_quantiles(pairs).first().p75 == float(sorted(range(7))[round(6 * 0.75)])
     a, b = (spark.createDataFrame(x, "metric string, value long") for x in ([("m", 4), ("only", 1)], [("m", 5)]))
     assert {r.metric: (r.delta, r.percent) for r in metrics.metric_delta(a, b).collect()} == {"m": (1, 25.0), "only": (-1, -100.0)}
+
+
+def test_scans_over_hot_keys(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.randrange(50), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(7)
+    got = {x.i: (x.n, x.s) for x in numbering.scanned(df, ["v", "i"], ["k"], "n", {"s": F.col("v")}).collect()}
+    for k in ("hot", "b", None):
+        total = 0
+        for n, (_, v, i) in enumerate(sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2])), 1):
+            total += v
+            assert got[i] == (n, total)
+    assert numbering.scanned(df.limit(0), ["v"], ["k"], "n", {"s": F.col("v")}).count() == 0
+
+
+def test_gap_quantiles_with_nulls(spark):
+    df = spark.createDataFrame([("a", 4.0), ("a", 1.0), ("a", None), ("a", 2.0), ("a", 9.0), (None, 3.0), ("b", None)], "relation string, gap double")
+    got = {x.relation: tuple(x)[1:] for x in metrics.gap_quantiles(df).collect()}
+    assert got["a"] == (5, 1.0, 3.0, 4.0, 9.0) and got[None] == (1, 3.0, 3.0, 3.0, 3.0)
+    assert got["b"] == (1, None, None, None, None)
+
+
+def test_shares_of_repeated_rows_and_zero_budget(spark):
+    df = spark.createDataFrame([("g", 1, 5), ("g", 2, 5), ("g", 3, 1), ("h", 1, 7)], "group_id string, pos long, length long")
+    shares = lambda budget: {(x.group_id, x.pos): x.share for x in merge.allocate_lengths(df, budget).collect()}
+    assert shares(8) == {("g", 1): 4, ("g", 2): 3, ("g", 3): 1, ("h", 1): 7}
+    assert shares(0) == {("g", 1): 0, ("g", 2): 0, ("g", 3): 0, ("h", 1): 0}
+    assert {x.group_id: x.quota for x in merge.fit_quota(df, 8).collect()} == {"g": 3, "h": 7}
+    assert merge.ordered_distinct(df, ["group_id"], "length", "pos", "v").orderBy("group_id").first().v == [5, 1]
