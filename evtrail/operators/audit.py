@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtrail.functions.text import strip
+
 from .numbering import scanned
 
 
@@ -21,12 +23,20 @@ def audit_atomic(assign: DataFrame, atoms: DataFrame) -> DataFrame:
     return atoms.join(assign.select("draft_id", "group_id"), "draft_id").groupBy("atom_id").agg(F.count_distinct("group_id").alias("groups")).where("groups > 1")
 
 
-def audit_groups(assign: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
-    """(group_id, error): evidence ids that are no source of a member, groups without or with two primaries."""
+def audit_groups(assign: DataFrame, evidence: DataFrame, sources: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """(group_id, error): evidence ids that are no source of a member, groups without or with two primaries, and of groups of several
+    drafts those without evidence or, where reasons (group_id, reason) are given, without a reason that says something."""
     member = assign.select("group_id", "draft_id").join(sources.select("draft_id", "message_id"), "draft_id").select("group_id", "message_id").distinct()
-    outside = evidence.select("group_id", "message_id").distinct().join(member, ["group_id", "message_id"], "left_anti").select("group_id", F.lit("evidence_outside_members").alias("error")).distinct()
-    primary = assign.groupBy("group_id").agg(F.count_if("primary").alias("n")).where("n <> 1").select("group_id", F.lit("not_one_primary").alias("error"))
-    return outside.union(primary)
+    given = evidence.select("group_id", "message_id").distinct()
+    outside = given.join(member, ["group_id", "message_id"], "left_anti").select("group_id", F.lit("evidence_outside_members").alias("error")).distinct()
+    groups = assign.groupBy("group_id").agg(F.count_if("primary").alias("primaries"), (F.count_distinct("draft_id") > 1).alias("several"))
+    out = outside.union(groups.where("primaries <> 1").select("group_id", F.lit("not_one_primary").alias("error")))
+    several = groups.where("several").select("group_id")
+    out = out.union(several.join(given.select("group_id").distinct(), "group_id", "left_anti").select("group_id", F.lit("missing_evidence").alias("error")))
+    if reasons is not None:
+        said = reasons.where(strip(F.coalesce("reason", F.lit(""))) != "").select("group_id").distinct()
+        out = out.union(several.join(said, "group_id", "left_anti").select("group_id", F.lit("missing_reason").alias("error")))
+    return out
 
 
 def repair_partition(assign: DataFrame, expected: DataFrame) -> DataFrame:
@@ -37,25 +47,83 @@ def repair_partition(assign: DataFrame, expected: DataFrame) -> DataFrame:
     return kept.union(alone)
 
 
+def order_breaks(given: DataFrame, reference: DataFrame, keys: list[str], pos: str, place: str, item: str) -> DataFrame:
+    """The keys whose sequence of items, given in the order of `pos`, does not run strictly in the order of `place` that
+    reference has of them; items that reference does not have are passed over."""
+    at = given.select(*keys, item, pos).join(reference.select(*keys, item, F.col(place).alias("_place")), [*keys, item])
+    before = F.lag("_place").over(Window.partitionBy(*keys).orderBy(pos))
+    return at.withColumn("_before", before).where("_before >= _place").select(*keys).distinct()
+
+
 def audit_segments(segments: DataFrame, msgs: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
-    """(conversation_id, error): rows missing from the segments, segments with holes, a boundary inside one."""
-    at = msgs.select("conversation_id", "message_id", "idx").join(segments.select("conversation_id", "message_id", "segment"), ["conversation_id", "message_id"], "left")
-    missing = at.where("segment is null").select("conversation_id", F.lit("missing").alias("error"))
-    whole = at.where("segment is not null").groupBy("conversation_id", "segment").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count("*").alias("n"))
-    holes = whole.where("b - a + 1 <> n").select("conversation_id", F.lit("not_contiguous").alias("error"))
-    out = missing.union(holes)
+    """(conversation_id, error): rows missing from the segments, unknown or repeated ones, segments with holes, a boundary inside one;
+    where segments have `pos`, their rows' place in the answer, also rows out of order and segment ids that come back."""
+    known = msgs.select("conversation_id", "message_id", "idx")
+    listed = segments.select("conversation_id", "message_id", "segment")
+    say = lambda df, error: df.select("conversation_id", F.lit(error).alias("error"))
+    at = known.join(listed, ["conversation_id", "message_id"], "left")
+    whole = at.where("segment is not null").groupBy("conversation_id", "segment").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count_distinct("idx").alias("n"))
+    out = say(at.where("segment is null"), "missing").union(say(whole.where("b - a + 1 <> n"), "not_contiguous"))
+    out = out.union(say(listed.join(known, ["conversation_id", "message_id"], "left_anti"), "unknown"))
+    out = out.union(say(listed.groupBy("conversation_id", "message_id").count().where("count > 1"), "repeated"))
+    if "pos" in segments.columns:
+        out = out.union(say(order_breaks(segments, msgs, ["conversation_id"], "pos", "idx", "message_id"), "not_in_order"))
+        fresh = F.lag("segment").over(Window.partitionBy("conversation_id").orderBy("pos"))
+        runs = segments.withColumn("fresh", ~F.col("segment").eqNullSafe(fresh)).groupBy("conversation_id", "segment").agg(F.count_if("fresh").alias("runs")).where("runs > 1")
+        out = out.union(say(runs, "segment_id_again"))
     if boundaries is not None:
         inside = at.join(boundaries.select("conversation_id", "message_id"), ["conversation_id", "message_id"], "left_semi").join(whole, ["conversation_id", "segment"]).where("idx > a")
-        out = out.union(inside.select("conversation_id", F.lit("boundary_inside").alias("error")))
+        out = out.union(say(inside, "boundary_inside"))
     return out.distinct()
 
 
-def audit_drafts(drafts: DataFrame, members: DataFrame) -> DataFrame:
-    """(draft_id, error): repeated draft ids, source ids that the slice does not have."""
-    twice = drafts.groupBy("draft_id").agg(F.count("*").alias("n")).where("n > 1").select("draft_id", F.lit("duplicate_draft_id").alias("error"))
-    used = drafts.select("draft_id", "slice_id", F.explode("source_message_ids").alias("message_id"))
-    unknown = used.join(members.select("slice_id", "message_id"), ["slice_id", "message_id"], "left_anti").select("draft_id", F.lit("unknown_source").alias("error"))
-    return twice.union(unknown).distinct()
+def audit_starts(starts: DataFrame, msgs: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
+    """(conversation_id, error) of segments given by their first rows (conversation_id, pos, message_id): the first one is not the first row,
+    unknown rows, starts out of order or repeated, boundaries that are no start, conversations without a start."""
+    known = msgs.select("conversation_id", "message_id", "idx")
+    say = lambda df, error: df.select("conversation_id", F.lit(error).alias("error"))
+    ahead = known.groupBy("conversation_id").agg(F.min_by("message_id", "idx").alias("row"))
+    first = starts.groupBy("conversation_id").agg(F.min_by("message_id", "pos").alias("start"))
+    out = say(ahead.join(first, "conversation_id").where("row <> start"), "not_from_first_row")
+    out = out.union(say(ahead.join(first, "conversation_id", "left_anti"), "no_start"))
+    out = out.union(say(starts.join(known, ["conversation_id", "message_id"], "left_anti"), "unknown_start"))
+    out = out.union(say(order_breaks(starts, msgs, ["conversation_id"], "pos", "idx", "message_id"), "not_in_order"))
+    if boundaries is not None:
+        out = out.union(say(boundaries.select("conversation_id", "message_id").join(starts, ["conversation_id", "message_id"], "left_anti"), "boundary_omitted"))
+    return out.distinct()
+
+
+def audit_drafts(drafts: DataFrame, members: DataFrame, links: DataFrame | None = None, attachments: DataFrame | None = None, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """(draft_id, error): repeated draft ids; source ids that the slice does not have or that are not in its order; links and attachments of
+    no source; evidence that is no row of the owner in the slice; relations that are not allowed or have no such evidence.
+
+    drafts: draft_id, slice_id, source_message_ids and, if there, link_ids, attachment_ids, evidence_message_ids, relations; members:
+    slice_id, message_id and, if there, idx and owner; links: link_id, message_id; attachments: attachment_id, message_id."""
+    say = lambda df, error: df.select("draft_id", F.lit(error).alias("error"))
+    out = say(drafts.groupBy("draft_id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_draft_id")
+    used = drafts.select("draft_id", "slice_id", F.posexplode("source_message_ids").alias("pos", "message_id"))
+    out = out.union(say(used.join(members.select("slice_id", "message_id"), ["slice_id", "message_id"], "left_anti"), "unknown_source"))
+    if "idx" in members.columns:
+        out = out.union(say(_source_breaks(used, members), "sources_not_in_order"))
+    for column, owned, name in (("link_ids", links, "link_id"), ("attachment_ids", attachments, "attachment_id")):
+        if owned is not None and column in drafts.columns:
+            have = used.join(owned.select("message_id", name), "message_id").select("draft_id", name).distinct()
+            out = out.union(say(drafts.select("draft_id", F.explode(column).alias(name)).join(have, ["draft_id", name], "left_anti"), f"{name.removesuffix('_id')}_of_no_source"))
+    if "evidence_message_ids" in drafts.columns:
+        given = drafts.select("draft_id", "slice_id", F.explode("evidence_message_ids").alias("message_id"))
+        own = members.where("owner").select("slice_id", "message_id").distinct()
+        out = out.union(say(given.join(own, ["slice_id", "message_id"], "left_anti"), "evidence_not_owners"))
+        if relations is not None:
+            told = drafts.select("draft_id", F.explode("relations").alias("relation"))
+            good = given.join(own, ["slice_id", "message_id"], "left_semi").select("draft_id").distinct()
+            out = out.union(say(told.where(~F.col("relation").isin(*relations)), "relation_not_allowed")).union(say(told.join(good, "draft_id", "left_anti"), "relation_without_evidence"))
+    return out.distinct()
+
+
+def _source_breaks(used: DataFrame, members: DataFrame) -> DataFrame:
+    """Drafts whose sources do not run in the order of their slice."""
+    at = used.join(members.select("slice_id", "message_id", "idx"), ["slice_id", "message_id"]).distinct()
+    return at.withColumn("before", F.lag("idx").over(Window.partitionBy("draft_id", "slice_id").orderBy("pos"))).where("before >= idx")
 
 
 def audit_facts(items: DataFrame, texts: DataFrame) -> DataFrame:
@@ -87,11 +155,19 @@ def apply_facts(drafts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return at.withColumn("outcome", outcome).withColumn("content", F.coalesce("new", "content")).drop("new")
 
 
-def risk_reasons(groups: DataFrame, *, events: int = 10, files: int = 4) -> DataFrame:
-    """(group_id, reasons): groups is (group_id, draft_id, source_file, batch, repaired)."""
+def risk_reasons(groups: DataFrame, *, events: int = 10, files: int = 4, alone: DataFrame | None = None, conflicts: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
+    """(group_id, reasons): why groups need a review, of seven reasons in a fixed order.
+
+    groups: group_id, draft_id, source_file, batch, repaired; alone (graph.conversation_only) and conflicts
+    (evidence.semantic_conflicts): group_id; flags: group_id, flag, of which broad_object counts."""
     per = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("source_file").alias("files"), F.count_distinct("batch").alias("batches"), F.bool_or("repaired").alias("repaired"))
-    reasons = F.array_compact(F.array(F.when(F.col("n") >= events, "many_events"), F.when(F.col("files") >= files, "many_files"), F.when(F.col("batches") > 1, "cross_batch"), F.when(F.col("repaired"), "repaired")))
-    return per.select("group_id", F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
+    names = [F.when(F.col("n") >= events, "many_events"), F.when(F.col("files") >= files, "many_files"), F.when(F.col("batches") > 1, "cross_batch"), F.when(F.col("repaired"), "repaired")]
+    broad = None if flags is None else flags.where("flag = 'broad_object'")
+    for name, found in (("same_conversation_only", alone), ("semantic_only_object_conflict", conflicts), ("broad_object", broad)):
+        if found is not None:
+            per = per.join(found.select("group_id", F.lit(True).alias(name)).distinct(), "group_id", "left")
+            names.append(F.when(F.col(name), name))
+    return per.select("group_id", F.array_join(F.array_compact(F.array(*names)), ",").alias("reasons")).where("reasons <> ''")
 
 
 def fix_duplicate_ids(events: DataFrame) -> DataFrame:

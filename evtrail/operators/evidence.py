@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evtrail.scratch import written
 
-from .graph import components, connected_by, conversation_only
+from .graph import components, connected_by
 from .numbering import numbered
 from .packing import fold_rows
 
@@ -258,25 +259,102 @@ def _search(block: list[int], sets: list[frozenset]) -> list[int]:
     return chosen
 
 
-def audit_resolutions(relations: DataFrame, resolutions: DataFrame, assign: DataFrame) -> DataFrame:
-    """(relation_id, error): unanswered or repeated relations, and answers that the groups contradict.
-
-    relations: relation_id, a, b; resolutions: relation_id, decision (merged or separate)."""
-    n = resolutions.groupBy("relation_id").agg(F.count("*").alias("n"), F.max("decision").alias("decision"))
-    side = lambda s: assign.select(F.col("draft_id").alias(s), F.col("group_id").alias(f"g{s}"))
-    at = relations.join(n, "relation_id", "full").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    same = F.col("ga") == F.col("gb")
-    error = (
-        F.when(F.col("a").isNull(), "unknown_relation").when(F.col("n").isNull(), "unresolved").when(F.col("n") > 1, "repeated")
-        .when((F.col("decision") == "merged") & ~same, "merged_not_reflected").when((F.col("decision") == "separate") & same, "separate_contradicted")
-    )
-    return at.select("relation_id", error.alias("error")).where("error is not null")
-
-
-def audit_basis(assign: DataFrame, evidence: DataFrame, conversations: DataFrame, reasons: DataFrame, semantic: tuple[str, ...] = ("same_matter",)) -> DataFrame:
-    """Groups held together by a conversation alone and without a semantic reason; reasons: group_id, reason."""
-    alone = conversation_only(assign, evidence, conversations)
-    return alone.join(reasons.where(F.col("reason").isin(*semantic)).select("group_id"), "group_id", "left_anti")
+def audit_resolutions(sides: DataFrame, resolutions: DataFrame, assign: DataFrame, sources: DataFrame) -> DataFrame:
+    """(relation_id, error): relations that are not resolved once, and answers that their evidence or the groups contradict.
+
+    sides: relation_id, side, draft_id, structural; a relation between drafts has one draft a side and is structural, one between
+    groups has the drafts of a group as a side. resolutions: relation_id, decision (merged or separate),
+    connected_draft_ids, evidence_message_ids; assign: draft_id, group_id, as they came out; sources: draft_id, message_id.
+
+    An answer's evidence has to meet the sources of every draft that it names, or, where it names none, of some draft of
+    every side: what each side needs, without what is met, in one pass over all relations."""
+    known = sides.groupBy("relation_id").agg(F.count_distinct("side").alias("sides"), F.bool_or("structural").alias("structural"))
+    n = resolutions.groupBy("relation_id").agg(F.count("*").alias("n"))
+    state = F.when(F.col("sides").isNull(), "unknown_relation").when(F.col("n").isNull(), "unresolved").when(F.col("n") > 1, "repeated")
+    out = [known.join(n, "relation_id", "full").select("relation_id", state.alias("error")).where("error is not null")]
+    once = resolutions.join(n.where("n = 1").select("relation_id"), "relation_id", "left_semi").join(known, "relation_id")
+    named = once.select("relation_id", F.explode("connected_draft_ids").alias("draft_id")).distinct()
+    some = once.select("relation_id", (F.size(F.coalesce("connected_draft_ids", F.array().cast(resolutions.schema["connected_draft_ids"].dataType))) > 0).alias("some"), "decision")
+
+    needed = named.select("relation_id", F.col("draft_id").cast("string").alias("side"), "draft_id")
+    needed = needed.union(sides.join(some.where("not some").select("relation_id"), "relation_id", "left_semi").select("relation_id", F.col("side").cast("string"), "draft_id")).distinct()
+    given = once.select("relation_id", F.explode("evidence_message_ids").alias("message_id")).distinct()
+    met = needed.join(sources.select("draft_id", "message_id"), "draft_id").join(given, ["relation_id", "message_id"], "left_semi").select("relation_id", "side").distinct()
+    bare = needed.select("relation_id", "side").distinct().join(met, ["relation_id", "side"], "left_anti").select("relation_id").distinct()
+    out.append(bare.select("relation_id", F.lit("side_without_evidence").alias("error")))
+
+    # a group that has drafts of two sides joins the relation
+    joined = sides.join(assign.select("draft_id", "group_id"), "draft_id").groupBy("relation_id", "group_id").agg(F.count_distinct("side").alias("n")).where("n > 1").select("relation_id", F.lit(True).alias("joined")).distinct()
+    count = named.groupBy("relation_id").agg(F.count("*").alias("drafts"))
+    groups = named.join(assign.select("draft_id", "group_id"), "draft_id").groupBy("relation_id").agg(F.count_distinct("group_id").alias("groups"))
+    hit = named.join(sides, ["relation_id", "draft_id"]).groupBy("relation_id").agg(F.count_distinct("side").alias("hit"))
+    at = some.join(known, "relation_id")
+    for part in (joined, count, groups, hit):
+        at = at.join(part, "relation_id", "left")
+    at = at.fillna(0, ["drafts", "groups", "hit"]).withColumn("joined", F.coalesce("joined", F.lit(False)))
+    merged, separate, named_some = F.col("decision") == "merged", F.col("decision") == "separate", F.col("drafts") > 0
+    of_two = merged | (separate & named_some)
+    checks = {
+        "invalid_decision": ~F.coalesce(merged | separate, F.lit(False)),
+        "fewer_than_two_drafts": of_two & (F.col("drafts") < 2),
+        "merged_not_reflected": merged & ((F.col("groups") > 1) | ~F.col("joined")),
+        "representatives_together": separate & named_some & (F.col("groups") < 2),
+        "separate_contradicted": separate & ~named_some & F.col("joined"),
+        "structural_not_named": of_two & F.col("structural") & (F.col("hit") < F.col("sides")),
+        "one_side_only": of_two & ~F.col("structural") & (F.col("hit") < 2),
+    }
+    found = F.explode(F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()])))
+    return reduce(DataFrame.union, [*out, at.select("relation_id", found.alias("error"))])
+
+
+def layer_parts(assign: DataFrame, evidence: DataFrame, salts: int = 8) -> DataFrame:
+    """(group_id, layer, parts): how many parts the evidence of each layer leaves of each group that has some.
+
+    evidence: draft_id, layer, key.  Groups and layers are labelled in one run: a key ties its drafts of a group to their smallest
+    one, and the forest of these ties says how many parts are left."""
+    at = assign.select("group_id", "draft_id").distinct().join(evidence.select("draft_id", "layer", "key").distinct(), "draft_id")
+    hub = at.groupBy("group_id", "layer", "key").agg(F.min("draft_id").alias("a"))
+    edges = at.join(hub, ["group_id", "layer", "key"]).where("draft_id <> a").select("group_id", "layer", F.lit(0).alias("relation_id"), "a", F.col("draft_id").alias("b")).distinct()
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(salts)).cast("int")
+    forest = _forest(_forest(edges.withColumn("part", part), ("group_id", "layer", "part")).drop("part"), ("group_id", "layer"))
+    ties = forest.groupBy("group_id", "layer").agg(F.count("*").alias("ties"))
+    n = assign.select("group_id", "draft_id").distinct().groupBy("group_id").agg(F.count("*").alias("n"))
+    found = at.select("group_id", "layer").distinct().join(ties, ["group_id", "layer"], "left").join(n, "group_id")
+    return found.select("group_id", "layer", (F.col("n") - F.coalesce("ties", F.lit(0))).alias("parts"))
+
+
+def audit_basis(assign: DataFrame, evidence: DataFrame, reasons: DataFrame, kinds: dict[str, str], scope: DataFrame | None = None, semantic: tuple[str, ...] = ("same_matter",)) -> DataFrame:
+    """(group_id, reason, error): declared reasons whose own evidence does not connect the group, and groups without any basis.
+
+    evidence: draft_id, kind (message, file or conversation), key; reasons: group_id, reason; kinds: which evidence a reason stands for.
+    With reasons of messages and of files both, their evidence together has to connect.  Groups of `scope` (group_id; those held by a
+    conversation alone) need messages or files that connect them, or a semantic reason, unless a declared reason has failed."""
+    merged = evidence.where(F.col("kind").isin("message", "file"))
+    layers = evidence.select("draft_id", F.col("kind").alias("layer"), F.concat_ws("|", "kind", F.col("key").cast("string")).alias("key"))
+    layers = layers.union(merged.select("draft_id", F.lit("both").alias("layer"), F.concat_ws("|", "kind", F.col("key").cast("string")).alias("key")))
+    whole = written(layer_parts(assign, layers).where("parts = 1").select("group_id", "layer"), "layers")
+    many = assign.groupBy("group_id").agg(F.count_distinct("draft_id").alias("n")).where("n > 1").select("group_id")
+    of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    declared = reasons.join(many, "group_id").select("group_id", "reason", F.element_at(of, F.col("reason")).alias("kind")).where("kind is not null").distinct()
+    mixed = declared.where("kind <> 'conversation'").groupBy("group_id").agg((F.count_distinct("kind") > 1).alias("mixed"))
+    asked = declared.join(mixed, "group_id", "left").withColumn("layer", F.when((F.col("kind") != "conversation") & F.coalesce("mixed", F.lit(False)), "both").otherwise(F.col("kind")))
+    failed = asked.join(whole, ["group_id", "layer"], "left_anti").select("group_id", "reason", F.lit("not_connected").alias("error"))
+    if scope is None:
+        return failed
+    bare = scope.select("group_id").distinct().join(many, "group_id", "left_semi").join(failed, "group_id", "left_anti")
+    bare = bare.join(whole.where("layer = 'both'"), "group_id", "left_anti").join(reasons.where(F.col("reason").isin(*semantic)), "group_id", "left_anti")
+    return failed.union(bare.select("group_id", F.lit(None).cast("string").alias("reason"), F.lit("no_basis").alias("error")))
+
+
+def semantic_conflicts(assign: DataFrame, evidence: DataFrame, reasons: DataFrame, hints: DataFrame, semantic: tuple[str, ...] = ("same_matter",)) -> DataFrame:
+    """(group_id): groups of a semantic reason that neither messages nor files connect and whose drafts name different objects.
+
+    evidence: draft_id, kind, key; reasons: group_id, reason; hints: draft_id, hint, compared in lower case without white space."""
+    folded = F.lower(F.regexp_replace(F.coalesce("hint", F.lit("")), r"(?U)\s", ""))
+    objects = assign.join(hints.select("draft_id", folded.alias("object")).where("object <> ''"), "draft_id").groupBy("group_id").agg(F.count_distinct("object").alias("objects")).where("objects > 1")
+    asked = reasons.where(F.col("reason").isin(*semantic)).select("group_id").distinct()
+    keys = evidence.where(F.col("kind").isin("message", "file")).select("draft_id", F.lit("both").alias("layer"), F.concat_ws("|", "kind", F.col("key").cast("string")).alias("key"))
+    return objects.select("group_id").join(asked, "group_id").join(layer_parts(assign, keys).where("parts = 1"), "group_id", "left_anti")
 
 
 def audit_decision(assign: DataFrame, decisions: DataFrame) -> DataFrame:

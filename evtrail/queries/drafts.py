@@ -419,14 +419,17 @@ def g9_replace_components(spark, d):
 # -- audits ----------------------------------------------------------------------------------------
 
 
-@query("""WITH l AS (SELECT o_custkey AS g, l_orderkey AS k, l_partkey AS m, l_linenumber AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey), e AS (SELECT DISTINCT g, m FROM l UNION SELECT DISTINCT g, -1 FROM l WHERE g % 11 = 0),
-p AS (SELECT o_custkey AS g, count(*) FILTER (o_orderstatus = 'F') AS n FROM orders GROUP BY 1) SELECT g AS group_id, 'evidence_outside_members' AS error FROM e WHERE m = -1 UNION ALL SELECT g, 'not_one_primary' FROM p WHERE n <> 1""")
+@query("""WITH l AS (SELECT o_custkey AS g, l_orderkey AS k, l_partkey AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey), e AS (SELECT DISTINCT g, m FROM l WHERE g % 7 <> 0 UNION SELECT DISTINCT g, -1 FROM l WHERE g % 11 = 0),
+p AS (SELECT o_custkey AS g, count(*) FILTER (o_orderstatus = 'F') AS n, count(*) AS orders FROM orders GROUP BY 1) SELECT g AS group_id, 'evidence_outside_members' AS error FROM e WHERE m = -1 UNION ALL SELECT g, 'not_one_primary' FROM p WHERE n <> 1
+UNION ALL SELECT g, 'missing_evidence' FROM p WHERE orders > 1 AND g NOT IN (SELECT g FROM e) UNION ALL SELECT g, 'missing_reason' FROM p WHERE orders > 1 AND g % 5 = 0""")
 def v2_audit_groups(spark, d):
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
     assign = o.select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("draft_id"), (F.col("o_orderstatus") == "F").alias("primary"))
     sources = line.select(F.col("l_orderkey").alias("draft_id"), F.col("l_partkey").alias("message_id"))
     own = assign.join(sources, "draft_id").select("group_id", "message_id")
-    return audit.audit_groups(assign, own.union(own.where("group_id % 11 = 0").select("group_id", F.lit(-1).cast("long"))), sources)
+    given = own.where("group_id % 7 <> 0").union(own.where("group_id % 11 = 0").select("group_id", F.lit(-1).cast("long")))
+    reasons = assign.select("group_id", F.when(F.col("group_id") % 5 == 0, " \t").otherwise("one matter").alias("reason"))
+    return audit.audit_groups(assign, given, sources, reasons)
 
 
 @query("""WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey::VARCHAR END AS g FROM orders), s AS (SELECT o_orderkey AS k, (o_custkey // 2)::VARCHAR AS atom FROM orders WHERE o_orderkey % 9 = 0), n AS (SELECT atom, count(*) AS n FROM s GROUP BY 1),
@@ -445,12 +448,34 @@ def v5_audit_atomic(spark, d):
     return audit.audit_atomic(o.select(draft, F.col("o_orderpriority").alias("group_id")), o.select(F.col("o_custkey").alias("atom_id"), draft))
 
 
-@query("""WITH g AS (SELECT o_custkey AS g, o_orderkey % 3 AS e, o_orderpriority AS c FROM orders) SELECT DISTINCT x.g AS group_id FROM g x JOIN g y ON x.g = y.g AND x.c = y.c AND x.e <> y.e WHERE x.g % 3 <> 0""")
+_LAYERS = """k AS (SELECT o_custkey AS g, o_orderkey AS id, 'message' AS layer, 'message|' || o_orderkey % 3 AS key FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'file', 'file|' || o_orderkey % 7 FROM orders WHERE o_orderkey % 5 <> 0
+  UNION ALL SELECT o_custkey, o_orderkey, 'conversation', 'conversation|' || o_orderpriority FROM orders),
+w AS (SELECT * FROM k UNION ALL SELECT g, id, 'both', key FROM k WHERE layer <> 'conversation'), n AS (SELECT o_custkey AS g, count(*) AS n FROM orders GROUP BY 1),
+s AS (SELECT DISTINCT x.g, x.layer, x.id AS a, y.id AS b FROM w x JOIN w y ON x.g = y.g AND x.layer = y.layer AND x.key = y.key AND x.id <> y.id),
+r(g, layer, id, c) USING KEY (g, layer, id) AS (SELECT DISTINCT g, layer, id, id FROM w UNION SELECT s.g, s.layer, s.b, min(r.c) FROM r JOIN s ON s.g = r.g AND s.layer = r.layer AND s.a = r.id JOIN recurring.r AS o ON o.g = s.g AND o.layer = s.layer AND o.id = s.b WHERE r.c < o.c GROUP BY s.g, s.layer, s.b),
+z AS (SELECT g, layer FROM r JOIN n USING (g) GROUP BY g, layer, n HAVING count(*) = n AND count(DISTINCT c) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_LAYERS}, d AS (SELECT g, unnest(CASE g % 6 WHEN 0 THEN ['same_message'] WHEN 1 THEN ['same_file'] WHEN 2 THEN ['same_message', 'same_file'] WHEN 3 THEN ['same_chat'] WHEN 4 THEN ['same_matter'] ELSE ['other', 'same_chat'] END) AS reason FROM n WHERE n > 1),
+a AS (SELECT g, reason, CASE reason WHEN 'same_message' THEN 'message' WHEN 'same_file' THEN 'file' ELSE 'conversation' END AS kind FROM d WHERE reason IN ('same_message', 'same_file', 'same_chat')),
+f AS (SELECT g, reason FROM a WHERE (g, CASE WHEN g % 6 = 2 THEN 'both' ELSE kind END) NOT IN (SELECT (g, layer) FROM z))
+SELECT g AS group_id, reason, 'not_connected' AS error FROM f UNION ALL SELECT g, NULL, 'no_basis' FROM n WHERE n > 1 AND g % 4 < 3 AND g NOT IN (SELECT g FROM f) AND g NOT IN (SELECT g FROM z WHERE layer = 'both') AND g % 6 <> 4""")
 def v7_audit_basis(spark, d):
+    assign, keys = _order_layers(spark, d)
+    k, names = F.col("group_id") % 6, lambda *x: F.array(*[F.lit(v) for v in x])
+    said = F.when(k == 0, names("same_message")).when(k == 1, names("same_file")).when(k == 2, names("same_message", "same_file")).when(k == 3, names("same_chat")).when(k == 4, names("same_matter")).otherwise(names("other", "same_chat"))
+    reasons = assign.select("group_id").distinct().select("group_id", F.explode(said).alias("reason"))
+    kinds = {"same_message": "message", "same_file": "file", "same_chat": "conversation"}
+    return evidence.audit_basis(assign, keys, reasons, kinds, assign.where("group_id % 4 < 3").select("group_id"))
+
+
+def _order_layers(spark, d):
+    """Orders of a customer with keys of three kinds."""
     o = table(spark, d, "orders")
-    draft, group = F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("group_id")
-    reasons = o.select(group, F.when(F.col("o_custkey") % 3 == 0, "same_matter").otherwise("same_conversation").alias("reason")).distinct()
-    return evidence.audit_basis(o.select(group, draft), o.select(draft, (F.col("o_orderkey") % 3).alias("key")), o.select(draft, F.col("o_orderpriority").alias("key")), reasons)
+    draft = F.col("o_orderkey").alias("draft_id")
+    key = lambda rows, kind, c: rows.select(draft, F.lit(kind).alias("kind"), c.cast("string").alias("key"))
+    keys = key(o, "message", F.col("o_orderkey") % 3).union(key(o.where("o_orderkey % 5 <> 0"), "file", F.col("o_orderkey") % 7)).union(key(o, "conversation", F.col("o_orderpriority")))
+    return o.select(draft, F.col("o_custkey").alias("group_id")), keys
 
 
 @query("SELECT o_custkey AS scope, 'split' AS decision FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1")
@@ -461,20 +486,56 @@ def v8_audit_decision(spark, d):
     return evidence.audit_decision(o.select(scope, F.col("o_orderstatus").alias("group_id")), decided)
 
 
-@query(f"""WITH {M}, x AS (SELECT *, CASE WHEN k % 13 = 0 THEN NULL ELSE idx // 4 + CASE WHEN idx % 17 = 0 THEN 1000 ELSE 0 END END AS seg FROM m), w AS (SELECT conversation_id, seg, min(idx) AS a, max(idx) AS b, count(*) AS n FROM x WHERE seg IS NOT NULL GROUP BY 1, 2)
-SELECT DISTINCT conversation_id, 'missing' AS error FROM x WHERE seg IS NULL UNION SELECT conversation_id, 'not_contiguous' FROM w WHERE b - a + 1 <> n UNION SELECT x.conversation_id, 'boundary_inside' FROM x JOIN w USING (conversation_id, seg) WHERE mentions_other AND idx > a""")
+@query(f"""WITH {M}, g AS (SELECT conversation_id, message_id, idx // 4 + CASE WHEN idx % 17 = 0 THEN 1000 ELSE 0 END AS seg, idx - CASE WHEN k % 19 = 0 THEN 1.5 ELSE 0 END AS pos FROM m WHERE k % 13 <> 0
+  UNION ALL SELECT conversation_id, -message_id - 1, idx // 4, idx + 0.1 FROM m WHERE k % 23 = 0 UNION ALL SELECT conversation_id, message_id, idx // 4, idx + 0.3 FROM m WHERE k % 29 = 0),
+x AS (SELECT m.*, g.seg FROM m LEFT JOIN g USING (conversation_id, message_id)), w AS (SELECT conversation_id, seg, min(idx) AS a, max(idx) AS b, count(DISTINCT idx) AS n FROM x WHERE seg IS NOT NULL GROUP BY 1, 2)
+SELECT conversation_id, 'missing' AS error FROM x WHERE seg IS NULL UNION SELECT conversation_id, 'not_contiguous' FROM w WHERE b - a + 1 <> n UNION SELECT x.conversation_id, 'boundary_inside' FROM x JOIN w USING (conversation_id, seg) WHERE mentions_other AND idx > a
+UNION SELECT conversation_id, 'unknown' FROM g WHERE message_id < 0 UNION SELECT conversation_id, 'repeated' FROM g GROUP BY conversation_id, message_id HAVING count(*) > 1
+UNION SELECT conversation_id, 'not_in_order' FROM (SELECT conversation_id, idx, lag(idx) OVER (PARTITION BY conversation_id ORDER BY pos) AS before FROM g JOIN m USING (conversation_id, message_id)) WHERE before >= idx
+UNION SELECT conversation_id, 'segment_id_again' FROM (SELECT conversation_id, seg, lag(seg) OVER (PARTITION BY conversation_id ORDER BY pos) AS before FROM g) GROUP BY conversation_id, seg HAVING count(*) FILTER (before IS DISTINCT FROM seg) > 1""")
 def v9_audit_segments(spark, d):
     msgs = event_messages(spark, d)
-    seg = F.floor(F.col("idx") / 4) + F.when(F.col("idx") % 17 == 0, 1000).otherwise(0)
-    return audit.audit_segments(msgs.where("k % 13 <> 0").select("conversation_id", "message_id", seg.alias("segment")), msgs, msgs.where("mentions_other"))
-
-
-@query("""WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_orderkey % 40 AS s FROM lineitem) SELECT DISTINCT k AS draft_id, 'unknown_source' AS error FROM l WHERE p % 6 = 0 UNION SELECT k, 'duplicate_draft_id' FROM l WHERE k % 12 = 0""")
+    seg = F.floor(F.col("idx") / 4)
+    row = lambda rows, message, seg, pos: rows.select("conversation_id", message.alias("message_id"), seg.alias("segment"), pos.alias("pos"))
+    late = F.col("idx") - F.when(F.col("k") % 19 == 0, 1.5).otherwise(0.0)
+    given = row(msgs.where("k % 13 <> 0"), F.col("message_id"), seg + F.when(F.col("idx") % 17 == 0, 1000).otherwise(0), late)
+    given = given.union(row(msgs.where("k % 23 = 0"), -F.col("message_id") - 1, seg, F.col("idx") + 0.1)).union(row(msgs.where("k % 29 = 0"), F.col("message_id"), seg, F.col("idx") + 0.3))
+    return audit.audit_segments(given, msgs, msgs.where("mentions_other"))
+
+
+@query(f"""WITH {M}, s AS (SELECT conversation_id, message_id, idx - CASE WHEN k % 21 = 0 THEN 20.5 ELSE 0 END AS pos FROM m WHERE (k % 7 = 0 OR (idx = 1 AND conversation_id % 3 > 0)) AND conversation_id % 11 > 0 UNION ALL SELECT conversation_id, -message_id - 1, idx + 0.1 FROM m WHERE k % 35 = 0 AND conversation_id % 11 > 0),
+f AS (SELECT conversation_id, arg_min(message_id, pos) AS start FROM s GROUP BY 1)
+SELECT conversation_id, 'not_from_first_row' AS error FROM f JOIN m USING (conversation_id) WHERE idx = 1 AND message_id <> start UNION SELECT conversation_id, 'no_start' FROM m WHERE conversation_id NOT IN (SELECT conversation_id FROM f)
+UNION SELECT conversation_id, 'unknown_start' FROM s WHERE message_id < 0 UNION SELECT conversation_id, 'not_in_order' FROM (SELECT conversation_id, idx, lag(idx) OVER (PARTITION BY conversation_id ORDER BY pos) AS before FROM s JOIN m USING (conversation_id, message_id)) WHERE before >= idx
+UNION SELECT conversation_id, 'boundary_omitted' FROM m WHERE mentions_other AND k % 2 = 0 AND (conversation_id, message_id) NOT IN (SELECT (conversation_id, message_id) FROM s)""")
+def v9_audit_starts(spark, d):
+    msgs = event_messages(spark, d)
+    some = msgs.where("conversation_id % 11 > 0")
+    starts = some.where("k % 7 = 0 or (idx = 1 and conversation_id % 3 > 0)").select("conversation_id", "message_id", (F.col("idx") - F.when(F.col("k") % 21 == 0, 20.5).otherwise(0.0)).alias("pos"))
+    starts = starts.union(some.where("k % 35 = 0").select("conversation_id", -F.col("message_id") - 1, F.col("idx") + 0.1))
+    return audit.audit_starts(starts, msgs, msgs.where("mentions_other and k % 2 = 0"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_orderkey % 40 AS s, l_linenumber AS n FROM lineitem), o AS (SELECT k, any_value(s) AS s, arg_min(p, n * 1000000 + p) AS head, arg_max(p, n * 1000000 + p) AS tail FROM l GROUP BY 1), m AS (SELECT DISTINCT s, p FROM l WHERE p % 6 <> 0),
+d AS (SELECT *, [head * 10] || CASE WHEN k % 9 = 0 THEN [-5] ELSE [] END AS links, tail + CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS file, CASE WHEN k % 8 = 0 THEN 'odd' ELSE 'kept' END AS relation FROM o),
+v AS (SELECT d.k, head % 4 = 0 AND (s, head) IN (SELECT (s, p) FROM m) AS own FROM d)
+SELECT k AS draft_id, 'unknown_source' AS error FROM l WHERE p % 6 = 0 UNION SELECT k, 'duplicate_draft_id' FROM l WHERE k % 12 = 0
+UNION SELECT k, 'sources_not_in_order' FROM (SELECT l.k, l.p, lag(l.p) OVER (PARTITION BY l.k ORDER BY n, l.p) AS before FROM l WHERE p % 6 <> 0) WHERE before >= p
+UNION SELECT k, 'link_of_no_source' FROM d WHERE k % 9 = 0 UNION SELECT k, 'attachment_of_no_source' FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = d.k AND l.p + 1 = file)
+UNION SELECT k, 'evidence_not_owners' FROM v WHERE NOT own UNION SELECT k, 'relation_not_allowed' FROM d WHERE relation = 'odd' UNION SELECT k, 'relation_without_evidence' FROM v WHERE NOT own""")
 def v10_audit_drafts(spark, d):
     line = table(spark, d, "lineitem")
-    drafts = line.groupBy(F.col("l_orderkey").alias("draft_id")).agg(F.collect_set("l_partkey").alias("source_message_ids")).withColumn("slice_id", F.col("draft_id") % 40)
-    members = line.where("l_partkey % 6 <> 0").select((F.col("l_orderkey") % 40).alias("slice_id"), F.col("l_partkey").alias("message_id")).distinct()
-    return audit.audit_drafts(drafts.union(drafts.where("draft_id % 12 = 0")), members)
+    listed = line.groupBy(F.col("l_orderkey").alias("draft_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("m"))
+    k, head, tail = F.col("draft_id"), F.element_at("m", 1)["l_partkey"], F.element_at("m", -1)["l_partkey"]
+    none = F.lit(None).cast("long")
+    drafts = listed.select(
+        k, (k % 40).alias("slice_id"), F.transform("m", lambda x: x["l_partkey"]).alias("source_message_ids"), F.array_compact(F.array(head * 10, F.when(k % 9 == 0, F.lit(-5).cast("long")).otherwise(none))).alias("link_ids"),
+        F.array(tail + F.when(k % 4 == 0, 2).otherwise(1)).alias("attachment_ids"), F.array(head).alias("evidence_message_ids"), F.array(F.when(k % 8 == 0, "odd").otherwise("kept")).alias("relations"),
+    )
+    part = F.col("l_partkey")
+    members = line.where("l_partkey % 6 <> 0").select((F.col("l_orderkey") % 40).alias("slice_id"), part.alias("message_id"), part.alias("idx"), (part % 4 == 0).alias("owner")).distinct()
+    owned = lambda name, c: line.select(part.alias("message_id"), c.alias(name)).distinct()
+    return audit.audit_drafts(drafts.union(drafts.where("draft_id % 12 = 0")), members, owned("link_id", part * 10), owned("attachment_id", part + 1), ("kept",))
 
 
 @query("""WITH l AS (SELECT o_custkey % 30 AS seg, l_orderkey AS k, l_partkey AS p, l_suppkey AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey), s AS (SELECT DISTINCT seg, p FROM l WHERE p % 8 <> 0)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evtrail.operators import audit, graph, merge, metrics, packing, relations
+from evtrail.operators import audit, evidence, graph, merge, metrics, packing, relations
 from evtrail.sources.tables import ORDER_DRAFTS_SQL as D
 from evtrail.sources.tables import order_drafts, table
 
+from .drafts import _LAYERS, _order_layers
 from .registry import query
 
 
@@ -190,10 +191,20 @@ def v1_audit_partition(spark, d):
     return audit.audit_partition(b, given)
 
 
-@query(f"WITH {D} SELECT source_file AS group_id, concat_ws(',', CASE WHEN count(*) >= 10 THEN 'many_events' END, CASE WHEN count(DISTINCT conversation) >= 4 THEN 'many_files' END, CASE WHEN count(DISTINCT draft_id % 2) > 1 THEN 'cross_batch' END, CASE WHEN bool_or(draft_id % 7 = 0) THEN 'repaired' END) AS reasons FROM d GROUP BY 1 HAVING reasons <> ''")
+@query(f"""WITH RECURSIVE {_LAYERS}, o AS (SELECT o_custkey AS g, o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS st FROM orders), c AS (SELECT g, id, c FROM r WHERE layer = 'both'),
+a AS (SELECT DISTINCT x.g FROM o x JOIN o y ON x.g = y.g AND x.p = y.p JOIN c i ON i.g = x.g AND i.id = x.k JOIN c j ON j.g = y.g AND j.id = y.k WHERE i.c <> j.c),
+f AS (SELECT g FROM o WHERE g % 3 = 0 GROUP BY g HAVING count(DISTINCT st) > 1 AND g NOT IN (SELECT g FROM z WHERE layer = 'both'))
+SELECT g AS group_id, concat_ws(',', CASE WHEN count(*) >= 10 THEN 'many_events' END, CASE WHEN count(DISTINCT k % 5) >= 4 THEN 'many_files' END, CASE WHEN count(DISTINCT k % 2) > 1 THEN 'cross_batch' END, CASE WHEN bool_or(k % 7 = 0) THEN 'repaired' END,
+  CASE WHEN g IN (SELECT g FROM a) THEN 'same_conversation_only' END, CASE WHEN g IN (SELECT g FROM f) THEN 'semantic_only_object_conflict' END, CASE WHEN g % 5 = 0 THEN 'broad_object' END) AS reasons FROM o GROUP BY g HAVING reasons <> ''""")
 def v17_risk_reasons(spark, d):
-    rows = order_drafts(spark, d).select(F.col("source_file").alias("group_id"), "draft_id", F.col("conversation").alias("source_file"), (F.col("draft_id") % 2).alias("batch"), (F.col("draft_id") % 7 == 0).alias("repaired"))
-    return audit.risk_reasons(rows)
+    assign, keys = _order_layers(spark, d)
+    merged = keys.where("kind <> 'conversation'").select("draft_id", F.concat_ws("|", "kind", "key").alias("key"))
+    alone = graph.conversation_only(assign, merged, keys.where("kind = 'conversation'").select("draft_id", "key"))
+    hints = table(spark, d, "orders").select(F.col("o_orderkey").alias("draft_id"), F.concat(F.lit(" "), F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus")), F.lit("\u3000")).alias("hint"))
+    flags = assign.where("group_id % 5 = 0").select("group_id", F.lit("broad_object").alias("flag")).union(assign.select("group_id", F.lit("other")))
+    conflicts = evidence.semantic_conflicts(assign, keys, assign.where("group_id % 3 = 0").select("group_id", F.lit("same_matter").alias("reason")), hints)
+    k = F.col("draft_id")
+    return audit.risk_reasons(assign.select("group_id", "draft_id", (k % 5).alias("source_file"), (k % 2).alias("batch"), (k % 7 == 0).alias("repaired")), alone=alone, conflicts=conflicts, flags=flags)
 
 
 @query("SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, 'AKIA[A-Z0-9]{12}') THEN 'access_key' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') THEN 'mail' END) AS found FROM documents")

@@ -107,13 +107,50 @@ def g2_review_components(spark, d):
     return evidence.review_components(groups, relations.hub_links(keys))
 
 
-@query(f"""WITH {D}, {_PAIRS}, q AS (SELECT a || '-' || b AS relation_id, a, b, CASE WHEN (a + b) % 3 = 0 THEN 'merged' ELSE 'separate' END AS decision FROM p), x AS (SELECT *, a % 4 = b % 4 AS same FROM q WHERE (a + b) % 5 <> 0)
-SELECT relation_id, CASE WHEN decision = 'merged' THEN 'merged_not_reflected' ELSE 'separate_contradicted' END AS error FROM x WHERE (decision = 'merged') <> same UNION ALL SELECT relation_id, 'unresolved' FROM q WHERE (a + b) % 5 = 0""")
+@query(f"""WITH {D}, k AS (SELECT DISTINCT draft_id, evidence FROM d), h AS (SELECT evidence, min(draft_id) AS b FROM k GROUP BY 1), p AS (SELECT DISTINCT draft_id AS a, b FROM k JOIN h USING (evidence) WHERE draft_id <> b),
+c AS (SELECT conversation AS c, min(draft_id) AS lo, max(draft_id) AS hi FROM d GROUP BY 1), t AS (SELECT x.c, x.lo, x.hi, y.lo AS other FROM c x JOIN c y ON y.c = x.c + 1 WHERE x.c % 3 = 0), q AS (SELECT draft_id, min(evidence) AS part FROM k GROUP BY 1),
+s AS (SELECT a || '-' || b AS rel, '0' AS side, a AS draft, true AS st FROM p UNION ALL SELECT a || '-' || b, '1', b, true FROM p UNION SELECT 't' || t.c, conversation::VARCHAR, draft_id, false FROM t JOIN d ON conversation IN (t.c, t.c + 1)),
+u AS (SELECT *, (a * 7 + b) % 10 AS h FROM p),
+res AS (SELECT a || '-' || b AS rel, CASE WHEN h = 2 THEN 'other' WHEN (a + b) % 3 = 0 THEN 'merged' ELSE 'separate' END AS decision, CASE WHEN h IN (3, 4) THEN [] WHEN h = 5 THEN [a] ELSE [a, b] END AS conn, [qa.part] || CASE WHEN h % 2 = 0 THEN [qb.part] ELSE [] END AS ev
+  FROM u JOIN q qa ON qa.draft_id = a JOIN q qb ON qb.draft_id = b, unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END)) WHERE true
+  UNION ALL SELECT 't' || c, CASE WHEN c % 5 < 2 THEN 'merged' ELSE 'separate' END, CASE c % 4 WHEN 0 THEN [] WHEN 1 THEN [lo, other] WHEN 2 THEN [lo, hi] ELSE [lo] END, [qa.part] || CASE WHEN c % 7 > 0 THEN [qb.part] ELSE [] END FROM t JOIN q qa ON qa.draft_id = lo JOIN q qb ON qb.draft_id = other
+  UNION ALL SELECT 'nope', 'merged', [], []),
+kn AS (SELECT rel, count(DISTINCT side) AS sides, bool_or(st) AS st FROM s GROUP BY 1), one AS (SELECT res.*, sides, st FROM res JOIN kn USING (rel) WHERE rel IN (SELECT rel FROM res GROUP BY rel HAVING count(*) = 1)),
+na AS (SELECT DISTINCT rel, unnest(conn) AS draft FROM one), ne AS (SELECT rel, draft::VARCHAR AS side, draft FROM na UNION SELECT rel, side, draft FROM s JOIN one USING (rel) WHERE len(conn) = 0),
+be AS (SELECT DISTINCT rel FROM (SELECT rel, side, bool_or(k.draft_id IS NOT NULL) AS met FROM ne JOIN one USING (rel) LEFT JOIN k ON k.draft_id = draft AND list_contains(ev, k.evidence) GROUP BY 1, 2) WHERE NOT met),
+jo AS (SELECT DISTINCT rel FROM (SELECT rel FROM s GROUP BY rel, draft % 4 HAVING count(DISTINCT side) > 1)),
+f AS (SELECT one.*, rel IN (SELECT rel FROM jo) AS joined, (SELECT count(*) FROM na WHERE na.rel = one.rel) AS drafts, (SELECT count(DISTINCT draft % 4) FROM na WHERE na.rel = one.rel) AS groups, (SELECT count(DISTINCT s.side) FROM na JOIN s ON s.rel = na.rel AND s.draft = na.draft WHERE na.rel = one.rel) AS hit FROM one),
+g AS (SELECT *, decision = 'merged' OR (decision = 'separate' AND drafts > 0) AS two FROM f)
+SELECT rel AS relation_id, 'unknown_relation' AS error FROM res WHERE rel NOT IN (SELECT rel FROM kn) UNION ALL SELECT rel, 'unresolved' FROM kn WHERE rel NOT IN (SELECT rel FROM res) UNION ALL SELECT rel, 'repeated' FROM res WHERE rel IN (SELECT rel FROM kn) GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT rel, 'side_without_evidence' FROM be UNION ALL SELECT rel, 'invalid_decision' FROM g WHERE decision NOT IN ('merged', 'separate') UNION ALL SELECT rel, 'fewer_than_two_drafts' FROM g WHERE two AND drafts < 2
+UNION ALL SELECT rel, 'merged_not_reflected' FROM g WHERE decision = 'merged' AND (groups > 1 OR NOT joined) UNION ALL SELECT rel, 'representatives_together' FROM g WHERE decision = 'separate' AND drafts > 0 AND groups < 2
+UNION ALL SELECT rel, 'separate_contradicted' FROM g WHERE decision = 'separate' AND drafts = 0 AND joined UNION ALL SELECT rel, 'structural_not_named' FROM g WHERE two AND st AND hit < sides UNION ALL SELECT rel, 'one_side_only' FROM g WHERE two AND NOT st AND hit < 2""")
 def v6_audit_resolutions(spark, d):
-    pairs = _pairs(spark, d).select(F.concat_ws("-", "a", "b").alias("relation_id"), "a", "b")
-    decided = pairs.where("(a + b) % 5 <> 0").select("relation_id", F.when((F.col("a") + F.col("b")) % 3 == 0, "merged").otherwise("separate").alias("decision"))
-    assign = order_drafts(spark, d).select("draft_id", (F.col("draft_id") % 4).alias("group_id")).distinct()
-    return evidence.audit_resolutions(pairs, decided, assign)
+    rows = written(order_drafts(spark, d), "order-drafts")
+    keys = rows.select("draft_id", F.col("evidence").alias("key")).distinct()
+    ties = relations.hub_links(keys).select("a", "b", F.concat_ws("-", "a", "b").alias("relation_id"), ((F.col("a") * 7 + F.col("b")) % 10).alias("h"))
+    part = keys.groupBy("draft_id").agg(F.min("key").alias("part"))
+    of = rows.groupBy(F.col("conversation").alias("c")).agg(F.min("draft_id").alias("lo"), F.max("draft_id").alias("hi"))
+    titles = of.where("c % 3 = 0").join(of.select((F.col("c") - 1).alias("c"), F.col("lo").alias("other")), "c")
+    name = F.concat(F.lit("t"), "c").alias("relation_id")
+    both = titles.select(name, F.explode(F.array("c", F.col("c") + 1)).alias("conversation")).join(rows.select("conversation", "draft_id").distinct(), "conversation")
+    side = lambda n, c: ties.select("relation_id", F.lit(n).alias("side"), F.col(c).alias("draft_id"), F.lit(True).alias("structural"))
+    sides = side("0", "a").union(side("1", "b")).union(both.select("relation_id", F.col("conversation").cast("string"), "draft_id", F.lit(False)))
+
+    def parts(df, left, right):
+        return df.join(part.select(F.col("draft_id").alias(left), F.col("part").alias("pa")), left).join(part.select(F.col("draft_id").alias(right), F.col("part").alias("pb")), right)
+
+    none = F.array().cast("array<bigint>")
+    some = lambda x, c: F.array_compact(F.array(x, F.when(c, F.col("pb"))))
+    decision = F.when(F.col("h") == 2, "other").when((F.col("a") + F.col("b")) % 3 == 0, "merged").otherwise("separate")
+    named = F.when(F.col("h").isin(3, 4), none).when(F.col("h") == 5, F.array("a")).otherwise(F.array("a", "b"))
+    answers = parts(ties.where("h <> 0"), "a", "b").select("relation_id", decision.alias("decision"), named.alias("connected_draft_ids"), some(F.col("pa"), F.col("h") % 2 == 0).alias("evidence_message_ids"), F.explode(F.array_repeat(F.lit(1), F.when(F.col("h") == 1, 2).otherwise(1)))).drop("col")
+    k = F.col("c") % 4
+    told = F.when(k == 0, none).when(k == 1, F.array("lo", "other")).when(k == 2, F.array("lo", "hi")).otherwise(F.array("lo"))
+    answers = answers.union(parts(titles, "lo", "other").select(name, F.when(F.col("c") % 5 < 2, "merged").otherwise("separate"), told, some(F.col("pa"), F.col("c") % 7 > 0)))
+    answers = answers.union(spark.range(1).select(F.lit("nope"), F.lit("merged"), none, none))
+    assign = rows.select("draft_id", (F.col("draft_id") % 4).alias("group_id")).distinct()
+    return evidence.audit_resolutions(sides, answers, assign, keys.select("draft_id", F.col("key").alias("message_id")))
 
 
 @query(f"""WITH {D}, b AS (SELECT DISTINCT draft_id, conversation AS g FROM d), a AS (SELECT draft_id, CASE WHEN draft_id % 6 = 0 THEN -draft_id ELSE g END AS g FROM b), s AS (SELECT string_agg(draft_id, ',' ORDER BY draft_id::VARCHAR) AS m FROM b GROUP BY g)
