@@ -83,6 +83,20 @@ def w16_split_windows(spark, d):
     return context.split_windows(rows, 1200)
 
 
+@query()
+def w16_split_units(spark, d):
+    """Windows cut by anchors, rows, attachments and linked texts; tests hold the operator against plain recursion."""
+    msgs, header = _header(spark, d)
+    at = W.window_members(header, msgs).join(msgs.select("conversation_id", "message_id", "owner", "k"), ["conversation_id", "message_id"])
+    at = written(at.withColumn("unit_id", F.concat_ws(":", "conversation_id", "window")), "units")
+    rows = at.select("unit_id", "message_id", F.col("idx").alias("pos"), (F.col("role") == "main").alias("main"), (F.col("owner") & (F.col("role") == "main")).alias("anchor"), (F.col("k") * 9).alias("ascii"), F.lit(0).alias("other"))
+    kind = F.when(F.col("k") % 3 == 0, "attachment").otherwise("linked")
+    texts = at.where("k % 2 = 0").select("unit_id", kind.alias("kind"), F.explode(F.sequence(F.lit(1), F.col("k") % 4 + 1)).alias("n"), "message_id", "k").select("unit_id", "kind", (F.col("message_id") * 10 + F.col("n")).alias("block_id"), "message_id", (F.col("k") * 20).alias("ascii"), F.lit(0).alias("other"))
+    cut, kept = context.split_units(rows, texts, W.direct_links(msgs), 700)
+    n = kept.groupBy("unit_id").agg(F.count("*").alias("texts"))
+    return cut.groupBy("unit_id").agg(F.count_if("main").alias("mains"), F.count_if("anchor").alias("anchors"), F.count("*").alias("rows"), F.first("oversized").alias("oversized")).join(n, "unit_id", "left").fillna(0, ["texts"])
+
+
 @query(f"""WITH RECURSIVE {M}, {_WINDOWS}, x AS (SELECT *, unnest(range(greatest(first - 6, 1), last + 1)) AS idx FROM h), y AS (SELECT conversation_id || ':' || "window"::BIGINT AS s, x.idx, CASE WHEN x.idx < first THEN 1 ELSE 0 END AS r, message_id % 700 AS a FROM x JOIN m USING (conversation_id, idx)),
 z AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY r, idx) AS n FROM y), p AS (SELECT s, n, idx, true AS kept, a::BIGINT AS held FROM z WHERE n = 1 UNION ALL SELECT z.s, z.n, z.idx, f, p.held + CASE WHEN f THEN z.a ELSE 0 END FROM p JOIN z ON z.s = p.s AND z.n = p.n + 1, LATERAL (SELECT z.r = 0 OR ((p.held + z.a) * 5 + 11) // 12 + 200 <= 900 AS f))
 SELECT s AS slice_id, idx::BIGINT AS pos FROM p WHERE kept""")

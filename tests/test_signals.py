@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from evtrail.operators import context, windows
@@ -39,3 +41,60 @@ def test_rows_of_round_one_are_targets_of_round_two(spark):
     }  # m39 is not in the slice, m18 not in z
     assert len(got) == len(found)
     assert context.expand_context(slices, requests.limit(0), msgs).count() == 0
+
+
+def plain_split(unit, target):
+    """One unit at a time: (name, rows in order, main ids, anchor ids, blocks)."""
+    todo, out = [unit], []
+    while todo:
+        name, rows, main, anchors, blocks, links = todo.pop(0)
+        place = {m: i for i, (m, _) in enumerate(rows)}
+        size = sum(n for _, n in rows) + sum(b[3] for b in blocks)
+        if (size * 5 + 11) // 12 + 200 <= target:
+            out.append((name, rows, main, anchors, blocks, False))
+            continue
+        mains = [m for m, _ in rows if m in (main or place)]
+        marks = [m for m, _ in rows if m in anchors]
+        kinds = {k: [b for b in blocks if b[0] == k] for k in ("attachment", "linked")}
+        if len(marks) > 1:
+            left, right = marks[: len(marks) // 2], marks[len(marks) // 2 :]
+            start = min(place[m] for m in right)
+            cut = [("part", [m for m in mains if place[m] < start], left, None), ("part", [m for m in mains if place[m] >= start], right, None)]
+        elif len(mains) > 1:
+            cut = [("part", part, marks, None) for part in (mains[: len(mains) // 2], mains[len(mains) // 2 :])]
+        else:
+            kind = next((k for k in kinds if len(kinds[k]) > 1), None)
+            if kind is None:
+                out.append((name, rows, main, anchors, blocks, True))
+                continue
+            n = len(kinds[kind]) // 2
+            cut = [(kind, mains, marks, (kind, part)) for part in (kinds[kind][:n], kinds[kind][n:])]
+        for i, (suffix, m, k, named) in enumerate(cut, 1):
+            core = {*m, *k}
+            near = core | {t for a, t in links if a in core} | {a for a, t in links if t in core}
+            some = [(x, n) for x, n in rows if x in near]
+            held = [b for b in blocks if (named and b[0] == named[0] and b in named[1]) or (not (named and b[0] == named[0]) and b[2] in near and b[2] in dict(some))]
+            todo.append((f"{name}:{suffix}-{i}", some, set(m), set(k), held, links))
+    return out
+
+
+def test_units_are_cut_by_anchors_rows_and_texts(spark):
+    r, units = random.Random(12), []
+    for u in range(25):
+        ids = [f"u{u}m{i:02}" for i in range(r.randint(1, 14))]
+        rows = [(m, r.choice([50, 300, 900])) for m in ids]
+        main, anchors = {m for m in ids if r.random() < 0.6}, {m for m in ids if r.random() < 0.25}
+        blocks = sorted((k, f"{m}{k}{n}", m, r.choice([100, 2000])) for m in ids for k in ("attachment", "linked") for n in range(r.choice([0, 0, 0, 1, 3])))
+        links = [(r.choice(ids), r.choice(ids)) for _ in range(4)]
+        units.append((f"u{u}", rows, main, anchors, sorted(blocks, key=lambda b: (b[0], b[2], b[1])), links))
+    rows = [(u, m, i, m in main, m in marks, n, 0) for u, rs, main, marks, _, _ in units for i, (m, n) in enumerate(rs)]
+    blocks = [(u, k, b, m, n, 0) for u, *_, bs, _ in units for k, b, m, n in bs]
+    got, texts = context.split_units(
+        spark.createDataFrame(rows, "unit_id string, message_id string, pos long, main boolean, anchor boolean, ascii long, other long"),
+        spark.createDataFrame(blocks, "unit_id string, kind string, block_id string, message_id string, ascii long, other long"),
+        spark.createDataFrame([x for u in units for x in u[5]], "message_id string, target string"), 900,
+    )
+    want = [x for u in units for x in plain_split(u, 900)]
+    assert {(x.unit_id, x.message_id, x.main, x.anchor, x.oversized) for x in got.collect()} == {(n, m, m in main, m in marks, over) for n, rs, main, marks, _, over in want for m, _ in rs}
+    assert sorted((x.unit_id, x.block_id) for x in texts.collect()) == sorted((n, b[1]) for n, *_, bs, _ in want for b in bs)
+    assert any(over for *_, over in want) and any(":attachment-" in x[0] for x in want) and any(":linked-" in x[0] for x in want)
