@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evtrail.functions import messages, text
 from evtrail.operators import context, windows
+from evtrail.scratch import written
 from evtrail.sources import chat, sinks
 from evtrail.sources.tables import EVENT_MESSAGES_SQL as M
 from evtrail.sources.tables import event_messages, table
@@ -227,6 +229,27 @@ def s19_render_day(spark, d):
     return sinks.render_day(events).select("owner_id", "body")
 
 
+@query("""WITH e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE conv_id % 4 > 0)
+SELECT conv_id AS path, count(*) OVER (PARTITION BY conv_id)::VARCHAR AS n, 'o' || conv_id AS owner, pos::INT AS pos, role AS title, 'e' || turn AS id, CASE WHEN before IS NULL OR before = role THEN role ELSE role || '、' || before END AS people, trim(text) AS said,
+  3 AS version, 'sha256:' || sha256(text) AS content, 'sha256:' || sha256(role) AS file, CASE WHEN turn % 3 = 0 THEN 'manual_modified' ELSE '' END AS edit FROM e
+UNION ALL SELECT DISTINCT conv_id, '0', 'o' || conv_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM conversations WHERE conv_id % 4 = 0""")
+def s19_render_documents(spark, d):
+    """Documents with front matter and metadata lines, read back as files are (S9 to S12)."""
+    c = table(spark, d, "conversations")
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    print_of = lambda x: F.concat(F.lit("sha256:"), F.sha2(x, 256))
+    edit = F.when(F.col("turn") % 3 == 0, "manual_modified").otherwise("by_nobody")
+    meta = sinks.merge_meta(file_keys=F.array(print_of("role"), F.lit("sha256:no"), print_of("role")), self_relations=F.array(F.lit("lead"), F.lit("ou_0123456789abcdef")), source_manual_edit_types=F.array(edit), manual_edit_type=edit, content_fingerprint=print_of("text"))
+    events = c.where("conv_id % 4 > 0").select(F.col("conv_id").alias("owner_id"), F.lit("2026-01-02").alias("date"), F.col("turn").alias("pos"), F.col("role").alias("title"), F.concat(F.lit("e"), "turn").alias("event_id"), F.col("text").alias("content"), F.array_compact(F.array("role", before)).alias("people"), meta.alias("meta"))
+    days = c.select(F.col("conv_id").alias("owner_id"), F.lit("2026-01-02").alias("date")).distinct()
+    logs = written(sinks.render_documents(events, days, {"people": "people"}, {"owner": F.concat(F.lit("o"), "owner_id")}).select(F.col("owner_id").alias("path"), "body"), "documents")
+    at = chat.parse_event_block(chat.event_blocks(logs), {"id": ("id",), "people": ("people",)}).withColumn("m", chat.parse_merge_meta(F.col("block")))
+    said = F.trim(F.regexp_extract("block", r"(?s)\n\n(?:- [^\n]*\n)*\n(.*)\z", 1))
+    at = at.select("path", "pos", "title", "id", "people", said.alias("said"), "m.version", F.col("m.content_fingerprint").alias("content"), F.get("m.file_keys", F.lit(0)).alias("file"), F.col("m.manual_edit_type").alias("edit"))
+    front = logs.select("path", text.front_matter("body").alias("f")).select("path", F.col("f")["event_count"].alias("n"), F.col("f")["owner"].alias("owner"))
+    return front.join(at, "path", "left")
+
+
 @query("SELECT count(*) AS n, count(DISTINCT event_type || user_id % 5) AS types, count(*) FILTER (event_id % 9 = 0) AS empty FROM events")
 def s20_check_catalog(spark, d):
     e = table(spark, d, "events")
