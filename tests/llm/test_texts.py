@@ -162,13 +162,64 @@ def test_licenses_without_rows(empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def plain_licenses(text, model):
+    """Lines, then all runs of lines by brute force: every window of a template's n-grams, looked at alone."""
+    lines = text.split("\n") if text else []
+    words = [re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", x.lower()) for x in lines]
+    grams = lambda ws: {tuple(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)}
+    templates = [(f, [grams(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())) for t in ts], [len(licenses.words_of(t)) for t in ts]) for f, ts in licenses.TEMPLATES.items()]
+
+    def judged(ws):
+        p = model.probabilities([licenses.hashed(ws)])[0]
+        best = licenses.FAMILIES[int(p.argmax())]
+        sure = p.max() >= 0.5 and any(f == best and any(len(t & grams(ws)) / len(t) >= 0.7 for t in ts) for f, ts, _ in templates)
+        return best if sure and best != "unknown" else None
+
+    found = {(i, i): f for i, ws in enumerate(words) if (f := judged(ws))}
+    taken = {i for i, _ in found}
+    flat, runs = [(w, i) for i, ws in enumerate(words) for w in ws], Counter()
+    for _, ts, sizes in templates:
+        for t, n in zip(ts, sizes, strict=True):
+            for a in range(len(flat)):
+                for b in range(a + 1, min(len(flat), a + licenses.STRETCH * n)):
+                    inside = len(t & grams([w for w, _ in flat[a : b + 1]]))
+                    if inside >= 0.7 * len(t) and flat[a][1] < flat[b][1]:
+                        run = (flat[a][1], flat[b][1])
+                        runs[run] = max(runs[run], inside)
+    return found, taken, runs, judged, words
+
+
 def test_license_scan_against_plain_python(spark, docs, texts):
-    """The job gives what the plain functions give text by text with the same model."""
     model = licenses.train(["one two three", "a b c d", "licensed to drive"], rounds=10)
     rows = [*enumerate(texts), (8, texts[8])]
     got = licenses.scan_licenses(docs, model=model).collect()
-    want = Counter((i, licenses.spans_of(t, model, 0.5, 0.7, 6)[0], str(licenses.spans_of(t, model, 0.5, 0.7, 6)[1])) for i, t in rows)
+    want = Counter((i, sum(1 for x in (t or "").split("\n") if x.strip()), str(licenses.spans_of(t, model, 0.5, 0.7)[1])) for i, t in rows)
     assert Counter((r.doc_id, r.n_paragraphs, str([x.asDict() for x in r.found])) for r in got) == want
+    wrapped = "Kopf\nAll rights\nreserved. And\nReleased under\nthe MIT\nLicense.\n\nLicensed under CC BY 4.0.\nno rights are\nreserved here"
+    found, taken, runs, judged, words = plain_licenses(wrapped, model)
+    alone = set(taken)
+    for i, j in licenses.wrapped_runs(words, 0.7):
+        assert (i, j) in runs  # every run that is looked at holds a template
+        if taken.isdisjoint(range(i, j + 1)) and (f := judged([w for ws in words[i : j + 1] for w in ws])):
+            found[i, j] = f
+            taken.update(range(i, j + 1))
+    spans = licenses.spans_of(wrapped, model, 0.5, 0.7)[1]
+    assert [(x["line"], x["family"]) for x in spans] == [(i, f) for (i, _), f in sorted(found.items())] == [(1, "proprietary"), (3, "MIT"), (7, "CC-BY")]
+    # of the brute-force runs none is missed that has no shorter one and no line found alone inside
+    least = {r for r in runs if alone.isdisjoint(range(r[0], r[1] + 1)) and not any(o != r and r[0] <= o[0] and o[1] <= r[1] for o in runs)}
+    assert least <= set(licenses.wrapped_runs(words, 0.7))
+
+
+def test_every_template_is_found_at_every_width():
+    import textwrap
+
+    model = licenses.train(["one two three", "a b c d", "licensed to drive", "the public was told of the license"] * 40)
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for width in (20, 45, 10_000):
+                body = "\n".join(textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+                spans = licenses.spans_of(f"some words before\n{body}\nand after that more words", model, 0.5, 0.7)[1]
+                assert [x["family"] for x in spans] == [family], (family, width, text)
 
 
 def toxic_rows(n=600):
