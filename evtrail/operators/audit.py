@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evtrail.functions.text import strip
+from evtrail.functions.text import clean_text, strip
 
 from .numbering import scanned
 
@@ -134,6 +134,26 @@ def audit_facts(items: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(joined, ["draft_id", "field_name"], "left").where("made is null or made <> text").select("draft_id", "field_name")
 
 
+def audit_fact_items(items: DataFrame, texts: DataFrame, sources: DataFrame, fields: tuple[str, ...], joined: tuple[str, ...] = ("content",)) -> DataFrame:
+    """(draft_id, field_name, error): items of a field that is not allowed, without text or evidence, or with evidence that is no source of
+    the draft; items of a field without text; fields that their items do not cover exactly: those of `joined` one
+    after the other, any other by a single item.
+
+    items: draft_id, field_name, pos, text, evidence_message_ids; texts: draft_id, field_name, text; sources: draft_id, message_id."""
+    say = lambda df, error: df.select("draft_id", "field_name", F.lit(error).alias("error"))
+    at = items.select("draft_id", strip("field_name").alias("field_name"), "pos", clean_text(F.coalesce("text", F.lit(""))).alias("text"), "evidence_message_ids")
+    out = say(at.where(~F.col("field_name").isin(*fields)), "field_not_allowed").union(say(at.where("text = ''"), "empty_item"))
+    out = out.union(say(at.where(F.coalesce(F.size("evidence_message_ids"), F.lit(0)) <= 0), "no_evidence"))
+    given = at.select("draft_id", "field_name", F.explode("evidence_message_ids").alias("message_id"))
+    out = out.union(say(given.join(sources.select("draft_id", "message_id"), ["draft_id", "message_id"], "left_anti"), "evidence_outside_sources"))
+    made = at.groupBy("draft_id", "field_name").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("made"))
+    want = texts.where(F.col("field_name").isin(*fields)).select("draft_id", "field_name", clean_text(F.coalesce("text", F.lit(""))).alias("want"))
+    both = want.join(made, ["draft_id", "field_name"], "left")
+    out = out.union(say(both.where("want = '' and n > 0"), "items_of_an_empty_field"))
+    covered = F.when(F.col("field_name").isin(*joined), clean_text("made") == F.col("want")).otherwise((F.col("n") == 1) & (F.col("made") == F.col("want")))
+    return out.union(say(both.where((F.col("want") != "") & ~F.coalesce(covered, F.lit(False))), "not_covered")).distinct()
+
+
 def audit_coverage(groups: DataFrame) -> DataFrame:
     """Groups whose covered ids are not their members; columns group_id, member_ids, covered_ids."""
     missing, extra = F.array_except("member_ids", "covered_ids"), F.array_except("covered_ids", "member_ids")
@@ -155,6 +175,19 @@ def apply_facts(drafts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return at.withColumn("outcome", outcome).withColumn("content", F.coalesce("new", "content")).drop("new")
 
 
+def extend_sources(drafts: DataFrame, evidence: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(draft_id, source_message_ids): the sources of each draft and what the evidence of its reviewed facts adds, those that are allowed
+    first, in their order, then the draft's others in the order they had.
+
+    drafts: draft_id, source_message_ids; evidence: draft_id, message_id; allowed: draft_id, message_id, pos."""
+    own = drafts.select("draft_id", F.posexplode("source_message_ids").alias("own", "message_id")).groupBy("draft_id", "message_id").agg(F.min("own").alias("own"))
+    at = own.join(evidence.select("draft_id", "message_id", F.lit(True).alias("told")).distinct(), ["draft_id", "message_id"], "full")
+    at = at.join(allowed.groupBy("draft_id", "message_id").agg(F.min("pos").alias("pos")), ["draft_id", "message_id"], "left").where("pos is not null or own is not null")
+    key = F.struct(F.col("pos").isNull().alias("other"), "pos", "own", "message_id")
+    listed = at.groupBy("draft_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["message_id"]).alias("source_message_ids"))
+    return drafts.select("draft_id").distinct().join(listed, "draft_id", "left")
+
+
 def risk_reasons(groups: DataFrame, *, events: int = 10, files: int = 4, alone: DataFrame | None = None, conflicts: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
     """(group_id, reasons): why groups need a review, of seven reasons in a fixed order.
 

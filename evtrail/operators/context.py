@@ -28,13 +28,27 @@ def private_external(windows: DataFrame, day: DataFrame, every: DataFrame, targe
     return both.join(day.select("conversation_id", "message_id"), ["conversation_id", "message_id"], "left_anti").join(some.select("conversation_id", "message_id"), ["conversation_id", "message_id"], "left_semi")
 
 
-def valid_requests(requests: DataFrame, members: DataFrame, types: tuple[str, ...] = ("earlier", "later", "attachment", "linked_text")) -> DataFrame:
+def valid_requests(requests: DataFrame, members: DataFrame, types: tuple[str, ...] = ("earlier", "later", "attachment", "linked_text"), attachments: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """Requests of a known type whose targets all stand in their slice; requests: request_id, slice_id, request_type,
-    target_message_ids."""
+    target_message_ids.
+
+    Where they have target_attachment_ids and target_link_ids, a request of attachments names some, all of its target messages, and no
+    link; one of linked texts the other way round; any other names neither.  attachments: message_id,
+    attachment_id; links: message_id, link_id."""
     at = requests.select("request_id", "slice_id", F.explode_outer("target_message_ids").alias("message_id"))
     known = members.select("slice_id", "message_id", F.lit(True).alias("known")).distinct()
     good = at.join(known, ["slice_id", "message_id"], "left").groupBy("request_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("good")).where("good")
-    return requests.where(F.col("request_type").isin(*types)).join(good.select("request_id"), "request_id", "left_semi")
+    out = requests.where(F.col("request_type").isin(*types)).join(good.select("request_id"), "request_id", "left_semi")
+    if "target_attachment_ids" not in requests.columns:
+        return out
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    asks = {"attachment": ("target_attachment_ids", attachments, "attachment_id"), "linked_text": ("target_link_ids", links, "link_id")}
+    for kind, (own, owned, name) in asks.items():
+        each = requests.where(F.col("request_type") == kind).select("request_id", F.explode(own).alias(name), "target_message_ids")
+        held = each.select("request_id", name, F.explode("target_message_ids").alias("message_id")).join(owned.select("message_id", name), ["message_id", name], "left_semi").select("request_id", name).distinct()
+        out = out.join(each.join(held, ["request_id", name], "left_anti").select("request_id"), "request_id", "left_anti")
+    exclusive = F.when(F.col("request_type") == "attachment", some("target_attachment_ids") & ~some("target_link_ids")).when(F.col("request_type") == "linked_text", some("target_link_ids") & ~some("target_attachment_ids"))
+    return out.where(exclusive.otherwise(~some("target_attachment_ids") & ~some("target_link_ids")))
 
 
 def expand_context(slices: DataFrame, requests: DataFrame, msgs: DataFrame, blocks: DataFrame | None = None, cap: int = 7, rounds: int = 2) -> DataFrame:

@@ -127,12 +127,16 @@ def filter_valid_relations(df: DataFrame) -> DataFrame:
     return df.where(F.size(F.coalesce(F.col("self_relations"), F.array())) > 0)
 
 
-def select_fact_review(drafts: DataFrame, messages: DataFrame, *, sources: int = 8, people: int = 3) -> DataFrame:
-    """Drafts to review with their reasons; drafts has draft_id, source_message_ids, fact_risk_flags."""
+def select_fact_review(drafts: DataFrame, messages: DataFrame, *, sources: int = 8, people: int = 3, incomplete: DataFrame | None = None) -> DataFrame:
+    """Drafts to review with their reasons; drafts has draft_id, source_message_ids, fact_risk_flags; incomplete (draft_id) has those
+    whose facts do not hold, as audit.audit_fact_items() finds them."""
     seen = drafts.select("draft_id", F.explode(F.array_distinct("source_message_ids")).alias("message_id"))
     who = seen.join(messages.select("message_id", "sender_open_id"), "message_id", "left").groupBy("draft_id").agg(F.count("*").alias("n"), F.count_distinct("sender_open_id").alias("people"))
-    reasons = F.array_compact(F.array(F.when(F.col("n") >= sources, "many_sources"), F.when(F.col("people") >= people, "many_people"), F.when(F.size("fact_risk_flags") > 0, "risk_flags")))
-    return drafts.join(who, "draft_id").withColumn("reasons", reasons).where(F.size("reasons") > 0)
+    who = drafts.select("draft_id").distinct().join(who, "draft_id", "left").fillna(0, ["n", "people"])
+    bare = incomplete.select("draft_id", F.lit(True).alias("bare")).distinct() if incomplete is not None else who.select("draft_id", F.lit(False).alias("bare"))
+    who = who.join(bare, "draft_id", "left")
+    reasons = F.array_compact(F.array(F.when(F.col("bare"), "incomplete_facts"), F.when(F.col("n") >= sources, "many_sources"), F.when(F.col("people") >= people, "many_people"), F.when(F.size("fact_risk_flags") > 0, "risk_flags")))
+    return drafts.join(who, "draft_id").withColumn("reasons", reasons).drop("bare").where(F.size("reasons") > 0)
 
 
 def select_retention_review(drafts: DataFrame, reasons: tuple[str, ...], *, enabled: bool = True, without_files: bool = True) -> DataFrame:

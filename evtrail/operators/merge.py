@@ -63,6 +63,28 @@ def materialize_groups(drafts: DataFrame, assign: DataFrame) -> DataFrame:
     return rows.select("group_id", "topic", "content", F.transform("m", lambda x: x["draft_id"]).alias("draft_ids"), ids.alias("source_message_ids"))
 
 
+def merge_whole(rows: DataFrame, keys: list[str], texts: tuple[str, ...], lists: tuple[str, ...], primary: str | None = None) -> DataFrame:
+    """One row a key, whole: contents merged in order of `pos`, of each of `texts` the primary's (a boolean column) or else the preferred
+    one, of each of `lists` the values in the order they come first, none empty; n rows.
+
+    Lists go down to their distinct values before they are gathered, each beside its first place, so a key's row holds what the result
+    has; rows: the keys, pos, content, the columns named."""
+    first = lambda c: F.coalesce(F.max(F.when(F.col(primary) & (clean_text(c) != ""), F.col(c))), preferred_text(F.col(c), F.col("pos"))) if primary else preferred_text(F.col(c), F.col("pos"))
+    held = F.array_sort(F.collect_list(F.struct("pos", "content")))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(first(c).alias(c) for c in texts), merge_contents(F.transform(held, lambda x: x["content"])).alias("content"))
+    for c in lists:
+        each = rows.select(*keys, "pos", F.posexplode(c).alias("_nth", "_v")).where(F.coalesce(F.col("_v").cast("string"), F.lit("")) != "").withColumn("_at", F.struct("pos", "_nth"))
+        out = out.join(ordered_distinct(each, keys, "_v", "_at", c), keys, "left").withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
+    return out
+
+
+def summary_lineage(groups: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(synthetic_id, draft_id, source_id): which drafts and which of their sources each synthetic event stands for.
+    groups: group_id, draft_id; summaries: as summary_events() returns them."""
+    at = summaries.select("group_id", "synthetic_id", F.explode_outer("source_ids").alias("source_id"))
+    return groups.select("group_id", "draft_id").distinct().join(at, "group_id").select("synthetic_id", "draft_id", "source_id")
+
+
 def order_sources(ids: DataFrame, msgs: DataFrame) -> DataFrame:
     """(group_id, ids): source ids in the order of messages, unknown ones last by id."""
     at = ids.join(msgs.select("message_id", "idx"), "message_id", "left")

@@ -61,8 +61,12 @@ def usage_summary(calls: DataFrame) -> DataFrame:
 
 
 def timing_report(log: DataFrame, parallel: tuple[str, ...] = ()) -> DataFrame:
-    """Calls, seconds and share of the run for each stage; parallel stages have no share."""
-    per = log.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"))
+    """Calls, seconds and share of the run for each stage; parallel stages have no share.  Where the log has `started` (seconds), also wall,
+    from the first start to the last end, and ratio, the seconds that were spent in a second of it."""
+    wall = [(F.max(F.col("started") + F.col("seconds")) - F.min("started")).alias("wall")] if "started" in log.columns else []
+    per = log.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"), *wall)
+    if wall:
+        per = per.withColumn("ratio", ratio(F.col("seconds"), F.col("wall")))
     alone = ~F.col("stage").isin(*parallel) if parallel else F.lit(True)
     whole = F.sum(F.when(alone, F.col("seconds"))).over(Window.partitionBy())
     return per.withColumn("share", F.when(alone, F.col("seconds") / whole))
@@ -84,7 +88,14 @@ def review_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def outcome_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("status").agg(F.count("*").alias("n"))
+    """(by, name, n, hits, requests, events): rows by status and, if there, by completion mode, with the sums of the other columns that are
+    there; one aggregation over both groupings."""
+    sums = [c for c in ("hits", "requests", "events") if c in df.columns]
+    by = [c for c in ("status", "mode") if c in df.columns]
+    at = df.groupingSets([[c] for c in by], *by).agg(F.grouping_id().alias("_set"), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    name = F.when(F.col("_set") < 2, F.col("status")).otherwise(F.col(by[-1])) if len(by) > 1 else F.col("status")
+    kind = F.when(F.col("_set") < 2, "status").otherwise("mode") if len(by) > 1 else F.lit("status")
+    return at.select(kind.alias("by"), name.alias("name"), "n", *sums)
 
 
 def gap_quantiles(pairs: DataFrame) -> DataFrame:

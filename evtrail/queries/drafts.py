@@ -315,15 +315,22 @@ def a23_merge_metrics(spark, d):
     return metrics.merge_metrics(events, o.select((F.col("o_custkey") % 100).alias("group_id"), F.col("o_orderkey").alias("draft_id")), o.select(F.col("o_orderstatus").alias("reason")))
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@query("""SELECT 'status' AS by, o_orderstatus AS name, count(*) AS n, sum(o_orderkey % 3)::BIGINT AS hits, sum(o_orderkey % 4)::BIGINT AS requests, sum(o_orderkey % 7)::BIGINT AS events FROM orders GROUP BY 2
+UNION ALL SELECT 'mode', o_orderpriority, count(*), sum(o_orderkey % 3)::BIGINT, sum(o_orderkey % 4)::BIGINT, sum(o_orderkey % 7)::BIGINT FROM orders GROUP BY 2""")
 def a28_outcome_summary(spark, d):
-    return metrics.outcome_summary(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
+    k = F.col("o_orderkey")
+    return metrics.outcome_summary(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("mode"), (k % 3).alias("hits"), (k % 4).alias("requests"), (k % 7).alias("events")))
 
 
-@query("""WITH f AS (SELECT 0 AS p, 'status' AS section, o_orderstatus AS fact, count(*)::VARCHAR AS value FROM orders GROUP BY 3 UNION ALL SELECT 1, 'kinds', event_type, count(*)::VARCHAR FROM events GROUP BY 3) SELECT row_number() OVER (ORDER BY p, fact)::INT AS number, section, fact, value FROM f""")
+@query("""WITH f AS (SELECT 0 AS p, 'summary' AS section, u.k AS fact, u.v::VARCHAR AS value FROM (SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events), unnest([{'k': 'events', 'v': n}, {'k': 'users', 'v': users}]) t(u)
+  UNION ALL SELECT 1, 'timing', event_type, count(*)::VARCHAR FROM events GROUP BY 3 UNION ALL SELECT 2, 'usage', (user_id % 3)::VARCHAR, count(*)::VARCHAR FROM events GROUP BY 3 UNION ALL SELECT 3, 'status', o_orderstatus, count(*)::VARCHAR FROM orders GROUP BY 3) SELECT row_number() OVER (ORDER BY p, fact)::INT AS number, section, fact, value FROM f""")
 def a31_run_facts(spark, d):
-    counted = lambda t, c: table(spark, d, t).groupBy(F.col(c).alias("fact")).agg(F.count("*").alias("value"))
-    return metrics.run_facts({"status": counted("orders", "o_orderstatus"), "kinds": counted("events", "event_type")})
+    e = table(spark, d, "events")
+    summary = e.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users")).unpivot([], ["events", "users"], "fact", "value")
+    timing = metrics.timing_report(e.select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))).select(F.col("stage").alias("fact"), F.col("calls").alias("value"))
+    usage = metrics.usage_summary(e.select(F.col("event_type").alias("kind"), (F.col("user_id") % 3).alias("backend"), F.lit(1).alias("tokens"))).where("backend is not null").select(F.col("backend").alias("fact"), F.col("calls").alias("value"))
+    status = metrics.outcome_summary(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))).select(F.col("name").alias("fact"), F.col("n").alias("value"))
+    return metrics.run_facts({"summary": summary, "timing": timing, "usage": usage, "status": status})
 
 
 @query("WITH x AS (SELECT source AS g, lang AS t, min(doc_id) AS p FROM documents GROUP BY 1, 2) SELECT g AS source, string_agg(t, '；' ORDER BY p) AS titles FROM x GROUP BY 1")
@@ -562,6 +569,59 @@ def v12_audit_facts(spark, d):
     return audit.audit_facts(items, texts)
 
 
+@query("""WITH c AS (SELECT conv_id AS c, turn AS t, text AS x FROM conversations), l AS (SELECT c, max(t) AS top FROM c GROUP BY 1)
+SELECT c AS draft_id, 'content' AS field_name, 'not_covered' AS error FROM c GROUP BY 1 HAVING c % 3 = 0 UNION ALL SELECT c, 'topic', 'not_covered' FROM l WHERE c % 4 = 1 AND top > 0 UNION ALL SELECT c, 'object_hint', 'items_of_an_empty_field' FROM l WHERE c % 5 = 0
+UNION ALL SELECT c, 'mood', 'field_not_allowed' FROM l WHERE c % 6 = 0 UNION ALL SELECT DISTINCT c, 'content', 'evidence_outside_sources' FROM c WHERE t % 4 = 3 AND c % 7 = 0 UNION ALL SELECT DISTINCT c, 'content', 'no_evidence' FROM c WHERE t % 4 = 3 AND c % 7 = 1""")
+def v12_audit_fact_items(spark, d):
+    t = _turns(spark, d)
+    c, own = F.col("conv_id"), F.array("message_id")
+    item = lambda rows, field, value, evidence=own: rows.select(c.alias("draft_id"), F.lit(field).alias("field_name"), F.col("turn").alias("pos"), value.alias("text"), evidence.alias("evidence_message_ids"))
+    late = (F.col("turn") % 4 == 3)
+    given = F.when(late & (c % 7 == 0), F.array(F.lit("elsewhere"))).when(late & (c % 7 == 1), F.array().cast("array<string>")).otherwise(own)
+    first = t.where("turn = 0")
+    items = item(t, "content", F.col("text"), given).union(item(first, "topic", F.col("role"))).union(item(t.where("conv_id % 4 = 1 and turn > 0"), "topic", F.col("role")))
+    items = items.union(item(first.where("conv_id % 5 = 0"), "object_hint", F.col("role"))).union(item(first.where("conv_id % 6 = 0"), "mood", F.lit("calm")))
+    whole = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    content = whole.select(c.alias("draft_id"), F.lit("content").alias("field_name"), F.concat(F.array_join(F.transform("m", lambda x: F.trim(x["text"])), ""), F.when(c % 3 == 0, " and more").otherwise("")).alias("text"))
+    texts = content.union(first.select("conv_id", F.lit("topic"), "role")).union(first.select("conv_id", F.lit("object_hint"), F.lit(" ")))
+    return audit.audit_fact_items(items, texts, t.select(c.alias("draft_id"), "message_id"), ("topic", "content", "object_hint"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS g, l_orderkey * 10 + l_linenumber AS m, min(l_partkey) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY m DESC) AS own FROM s WHERE m % 3 = 0), t AS (SELECT g, m, p FROM s WHERE m % 5 = 0),
+u AS (SELECT coalesce(o.g, t.g) AS g, coalesce(o.m, t.m) AS m, own FROM o FULL JOIN t USING (g, m)), a AS (SELECT g, m, p FROM s WHERE m % 2 = 0)
+SELECT u.g AS draft_id, string_agg(u.m, ',' ORDER BY a.p IS NULL, a.p, own NULLS FIRST, u.m) AS ids FROM u LEFT JOIN a ON a.g = u.g AND a.m = u.m WHERE (a.p IS NOT NULL OR own IS NOT NULL) AND u.g IN (SELECT g FROM o) GROUP BY 1""")
+def v16_extend_sources(spark, d):
+    at = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    s = at.groupBy(F.col("o_custkey").alias("draft_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("message_id")).agg(F.min("l_partkey").alias("pos"))
+    drafts = s.where("message_id % 3 = 0").groupBy("draft_id").agg(F.reverse(F.array_sort(F.collect_list("message_id"))).alias("source_message_ids"))
+    out = audit.extend_sources(drafts, s.where("message_id % 5 = 0").join(drafts, "draft_id", "left_semi"), s.where("message_id % 2 = 0"))
+    return out.select("draft_id", F.array_join(F.col("source_message_ids").cast(_STR), ",").alias("ids"))
+
+
+@query("""WITH t AS (SELECT conv_id AS c, turn AS t, role AS r, text AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations), l AS (SELECT c, r, min(p) AS p FROM t WHERE t % 2 = 0 GROUP BY 1, 2), k AS (SELECT c, r, p, x FROM t),
+b AS (SELECT c, arg_max(r, (t = 1, length(r), -p)) AS topic, count(*) AS n FROM t GROUP BY 1)
+SELECT b.c AS group_id, n, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.c = b.c AND t = 1) THEN (SELECT r FROM t WHERE t.c = b.c AND t = 1) ELSE topic END AS topic, coalesce((SELECT string_agg(r, ',' ORDER BY p) FROM l WHERE l.c = b.c), '') AS actions FROM b""")
+def a4_merge_whole(spark, d):
+    """Primary's topic, merged contents and the union of lists; tests hold the contents against a plain loop."""
+    t = _turns(spark, d)
+    rows = t.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), "text", F.col("role").alias("topic"), (F.col("turn") == 1).alias("primary"), F.array(F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("")).alias("actions")).withColumnRenamed("text", "content")
+    return merge.merge_whole(rows, ["group_id"], ("topic",), ("actions",), "primary").select("group_id", "n", "topic", F.array_join("actions", ",").alias("actions"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS r, o_orderkey % 4 AS kind, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey), q AS (SELECT r, kind, list(DISTINCT p) AS ps, min(p) AS head FROM t GROUP BY 1, 2)
+SELECT r AS request_id FROM q WHERE NOT EXISTS (SELECT 1 FROM unnest(ps) u(p) WHERE p % 10 = 0) AND CASE kind WHEN 0 THEN r % 5 > 0 AND r % 3 > 0 AND head % 2 = 0 WHEN 1 THEN r % 3 = 0 AND r % 5 = 0 ELSE r % 5 = 0 AND r % 3 > 0 END""")
+def f23_exclusive_targets(spark, d):
+    at = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    r, none = F.col("request_id"), F.array().cast("array<bigint>")
+    asked = at.groupBy(F.col("o_orderkey").alias("request_id")).agg(F.collect_set("l_partkey").alias("target_message_ids"), F.min("l_partkey").alias("head"))
+    kind = F.when(r % 4 == 0, "attachment").when(r % 4 == 1, "linked_text").otherwise("later")
+    requests = asked.select("request_id", F.lit("s").alias("slice_id"), kind.alias("request_type"), "target_message_ids", F.when(r % 5 > 0, F.array("head")).otherwise(none).alias("target_attachment_ids"), F.when(r % 3 == 0, F.array("head")).otherwise(none).alias("target_link_ids"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("message_id"))
+    members = parts.where("message_id % 10 <> 0").select(F.lit("s").alias("slice_id"), "message_id")
+    owned = lambda rows, name: rows.select("message_id", F.col("message_id").alias(name))
+    return context.valid_requests(requests, members, ("attachment", "linked_text", "later"), owned(parts.where("message_id % 2 = 0"), "attachment_id"), owned(parts, "link_id")).select("request_id")
+
+
 @query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem GROUP BY 1, 2) SELECT k AS group_id, count(*) FILTER (n % 5 = 4) AS missing, max(CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END)::BIGINT AS extra FROM l GROUP BY 1 HAVING count(*) FILTER (n % 5 = 4) > 0 OR k % 6 = 0""")
 def v13_audit_coverage(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("group_id")).agg(F.collect_set("l_linenumber").alias("member_ids"))

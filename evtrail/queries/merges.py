@@ -159,10 +159,10 @@ def a24_usage_summary(spark, d):
     return metrics.usage_summary(table(spark, d, "events").select(F.col("event_type").alias("kind"), (F.col("user_id") % 3).alias("backend"), tokens.alias("tokens")))
 
 
-@query("WITH p AS (SELECT event_type AS stage, count(*) AS calls, sum(value) AS seconds, max(value) AS longest FROM events GROUP BY 1) SELECT stage, calls, round(seconds, 2) AS seconds, longest, CASE WHEN stage <> 'view' THEN round(seconds / (SELECT sum(seconds) FROM p WHERE stage <> 'view'), 4) END AS share FROM p")
+@query("WITH p AS (SELECT event_type AS stage, count(*) AS calls, sum(value) AS seconds, max(value) AS longest, max(user_id % 97 + value) - min(user_id % 97) AS wall FROM events GROUP BY 1) SELECT stage, calls, round(seconds, 2) AS seconds, longest, CASE WHEN stage <> 'view' THEN round(seconds / (SELECT sum(seconds) FROM p WHERE stage <> 'view'), 4) END AS share, round(wall, 2) AS wall, round(seconds / wall, 3) AS ratio FROM p")
 def a25_timing_report(spark, d):
-    log = table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
-    return metrics.timing_report(log, ("view",)).withColumns({"seconds": F.round("seconds", 2), "share": F.round("share", 4)})
+    log = table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"), (F.col("user_id") % 97).alias("started"))
+    return metrics.timing_report(log, ("view",)).withColumns({"seconds": F.round("seconds", 2), "share": F.round("share", 4), "wall": F.round("wall", 2), "ratio": F.round("ratio", 3)})
 
 
 @query("""WITH x AS (SELECT event_type AS relation, value AS gap, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)

@@ -85,9 +85,9 @@ def f17_assigns_to(spark, d):
 
 
 @query(r"""WITH s AS (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS people FROM conversations GROUP BY 1)
-SELECT conv_id AS draft_id, n, people, concat_ws(',', CASE WHEN n >= 4 THEN 'many_sources' END, CASE WHEN people >= 3 THEN 'many_people' END, CASE WHEN conv_id % 5 = 0 THEN 'risk_flags' END) AS reasons FROM s WHERE n >= 4 OR people >= 3 OR conv_id % 5 = 0""")
+SELECT conv_id AS draft_id, n, people, concat_ws(',', CASE WHEN conv_id % 7 = 0 THEN 'incomplete_facts' END, CASE WHEN n >= 4 THEN 'many_sources' END, CASE WHEN people >= 3 THEN 'many_people' END, CASE WHEN conv_id % 5 = 0 THEN 'risk_flags' END) AS reasons FROM s WHERE n >= 4 OR people >= 3 OR conv_id % 5 = 0 OR conv_id % 7 = 0""")
 def f21_select_fact_review(spark, d):
     c = table(spark, d, "conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("message_id"), F.col("role").alias("sender_open_id"))
     flags = F.when(F.col("conv_id") % 5 == 0, F.array(F.lit("multiple_locations"))).otherwise(F.array().cast("array<string>"))
     drafts = c.groupBy("conv_id").agg(F.collect_list("message_id").alias("source_message_ids")).select(F.col("conv_id").alias("draft_id"), "source_message_ids", flags.alias("fact_risk_flags"))
-    return filters.select_fact_review(drafts, c, sources=4).select("draft_id", "n", "people", F.array_join("reasons", ",").alias("reasons"))
+    return filters.select_fact_review(drafts, c, sources=4, incomplete=drafts.where("draft_id % 7 = 0")).select("draft_id", "n", "people", F.array_join("reasons", ",").alias("reasons"))

@@ -216,10 +216,24 @@ def s14_scan_scopes(spark, d):
     return chat.scan_scopes(files, "/logs/", "2026-07-10", "Customer000000011").select("path", "scope")
 
 
-@query("SELECT conv_id AS path, CASE WHEN conv_id % 5 = 0 THEN 'skipped' WHEN bool_or(turn = 4) THEN 'partial' ELSE 'success' END AS status, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE count(*) END AS blocks FROM conversations GROUP BY conv_id")
+@query("""WITH f AS (SELECT conv_id AS path, count(*) FILTER (conv_id % 5 > 0) AS blocks, count(*) FILTER (turn = 4 AND conv_id % 5 > 0) AS bare FROM conversations GROUP BY 1)
+SELECT path, CASE WHEN path % 7 = 0 OR blocks = 0 THEN 'skipped' WHEN bare > 0 THEN 'partial' ELSE 'success' END AS status, blocks, bare, CASE WHEN path % 7 = 0 THEN 'no day in the file name' WHEN blocks = 0 THEN 'no event block' WHEN bare > 0 THEN 'blocks without title' WHEN path % 3 = 0 THEN 'day differs from the file name' ELSE '' END AS reason FROM f""")
 def s15_read_audit(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.when(F.col("turn") == 4, "").otherwise("t").alias("title"))
-    return chat.read_audit(c.select("path").distinct(), c.where("path % 5 <> 0"))
+    name = F.concat(F.when(F.col("path") % 7 == 0, "").otherwise("2026-07-10-"), F.lit("owner"), F.col("path").cast("string"), F.lit(".md"))
+    files = c.select("path").distinct().select("path", name.alias("file"), F.when(F.col("path") % 3 == 0, "2026-07-11").otherwise("2026-07-10").alias("date"))
+    return chat.read_audit(files, c.where("path % 5 <> 0"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'f' || conv_id || ',' ELSE '' END || 'img_' || conv_id || ',k' || turn AS ids, CASE WHEN turn % 2 = 0 THEN role || '|' ELSE '' END || '[Image]|' || role || '.pdf' AS names FROM conversations""")
+def s5_extract_media(spark, d):
+    c = table(spark, d, "conversations")
+    content = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("f"), "conv_id").alias("file_key"), F.col("role").alias("file_name"))))
+    tag = lambda name: F.concat(F.lit('<FILE key="k'), "turn", F.lit('" name="'), name, F.lit('"/>'))
+    # the tag comes twice: its last name counts, at its first place
+    body = F.concat("text", F.lit(" [Image: img_"), "conv_id", F.lit("] "), tag(F.lit("old")), F.lit(" ![x](img_"), "conv_id", F.lit(") "), tag(F.concat("role", F.lit(".pdf"))))
+    at = c.select("conv_id", "turn", chat.extract_media(content, body).alias("m"))
+    return at.select("conv_id", "turn", F.array_join(F.transform("m", lambda x: x["attachment_id"]), ",").alias("ids"), F.array_join(F.transform("m", lambda x: x["file_name"]), "|").alias("names"))
 
 
 @query("SELECT conv_id AS owner_id, '# 2026-01-02' || chr(10) || chr(10) || string_agg('<!-- event:start -->' || chr(10) || '## ' || role || chr(10) || '- id: e' || turn || chr(10) || chr(10) || text || chr(10) || '<!-- event:end -->', chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")

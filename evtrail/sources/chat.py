@@ -85,6 +85,32 @@ def extract_attachments(text: Column) -> Column:
     return F.array_distinct(F.concat(found(INLINE_IMAGE), found(MARKDOWN_IMAGE)))
 
 
+#: Keys of a message's content and tags within its text that hold a file: default name and kind. Fixed values.
+MEDIA = {"image": ("[Image]", "image/*"), "file": ("[File]", "application/octet-stream"), "audio": ("[Audio]", "audio/*"), "video": ("[Video]", "video/*")}
+
+
+def extract_media(content: Column, text: Column) -> Column:
+    """Attachments of a message, array of (attachment_id, file_name, mime_type): media keys of its content (JSON), tags such as <file
+    key="..." name="..."/> and inline images in its text; of equal ids the last one's fields at the first one's place."""
+    entry = lambda i, name, mime: F.struct(i.alias("attachment_id"), name.alias("file_name"), mime.alias("mime_type"))
+    value = lambda *names: F.coalesce(*(F.nullif(F.get_json_object(content, f"$.{n}"), F.lit("")) for n in names))
+    keyed = [entry(value(f"{kind}_key"), F.coalesce(value("file_name", "name"), F.lit(name)), F.coalesce(value("mime_type", "mimeType"), F.lit(mime))) for kind, (name, mime) in MEDIA.items()]
+    keyed = F.filter(F.array(*keyed), lambda x: x["attachment_id"].isNotNull())
+    tags = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?i)<(?:{'|'.join(MEDIA)})\b[^>]*>"), F.lit(0))
+
+    def of(tag: Column) -> Column:
+        kind = F.lower(F.regexp_extract(tag, r"^<(\w+)", 1))
+        read = lambda *names: F.coalesce(*(F.nullif(F.regexp_extract(tag, rf'\s{n}="([^"]*)"', 1), F.lit("")) for n in names))
+        known = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in MEDIA.items() for x in (k, v[i])]), kind)
+        return entry(read("key", "(?:image|file|audio|video)_key"), F.coalesce(read("name", "file_name"), known(0)), F.coalesce(read("mime_type"), known(1)))
+
+    tagged = F.filter(F.transform(tags, of), lambda x: x["attachment_id"].isNotNull())
+    images = F.transform(extract_attachments(text), lambda i: entry(i, F.lit("[Image]"), F.lit("image/*")))
+    every = F.concat(keyed, images, tagged)
+    ids = F.array_distinct(F.transform(every, lambda x: x["attachment_id"]))
+    return F.transform(ids, lambda i: F.element_at(F.filter(every, lambda x: x["attachment_id"] == i), -1))
+
+
 def dedupe_attachments(df: DataFrame, keys: tuple[str, ...] = ("message_id",)) -> DataFrame:
     """One row an attachment: the last one's fields at the first one's place; df has attachment_id, pos."""
     rest = [c for c in df.columns if c not in (*keys, "attachment_id", "pos")]
@@ -165,11 +191,17 @@ def assign_draft_ids(rows: DataFrame) -> DataFrame:
 
 
 def read_audit(files: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(path, status, blocks): success, partial (a block without title) or skipped (no block)."""
-    per = blocks.groupBy("path").agg(F.count("*").alias("blocks"), F.count_if(F.col("title") == "").alias("bare"))
-    at = files.select("path").join(per, "path", "left")
-    status = F.when(F.col("blocks").isNull(), "skipped").when(F.col("bare") > 0, "partial").otherwise("success")
-    return at.select("path", status.alias("status"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    """(path, status, blocks, bare, reason): success, partial (some blocks without title) or skipped, how many blocks were read and how many of
+    them are bare, and why not all: the name has no day or not the file's own, there is no block, or blocks without title.
+
+    files: path and, if there, file (its name) and date (what its front matter says); blocks: path, title."""
+    per = blocks.groupBy("path").agg(F.count("*").alias("blocks"), F.count_if(F.coalesce("title", F.lit("")) == "").alias("bare"))
+    at = files.join(per, "path", "left").fillna(0, ["blocks", "bare"])
+    day = file_name_parts("file")["day"] if "file" in files.columns else F.lit(None).cast("string")
+    unnamed, other = F.coalesce(day == "", F.lit(False)), F.coalesce(day != F.col("date"), F.lit(False)) if "date" in files.columns else F.lit(False)
+    status = F.when(unnamed | (F.col("blocks") == 0), "skipped").when(F.col("bare") > 0, "partial").otherwise("success")
+    reason = F.when(unnamed, "no day in the file name").when(F.col("blocks") == 0, "no event block").when(F.col("bare") > 0, "blocks without title").when(other, "day differs from the file name").otherwise("")
+    return at.select("path", status.alias("status"), "blocks", "bare", reason.alias("reason"))
 
 
 def check_catalog(catalog: DataFrame) -> DataFrame:
