@@ -41,11 +41,11 @@ def f18_filter_valid_relations(spark, d):
     return filters.filter_valid_relations(table(spark, d, "documents").select("doc_id", some.alias("self_relations"))).select("doc_id")
 
 
-@query("SELECT conv_id || ':' || turn AS message_id, CASE WHEN turn % 7 = 3 THEN false WHEN turn % 3 = 0 THEN turn % 2 = 1 OR conv_id % 5 = 0 ELSE true END AS kept FROM conversations WHERE trim(text) <> ''")
+@query("SELECT conv_id || ':' || turn AS message_id, CASE WHEN turn % 7 = 3 THEN false WHEN turn % 3 = 0 OR trim(text) = '' THEN turn % 2 = 1 OR conv_id % 5 = 0 ELSE true END AS kept FROM conversations")
 def f19_is_meaningful(spark, d):
     text = F.when(F.col("turn") % 7 == 3, " [Sticker] ").when(F.col("turn") % 3 == 0, " \n").otherwise(F.col("text"))
     kept = messages.is_meaningful(text, (F.col("turn") % 2).cast("int"), F.when(F.col("conv_id") % 5 == 0, 1).otherwise(0))
-    return _turns(spark, d).where("trim(text) <> ''").select("message_id", kept.alias("kept"))
+    return _turns(spark, d).select("message_id", kept.alias("kept"))
 
 
 @query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 3 <> 0 AND doc_id % 4 <> 0")
@@ -143,12 +143,10 @@ def j17_attachment_names(spark, d):
     return _attachment_names(spark, d)
 
 
-@query(f"WITH {_NAMES}, g AS (SELECT DISTINCT o_custkey AS g, key FROM n JOIN orders ON o_orderkey = draft_id WHERE key LIKE '%.doc') SELECT x.g AS a, y.g AS b, count(*) AS n FROM g x JOIN g y ON x.key = y.key AND x.g < y.g WHERE x.g % 50 = y.g % 50 GROUP BY 1, 2")
+@query(f"WITH {_NAMES}, g AS (SELECT DISTINCT o_custkey AS g, key FROM n JOIN orders ON o_orderkey = draft_id ) SELECT x.g AS a, y.g AS b, count(*) AS n FROM g x JOIN g y ON x.key = y.key AND x.g < y.g GROUP BY 1, 2")
 def j18_name_relations(spark, d):
     assign = table(spark, d, "orders").select(F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("group_id"))
-    # names count within the fifty parts of the customers
-    names = _attachment_names(spark, d).where("key like '%.doc'").join(assign, "draft_id").select("draft_id", F.concat_ws("|", F.col("group_id") % 50, "key").alias("key"))
-    return relations.name_relations(assign, names).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return relations.name_relations(assign, _attachment_names(spark, d)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, lower(text) AS t, regexp_extract_all(lower(text), '[a-z]{4,}') AS ws FROM conversations),

@@ -105,10 +105,10 @@ def a8_ordered_distinct(spark, d):
     return merge.ordered_distinct(table(spark, d, "conversations"), ["conv_id"], "role", "turn", "roles").withColumn("roles", F.array_join("roles", ","))
 
 
-@query("""WITH x AS (SELECT DISTINCT lang, source, n_chars FROM documents WHERE n_chars > 0), l AS (SELECT lang, length(source) AS n, source FROM (SELECT DISTINCT lang, source FROM x)),
+@query("""WITH x AS (SELECT DISTINCT lang, source FROM documents), l AS (SELECT lang, length(source) AS n, source FROM (SELECT DISTINCT lang, source FROM x)),
 r AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS k FROM l) SELECT lang, string_agg(source, '；' ORDER BY k) AS detail FROM r WHERE k <= 3 GROUP BY 1""")
 def a15_merge_detail(spark, d):
-    return table(spark, d, "documents").where("n_chars > 0").groupBy("lang").agg(merge.merge_detail(F.col("source")).alias("detail"))
+    return table(spark, d, "documents").groupBy("lang").agg(merge.merge_detail(F.col("source")).alias("detail"))
 
 
 @query("""WITH x AS (SELECT conv_id, role, text, min(turn) AS turn FROM conversations GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r, min(turn) OVER (PARTITION BY conv_id, role) AS start FROM x),
@@ -239,13 +239,13 @@ def w14_pack(spark, d):
     return packing.pack(rows, ("conv_id",), "turn", "a", "x", 320).select("conv_id", "turn", "batch", "oversized")
 
 
-@query(r"""WITH RECURSIVE p(doc_id, pos, piece, rest) AS (SELECT doc_id, 0::BIGINT, ''::VARCHAR, text FROM documents WHERE length(text) > 0
+@query(r"""WITH RECURSIVE p(doc_id, pos, piece, rest) AS (SELECT doc_id, 0::BIGINT, ''::VARCHAR, text FROM documents
 UNION ALL SELECT doc_id, pos + 1, rest[1:n], rest[n + 1:] FROM p, LATERAL (SELECT CASE WHEN length(rest) <= 2000 THEN length(rest) WHEN length(regexp_extract(rest[1001:2000], '(?s)^(.*[。！？!?;；
 .])', 1)) > 0 THEN 1000 + length(regexp_extract(rest[1001:2000], '(?s)^(.*[。！？!?;；
 .])', 1)) ELSE 2000 END AS n) WHERE length(rest) > 0)
 SELECT doc_id, pos, length(piece)::INT AS n, md5(piece) AS piece FROM p WHERE pos > 0""")
 def w18_shard_content(spark, d):
-    at = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.posexplode(packing.shard_content(F.col("text"), 2000)).alias("pos", "piece"))
+    at = table(spark, d, "documents").select("doc_id", F.posexplode(packing.shard_content(F.col("text"), 2000)).alias("pos", "piece"))
     return at.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.length("piece").alias("n"), F.md5("piece").alias("piece"))
 
 

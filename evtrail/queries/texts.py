@@ -29,9 +29,9 @@ def x1_clean_text(spark, d):
     return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), text.clean_text(odd).alias("t"))
 
 
-@query("SELECT conv_id || ':' || turn AS id, 'x' || turn || chr(10) || chr(10) || trim(text) AS t, CASE WHEN role = 'user' THEN 'user；a' ELSE role || '；user；a' END AS titles FROM conversations WHERE trim(text) <> ''")
+@query("SELECT conv_id || ':' || turn AS id, 'x' || turn || CASE WHEN trim(text) = '' THEN '' ELSE chr(10) || chr(10) || trim(text) END AS t, CASE WHEN role = 'user' THEN 'user；a' ELSE role || '；user；a' END AS titles FROM conversations")
 def x11_dedupe_paragraphs(spark, d):
-    c = table(spark, d, "conversations").where("trim(text) <> ''")
+    c = table(spark, d, "conversations")
     first = F.concat(F.lit("x"), F.col("turn").cast("string"))
     pieces = F.concat_ws("\n \n", first, F.concat(F.lit(" "), "text"), F.lit(""), first, "text")
     return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), text.dedupe_paragraphs(pieces).alias("t"), text.combine_titles(F.array("role", F.lit(" user"), F.lit(""), F.lit("a"), "role")).alias("titles"))
@@ -109,15 +109,16 @@ def x26_labels_to_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(keys, ",").alias("keys"), F.array_join(messages.keys_to_labels(keys, pairs), ",").alias("labels"))
 
 
-@query("SELECT page_id, 'by [id] and ou_1 of [id]' AS t FROM pages")
+@query("SELECT doc_id, '[id] ' || text || ' [id] ou_1 x_ou_' || doc_id || '00000000' AS t FROM documents")
 def x20_redact_ids(spark, d):
-    number = F.lpad(F.col("page_id").cast("string"), 9, "a")
-    return table(spark, d, "pages").select("page_id", text.redact_ids(F.concat(F.lit("by ou_"), number, F.lit(" and ou_1 of oc_"), number)).alias("t"))
+    number = F.lpad(F.col("doc_id").cast("string"), 9, "a")
+    body = F.concat(F.lit("ou_"), number, F.lit(" "), "text", F.lit(" oc_"), number, F.lit(" ou_1 x_ou_"), "doc_id", F.lit("00000000"))
+    return table(spark, d, "documents").select("doc_id", text.redact_ids(body).alias("t"))
 
 
-@query("SELECT conv_id || ':' || turn AS id, text = '' OR turn % 3 = 0 AS weak FROM conversations WHERE text <> ''")
+@query("SELECT conv_id || ':' || turn AS id, trim(text) = '' OR turn % 3 = 0 AS weak FROM conversations")
 def f19_weak_placeholder(spark, d):
-    c = table(spark, d, "conversations").where("text <> ''")
+    c = table(spark, d, "conversations")
     body = F.when(F.col("turn") % 3 == 0, " [图片]").otherwise(F.concat(F.lit("[图片]"), "text"))
     return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), messages.is_weak_placeholder(body, F.lit(False), F.lit(0), F.lit(0)).alias("weak"))
 
@@ -125,9 +126,9 @@ def f19_weak_placeholder(spark, d):
 # -- sources ---------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id || ':' || turn AS id, trim(text) || chr(10) || 'link' AS text, 'http://a/' || turn AS links, CASE WHEN turn % 2 = 0 THEN 'img_1' ELSE '' END AS images, role AS mentions FROM conversations WHERE trim(text) <> ''")
+@query("SELECT conv_id || ':' || turn AS id, CASE WHEN trim(text) = '' THEN '' ELSE trim(text) || chr(10) END || 'link' AS text, 'http://a/' || turn AS links, CASE WHEN turn % 2 = 0 THEN 'img_1' ELSE '' END AS images, role AS mentions FROM conversations")
 def s2_extract_content(spark, d):
-    c = table(spark, d, "conversations").where("trim(text) <> ''")
+    c = table(spark, d, "conversations")
     link = F.struct(F.lit("a").alias("tag"), F.lit(" link ").alias("text"), F.concat(F.lit("http://a/"), F.col("turn").cast("string")).alias("href"))
     deep = F.array(F.array(F.struct(F.lit("text").alias("tag"), F.trim("text").alias("text"))))
     who, image = F.struct(F.lit("at").alias("tag"), F.col("role").alias("user_id")), F.struct(F.when(F.col("turn") % 2 == 0, "img_1").alias("image_key"))
@@ -193,11 +194,12 @@ def s11_parse_merge_meta(spark, d):
     return at.select("page_id", "m.version", F.get("m.file_keys", F.lit(0)).alias("file_key"))
 
 
-@query("SELECT conv_id, 'r' || conv_id AS title, 'x:y' AS other FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, url FROM pages")
 def s12_front_matter(spark, d):
-    body = F.concat(F.lit("---\ntitle:  r"), F.col("conv_id").cast("string"), F.lit("\nnothing\nother: x:y\n---\n# a: b"))
-    m = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", text.front_matter(body).alias("m"))
-    return m.select("conv_id", F.col("m")["title"].alias("title"), F.col("m")["other"].alias("other"))
+    p = table(spark, d, "pages")
+    body = F.concat(F.lit("---\ntitle:  "), F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("\nnothing\nsource: "), "url", F.lit("\n---\n# a: b\n"), "html")
+    m = p.select("page_id", text.front_matter(body).alias("m"))
+    return m.select("page_id", F.col("m")["title"].alias("title"), F.col("m")["source"].alias("url"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '2026-07-10' END AS day, c_name AS owner, c_custkey % 2 = 0 AS merged FROM customer")
