@@ -72,3 +72,24 @@ def test_near_copies_of_five_words_and_shared_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = sorted((x.doc_id, x.text) for x in pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == sorted([rows[0], rows[3], rows[4], rows[8]])
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No documents; and columns named as stages name their own, no source, null and repeated rows, one very long text."""
+    schema = "doc_id long, text string, node string, rest string, key string, score double"
+    long = " ".join(f"w{i}" for i in range(60_000)) + " token=abcdefgh12345"
+    rows = [(1, None, "n", "r", "k", 1.0), (2, "", None, None, None, None), (2, "", None, None, None, None), (3, long, "n", "r", "k", 2.0), (None, "no id here", "n", "r", "k", 3.0)]
+    for folder, given in (("none", []), ("odd", rows)):
+        path = f"{tmp_path}/{folder}"
+        docs = spark.createDataFrame(given, schema)
+        docs.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        at = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in pipeline.STAGES[:-1]:
+            at = stage(spark, at, path)
+            assert at.dtypes == docs.dtypes, name
+        got = sorted((tuple(r) for r in at.collect()), key=str)
+        want = {(i, t and t.replace("token=abcdefgh12345", "[secret]"), *more) for i, t, *more in given}
+        assert got == sorted(want, key=str)  # the repeated row once
+        assert len(pipeline.run(spark, path).collect()) == len(want)
