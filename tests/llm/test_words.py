@@ -235,18 +235,37 @@ def brute_ratio_scores(rows, trusted, buckets):
     return [sum(map(ratio, grams(t))) / max(1, len(grams(t))) if good else 0.0 for _, t in rows]
 
 
+def in_ratios(i):
+    """Whether a trusted row is not left out for the threshold."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+    return (h - (1 << 64) if h >> 63 else h) % 5 != 0
+
+
 @pytest.mark.parametrize("max_broadcast", [0, 1000])
-def test_quality_scores_against_plain_python(docs, texts, max_broadcast, monkeypatch):
-    monkeypatch.setattr(quality.ratios, "__kwdefaults__", quality.ratios.__kwdefaults__ | {"max_broadcast": max_broadcast})
+def test_quality_scores_against_plain_python(docs, texts, max_broadcast):
     rows = [*enumerate(texts), (8, texts[8])]
-    got = quality.quality_rules(docs, docs.where("doc_id < 30"), buckets=512, threshold=0.01).collect()
-    want = brute_ratio_scores(rows, set(range(30)), 512)
+    want = brute_ratio_scores(rows, {i for i in range(30) if in_ratios(i)}, 512)
+    got = quality.quality_rules(docs, docs.where("doc_id < 30"), buckets=512, threshold=0.01, max_broadcast=max_broadcast).collect()
     assert len(got) == len(rows)
     for r in got:
         score = want[r.doc_id]
         assert abs(r.score - score) < 1e-3 and (abs(score - 0.01) < 1e-3 or r.kept == (not r.base_failed and score >= 0.01))
 
 
+def test_quality_threshold_from_left_out_rows(spark):
+    r = random.Random(3)
+    good = [(i, " ".join(r.choice("the cat sat on a mat and saw that dog run".split()) for _ in range(60))) for i in range(400)]
+    bad = [(1000 + i, " ".join(f"x{r.randrange(50)}" for _ in range(60))) for i in range(100)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    got = {x.doc_id: x for x in quality.quality_rules(docs, spark.createDataFrame([(i,) for i in range(200)], "doc_id long")).collect()}
+    apart = sorted(got[i].score for i in range(200) if not in_ratios(i) and not got[i].base_failed)
+    edge = math.floor(apart[int(0.01 * len(apart))] * 10_000) / 10_000
+    assert len(apart) > 20 and all(x.kept == (not x.base_failed and x.score >= edge) for x in got.values())
+    assert not any(got[i].kept for i, _ in bad) and sum(got[i].kept for i, _ in good) > 350
+    scored = spark.createDataFrame([(0.5, False), (0.1, False), (-9.0, True)], "score double, base_failed boolean")
+    assert quality.fit_threshold(scored) == 0.1 and quality.fit_threshold(scored, 0.5) == 0.5 and quality.fit_threshold(scored.limit(0)) == 0.0
+
+
 def test_quality_null_ids_and_long_texts(spark):
     rows = [(None, "a b"), (None, None), (5, "word " * 250_000), (6, " ".join(f"w{i}" for i in range(250_000)))]
     got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5,), (None,)], "doc_id long")).collect()
