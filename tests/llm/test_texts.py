@@ -358,6 +358,65 @@ def test_lm_tables_are_summed_in_levels(spark):
     assert np.allclose(got[0, : lm.CHUNK], want, atol=0.02) and not got[0, lm.CHUNK :].any()
 
 
+def test_lm_tables_of_256_groups_are_summed(spark):
+    """The last of 256 groups of tasks is summed with the others."""
+    n = np.ones(2 * lm.CHUNK, np.uint32)
+    n[lm.CHUNK :] = 3
+    rows = [(0, p, bytearray(zlib.compress((n * (1 + 9 * (p > 0))).tobytes()))) for p in (0, 65_535)]
+    got = lm.sum_tables(spark.createDataFrame(rows, "slice long, part long, counts binary"), 65_536)
+    assert np.allclose(got[0, : lm.CHUNK], np.log(33.4 / 11.4), atol=1e-3)
+
+
+ODD = [b"", b"The the THE", b"\0a a\0 a\0b \0 a", "É é ét".encode(), b"12345678 123456789 12345678", b" ", b"x" * 16 + b" " + b"x" * 17 + b"\t" + b"x" * 16, b"x" * 17]
+
+
+def test_lm_counts_words_as_numbers():
+    """Words of eight bytes at most are counted as numbers, others as they are, and so are all where a byte is zero."""
+    for texts in (ODD, [t for t in ODD if b"\0" not in t], [b""], []):
+        held: dict = {}
+        words, n = lm.short_words(lm.counted(texts, held))
+        assert len(set(words)) == len(words) and not set(words) & set(held)
+        assert held | dict(zip(words, n.tolist(), strict=True)) == Counter(w for t in texts for w in t.lower().split())
+
+
+def test_lm_finds_each_word_of_the_vocabulary(monkeypatch):
+    """Ranks are those of a plain dictionary, also where words share a place of the table."""
+    words = [f"w{i}".encode() for i in range(3000)] + [b"x" * n for n in (8, 9, 15, 16, 17, 18, 40)] + [b"a", b"a\0", b"\0"]
+    texts = [b" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ODD + [f"v{i}".encode() for i in range(3000)]
+    plain = {w: i for i, w in enumerate(words)}
+    for places in (lm.WORDS, 64):
+        monkeypatch.setattr(lm, "WORDS", places)
+        v = lm.Vocabulary(words, np.arange(len(words), 0, -1))
+        raw, low, runs = lm.Runs.of(texts)
+        assert v.ranks(low, runs.a, runs.b).tolist() == [plain.get(w, -1) for t in texts for w in t.lower().split()]
+
+
+def test_lm_training_rows_are_not_told_what_only_they_have(spark):
+    """Words outside the vocabulary: a training row counts its own once without being told, a held-out row is told."""
+    v = small_vocabulary()
+    mixer = lm.Mixer(v, np.zeros((lm.CONTEXTS, lm.SLOTS), np.float32))
+    text, rare = b"the once twice once", {b"twice": np.log10(3)}
+    assert np.allclose(mixer.score([text], None, [True], rare)[0, 1:], [4, 4, v.logs[3] + 2 * np.log10(2) + np.log10(3)])
+    assert np.allclose(mixer.score([text], None, [False], rare)[0, 1:], [4, 2, v.logs[3] + np.log10(3)])
+
+
+@pytest.mark.parametrize("batch_rows", [1, 4096])
+def test_lm_counts_of_words_outside_the_vocabulary(spark, monkeypatch, batch_rows):
+    """With a small vocabulary most words are asked for: by training rows, by held-out rows and by both."""
+    r = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(600)]
+    texts = {i: " ".join(str(x) for x in r.choice(words, 12)) for i in range(60)}
+    monkeypatch.setattr(lm, "WORDS", 8)
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), batch_rows=batch_rows).collect()}
+    tokens = {i: [*t.split(), ""] for i, t in texts.items()}
+    c = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(c.values()), len(c)
+    assert any(c[w] == 1 for i, ws in tokens.items() if got[i].held_out for w in ws)
+    for i, ws in tokens.items():
+        assert got[i].n_known == sum(c[w] > 0 for w in ws)
+        assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+
+
 def test_lm_null_ids_and_repeated_ids(spark):
     rows = [(None, "the cat"), (None, "the cat"), (3, "the dog"), (3, "a cat"), (4, None)]
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
