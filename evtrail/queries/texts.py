@@ -90,7 +90,7 @@ def x21_readable_files(spark, d):
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), ['token-' || printf('%04d', p_partkey)]))), ' ') AS tokens FROM part")
 def x22_link_tokens(spark, d):
-    url = F.concat(F.lit("https://x.feishu.cn/docx/Token-"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"), F.lit("?a=1"))
+    url = F.concat(F.lit("https://x.feishu.cn/docx/Token-"), F.format_string("%04d", "p_partkey"), F.lit("?a=1"))
     tokens = text.link_tokens(F.concat(F.upper("p_name"), F.lit(", www a")), url)
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 

@@ -45,3 +45,10 @@ def test_query(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_part_keys_of_five_digits(spark, duck, tmp_path):
+    spark.createDataFrame([(7, "hot rod"), (9999, "cold rod"), (12345, "cold ring")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = QUERIES["x22_link_tokens"](spark, str(tmp_path)).collect()
+    want = duck.execute(ORACLES["x22_link_tokens"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in rows) == sorted(want)
