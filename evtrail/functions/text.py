@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +17,8 @@ URL_TRAILING_MARKS = r"[)>\]}\"'，。！？、；;]+$"
 FINAL_MA = "(?m)妈([\"'”’」』）)\\]】》>\\s。！？；!?;….]*)$"
 FILE_NAME_MARKS = r"[\\/:*?\"<>|\r\n]+"
 PUNCTUATION = "[\\s，。！？、,.!?:：；;（）()【】\\[\\]《》<>\"'“”‘’`~\\-_/]+"
+#: A character reference with its semicolon, its name as the group.
+REFERENCE = re.compile(r"&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|([A-Za-z][A-Za-z0-9]*;))")
 DOC_HOSTS = ("feishu", "larksuite")
 WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SECRET_PARAMETERS = ("token", "access_token", "key", "secret", "signature", "ticket", "code")
@@ -154,26 +158,31 @@ def link_tokens(title: Column | str, url: Column | str, stop: tuple[str, ...] =
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)))
 
 
-def unescape(c: Column | str) -> Column:
-    """Character references back to characters, as HTML names and numbers them; Python has the table, batch by batch."""
+def unescape(c: Column | str, closed: bool = False) -> Column:
+    """Character references back to characters, as HTML names and numbers them; Python has the table, batch by batch.
+
+    HTML also reads some names without a semicolon (&amp as &), `closed` leaves these as they are."""
+
+    def one(m: re.Match) -> str:
+        return html.unescape(m[0]) if m[1] is None or m[1] in html.entities.html5 else m[0]
 
     @F.pandas_udf("string")
     def back(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
+        return texts.map((lambda t: REFERENCE.sub(one, t)) if closed else html.unescape, na_action="ignore")
 
     c = _c(c)
     return F.when(c.contains("&"), back(c)).otherwise(c)
 
 
-def markup_to_text(c: Column | str) -> Column:
+def markup_to_text(c: Column | str, closed: bool = False) -> Column:
     """Text of HTML or XML: scripts and styles out, tags to blanks, character references back."""
     text = F.regexp_replace(_c(c), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    return collapse(unescape(text))
+    return collapse(unescape(text, closed))
 
 
-def markup_title(c: Column | str) -> Column:
-    return collapse(unescape(F.regexp_extract(_c(c), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+def markup_title(c: Column | str, closed: bool = False) -> Column:
+    return collapse(unescape(F.regexp_extract(_c(c), r"(?is)<title[^>]*>(.*?)</title>", 1), closed))
 
 
 def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:

@@ -57,6 +57,19 @@ def test_all_character_references(spark):
         assert r.title == (r.want and r.want.replace("café", "<p>café").replace(" y", " y</p>"))
 
 
+def test_unclosed_references_of_pages(spark, tmp_path):
+    import duckdb
+
+    from evtrail.queries import ORACLES, QUERIES
+
+    cases = ["and&amp", "a&amp;&amp;b&amp", "&lt &amp;lt; &lt;b&gt;&#39;&copy;&nbsp;&middot;c", "&bogus; &amp;amp; &&quot;"]
+    rows = [(i, f"<title>{t}</title><p>{t}</p>") for i, t in enumerate(cases)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("x23_markup_title",):
+        want = duckdb.sql(ORACLES[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+        assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_times_and_reactions(spark):
     df = spark.createDataFrame([("2024-01-01T08:00:00+08:00",), ("2024-01-01T00:00:00Z",), ("2024-01-01 08:00:00",), ("1704067200",), ("1704067200000",), ("nonsense",)], "t string")
     got = [r[0] for r in df.select(F.unix_seconds(chat.to_event_ts(F.col("t")))).collect()]
