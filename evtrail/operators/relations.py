@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtrail.functions.text import clean_text, doc_token, strip
+from evtrail.scratch import written
 
 from .numbering import numbered
 from .substrings import contains_join
 
 
+#: Drafts of at most so many keys take them along to where pairs meet.
+CARRIED = 64
+
+
 def key_counts(keys: DataFrame) -> DataFrame:
     """(key, n): keys is (draft_id, key) without repeats."""
     return keys.groupBy("key").agg(F.count("*").alias("n"))
@@ -36,16 +41,55 @@ def dealt_sides(keys: DataFrame, fan_out: int) -> tuple[DataFrame, DataFrame]:
     return held.select("key", F.col("part").alias("i"), every.alias("j"), F.col("draft_id").alias("a")), held.select("key", every.alias("i"), F.col("part").alias("j"), F.col("draft_id").alias("b"))
 
 
-def evidence_pairs(keys: DataFrame, fan_out: int = 1000) -> DataFrame:
+def shared_pairs(keys: DataFrame, extra: tuple[str, ...] = (), kinds: int = 1, fan_out: int = 1000, carried: int = CARRIED) -> tuple[DataFrame, DataFrame]:
+    """All pairs a < b that share a key, once each, in two tables: (a, b, size_a, size_b, kinds, ...) with an array of the kinds of all
+    shared keys, and (a, b, size_a, size_b, kind, ...), a row for each shared key.
+
+    A draft of at most `carried` shared keys takes them along, so that a pair is told where its smallest shared key is met and no pairs
+    are shuffled; pairs with a draft of more are in the second table.  A key of more than `fan_out` drafts is dealt into parts.
+    keys: draft_id, key, the columns of `extra`, of which both drafts' come along as name_a and name_b, and, where there are
+    several kinds, kind, an int from 0 that tells equal keys apart; all without repeats."""
+    by, who = (["key", "kind"] if kinds > 1 else ["key"]), ["draft_id", *extra]
+    keys = written(keys, "pair-keys")
+    number = F.monotonically_increasing_id() * kinds + (F.col("kind") if kinds > 1 else F.lit(0))
+    # numbers of the keys that some pair has, fixed by being written
+    several = written(keys.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by, F.ceil(F.col("n") / fan_out).cast("int").alias("parts"), number.alias("id")), "pair-numbers")
+    size = Window.partitionBy(*who)
+    at = keys.withColumn("size", F.count("*").over(size)).join(several, by).select(*who, "size", "id", "parts").withColumn("met", F.count("*").over(size))
+    at = written(at, "pair-sides")
+
+    few = at.where(F.col("met") <= carried).groupBy(*who, "size").agg(F.sort_array(F.collect_list(F.struct("id", "parts"))).alias("ids"))
+    few = few.select(F.struct(*who, "size", F.col("ids.id").alias("held")).alias("x"), F.explode("ids").alias("i")).select("x", "i.id", "i.parts")
+    cold = few.where("parts = 1").groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("m")).where(F.size("m") > 1)
+    both = cold.select("id", "m", F.posexplode("m").alias("pos", "x")).select("id", "x", F.explode(F.slice("m", F.col("pos") + 2, F.size("m"))).alias("y"))
+    part = lambda of: F.pmod(F.xxhash64(f"{of}.draft_id"), "parts").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    if not several.where("parts > 1").isEmpty():
+        hot = few.where("parts > 1")
+        both = both.union(hot.select("id", part("x").alias("i"), every.alias("j"), "x").join(hot.select("id", every.alias("i"), part("x").alias("j"), F.col("x").alias("y")), ["id", "i", "j"]).select("id", "x", "y"))
+    # an array of one, so that what is shared is worked out once a pair
+    both = both.where("x.draft_id < y.draft_id").select("id", "x", "y", F.explode(F.array(F.array_intersect("x.held", "y.held"))).alias("ids")).where(F.col("ids")[0] == F.col("id"))
+    told = [F.col(f"{of}.{c}").alias(name) for side, of in (("a", "x"), ("b", "y")) for c, name in (("draft_id", side), ("size", f"size_{side}"), *((c, f"{c}_{side}") for c in extra))]
+    kind = lambda i: (i % kinds).cast("int")
+    first = both.select(*told, (F.transform("ids", kind) if kinds > 1 else F.col("ids")).alias("kinds"))
+
+    many = at.where(F.col("met") > carried).select("id", "parts", F.struct(*who, "size").alias("x"))
+    rest = at.join(many.select("id").distinct(), "id", "left_semi").select("id", "parts", F.struct(*who, "size").alias("y"), (F.col("met") > carried).alias("heavy"))
+    met = many.select("id", part("x").alias("i"), every.alias("j"), "x").join(rest.select("id", every.alias("i"), part("y").alias("j"), "y", "heavy"), ["id", "i", "j"])
+    low = F.col("x.draft_id") < F.col("y.draft_id")
+    met = met.where(low | (~F.col("heavy") & (F.col("x.draft_id") > F.col("y.draft_id"))))  # two of many keys meet twice
+    met = met.select("id", F.when(low, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(low, F.col("y")).otherwise(F.col("x")).alias("y"))
+    return first, met.select(*told, kind(F.col("id")).alias("kind"))
+
+
+def evidence_pairs(keys: DataFrame, fan_out: int = 1000, carried: int = CARRIED) -> DataFrame:
     """(a, b, shared, same) for all pairs a < b that share a key; same says that their key sets are equal.
 
-    A key of more than `fan_out` drafts is dealt into parts of about so many, and each pair of parts is
-    joined alone, so that no task holds a whole key; the pairs are as many as the drafts squared."""
-    left, right = dealt_sides(keys, fan_out)
-    size = keys.groupBy("draft_id").agg(F.count("*").alias("size"))
-    pairs = left.join(right, ["key", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    pairs = pairs.join(size.select(F.col("draft_id").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("draft_id").alias("b"), F.col("size").alias("nb")), "b")
-    return pairs.select("a", "b", "shared", ((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb"))).alias("same"))
+    keys is (draft_id, key) without repeats.  The pairs are as many as the drafts of a key squared; see shared_pairs()."""
+    few, many = shared_pairs(keys.select("draft_id", "key"), fan_out=fan_out, carried=carried)
+    pair = ["a", "b", "size_a", "size_b"]
+    pairs = few.select(*pair, F.size("kinds").cast("long").alias("shared")).union(many.groupBy(*pair).agg(F.count("*").alias("shared")))
+    return pairs.select("a", "b", "shared", ((F.col("shared") == F.col("size_a")) & (F.col("shared") == F.col("size_b"))).alias("same"))
 
 
 def key_pairs(keys: DataFrame, fan_out: int = 1000) -> DataFrame:

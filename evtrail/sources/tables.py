@@ -61,10 +61,10 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(draft_id, evidence, file, conversation, source_file): drafts are the orders, their evidence the parts, files the supplier and part, conversation the customer, source file the nation."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    return o.join(line, o.o_orderkey == line.l_orderkey).join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("draft_id"), F.col("l_partkey").alias("evidence"), F.concat_ws(":", "l_suppkey", "l_partkey").alias("file"), F.col("o_custkey").alias("conversation"), F.col("c_nationkey").alias("source_file"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(line, o.o_orderkey == line.l_orderkey).select(F.col("o_orderkey").alias("draft_id"), F.col("l_partkey").alias("evidence"), F.concat_ws(":", "l_suppkey", "l_partkey").alias("file"), F.col("o_custkey").alias("conversation"), F.col("c_nationkey").alias("source_file"))
 
 
 ORDER_DRAFTS_SQL = """

@@ -385,6 +385,25 @@ def test_evidence_pairs_of_hot_keys(spark):
     assert len(got) == 40 * 39 // 2 and {(r.a, r.b): (r.shared, r.same) for r in got} == {p: v for p, v in want.items() if p[1] <= 40}
 
 
+def shuffled(df, what: str) -> bool:
+    """Whether the plan that ran shuffles by this column."""
+    df.collect()
+    return f"hashpartitioning({what}#" in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_pairs_are_told_where_they_meet(spark):
+    import random
+
+    r = random.Random(4)
+    sets = {i: {r.randrange(30) for _ in range(r.choice((1, 2, 3, 12)))} for i in range(60)}
+    keys = spark.createDataFrame([(i, k) for i, s in sets.items() for k in s] + [(99, None)], "draft_id long, key long")
+    want = {(a, b): (len(sets[a] & sets[b]), sets[a] == sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert not shuffled(relations.evidence_pairs(keys), "a")
+    for carried, fan_out in ((64, 1000), (64, 4), (3, 1000), (3, 4), (0, 4)):
+        got = relations.evidence_pairs(keys, fan_out, carried).collect()
+        assert len(got) == len(want) and {(x.a, x.b): (x.shared, x.same) for x in got} == want
+
+
 def test_metrics(spark):
     assert one(spark, 'stage="a b" seconds=3.5 n=1', metrics.parse_timing_log) == {"stage": "a b", "seconds": "3.5", "n": "1"}
     pairs = spark.createDataFrame([("r", float(i)) for i in range(7)], "relation string, gap double")
