@@ -114,17 +114,20 @@ def conversation_sets(events: DataFrame) -> DataFrame:
     return at.join(sets.select("key"), "key").select(F.col("key").alias("set_key"), "draft_id")
 
 
-def group_relations(kinds: dict[str, DataFrame], assign: DataFrame) -> DataFrame:
+def group_relations(kinds: dict[str, DataFrame], assign: DataFrame, fan_out: int = 1000, carried: int = CARRIED) -> DataFrame:
     """(a, b, types): draft pairs of different groups that share a key, with the kinds of key.
 
     kinds maps a name to (draft_id, key); assign is (draft_id, group_id)."""
-    found = None
-    for name, keys in kinds.items():
-        pairs = evidence_pairs(keys.distinct()).select("a", "b", F.lit(name).alias("type"))
-        found = pairs if found is None else found.union(pairs)
-    types = found.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types"))
-    group = lambda side: assign.select(F.col("draft_id").alias(side), F.col("group_id").alias(f"group_{side}"))
-    return types.join(group("a"), "a").join(group("b"), "b").where("group_a <> group_b")
+    names = sorted(kinds)
+    every = reduce(DataFrame.union, [kinds[n].select("draft_id", F.col("key").cast("string").alias("key")).distinct().withColumn("kind", F.lit(i)) for i, n in enumerate(names)])
+    every = every.join(assign.select("draft_id", "group_id").distinct(), "draft_id")
+    few, many = (p.where("group_id_a <> group_id_b") for p in shared_pairs(every, ("group_id",), max(2, len(names)), fan_out, carried))
+    pair = ["a", "b", "group_id_a", "group_id_b"]
+    name = lambda i: F.element_at(F.array(*map(F.lit, names)), i + 1)
+    said = lambda found: F.array_join(F.transform(found, name), ",")
+    types = F.when(F.size("kinds") == 1, name(F.col("kinds")[0])).otherwise(said(F.array_sort(F.array_distinct("kinds"))))
+    found = few.select(*pair, types.alias("types")).union(many.groupBy(*pair).agg(said(F.sort_array(F.collect_set("kind"))).alias("types")))
+    return found.withColumnsRenamed({"group_id_a": "group_a", "group_id_b": "group_b"})
 
 
 def draft_attachment_names(drafts: DataFrame, attachments: DataFrame, ignored: tuple[str, ...] = ("image/",)) -> DataFrame:

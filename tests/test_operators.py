@@ -404,6 +404,25 @@ def test_pairs_are_told_where_they_meet(spark):
         assert len(got) == len(want) and {(x.a, x.b): (x.shared, x.same) for x in got} == want
 
 
+def test_group_relations_of_all_kinds(spark):
+    import random
+
+    r = random.Random(5)
+    sets = {kind: {i: {r.randrange(n) for _ in range(r.choice((1, 2, 9)))} for i in range(40)} for kind, n in (("part", 25), ("file", 60), ("conversation", 9))}
+    kinds = {k: spark.createDataFrame([(i, x) for i, s in v.items() for x in s], "draft_id long, key long") for k, v in sets.items()}
+    assign = spark.createDataFrame([(i, i % 3) for i in range(38)], "draft_id long, group_id long")
+    want = {}
+    for a in range(38):
+        for b in range(a + 1, 38):
+            types = sorted(k for k, v in sets.items() if v[a] & v[b])
+            if types and a % 3 != b % 3:
+                want[a, b] = ",".join(types)
+    assert not shuffled(relations.group_relations(kinds, assign), "a")
+    for carried, fan_out in ((64, 1000), (4, 5)):
+        got = relations.group_relations(kinds, assign, fan_out, carried).collect()
+        assert len(got) == len(want) and {(x.a, x.b): x.types for x in got} == want
+
+
 def test_metrics(spark):
     assert one(spark, 'stage="a b" seconds=3.5 n=1', metrics.parse_timing_log) == {"stage": "a b", "seconds": "3.5", "n": "1"}
     pairs = spark.createDataFrame([("r", float(i)) for i in range(7)], "relation string, gap double")
