@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from evtrail.scratch import written
 
 
+#: So many values of `within` go out whole.
+MAX_STARTS = 10_000
+
+
 def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
     """df with `name`, from 1 by `order`, beginning anew with each value of `within`.
 
@@ -20,8 +24,9 @@ def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | Non
     ranges = at.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     at = at.join(F.broadcast(ranges), "_range").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
     if within:
-        start = at.groupBy(*within).agg((F.min(name) - 1).alias("_start"))
-        at = at.join(start, within).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
+        start = written(at.groupBy(*within).agg((F.min(name) - 1).alias("_start")), "numbered-starts")
+        # few starts go out whole, else the join would shuffle all rows
+        at = at.join(F.broadcast(start) if start.limit(MAX_STARTS + 1).count() <= MAX_STARTS else start, within).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
     return at.drop("_range", "_at", "_before")
 
 

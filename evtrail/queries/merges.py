@@ -27,7 +27,7 @@ def j12_evidence_pairs(spark, d):
 
 @query(f"WITH {D}, {_PAIRS} SELECT a, b, 'MSG-' || printf('%03d', row_number() OVER (ORDER BY a, b)) AS relation_id FROM p")
 def j13_relation_catalog(spark, d):
-    return relations.relation_catalog(relations.evidence_pairs(_keys(spark, d)).withColumn("kind", F.lit("message"))).select("a", "b", "relation_id")
+    return relations.relation_catalog(relations.evidence_pairs(_keys(spark, d)).select("a", "b", F.lit("message").alias("kind"))).select("a", "b", "relation_id")
 
 
 @query(f"WITH {D}, k AS (SELECT DISTINCT draft_id, conversation AS key FROM d), s AS (SELECT key, string_agg(draft_id, ',' ORDER BY draft_id) AS members FROM k GROUP BY 1 HAVING count(*) >= 2), f AS (SELECT min(key) AS key FROM s GROUP BY members) SELECT key AS set_key, draft_id FROM k JOIN f USING (key)")
