@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtrail.functions.text import ratio
+from evtrail.scratch import written
 
 from .numbering import scanned
 
@@ -15,13 +18,26 @@ def text_metrics(df: DataFrame, field: str, keys: tuple[str, ...] = ()) -> DataF
     return df.groupBy(*keys).agg(F.bround(F.avg(n), 2).alias("avg"), F.bround(F.median(n), 2).alias("median"), F.min(n).alias("min"), F.max(n).alias("max"))
 
 
-def coverage(sources: DataFrame, outputs: DataFrame) -> DataFrame:
+def coverage(sources: DataFrame, outputs: DataFrame, words: int = 4) -> DataFrame:
     """(source_id, covered): a source counts when its ids are a subset of one output's ids.
 
-    Both are long: (source_id, message_id) and (output_id, message_id), without repeats."""
+    Both are long: (source_id, message_id) and (output_id, message_id), without repeats.  An output that covers a source has the
+    source's rarest id, so only such outputs are looked at, and of these only the ones whose signature (a bit an id, of `words`
+    longs) has the source's; they are then compared in full."""
+    sources, outputs = written(sources.select("source_id", "message_id"), "sources"), written(outputs.select("output_id", "message_id"), "outputs")
+    mark = lambda w: F.bit_or(F.expr(f"if(pmod(xxhash64(message_id), {64 * words}) div 64 = {w}, shiftleft(1L, cast(pmod(xxhash64(message_id), 64) as int)), 0L)"))
     size = sources.groupBy("source_id").agg(F.count("*").alias("n"))
-    met = sources.join(outputs, "message_id").groupBy("source_id", "output_id").agg(F.count("*").alias("m")).groupBy("source_id").agg(F.max("m").alias("m"))
-    return size.join(met, "source_id", "left").select("source_id", F.coalesce(F.col("m") == F.col("n"), F.lit(False)).alias("covered"))
+    held = outputs.groupBy("message_id").agg(F.count("*").alias("outputs"))
+    rarest = F.min(F.struct(F.coalesce("outputs", F.lit(0)).alias("outputs"), "message_id"))["message_id"].alias("message_id")
+    asked = sources.join(held, "message_id", "left").groupBy("source_id").agg(F.count("*").alias("n"), rarest, *(mark(w).alias(f"bits{w}") for w in range(words)))
+    signed = outputs.join(outputs.groupBy("output_id").agg(*(mark(w).alias(f"has{w}") for w in range(words))), "output_id")
+    within = reduce(lambda x, y: x & y, [F.col(f"bits{w}").bitwiseAND(F.bitwise_not(f"has{w}")) == 0 for w in range(words)])
+    near = written(asked.where("n > 1").join(signed, "message_id").where(within).select("source_id", "output_id", "n", F.col("message_id").alias("rarest")), "coverage-near")
+    rest = near.join(sources, "source_id").where("message_id <> rarest").join(outputs, ["output_id", "message_id"])
+    full = rest.groupBy("source_id", "output_id", "n").agg(F.count("*").alias("m")).where("m = n - 1").select("source_id")
+    one = asked.where("n = 1").join(held, "message_id").select("source_id")
+    met = full.union(one).distinct().withColumn("met", F.lit(True))
+    return size.join(met, "source_id", "left").select("source_id", F.coalesce("met", F.lit(False)).alias("covered"))
 
 
 def quality_summary(groups: DataFrame, keys: tuple[str, ...] = ("scope",)) -> DataFrame:

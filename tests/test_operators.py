@@ -423,6 +423,28 @@ def test_group_relations_of_all_kinds(spark):
         assert len(got) == len(want) and {(x.a, x.b): x.types for x in got} == want
 
 
+def test_coverage_looks_at_rarest_ids(spark):
+    import random
+
+    r = random.Random(6)
+    outputs = {o: {r.randrange(60) for _ in range(r.choice((3, 12, 40)))} for o in range(40)}
+    sources = {i: {r.randrange(61) for _ in range(r.choice((1, 2, 3, 5)))} for i in range(200)}
+    sources |= {200 + o: set(r.sample(sorted(x), min(4, len(x)))) for o, x in outputs.items()}
+    want = {i: any(x <= y for y in outputs.values()) for i, x in sources.items()}
+    df = spark.createDataFrame([(i, m) for i, x in sources.items() for m in x], "source_id long, message_id long")
+    out = spark.createDataFrame([(o, m) for o, x in outputs.items() for m in x], "output_id long, message_id long")
+    for words in (4, 1):
+        got = metrics.coverage(df, out, words).collect()
+        assert len(got) == len(want) and {x.source_id: x.covered for x in got} == want
+    # a message that all outputs have and one that a single output has: only that output is looked at
+    hot = spark.range(3000).select(F.col("id").alias("output_id"), F.lit(0).cast("long").alias("message_id")).union(spark.createDataFrame([(7, 1)], "output_id long, message_id long"))
+    asked = spark.createDataFrame([(i, m) for i in range(50) for m in (0, 1)], "source_id long, message_id long")
+    df = metrics.coverage(asked, hot)
+    assert df.collect() and all(x.covered for x in df.collect())
+    near = [f for f in df.inputFiles() if "coverage-near" in f]
+    assert spark.read.parquet(*near).count() == 50
+
+
 def test_metrics(spark):
     assert one(spark, 'stage="a b" seconds=3.5 n=1', metrics.parse_timing_log) == {"stage": "a b", "seconds": "3.5", "n": "1"}
     pairs = spark.createDataFrame([("r", float(i)) for i in range(7)], "relation string, gap double")
