@@ -268,30 +268,34 @@ def audit_resolutions(sides: DataFrame, resolutions: DataFrame, assign: DataFram
 
     An answer's evidence has to meet the sources of every draft that it names, or, where it names none, of some draft of
     every side: what each side needs, without what is met, in one pass over all relations."""
+    # step by step, each written, so that no more than one step's shuffles are on disk
+    sides, resolutions = written(sides.select("relation_id", F.col("side").cast("string").alias("side"), "draft_id", "structural"), "sides"), written(resolutions, "resolutions")
+    groups = assign.select("draft_id", "group_id")
     known = sides.groupBy("relation_id").agg(F.count_distinct("side").alias("sides"), F.bool_or("structural").alias("structural"))
     n = resolutions.groupBy("relation_id").agg(F.count("*").alias("n"))
+    known = written(known.join(n, "relation_id", "full"), "relations")
     state = F.when(F.col("sides").isNull(), "unknown_relation").when(F.col("n").isNull(), "unresolved").when(F.col("n") > 1, "repeated")
-    out = [known.join(n, "relation_id", "full").select("relation_id", state.alias("error")).where("error is not null")]
-    once = resolutions.join(n.where("n = 1").select("relation_id"), "relation_id", "left_semi").join(known, "relation_id")
-    named = once.select("relation_id", F.explode("connected_draft_ids").alias("draft_id")).distinct()
-    some = once.select("relation_id", (F.size(F.coalesce("connected_draft_ids", F.array().cast(resolutions.schema["connected_draft_ids"].dataType))) > 0).alias("some"), "decision")
-
-    needed = named.select("relation_id", F.col("draft_id").cast("string").alias("side"), "draft_id")
-    needed = needed.union(sides.join(some.where("not some").select("relation_id"), "relation_id", "left_semi").select("relation_id", F.col("side").cast("string"), "draft_id")).distinct()
-    given = once.select("relation_id", F.explode("evidence_message_ids").alias("message_id")).distinct()
-    met = needed.join(sources.select("draft_id", "message_id"), "draft_id").join(given, ["relation_id", "message_id"], "left_semi").select("relation_id", "side").distinct()
-    bare = needed.select("relation_id", "side").distinct().join(met, ["relation_id", "side"], "left_anti").select("relation_id").distinct()
-    out.append(bare.select("relation_id", F.lit("side_without_evidence").alias("error")))
+    out = [known.select("relation_id", state.alias("error")).where("error is not null")]
+    named = F.array_distinct(F.coalesce("connected_draft_ids", F.array().cast(resolutions.schema["connected_draft_ids"].dataType)))
+    once = resolutions.select("relation_id", "decision", named.alias("named"), "evidence_message_ids").join(known.where("n = 1 and sides is not null").drop("n"), "relation_id")
+    once = written(once, "resolved-once")
+
+    # an answer's evidence goes along to the sources of each draft that it has to meet
+    each = once.select("relation_id", F.explode("named").alias("draft_id"), "evidence_message_ids").select("relation_id", F.col("draft_id").cast("string").alias("side"), "draft_id", "evidence_message_ids")
+    unnamed = sides.join(once.where(F.size("named") == 0).select("relation_id", "evidence_message_ids"), "relation_id")
+    needed = each.union(unnamed.select(each.columns))
+    met = F.coalesce(F.array_contains("evidence_message_ids", F.col("message_id")), F.lit(False))
+    bare = needed.join(sources.select("draft_id", "message_id"), "draft_id", "left").groupBy("relation_id", "side").agg(F.bool_or(met).alias("met")).where("not met")
+    out.append(written(bare.select("relation_id").distinct().select("relation_id", F.lit("side_without_evidence").alias("error")), "bare"))
 
     # a group that has drafts of two sides joins the relation
-    joined = sides.join(assign.select("draft_id", "group_id"), "draft_id").groupBy("relation_id", "group_id").agg(F.count_distinct("side").alias("n")).where("n > 1").select("relation_id", F.lit(True).alias("joined")).distinct()
-    count = named.groupBy("relation_id").agg(F.count("*").alias("drafts"))
-    groups = named.join(assign.select("draft_id", "group_id"), "draft_id").groupBy("relation_id").agg(F.count_distinct("group_id").alias("groups"))
-    hit = named.join(sides, ["relation_id", "draft_id"]).groupBy("relation_id").agg(F.count_distinct("side").alias("hit"))
-    at = some.join(known, "relation_id")
-    for part in (joined, count, groups, hit):
-        at = at.join(part, "relation_id", "left")
-    at = at.fillna(0, ["drafts", "groups", "hit"]).withColumn("joined", F.coalesce("joined", F.lit(False)))
+    joined = sides.join(groups, "draft_id").groupBy("relation_id", "group_id").agg((F.min("side") != F.max("side")).alias("joined")).where("joined").select("relation_id", "joined").distinct()
+    joined = written(joined, "joined")
+    # an answer's drafts are an array, so what they belong to is no more than that
+    told = each.select("relation_id", "draft_id").join(groups, "draft_id", "left").join(sides.select("relation_id", "draft_id", "side"), ["relation_id", "draft_id"], "left")
+    told = written(told.groupBy("relation_id").agg(F.size(F.collect_set("group_id")).alias("groups"), F.size(F.collect_set("side")).alias("hit")), "told")
+    at = once.select("relation_id", "decision", "sides", "structural", F.size("named").alias("drafts")).join(told, "relation_id", "left").join(joined, "relation_id", "left")
+    at = at.fillna(0, ["groups", "hit"]).withColumn("joined", F.coalesce("joined", F.lit(False)))
     merged, separate, named_some = F.col("decision") == "merged", F.col("decision") == "separate", F.col("drafts") > 0
     of_two = merged | (separate & named_some)
     checks = {
@@ -304,7 +308,7 @@ def audit_resolutions(sides: DataFrame, resolutions: DataFrame, assign: DataFram
         "one_side_only": of_two & ~F.col("structural") & (F.col("hit") < 2),
     }
     found = F.explode(F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()])))
-    return reduce(DataFrame.union, [*out, at.select("relation_id", found.alias("error"))])
+    return reduce(DataFrame.union, [*out, written(at.select("relation_id", found.alias("error")), "contradicted")])
 
 
 def layer_parts(assign: DataFrame, evidence: DataFrame, salts: int = 8) -> DataFrame:

@@ -141,9 +141,9 @@ UNION ALL SELECT rel, 'merged_not_reflected' FROM g WHERE decision = 'merged' AN
 UNION ALL SELECT rel, 'separate_contradicted' FROM g WHERE decision = 'separate' AND drafts = 0 AND joined UNION ALL SELECT rel, 'structural_not_named' FROM g WHERE two AND st AND hit < sides UNION ALL SELECT rel, 'one_side_only' FROM g WHERE two AND NOT st AND hit < 2""")
 def v6_audit_resolutions(spark, d):
     rows = written(order_drafts(spark, d), "order-drafts")
-    keys = rows.select("draft_id", F.col("evidence").alias("key")).distinct()
-    ties = relations.hub_links(keys).select("a", "b", F.concat_ws("-", "a", "b").alias("relation_id"), ((F.col("a") * 7 + F.col("b")) % 10).alias("h"))
-    part = keys.groupBy("draft_id").agg(F.min("key").alias("part"))
+    keys = written(rows.select("draft_id", F.col("evidence").alias("key")).distinct(), "keys")
+    ties = written(relations.hub_links(keys), "ties").select("a", "b", F.concat_ws("-", "a", "b").alias("relation_id"), ((F.col("a") * 7 + F.col("b")) % 10).alias("h"))
+    part = written(keys.groupBy("draft_id").agg(F.min("key").alias("part")), "parts")
     of = rows.groupBy(F.col("conversation").alias("c")).agg(F.min("draft_id").alias("lo"), F.max("draft_id").alias("hi"))
     titles = of.where("c % 3 = 0").join(of.select((F.col("c") - 1).alias("c"), F.col("lo").alias("other")), "c")
     name = F.concat(F.lit("t"), "c").alias("relation_id")
@@ -163,7 +163,7 @@ def v6_audit_resolutions(spark, d):
     told = F.when(k == 0, none).when(k == 1, F.array("lo", "other")).when(k == 2, F.array("lo", "hi")).otherwise(F.array("lo"))
     answers = answers.union(parts(titles, "lo", "other").select(name, F.when(F.col("c") % 5 < 2, "merged").otherwise("separate"), told, some(F.col("pa"), F.col("c") % 7 > 0)))
     answers = answers.union(spark.range(1).select(F.lit("nope"), F.lit("merged"), none, none))
-    assign = rows.select("draft_id", (F.col("draft_id") % 4).alias("group_id")).distinct()
+    assign = part.select("draft_id", (F.col("draft_id") % 4).alias("group_id"))
     return evidence.audit_resolutions(sides, answers, assign, keys.select("draft_id", F.col("key").alias("message_id")))
 
 

@@ -30,6 +30,18 @@ def test_resolutions_need_evidence_on_each_side(spark):
     assert of(("r", "merged", [1, 2], ["a", "b"]), ("r", "merged", [1, 2], ["a", "b"]), ("z", "merged", [], [])) == {("r", "repeated"), ("t", "unresolved"), ("z", "unknown_relation")}
 
 
+def test_resolutions_take_their_evidence_along(spark):
+    """No step shuffles the sources of all drafts that answers name, and each step is written."""
+    sides = spark.createDataFrame([("r", "0", 1, True), ("r", "1", 2, True)], "relation_id string, side string, draft_id long, structural boolean")
+    assign = spark.createDataFrame([(1, "g"), (2, "g")], "draft_id long, group_id string")
+    sources = spark.range(2000).selectExpr("id % 2 + 1 as draft_id", "cast(id as string) as message_id")
+    given = spark.createDataFrame([("r", "merged", [1, 2, 2], ["0", None]), ("nope", "merged", None, None)], "relation_id string, decision string, connected_draft_ids array<long>, evidence_message_ids array<string>")
+    df = evidence.audit_resolutions(sides, given, assign, sources)
+    assert errors(df) == {("r", "side_without_evidence"), ("nope", "unknown_relation")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_group_audit_asks_for_evidence_and_reason(spark):
     assign = spark.createDataFrame([("g", 1, True), ("g", 2, False), ("h", 3, True)], "group_id string, draft_id long, primary boolean")
     sources = spark.createDataFrame([(1, "a"), (3, "c")], "draft_id long, message_id string")
