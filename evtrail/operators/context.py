@@ -153,30 +153,32 @@ def split_units(rows: DataFrame, blocks: DataFrame, links: DataFrame, target: in
 
     rows: unit_id, message_id, pos, main, anchor, ascii, other; blocks: unit_id, kind (attachment or linked), block_id, message_id, ascii,
     other; links: message_id, target.  All units are cut at once, a few jobs a round; rounds are as many as the logarithms of a unit's
-    anchors, rows and texts together."""
+    anchors, rows and texts together.  What has ended is written in its round, and no join sends a side of it to the driver: such a side grows
+    with the units, and the rounds' sides would all be there at once."""
     from evtrail.scratch import written
 
     rows = rows.select("unit_id", "message_id", "pos", "main", "anchor", F.col("ascii").cast("long").alias("ascii"), F.col("other").cast("long").alias("other"))
     blocks = blocks.select("unit_id", "kind", "block_id", "message_id", F.col("ascii").cast("long").alias("ascii"), F.col("other").cast("long").alias("other"))
-    links = links.select("message_id", "target").where("target is not null").distinct()
+    links = written(links.select("message_id", "target").where("target is not null").distinct(), "split-links")
+    shuffled = lambda df: df.hint("merge")
     done_rows, done_blocks = [], []
     while True:
         held = rows.groupBy("unit_id").agg(F.count_if("anchor").alias("anchors"), F.count_if("main").alias("mains"), F.count("*").alias("all"), F.sum("ascii").alias("a"), F.sum("other").alias("x"))
         texts = blocks.groupBy("unit_id").agg(F.count_if(F.col("kind") == "attachment").alias("attachments"), F.count_if(F.col("kind") == "linked").alias("linked"), F.sum("ascii").alias("ta"), F.sum("other").alias("tx"))
-        held = held.join(texts, "unit_id", "left").fillna(0)
+        held = held.join(shuffled(texts), "unit_id", "left").fillna(0)
         mains = F.when(F.col("mains") == 0, F.col("all")).otherwise(F.col("mains"))
         over = tokens_of_counts(F.col("a") + F.col("ta"), F.col("x") + F.col("tx"), base) > target
         kind = F.when(F.col("anchors") > 1, "anchor").when(mains > 1, "row").when(F.col("attachments") > 1, "attachment").when(F.col("linked") > 1, "linked")
         state = written(held.select("unit_id", over.alias("over"), F.when(over, kind).alias("cut"), "anchors", mains.alias("mains"), (F.col("mains") == 0).alias("bare"), "attachments", "linked"), "split-state")
         ended = state.where("cut is null").select("unit_id", F.col("over").alias("oversized"))
-        done_rows.append(rows.join(ended, "unit_id"))
-        done_blocks.append(blocks.join(ended, "unit_id"))
+        done_rows.append(written(rows.join(shuffled(ended), "unit_id"), "split-done-rows"))
+        done_blocks.append(written(blocks.join(shuffled(ended), "unit_id"), "split-done-blocks"))
         going = state.where("cut is not null").drop("over")
         if going.isEmpty():
             return reduce(DataFrame.union, done_rows), reduce(DataFrame.union, done_blocks)
 
         by = Window.partitionBy("unit_id")
-        at = rows.join(going, "unit_id").withColumn("main", F.col("main") | F.col("bare"))
+        at = rows.join(shuffled(going), "unit_id").withColumn("main", F.col("main") | F.col("bare"))
         nth = lambda flag: F.row_number().over(Window.partitionBy("unit_id", flag).orderBy("pos", "message_id"))
         half = lambda rank, n: F.when(rank <= F.floor(F.col(n) / 2), 1).otherwise(2)
         at = at.withColumn("anchor_side", F.when(F.col("anchor"), half(nth("anchor"), "anchors"))).withColumn("row_side", F.when(F.col("main"), half(nth("main"), "mains")))
@@ -188,17 +190,17 @@ def split_units(rows: DataFrame, blocks: DataFrame, links: DataFrame, target: in
         at = at.select(name.alias("unit_id"), "message_id", "pos", (F.col("main") & (main_side == F.col("side"))).alias("main"), (F.col("anchor") & (anchor_side == F.col("side"))).alias("anchor"), "ascii", "other")
         at = written(at, "split-dealt")
         core = at.where("main or anchor").select("unit_id", "message_id")
-        named = core.join(links, "message_id").select("unit_id", F.col("target").alias("message_id"))
-        naming = core.withColumnRenamed("message_id", "target").join(links, "target").select("unit_id", "message_id")
-        rows = written(at.join(core.union(named).union(naming).distinct(), ["unit_id", "message_id"], "left_semi").select(rows.columns), "split-rows")
+        named = core.join(shuffled(links), "message_id").select("unit_id", F.col("target").alias("message_id"))
+        naming = core.withColumnRenamed("message_id", "target").join(shuffled(links), "target").select("unit_id", "message_id")
+        rows = written(at.join(shuffled(core.union(named).union(naming).distinct()), ["unit_id", "message_id"], "left_semi").select(rows.columns), "split-rows")
 
-        parts = blocks.join(going.select("unit_id", "cut", "attachments", "linked"), "unit_id").withColumn("nth", F.row_number().over(Window.partitionBy("unit_id", "kind").orderBy("message_id", "block_id")))
+        parts = blocks.join(shuffled(going.select("unit_id", "cut", "attachments", "linked")), "unit_id").withColumn("nth", F.row_number().over(Window.partitionBy("unit_id", "kind").orderBy("message_id", "block_id")))
         own = F.when(F.col("cut") == F.col("kind"), half(F.col("nth"), "n"))
         parts = parts.withColumn("n", F.when(F.col("kind") == "attachment", F.col("attachments")).otherwise(F.col("linked"))).withColumn("own", own)
         parts = parts.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("side")).where("own is null or own = side")
         parts = parts.select(name.alias("unit_id"), "kind", "block_id", "message_id", "ascii", "other", F.col("own").isNotNull().alias("named"))
         there = rows.select("unit_id", "message_id", F.lit(True).alias("there")).distinct()
-        blocks = written(parts.join(there, ["unit_id", "message_id"], "left").where("named or there").select(blocks.columns), "split-blocks")
+        blocks = written(parts.join(shuffled(there), ["unit_id", "message_id"], "left").where("named or there").select(blocks.columns), "split-blocks")
 
 
 def self_evidence(members: DataFrame, msgs: DataFrame) -> DataFrame:

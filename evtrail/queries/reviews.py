@@ -94,7 +94,7 @@ def w16_split_units(spark, d):
     texts = at.where("k % 2 = 0").select("unit_id", kind.alias("kind"), F.explode(F.sequence(F.lit(1), F.col("k") % 4 + 1)).alias("n"), "message_id", "k").select("unit_id", "kind", (F.col("message_id") * 10 + F.col("n")).alias("block_id"), "message_id", (F.col("k") * 20).alias("ascii"), F.lit(0).alias("other"))
     cut, kept = context.split_units(rows, texts, W.direct_links(msgs), 700)
     n = kept.groupBy("unit_id").agg(F.count("*").alias("texts"))
-    return cut.groupBy("unit_id").agg(F.count_if("main").alias("mains"), F.count_if("anchor").alias("anchors"), F.count("*").alias("rows"), F.first("oversized").alias("oversized")).join(n, "unit_id", "left").fillna(0, ["texts"])
+    return cut.groupBy("unit_id").agg(F.count_if("main").alias("mains"), F.count_if("anchor").alias("anchors"), F.count("*").alias("rows"), F.first("oversized").alias("oversized")).join(n.hint("merge"), "unit_id", "left").fillna(0, ["texts"])
 
 
 @query(f"""WITH RECURSIVE {M}, {_WINDOWS}, x AS (SELECT *, unnest(range(greatest(first - 6, 1), last + 1)) AS idx FROM h), y AS (SELECT conversation_id || ':' || "window"::BIGINT AS s, x.idx, CASE WHEN x.idx < first THEN 1 ELSE 0 END AS r, message_id % 700 AS a FROM x JOIN m USING (conversation_id, idx)),

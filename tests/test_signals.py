@@ -98,3 +98,12 @@ def test_units_are_cut_by_anchors_rows_and_texts(spark):
     assert {(x.unit_id, x.message_id, x.main, x.anchor, x.oversized) for x in got.collect()} == {(n, m, m in main, m in marks, over) for n, rs, main, marks, _, over in want for m, _ in rs}
     assert sorted((x.unit_id, x.block_id) for x in texts.collect()) == sorted((n, b[1]) for n, *_, bs, _ in want for b in bs)
     assert any(over for *_, over in want) and any(":attachment-" in x[0] for x in want) and any(":linked-" in x[0] for x in want)
+
+
+def test_split_units_sends_no_side_to_the_driver(spark):
+    rows = spark.range(40).selectExpr("concat('u', id % 4) as unit_id", "id as message_id", "id as pos", "true as main", "id % 3 = 0 as anchor", "300 as ascii", "0 as other")
+    texts = spark.createDataFrame([("u1", "linked", 1, 1, 50, 0)], "unit_id string, kind string, block_id long, message_id long, ascii int, other int")
+    links = spark.createDataFrame([(5, 1)], "message_id long, target long")
+    for df in context.split_units(rows, texts, links, 400):
+        assert df.count() > 0
+        assert "Join" not in df._jdf.queryExecution().sparkPlan().toString()
