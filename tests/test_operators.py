@@ -423,6 +423,21 @@ def test_group_relations_of_all_kinds(spark):
         assert len(got) == len(want) and {(x.a, x.b): x.types for x in got} == want
 
 
+def test_shared_counts_of_few_and_many_keys(spark):
+    import random
+
+    r = random.Random(7)
+    sets = {i * 10**10: {f"k{r.randrange(20)}" for _ in range(r.choice((1, 4, 9)))} for i in range(70)}
+    keys = spark.createDataFrame([(i, k) for i, s in sets.items() for k in s] + [(7, "alone"), (8, None)], "draft_id long, key string")
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    for most_keys, block in ((2048, 2048), (2048, 9), (3, 9)):
+        got = relations.shared_counts(keys, most_keys, block).collect()
+        assert len(got) == len(want) and {(x.a, x.b): x.n for x in got} == want
+    # of few keys no pair is shuffled or met more than once
+    assert "MapInArrow" in relations.shared_counts(keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert relations.shared_counts(keys.limit(0)).count() == 0
+
+
 def test_coverage_looks_at_rarest_ids(spark):
     import random
 
