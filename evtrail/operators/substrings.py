@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from evtrail.scratch import written
 
 PIECE, WINDOW = 6, 5
 LONG = PIECE + WINDOW - 1
+#: Bits of the sieve that texts drop their hashes by before they are shuffled.
+SIEVE = 1 << 24
 
 
 def _grams(points: np.ndarray, n: int) -> np.ndarray:
@@ -48,12 +51,24 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def _hashed(df: DataFrame, value: str, lengths: str | None) -> DataFrame:
+def _sieve(anchor: DataFrame) -> np.ndarray:
+    """A bit for the lowest bits of each hash: SIEVE bits, whatever the number of hashes."""
+    slot = F.col("hash").bitwiseAND(SIEVE - 1)
+    words = anchor.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(SIEVE // 64, np.int64)
+    for word, bits in words:
+        out[word] = bits
+    return out.astype("<i8").view(np.uint8)
+
+
+def _hashed(df: DataFrame, value: str, lengths: str | None, sieve: Broadcast | None = None) -> DataFrame:
     """df without `value`, a row for each of its hashes: kind (0 a minimiser, else how many characters) and hash. With
-    `lengths` (an array column, 0 for minimisers) the value is a text, else a key as a whole."""
+    `lengths` (an array column, 0 for minimisers) the value is a text, else a key as a whole.  Hashes that `sieve`, the packed bits of
+    _sieve(), does not have are left out."""
     keep = [c for c in df.columns if c not in (value, lengths)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = None if sieve is None else sieve.value
         for batch in batches:
             for first in range(0, len(batch), 200):
                 part = batch.slice(first, 200)
@@ -65,6 +80,9 @@ def _hashed(df: DataFrame, value: str, lengths: str | None) -> DataFrame:
                     for kind in kinds_of if kinds_of is not None else [0 if len(points) >= LONG else len(points)]:
                         if kind <= len(points):
                             h = np.unique(_grams(points, kind)) if kind else _minimisers(points)
+                            if there is not None:
+                                slot = h & (SIEVE - 1)
+                                h = h[there[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1]
                             rows.append(np.full(len(h), i))
                             kinds.append(np.full(len(h), kind, np.int32))
                             hashes.append(h)
@@ -76,33 +94,54 @@ def _hashed(df: DataFrame, value: str, lengths: str | None) -> DataFrame:
 
 
 def matches(texts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """(text_id, key_id) of the texts that contain a key of their scope, once each.
+    """(text_id, the columns of `on`, key) of the texts that contain a key of their scope, once each.
 
-    texts: text_id, the columns of `on`, text; keys: key_id, the columns of `on`, key.  Rows with a null in a scope column, text or
-    key, and empty keys, match nothing.  Equal keys of a scope are searched once."""
-    keys = keys.where("key <> ''")
-    distinct = keys.select(*on, "key").distinct().withColumn("_key", F.col("key"))
+    texts: text_id, the columns of `on`, text; keys: the columns of `on`, key.  Rows with a null in a scope column, text or
+    key, and empty keys, match nothing.  Equal keys of a scope are searched once.  Hashes that no key has are dropped before the shuffle."""
+    distinct = keys.where("key <> ''").select(*on, "key").distinct().withColumn("_key", F.col("key"))
     own = _hashed(distinct, "key", None)
     # of a long key's minimisers the one that the fewest keys of its scope have
     held = own.groupBy(*on, "kind", "hash").agg(F.count("*").alias("n"))
     anchor = own.join(held, [*on, "kind", "hash"]).groupBy(*on, "_key").agg(F.min(F.struct("n", "kind", "hash")).alias("a")).select(*on, "_key", "a.kind", "a.hash")
     anchor = written(anchor, "anchors")
+    sieve = texts.sparkSession.sparkContext.broadcast(_sieve(anchor))
     kinds = anchor.groupBy(*on).agg(F.sort_array(F.collect_set("kind")).alias("_kinds"))  # LONG at most
     asked = texts.where("text is not null").join(kinds, on)
-    found = _hashed(asked.select("text_id", *on, "text", "_kinds"), "text", "_kinds").join(anchor, [*on, "kind", "hash"]).select("text_id", *on, "_key").distinct()
-    sure = found.join(texts.select("text_id", "text"), "text_id").where(F.col("text").contains(F.col("_key"))).select("text_id", *on, "_key")
-    same = reduce(lambda a, b: a & b, [F.col(f"k.{c}") == F.col(f"s.{c}") for c in on], F.col("k.key") == F.col("s._key"))
-    return sure.alias("s").join(keys.alias("k"), same).select("text_id", "key_id")
+    found = _hashed(asked.select("text_id", *on, "text", "_kinds"), "text", "_kinds", sieve).join(anchor, [*on, "kind", "hash"]).select("text_id", *on, "_key").distinct()
+    return written(found.join(texts.select("text_id", "text"), "text_id").where(F.col("text").contains(F.col("_key"))).select("text_id", *on, F.col("_key").alias("key")), "matches")
 
 
-def contains_join(texts: DataFrame, keys: DataFrame, on: list[str], conditions: list[tuple[Column, Column]]) -> DataFrame:
+def contains_join(texts: DataFrame, keys: DataFrame, on: list[str], conditions: list[tuple[Column, Column]], dealt: int = 1000) -> DataFrame:
     """The pairs of rows of texts and keys with equal `on` of which the text of one of the conditions contains its key: all
-    columns of both, `on` once.  Both sides are written first, so that their rows have ids."""
+    columns of both, `on` once.  Texts are written first, so that their rows have ids.
+
+    The pairs, which may be as many as the rows of a scope squared, are made last, once each, and are not shuffled: what a
+    text contains by an earlier condition goes along with what it contains by a later one.  Rows of an equal key are dealt into
+    parts of about `dealt`."""
     left = written(texts.withColumn("_text", F.monotonically_increasing_id()), "texts")
-    right = written(keys.withColumn("_key_row", F.monotonically_increasing_id()), "keys")
-    found = None
-    for text, key in conditions:
-        part = matches(left.select(F.col("_text").alias("text_id"), *on, text.alias("text")), right.select(F.col("_key_row").alias("key_id"), *on, key.alias("key")), on)
-        found = part if found is None else found.union(part)
-    found = (found if len(conditions) == 1 else found.distinct()).select(F.col("text_id").alias("_text"), F.col("key_id").alias("_key_row"))
-    return left.join(found, "_text").join(right.drop(*on), "_key_row").select(*texts.columns, *(c for c in keys.columns if c not in on))
+    names = [f"_key{i}" for i in range(len(conditions))]
+    right = written(keys.withColumns({n: key for n, (_, key) in zip(names, conditions, strict=True)}), "keys")
+    found, out = [], None
+    for i, (text, _) in enumerate(conditions):
+        own = names[i]
+        hits = matches(left.select(F.col("_text").alias("text_id"), *on, text.alias("text")), right.select(*on, F.col(own).alias("key")), on)
+        hits = hits.select(F.col("text_id").alias("_text"), *on, F.col("key").alias(own))
+        found.append(hits)
+        for e in names[:i]:
+            tied = found[names.index(e)].join(right.where(F.col(own) != "").select(*on, e, own).distinct(), [*on, e])
+            seen = tied.groupBy("_text", *on, own).agg(F.collect_set(e).alias(f"_seen{e}"))
+            hits = hits.join(seen, ["_text", *on, own], "left")
+        several = right.where(F.col(own) != "").groupBy(*on, own).agg(F.ceil(F.count("*") / dealt).cast("int").alias("_parts"))
+        several = written(several.where("_parts > 1"), "dealt-keys")
+        parts = F.coalesce("_parts", F.lit(1))
+        hits = hits.join(several, [*on, own], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        rows = right.join(several, [*on, own], "left").withColumn("_part", F.floor(F.rand(1) * parts).cast("int")).drop("_parts")
+        hits = left.join(hits.drop(*on), "_text").drop("_text")
+        told = [F.coalesce(F.array_contains(f"_seen{e}", F.col(f"r.{e}")), F.lit(False)) for e in names[:i]]
+        same = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*on, own, "_part")])
+        pairs = hits.alias("l").join(rows.alias("r"), same)
+        for again in told:
+            pairs = pairs.where(~again)
+        pairs = pairs.select(*(F.col(f"l.{c}") for c in texts.columns), *(F.col(f"r.{c}") for c in keys.columns if c not in on))
+        out = pairs if out is None else out.union(pairs)
+    return out

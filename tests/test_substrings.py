@@ -36,3 +36,22 @@ def test_a_day_of_very_many_links(spark):
     events = spark.range(2_000).select("id", F.lit("o").alias("owner_id"), F.lit("d").alias("date"), F.concat(F.lit("see https://x.org/long/common/head/"), F.sha1((F.col("id") * 7).cast("string")), F.lit(" and more")).alias("text"))
     got = relations.attach_mentioned_links(events, links)
     assert got.count() == 2_000 and got.where("not contains(text, url)").count() == 0
+
+
+def test_pairs_of_several_conditions_come_once(spark):
+    r = random.Random(9)
+    words = ["charset", "paragraph", "zebra", "ab"]
+    urls = [f"http://h.example/{r.choice(words)}/{n}" for n in range(12)] * 2 + ["", None, "http://h.example/zebra/1"]
+    links = [(i, f"s{i % 2}", u, r.choice([*words, "", None])) for i, u in enumerate(urls)]
+    texts = [(i, f"s{i % 2}", " ".join(r.choice([*words, *urls[:12]]) for _ in range(3))) for i in range(40)] + [(99, "s0", None)]
+    left = spark.createDataFrame(texts, "event_id long, scope string, text string")
+    right = spark.createDataFrame(links, "link_id long, scope string, url string, word string")
+    want = sorted((e, i) for e, a, t in texts for i, b, u, w in links if a == b and t is not None and any(k and k in t for k in (u, w)))
+    both = [(F.col("text"), F.col("url")), (F.col("text"), F.col("word"))]
+    for dealt in (1000, 2):
+        df = substrings.contains_join(left, right, ["scope"], both, dealt).select("event_id", "link_id")
+        assert sorted(tuple(x) for x in df.collect()) == want
+    # the hashes of texts that no key has are not shuffled
+    anchor = spark.createDataFrame([(5,), (6 + (1 << 40),)], "hash long")
+    bits = substrings._sieve(anchor)
+    assert [int(bits[h >> 3] >> (h & 7) & 1) for h in (4, 5, 6, 7)] == [0, 1, 1, 0]
