@@ -425,3 +425,10 @@ def test_lm_null_ids_and_repeated_ids(spark):
 
 def test_lm_without_rows(empty):
     assert lm.lm_scores(empty).count() == 0
+
+
+def test_matches_begin_at_every_place():
+    w = lm.Words.__new__(lm.Words)
+    w.number = w.rank = np.arange(40)
+    w.start = np.repeat([0, 30], [30, 10])
+    assert w.anchors()[0].tolist() == [*range(4, 30), *range(34, 40)]
